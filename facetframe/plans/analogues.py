@@ -31,3 +31,155 @@ def profile(spark: SparkSession, base: str) -> DataFrame:
 @register("order_profile")
 def q_order_profile(spark, base):
     return flatten_profile(profile(spark, base))
+
+
+# --- filters and headline figures -------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from facetframe.operators import distributions as D  # noqa: E402
+from facetframe.operators import facets as FA  # noqa: E402
+from facetframe.operators import geo as G  # noqa: E402
+from facetframe.operators import paging as PG  # noqa: E402
+from facetframe.operators import people as PE  # noqa: E402
+from facetframe.operators.filters import FilterSpec, filter_titles  # noqa: E402
+from facetframe.sources.catalog import read_table  # noqa: E402
+
+FACET_SPEC = FilterSpec(title=" High ", director="cust 1",
+                        facets={"continents": ["ASIA", "EUROPE", "AMERICA"],
+                                "dirGenders": ["Male", "Female"], "years": [1996, 1997, 1998, 2000]})
+KPI_SPEC = FilterSpec(facets={"years": [1996, 1997, 1998], "wriRaces": ["WHITE", "UNKNOWN"]})
+
+
+@register("facet_filter")
+def q_facet_filter(spark, base):
+    p = filter_titles(profile(spark, base), FACET_SPEC)
+    return p.select("imdbid", "title", "director", "continent", "year",
+                    F.col("dir.gender").alias("dir_gender"))
+
+
+@register("kpis")
+def q_kpis(spark, base):
+    p = profile(spark, base)
+    return D.kpis(filter_titles(p, KPI_SPEC), p)
+
+
+@register("grouping_sets")
+def q_grouping_sets(spark, base):
+    return D.facet_distributions(profile(spark, base))
+
+
+@register("distribution_count")
+def q_distribution_count(spark, base):
+    return D.distribution(profile(spark, base), "genre")
+
+
+@register("distribution_sum")
+def q_distribution_sum(spark, base):
+    return D.distribution(profile(spark, base), "continent", value="otherAwards",
+                          exclude=["", "Other"])
+
+
+@register("decade_counts")
+def q_decade_counts(spark, base):
+    p = profile(spark, base)
+    return D.by_decade(p.where(F.col("continent") == "ASIA"), p)
+
+
+@register("histogram_ml")
+def q_histogram_ml(spark, base):
+    return D.histogram(profile(spark, base), "ratingMl", D.ML_EDGES)
+
+
+@register("histogram_imdb")
+def q_histogram_imdb(spark, base):
+    return D.histogram(profile(spark, base), "rating", D.IMDB_EDGES, dash="-")
+
+
+@register("histogram_events")
+def q_histogram_events(spark, base):
+    return D.histogram(read_table(spark, base, "events"), "value", [0.0, 1.0, 10.0, 100.0, 1000.0])
+
+
+@register("breakdown_race")
+def q_breakdown_race(spark, base):
+    return D.breakdown(profile(spark, base), "dir.race", D.RACES)
+
+
+@register("breakdown_gender")
+def q_breakdown_gender(spark, base):
+    return D.breakdown(profile(spark, base), "wri.gender", D.GENDERS)
+
+
+@register("breakdown_segment")
+def q_breakdown_segment(spark, base):
+    return D.breakdown(read_table(spark, base, "customer"), "c_mktsegment",
+                       ["AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", ""])
+
+
+@register("age_pyramid_dir")
+def q_age_pyramid_dir(spark, base):
+    return D.age_pyramid(profile(spark, base), "dir")
+
+
+@register("age_pyramid_wri")
+def q_age_pyramid_wri(spark, base):
+    return D.age_pyramid(profile(spark, base), "wri")
+
+
+@register("country_rollup_best")
+def q_country_rollup_best(spark, base):
+    return PE.by_country(profile(spark, base))
+
+
+@register("top_entity_per_group")
+def q_top_entity_per_group(spark, base):
+    return PE.people_by_country(profile(spark, base), "dir")
+
+
+@register("top15_writer_countries")
+def q_top15_writer_countries(spark, base):
+    return PE.top_countries(PE.people_by_country(profile(spark, base), "wri"), 15)
+
+
+@register("people_table_dir")
+def q_people_table_dir(spark, base):
+    return PE.people_table(profile(spark, base), "dir")
+
+
+@register("people_table_wri")
+def q_people_table_wri(spark, base):
+    return PE.people_table(profile(spark, base), "wri")
+
+
+@register("map_metric")
+def q_map_metric(spark, base):
+    nation = read_table(spark, base, "nation")
+    per_country = PE.by_country(profile(spark, base)).select("country", F.col("films").alias("value"))
+    return G.map_metric(per_country, nation, code_name="n_name", code="n_nationkey")
+
+
+@register("share_of_max")
+def q_share_of_max(spark, base):
+    return G.share_of_max(D.distribution(profile(spark, base), "genre"), "n")
+
+
+@register("facet_values")
+def q_facet_values(spark, base):
+    return FA.all_facet_values(profile(spark, base))
+
+
+@register("page_sorted")
+def q_page_sorted(spark, base):
+    pg = PG.film_page(profile(spark, base), "rating", "desc", page_no=3)
+    return pg.select("imdbid", "title", "rating", "year")
+
+
+@register("page_people")
+def q_page_people(spark, base):
+    people = PE.people_table(profile(spark, base), "wri")
+    return PG.person_page(people, "birthYear", "asc", page_no=1).select("name", "id", "birthYear", "count")
+
+
+@register("page_info")
+def q_page_info(spark, base):
+    return PG.page_info(profile(spark, base), page_no=10_000)

@@ -264,3 +264,198 @@ def with_profile(select_sql: str) -> str:
 SQL: dict[str, str] = {}
 
 SQL["order_profile"] = with_profile("SELECT * FROM profile")
+
+
+def mean1(sum_expr: str, n_expr: str) -> str:
+    """Exact one-decimal mean of tenths rounded half up (non-negative sums)."""
+    return f"(CASE WHEN ({n_expr}) > 0 THEN ((2 * ({sum_expr}) + ({n_expr})) // (2 * ({n_expr}))) / 10.0 END)"
+
+
+def t10(expr: str) -> str:
+    return f"CAST(round(({expr}) * 10.0) AS BIGINT)"
+
+
+SQL["facet_filter"] = with_profile("""
+SELECT imdbid, title, director, continent, year, dir_gender FROM profile
+WHERE contains(lower(COALESCE(title, '')), 'high') AND contains(lower(COALESCE(director, '')), 'cust 1')
+  AND continent IN ('ASIA', 'EUROPE', 'AMERICA') AND dir_gender IN ('Male', 'Female')
+  AND year IN (1996, 1997, 1998, 2000)""")
+
+SQL["kpis"] = with_profile(f"""
+SELECT count(*) AS films, (SELECT count(*) FROM profile) AS films_all,
+  count(DISTINCT country) AS countries,
+  CAST(COALESCE(sum(votesImdb), 0) AS BIGINT) AS votes_imdb,
+  CAST(COALESCE(sum(votesMl), 0) AS BIGINT) AS votes_ml,
+  COALESCE({mean1(f"sum({t10('ratingImdb')})", "count(*)")}, 0.0) AS mean_rating_imdb,
+  COALESCE({mean1(f"sum({t10('ratingMl')})", "count(*)")}, 0.0) AS mean_rating_ml,
+  CAST(COALESCE(sum(oscars), 0) AS BIGINT) AS oscars,
+  CAST(COALESCE(sum(otherAwards), 0) AS BIGINT) AS other_awards
+FROM profile WHERE year IN (1996, 1997, 1998) AND wri_race IN ('WHITE', 'UNKNOWN')""")
+
+_EXCL = ("label IS NOT NULL AND NOT (facet = 'continent' AND label IN ('', 'Other'))"
+         " AND NOT (facet = 'region' AND label = '')")
+SQL["grouping_sets"] = with_profile(f"""
+, g AS (
+  SELECT 'genre' AS facet, genre AS label, count(*) AS films, sum(oscars) AS osc,
+         count(*) FILTER (WHERE oscars <> 0) AS n_osc, sum(otherAwards) AS aw,
+         count(*) FILTER (WHERE otherAwards <> 0) AS n_aw FROM profile GROUP BY genre
+  UNION ALL
+  SELECT 'continent', continent, count(*), sum(oscars), count(*) FILTER (WHERE oscars <> 0),
+         sum(otherAwards), count(*) FILTER (WHERE otherAwards <> 0) FROM profile GROUP BY continent
+  UNION ALL
+  SELECT 'region', region, count(*), sum(oscars), count(*) FILTER (WHERE oscars <> 0),
+         sum(otherAwards), count(*) FILTER (WHERE otherAwards <> 0) FROM profile GROUP BY region)
+SELECT facet, label, 'films' AS measure, CAST(films AS BIGINT) AS value FROM g WHERE {_EXCL}
+UNION ALL
+SELECT facet, label, 'oscars', CAST(osc AS BIGINT) FROM g WHERE facet <> 'genre' AND n_osc > 0 AND {_EXCL}
+UNION ALL
+SELECT facet, label, 'otherAwards', CAST(aw AS BIGINT) FROM g WHERE facet <> 'genre' AND n_aw > 0 AND {_EXCL}""")
+
+SQL["distribution_count"] = with_profile("""
+SELECT genre AS label, count(*) AS n FROM profile WHERE genre IS NOT NULL GROUP BY genre""")
+
+SQL["distribution_sum"] = with_profile("""
+SELECT continent AS label, CAST(sum(otherAwards) AS BIGINT) AS n FROM profile
+WHERE continent IS NOT NULL AND continent NOT IN ('', 'Other')
+  AND otherAwards IS NOT NULL AND otherAwards <> 0
+GROUP BY continent""")
+
+SQL["decade_counts"] = with_profile("""
+, rng AS (SELECT min(year) AS ymin, max(year) AS ymax FROM profile WHERE year IS NOT NULL),
+dom AS (SELECT unnest(range(CAST(floor((ymin - 1) / 10) AS BIGINT), CAST(floor((ymax - 1) / 10) AS BIGINT) + 1)) AS decade,
+               ymax FROM rng),
+cnt AS (SELECT CAST(floor((year - 1) / 10) AS BIGINT) AS decade, count(*) AS n FROM profile
+        WHERE continent = 'ASIA' AND year IS NOT NULL GROUP BY 1)
+SELECT dom.decade,
+  CAST(dom.decade * 10 + 1 AS VARCHAR) || '–' ||
+  CAST(CASE WHEN dom.decade = CAST(floor((ymax - 1) / 10) AS BIGINT) THEN CAST(ymax AS BIGINT)
+            ELSE dom.decade * 10 + 10 END AS VARCHAR) AS label,
+  CAST(COALESCE(cnt.n, 0) AS BIGINT) AS n
+FROM dom LEFT JOIN cnt ON dom.decade = cnt.decade""")
+
+
+def hist_sql(source: str, col: str, edges, dash: str = "–") -> str:
+    nb = len(edges) - 1
+    rows = []
+    for i in range(nb):
+        if i == 0:
+            lbl = f"<{edges[1]:.1f}"
+        elif i == nb - 1:
+            lbl = f"{edges[i]:.1f}+"
+        else:
+            lbl = f"{edges[i]:.1f}{dash}{edges[i + 1]:.1f}"
+        rows.append(f"({i}, '{lbl}', {edges[i]!r}::DOUBLE, {edges[i + 1]!r}::DOUBLE)")
+    return (f"SELECT b.bin, b.label, b.lo, b.hi, "
+            f"(SELECT count(*) FROM {source} s WHERE s.{col} >= b.lo AND s.{col} < b.hi) AS n "
+            f"FROM (VALUES {', '.join(rows)}) b(bin, label, lo, hi)")
+
+
+SQL["histogram_ml"] = with_profile(hist_sql("profile", "ratingMl", [0.0, 3.5, 4.0, 4.5, 99.0]))
+SQL["histogram_imdb"] = with_profile(hist_sql("profile", "rating", [0.0, 7.0, 7.5, 8.0, 99.0], "-"))
+SQL["histogram_events"] = hist_sql("events", "value", [0.0, 1.0, 10.0, 100.0, 1000.0])
+
+
+def breakdown_sql(source: str, col: str, domain) -> str:
+    vals = ", ".join(f"({i}, '{v}')" for i, v in enumerate(domain))
+    return (f"SELECT d.pos, d.label, CAST(COALESCE(c.n, 0) AS BIGINT) AS n, "
+            f"CAST(floor(CAST(COALESCE(c.n, 0) AS DOUBLE) / CAST(greatest(1, (SELECT count(*) FROM {source})) AS DOUBLE)"
+            f" * 100.0 + 0.5) AS BIGINT) AS share "
+            f"FROM (VALUES {vals}) d(pos, label) "
+            f"LEFT JOIN (SELECT {col} AS label, count(*) AS n FROM {source} GROUP BY 1) c ON c.label = d.label")
+
+
+SQL["breakdown_race"] = with_profile(breakdown_sql(
+    "profile", "dir_race", ["WHITE", "ASIAN", "BLACK", "INDIGENOUS", "MIXED-RACE", "UNKNOWN"]))
+SQL["breakdown_gender"] = with_profile(breakdown_sql("profile", "wri_gender", ["Male", "Female", "Unknown"]))
+SQL["breakdown_segment"] = breakdown_sql("customer", "c_mktsegment",
+                                         ["AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", ""])
+
+BANDS = [("<=20", 0, 20), ("21-30", 21, 30), ("31-40", 31, 40), ("41-50", 41, 50),
+         ("51-60", 51, 60), (">60", 61, 999)]
+
+
+def pyramid_sql(role: str) -> str:
+    vals = ", ".join(f"({i}, '{b}', {lo}, {hi})" for i, (b, lo, hi) in enumerate(BANDS))
+    cnt = (lambda g: f"(SELECT count(*) FROM profile WHERE {role}_age IS NOT NULL AND {role}_age >= b.lo "
+                     f"AND {role}_age <= b.hi AND {role}_gender = '{g}')")
+    return with_profile(f"SELECT b.pos, b.band, b.lo, b.hi, {cnt('Male')} AS male, {cnt('Female')} AS female "
+                        f"FROM (VALUES {vals}) b(pos, band, lo, hi)")
+
+
+SQL["age_pyramid_dir"] = pyramid_sql("dir")
+SQL["age_pyramid_wri"] = pyramid_sql("wri")
+
+SQL["country_rollup_best"] = with_profile(f"""
+SELECT country, count(*) AS films, CAST(sum(votesMl) AS BIGINT) AS votes_ml,
+  first(title ORDER BY rating DESC, title ASC, imdbid ASC) AS top_title,
+  {mean1(f"sum({t10('rating')})", "count(*)")} AS mean_rating,
+  CAST(sum(CAST(box AS DECIMAL(20, 2))) AS DOUBLE) AS box
+FROM profile GROUP BY country""")
+
+
+def people_country_sql(role: str, name: str) -> str:
+    return f"""
+, pr AS (SELECT COALESCE(NULLIF({role}_country, ''), country) AS country, COALESCE({name}, '') AS name FROM profile),
+pairs AS (SELECT country, name, count(*) AS n FROM pr GROUP BY country, name),
+pc AS (
+  SELECT country, CAST(sum(n) AS BIGINT) AS count,
+    COALESCE(first(name ORDER BY n DESC, name ASC) FILTER (WHERE name <> ''), '—') AS top_name
+  FROM pairs GROUP BY country)"""
+
+
+SQL["top_entity_per_group"] = with_profile(people_country_sql("dir", "director") + "\nSELECT * FROM pc")
+SQL["top15_writer_countries"] = with_profile(
+    people_country_sql("wri", "wri_name") + "\nSELECT * FROM pc ORDER BY count DESC, country ASC LIMIT 15")
+
+
+def people_sql(role: str) -> str:
+    name, pid = ("director", "directorid") if role == "dir" else ("wri_name", "wri_id")
+    o = "ORDER BY title, imdbid"
+    return f"""
+, people AS (
+  SELECT first({name} {o}) AS name, first({pid} {o}) AS id, first({role}_gender {o}) AS gender,
+    first({role}_country {o}) AS nationality, first({role}_race {o}) AS race,
+    CAST(first(year - {role}_age {o}) FILTER (WHERE {role}_age IS NOT NULL AND year IS NOT NULL) AS BIGINT) AS birthYear,
+    count(*) AS count, CAST(sum(votesImdb) AS BIGINT) AS votesImdb, CAST(sum(votesMl) AS BIGINT) AS votesMl,
+    {mean1(f"sum({t10('rating')})", "count(*)")} AS ratingImdb,
+    {mean1(f"sum(COALESCE({t10('ratingMl')}, 0))", "count(*)")} AS ratingMl,
+    CAST(sum(oscars) AS BIGINT) AS oscars, CAST(sum(otherAwards) AS BIGINT) AS otherAwards
+  FROM profile WHERE {name} IS NOT NULL AND {name} <> '' GROUP BY {name})"""
+
+
+SQL["people_table_dir"] = with_profile(people_sql("dir") + "\nSELECT * FROM people")
+SQL["people_table_wri"] = with_profile(people_sql("wri") + "\nSELECT * FROM people")
+
+SQL["map_metric"] = with_profile("""
+, bc AS (SELECT country, count(*) AS value FROM profile GROUP BY country),
+mx AS (SELECT max(value) AS m FROM bc)
+SELECT bc.country, bc.value,
+  sqrt(CAST(bc.value AS DOUBLE) / CAST(CASE WHEN mx.m IS NULL OR mx.m = 0 THEN 1 ELSE mx.m END AS DOUBLE)) AS intensity,
+  n.n_nationkey AS code
+FROM bc CROSS JOIN mx JOIN nation n ON n.n_name = bc.country""")
+
+SQL["share_of_max"] = with_profile("""
+, d AS (SELECT genre AS label, count(*) AS n FROM profile WHERE genre IS NOT NULL GROUP BY genre)
+SELECT label, n, CAST(n AS DOUBLE) / greatest(1.0, CAST((SELECT max(n) FROM d) AS DOUBLE)) AS share_of_max FROM d""")
+
+SQL["facet_values"] = with_profile("""
+SELECT DISTINCT 'years' AS facet, CAST(year AS VARCHAR) AS value FROM profile WHERE year IS NOT NULL
+UNION SELECT 'mlGenres', mlGenre FROM profile WHERE mlGenre IS NOT NULL AND mlGenre <> ''
+UNION SELECT 'imdbGenres', imdbGenre FROM profile WHERE imdbGenre IS NOT NULL AND imdbGenre <> ''
+UNION SELECT 'continents', continent FROM profile WHERE continent IS NOT NULL AND continent NOT IN ('', 'Other')
+UNION SELECT 'regions', region FROM profile WHERE region IS NOT NULL AND region <> ''
+UNION SELECT 'countries', country FROM profile WHERE country IS NOT NULL AND country NOT IN ('', 'Unknown')""")
+
+SQL["page_sorted"] = with_profile("""
+SELECT imdbid, title, rating, year FROM profile ORDER BY rating DESC NULLS LAST, imdbid ASC LIMIT 50 OFFSET 150""")
+
+SQL["page_people"] = with_profile(people_sql("wri") + """
+SELECT name, id, birthYear, count FROM people
+ORDER BY birthYear ASC NULLS LAST, name ASC NULLS LAST, id ASC NULLS LAST LIMIT 50 OFFSET 50""")
+
+SQL["page_info"] = with_profile("""
+, c AS (SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 50)) AS BIGINT) AS pages FROM profile)
+SELECT CAST(least(10000, pages - 1) AS BIGINT) AS page,
+  CAST(CASE WHEN total > 0 THEN least(10000, pages - 1) * 50 + 1 ELSE 0 END AS BIGINT) AS "from",
+  CAST(least(least(10000, pages - 1) * 50 + 50, total) AS BIGINT) AS "to",
+  CAST(total AS BIGINT) AS total, pages FROM c""")
