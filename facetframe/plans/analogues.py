@@ -183,3 +183,118 @@ def q_page_people(spark, base):
 @register("page_info")
 def q_page_info(spark, base):
     return PG.page_info(profile(spark, base), page_no=10_000)
+
+
+# --- text: mentions, places, themes -------------------------------------------------
+from facetframe.operators import mentions as MN  # noqa: E402
+from facetframe.operators import themes as TH  # noqa: E402
+from facetframe.operators.filters import filter_mentions  # noqa: E402
+from facetframe.operators.places import classify_names  # noqa: E402
+from facetframe.plans import orders as O  # noqa: E402
+
+THEME_IDIOM = "EN"
+LOC_SEARCH_TABLE = {"Country": "the", "City": "o"}
+LOC_SEARCH_TITLES = {"State": "de", "Region": "and"}
+
+
+def text_inputs(spark, base):
+    rd = lambda n: read_table(spark, base, n)
+    docs, labels = rd("documents"), rd("labels")
+    titles = O.conform_titles(rd("orders"))
+    cb = O.conform_country_bridge(rd("lineitem"), rd("supplier"), rd("nation"))
+    return dict(geo=O.conform_geo(docs), themes=O.conform_themes(docs),
+                bridge=O.conform_subtitle_bridge(labels), titles=titles,
+                primary=MN.primary_country(cb), gazetteer=O.token_gazetteer(spark))
+
+
+def token_mentions(spark, base):
+    t = text_inputs(spark, base)
+    return MN.location_mentions(t["geo"], t["bridge"], t["titles"], t["primary"], t["gazetteer"])
+
+
+def theme_base(spark, base):
+    t = text_inputs(spark, base)
+    return TH.theme_mentions(t["themes"], t["bridge"], t["titles"], t["primary"], idiom=THEME_IDIOM)
+
+
+@register("token_mentions")
+def q_token_mentions(spark, base):
+    return token_mentions(spark, base)
+
+
+@register("classify_tokens")
+def q_classify_tokens(spark, base):
+    t = text_inputs(spark, base)
+    return classify_names(t["geo"], t["gazetteer"], "LOCATION")
+
+
+@register("mentions_by_country")
+def q_mentions_by_country(spark, base):
+    return MN.mentions_by_country(token_mentions(spark, base))
+
+
+@register("mention_table")
+def q_mention_table(spark, base):
+    p = profile(spark, base)
+    rows = filter_mentions(token_mentions(spark, base), p, LOC_SEARCH_TABLE)
+    return MN.mention_table(rows, p)
+
+
+@register("location_options")
+def q_location_options(spark, base):
+    return MN.location_options(token_mentions(spark, base), profile(spark, base))
+
+
+@register("titles_by_country")
+def q_titles_by_country(spark, base):
+    p = profile(spark, base)
+    rows = filter_mentions(token_mentions(spark, base), p, LOC_SEARCH_TITLES)
+    return MN.titles_by_country(rows, p, 15)
+
+
+@register("semi_join_mentions")
+def q_semi_join_mentions(spark, base):
+    p = profile(spark, base)
+    f = filter_titles(p, FilterSpec(loc_search=LOC_SEARCH_TITLES), mentions=token_mentions(spark, base))
+    return f.select("imdbid", "title", "country")
+
+
+@register("theme_page")
+def q_theme_page(spark, base):
+    return TH.theme_page(theme_base(spark, base), "mentions", "desc", page_no=1)
+
+
+@register("theme_total")
+def q_theme_total(spark, base):
+    return TH.theme_total(theme_base(spark, base))
+
+
+@register("theme_ids")
+def q_theme_ids(spark, base):
+    return TH.theme_ids(theme_base(spark, base))
+
+
+@register("theme_by_country")
+def q_theme_by_country(spark, base):
+    return TH.theme_by_country(theme_base(spark, base))
+
+
+@register("theme_top15")
+def q_theme_top15(spark, base):
+    return TH.theme_stats(theme_base(spark, base), 15)
+
+
+@register("theme_options")
+def q_theme_options(spark, base):
+    t = text_inputs(spark, base)
+    return TH.theme_options(t["themes"], t["bridge"], t["titles"])
+
+
+@register("theme_option_tree")
+def q_theme_option_tree(spark, base):
+    t = text_inputs(spark, base)
+    tree = TH.theme_option_tree(TH.theme_options(t["themes"], t["bridge"], t["titles"]))
+    e = tree.select("idiom", F.array_join("themes", " ").alias("themes"),
+                    F.explode(F.map_entries("words_by_theme")).alias("e"))
+    return e.select("idiom", "themes", F.col("e.key").alias("theme"),
+                    F.array_join("e.value", " ").alias("words"))

@@ -161,3 +161,58 @@ def order_tables(spark: SparkSession, base: str) -> ProfileTables:
 
 def order_profile(spark: SparkSession, base: str, order_by_title: bool = False) -> DataFrame:
     return build_profile(order_tables(spark, base), order_by_title=order_by_title)
+
+
+# --- text tables: documents as subtitles ------------------------------------------
+# Location candidates are the letter runs of the raw text (case kept), theme words
+# the letter runs of the lower-cased text; idiom = upper(lang), theme = source.
+LOCATION_TOKEN = "[A-Za-z]+"
+WORD_TOKEN = "[a-z]+"
+
+
+def conform_geo(documents: DataFrame) -> DataFrame:
+    """subtitle_geo analogue: (IMDB = doc_id, LOCATION = token, COUNT = 1 per occurrence)."""
+    return documents.select(
+        F.col("doc_id").alias("IMDB"),
+        F.explode(F.regexp_extract_all("text", F.lit(LOCATION_TOKEN), 0)).alias("LOCATION"),
+        F.lit(1).cast("bigint").alias("COUNT"))
+
+
+def conform_themes(documents: DataFrame) -> DataFrame:
+    """subtitle_theme analogue: (IMDB, IDIOM, THEME, WORD, COUNT = 1 per occurrence)."""
+    return documents.select(
+        F.col("doc_id").alias("IMDB"),
+        F.upper("lang").alias("IDIOM"),
+        F.col("source").alias("THEME"),
+        F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD_TOKEN), 0)).alias("WORD"),
+        F.lit(1).cast("bigint").alias("COUNT"))
+
+
+def conform_subtitle_bridge(labels: DataFrame) -> DataFrame:
+    """ml_imdb analogue: labelled documents link to the order with the same key;
+    toxic documents appear twice, so their sums double (bridge multiplicity)."""
+    one = labels.select(F.col("doc_id").alias("IMDBID"), F.col("doc_id").alias("MOVIEID"))
+    two = labels.where(F.col("toxic") == 1).select(F.col("doc_id").alias("IMDBID"),
+                                                   F.col("doc_id").alias("MOVIEID"))
+    return one.unionAll(two)
+
+
+# A small self-written gazetteer over frequent letter runs of the
+# documents, with duplicate main entries (later category wins), aliases that
+# override main entries, and stems reached only by stripping a trailing 's'.
+TOKEN_GAZETTEER = [
+    ("the", "Country", "main", 1), ("of", "City", "main", 2), ("de", "State", "main", 3),
+    ("and", "Region", "main", 4), ("la", "City", "main", 2), ("der", "Country", "main", 1),
+    ("le", "State", "main", 3), ("que", "Region", "main", 4), ("en", "City", "main", 2),
+    ("die", "State", "main", 3), ("und", "Country", "main", 1), ("des", "City", "main", 2),
+    ("el", "Country", "main", 1), ("ou", "Region", "main", 4), ("in", "Country", "main", 1),
+    ("in", "City", "main", 2), ("to", "City", "main", 2), ("to", "State", "main", 3),
+    ("on", "Country", "main", 1), ("on", "Region", "main", 4), ("ere", "Region", "main", 4),
+    ("one", "City", "main", 2), ("wa", "State", "main", 3), ("lo", "Country", "main", 1),
+    ("a", "City", "alias", 1), ("it", "Country", "alias", 1), ("the", "Region", "alias", 1),
+    ("an", "State", "alias", 1), ("ci", "City", "alias", 1),
+]
+
+
+def token_gazetteer(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TOKEN_GAZETTEER, "name string, loc_type string, source string, priority int")

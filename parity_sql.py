@@ -459,3 +459,128 @@ SELECT CAST(least(10000, pages - 1) AS BIGINT) AS page,
   CAST(CASE WHEN total > 0 THEN least(10000, pages - 1) * 50 + 1 ELSE 0 END AS BIGINT) AS "from",
   CAST(least(least(10000, pages - 1) * 50 + 50, total) AS BIGINT) AS "to",
   CAST(total AS BIGINT) AS total, pages FROM c""")
+
+
+def title_case_sql(x: str) -> str:
+    step = ("lambda acc, ch: {'o': acc.o || CASE WHEN acc.p AND NOT regexp_matches(ch, '^\\s$') "
+            "THEN upper(ch) ELSE ch END, 'p': CASE WHEN acc.p AND NOT regexp_matches(ch, '^\\s$') "
+            "THEN false ELSE regexp_matches(ch, '^[\\s\\-/]$') END}")
+    return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN {x} = '' THEN '' ELSE "
+            f"list_reduce(string_split(lower({x}), ''), {step}, {{'o': '', 'p': true}}).o END)")
+
+
+GAZ = [
+    ("the", "Country", "main", 1), ("of", "City", "main", 2), ("de", "State", "main", 3),
+    ("and", "Region", "main", 4), ("la", "City", "main", 2), ("der", "Country", "main", 1),
+    ("le", "State", "main", 3), ("que", "Region", "main", 4), ("en", "City", "main", 2),
+    ("die", "State", "main", 3), ("und", "Country", "main", 1), ("des", "City", "main", 2),
+    ("el", "Country", "main", 1), ("ou", "Region", "main", 4), ("in", "Country", "main", 1),
+    ("in", "City", "main", 2), ("to", "City", "main", 2), ("to", "State", "main", 3),
+    ("on", "Country", "main", 1), ("on", "Region", "main", 4), ("ere", "Region", "main", 4),
+    ("one", "City", "main", 2), ("wa", "State", "main", 3), ("lo", "Country", "main", 1),
+    ("a", "City", "alias", 1), ("it", "Country", "alias", 1), ("the", "Region", "alias", 1),
+    ("an", "State", "alias", 1), ("ci", "City", "alias", 1),
+]
+_gaz_values = ", ".join(f"('{a}', '{b}', '{c}', {d})" for a, b, c, d in GAZ)
+
+TEXT = CONFORMED + f""",
+geo AS (SELECT doc_id AS IMDB, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS LOCATION, 1 AS COUNT FROM documents),
+th AS (SELECT doc_id AS IMDB, upper(lang) AS IDIOM, source AS THEME,
+              unnest(regexp_extract_all(lower(text), '[a-z]+')) AS WORD, 1 AS COUNT FROM documents),
+br AS (SELECT doc_id AS IMDBID, doc_id AS MOVIEID FROM labels
+       UNION ALL SELECT doc_id, doc_id FROM labels WHERE toxic = 1),
+pc AS (SELECT IMDBID, min(COUNTRY) AS COUNTRY FROM cb GROUP BY IMDBID),
+mi AS (SELECT * FROM t WHERE TYPE = 'movie' AND RESPONSE = 'true'),
+gaz AS (SELECT * FROM (VALUES {_gaz_values}) g(name, loc_type, source, priority)),
+gz AS (SELECT source, lower({strip('name')}) AS key,
+              first(loc_type ORDER BY priority DESC, loc_type DESC) AS loc_type
+       FROM gaz GROUP BY source, lower({strip('name')})),
+la AS (SELECT IMDB, LOCATION, sum(COUNT) AS mentions FROM geo GROUP BY IMDB, LOCATION HAVING sum(COUNT) >= 2),
+lrows AS (
+  SELECT la.LOCATION AS location, CAST(la.mentions AS BIGINT) AS mentions, mi.IMDBID AS imdbid,
+         mi.TITLE AS title, COALESCE(NULLIF(pc.COUNTRY, ''), 'Unknown') AS country
+  FROM la JOIN br ON br.IMDBID = la.IMDB JOIN mi ON mi.MOVIEID = br.MOVIEID
+  LEFT JOIN pc ON pc.IMDBID = mi.IMDBID),
+cls AS (
+  SELECT n.name, n.key, COALESCE(a.loc_type, m1.loc_type, m2.loc_type, 'Other') AS locType,
+         {title_case_sql('n.name')} AS label
+  FROM (SELECT name, lower({strip('name')}) AS key,
+               {strip(f"regexp_replace(lower({strip('name')}), '[''s]+$', '')")} AS sk
+        FROM (SELECT DISTINCT LOCATION AS name FROM geo WHERE LOCATION IS NOT NULL)) n
+  LEFT JOIN gz a ON a.source = 'alias' AND a.key = n.key
+  LEFT JOIN gz m1 ON m1.source = 'main' AND m1.key = n.key
+  LEFT JOIN gz m2 ON m2.source = 'main' AND m2.key = n.sk),
+tm AS (
+  SELECT lrows.location, cls.locType, cls.label, lrows.mentions, lrows.imdbid, lrows.title, lrows.country
+  FROM lrows LEFT JOIN cls ON cls.name = lrows.location),
+tbase AS (
+  SELECT th.IDIOM AS idiom, th.THEME AS theme, th.WORD AS word, CAST(sum(th.COUNT) AS BIGINT) AS mentions,
+         mi.IMDBID AS imdbid, mi.TITLE AS title, COALESCE(pc.COUNTRY, 'Unknown') AS country
+  FROM th JOIN br ON br.IMDBID = th.IMDB JOIN mi ON mi.MOVIEID = br.MOVIEID
+  LEFT JOIN pc ON pc.IMDBID = mi.IMDBID
+  WHERE th.IDIOM = 'EN'
+  GROUP BY th.IDIOM, th.THEME, th.WORD, mi.IMDBID, mi.TITLE, pc.COUNTRY
+  HAVING sum(th.COUNT) >= 3),
+topt AS (
+  SELECT th.IDIOM AS idiom, th.THEME AS theme, th.WORD AS word
+  FROM th JOIN br ON br.IMDBID = th.IMDB JOIN mi ON mi.MOVIEID = br.MOVIEID
+  WHERE th.IDIOM IS NOT NULL
+  GROUP BY th.IDIOM, th.THEME, th.WORD HAVING sum(th.COUNT) >= 3)"""
+
+
+def with_text(select_sql: str) -> str:
+    return "WITH " + TEXT + "\n" + select_sql
+
+
+PROFILE_TAIL = PROFILE[len(CONFORMED):]
+TEXT_TAIL = TEXT[len(CONFORMED):]
+
+
+def with_text_profile(select_sql: str) -> str:
+    return "WITH " + CONFORMED + PROFILE_TAIL + TEXT_TAIL + "\n" + select_sql
+
+
+SQL["token_mentions"] = with_text("SELECT * FROM tm")
+SQL["classify_tokens"] = with_text("SELECT name, key, locType, label FROM cls")
+SQL["mentions_by_country"] = with_text(
+    "SELECT COALESCE(NULLIF(country, ''), 'Unknown') AS country, CAST(sum(mentions) AS BIGINT) AS mentions "
+    "FROM tm GROUP BY 1")
+SQL["theme_page"] = with_text("""
+SELECT * FROM tbase ORDER BY mentions DESC NULLS LAST, idiom, theme, word, imdbid, title, country
+LIMIT 50 OFFSET 50""")
+SQL["theme_total"] = with_text("SELECT count(*) AS total FROM tbase")
+SQL["theme_ids"] = with_text("SELECT DISTINCT imdbid FROM tbase")
+SQL["theme_by_country"] = with_text(
+    "SELECT country, CAST(sum(mentions) AS BIGINT) AS mentions FROM tbase GROUP BY country")
+SQL["theme_top15"] = with_text(
+    "SELECT theme, count(DISTINCT imdbid) AS n FROM tbase GROUP BY theme ORDER BY n DESC, theme LIMIT 15")
+SQL["theme_options"] = with_text("SELECT * FROM topt")
+SQL["theme_option_tree"] = with_text("""
+, pt AS (SELECT idiom, theme, string_agg(DISTINCT word, ' ' ORDER BY word) AS words FROM topt GROUP BY idiom, theme),
+pi AS (SELECT idiom, string_agg(theme, ' ' ORDER BY theme) AS themes FROM pt GROUP BY idiom)
+SELECT pt.idiom, pi.themes, pt.theme, pt.words FROM pt JOIN pi ON pi.idiom = pt.idiom""")
+
+_LOC_TABLE = ("((locType = 'Country' AND contains(lower(location), 'the')) OR "
+              "(locType = 'City' AND contains(lower(location), 'o')))")
+_LOC_TITLES = ("((locType = 'State' AND contains(lower(location), 'de')) OR "
+               "(locType = 'Region' AND contains(lower(location), 'and')))")
+
+SQL["mention_table"] = with_text_profile(f"""
+SELECT tm.imdbid, COALESCE(p.title, tm.title) AS title,
+  COALESCE(COALESCE(NULLIF(p.countriesAll, ''), p.country), COALESCE(NULLIF(tm.country, ''), 'Unknown')) AS countries,
+  tm.label AS location, COALESCE(tm.locType, 'Other') AS locType, tm.mentions
+FROM tm JOIN profile p ON p.imdbid = tm.imdbid
+WHERE {_LOC_TABLE}""")
+
+SQL["location_options"] = with_text_profile("""
+SELECT DISTINCT locType, label AS location FROM tm WHERE imdbid IN (SELECT imdbid FROM profile)""")
+
+SQL["titles_by_country"] = with_text_profile(f"""
+, fr AS (SELECT * FROM tm WHERE imdbid IN (SELECT imdbid FROM profile) AND {_LOC_TITLES}),
+per AS (SELECT COALESCE(p.country, COALESCE(NULLIF(fr.country, ''), 'Unknown')) AS country, fr.imdbid
+        FROM fr LEFT JOIN profile p ON p.imdbid = fr.imdbid)
+SELECT country, count(DISTINCT imdbid) AS n FROM per GROUP BY country ORDER BY n DESC, country LIMIT 15""")
+
+SQL["semi_join_mentions"] = with_text_profile(f"""
+SELECT imdbid, title, country FROM profile
+WHERE imdbid IN (SELECT imdbid FROM tm WHERE {_LOC_TITLES})""")
