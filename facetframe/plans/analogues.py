@@ -298,3 +298,101 @@ def q_theme_option_tree(spark, base):
                     F.explode(F.map_entries("words_by_theme")).alias("e"))
     return e.select("idiom", "themes", F.col("e.key").alias("theme"),
                     F.array_join("e.value", " ").alias("words"))
+
+
+# --- primitives, cleaning rules, rounding, ingest ------------------------------------
+from facetframe.functions import clean as C  # noqa: E402
+from facetframe.functions.rounding import round_exact, round_half_up, to_fixed  # noqa: E402
+from facetframe.operators.enrich import first_per_key, list_per_key, lookup_with_fallback  # noqa: E402
+from facetframe.sources.ingest import normalise_types  # noqa: E402
+
+LINE_COLS = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+             "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
+
+@register("primary_row_per_key")
+def q_primary_row_per_key(spark, base):
+    return first_per_key(read_table(spark, base, "lineitem"), "l_orderkey", LINE_COLS)
+
+
+@register("delimited_list")
+def q_delimited_list(spark, base):
+    li, part = read_table(spark, base, "lineitem"), read_table(spark, base, "part")
+    j = li.join(part, li["l_partkey"] == part["p_partkey"], "inner")
+    return list_per_key(j, "l_orderkey", "p_type", alias="types")
+
+
+@register("fallback_lookup")
+def q_fallback_lookup(spark, base):
+    cust, nation = read_table(spark, base, "customer"), read_table(spark, base, "nation")
+    c = cust.select(
+        "c_custkey",
+        F.when(F.col("c_custkey") % 5 == 0, F.lit(None).cast("string"))
+         .otherwise(F.concat(F.lit("N"), F.col("c_nationkey").cast("string"))).alias("iso"),
+        F.when(F.col("c_custkey") % 7 == 0, F.lower(F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string"))))
+         .otherwise(F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string"))).alias("cname"))
+    dim = nation.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("iso"),
+                        F.col("n_name").alias("cname"), "n_regionkey")
+    out = lookup_with_fallback(c, dim, ("iso", "iso"), ("cname", "cname"), ["cname", "n_regionkey"])
+    return out.select("c_custkey", "dim_cname", "dim_n_regionkey", "dim_cname_by_key")
+
+
+@register("value_distribution")
+def q_value_distribution(spark, base):
+    return D.rating_distribution(O.conform_ratings(read_table(spark, base, "lineitem")))
+
+
+def _part_texts(part):
+    k = F.col("p_partkey")
+    num = F.concat(F.col("p_size").cast("string"), F.lit("."), (k % 10).cast("string"))
+    rating_txt = (F.when(k % 13 == 0, F.lit("N/A")).when(k % 17 == 0, F.concat(num, F.lit("d")))
+                   .when(k % 19 == 0, F.lit("")).when(k % 23 == 0, F.lit("nan"))
+                   .when(k % 29 == 0, F.concat(F.lit(" "), num, F.lit(" "))).otherwise(num))
+    votes_txt = F.when(k % 11 == 0, F.lit("N/A")).otherwise(
+        F.concat(F.col("p_size").cast("string"), F.lit(","), F.lpad((k % 1000).cast("string"), 3, "0")))
+    box_txt = (F.when(k % 7 == 0, F.lit("$0")).when(k % 9 == 0, F.lit(""))
+                .otherwise(F.concat(F.lit("$"), (k * 12347).cast("string"))))
+    seg = k % 4
+    gender_txt = (F.when(seg == 0, F.lit("MALE")).when(seg == 1, F.lit("female"))
+                   .when(seg == 2, F.lit("")).otherwise(F.lit("other")))
+    race_txt = (F.when(k % 5 == 0, F.lit("undefined")).when(k % 5 == 1, F.lit(None).cast("string"))
+                 .otherwise(F.lower("p_type")))
+    return part.select("p_partkey", rating_txt.alias("rating_txt"), votes_txt.alias("votes_txt"),
+                       box_txt.alias("box_txt"), gender_txt.alias("gender_txt"), race_txt.alias("race_txt"))
+
+
+@register("clean_numbers")
+def q_clean_numbers(spark, base):
+    t = _part_texts(read_table(spark, base, "part"))
+    return t.select("p_partkey", C.rating("rating_txt").alias("rating"),
+                    C.digits_int("votes_txt").alias("votes"), C.money_millions("box_txt").alias("box"),
+                    C.gender("gender_txt").alias("gender"), C.race("race_txt").alias("race"))
+
+
+@register("clean_labels")
+def q_clean_labels(spark, base):
+    part = read_table(spark, base, "part")
+    k = F.col("p_partkey")
+    raw = (F.when(k % 3 == 0, F.concat(F.upper("p_name"), F.lit("-"), F.lower("p_type"), F.lit("/"), F.col("p_brand")))
+            .when(k % 3 == 1, F.concat(F.lit(" "), F.col("p_name"), F.lit("--"), F.col("p_type"), F.lit(" /x")))
+            .otherwise(F.concat(F.col("p_name"), F.lit("'S "), F.col("p_brand"))))
+    return part.select("p_partkey", raw.alias("raw"), C.title_case(raw).alias("label"))
+
+
+@register("round_exact")
+def q_round_exact(spark, base):
+    part = read_table(spark, base, "part")
+    x = F.col("p_retailprice") / F.lit(2.0)
+    y = F.col("p_retailprice") / F.lit(8.0)
+    return part.select("p_partkey", round_exact(x, 1).alias("rx1"), round_half_up(x, 1).alias("rh1"),
+                       to_fixed(x, 1).alias("tf1"), round_exact(y, 2).alias("rx2"))
+
+
+@register("ingest_normalise")
+def q_ingest_normalise(spark, base):
+    o = read_table(spark, base, "orders").select(
+        F.col("o_orderkey").cast("decimal(12,0)").alias("o_orderkey"),
+        F.col("o_totalprice").cast("decimal(12,2)").alias("o_totalprice"),
+        F.col("o_custkey").cast("int").alias("o_custkey"),
+        F.col("o_orderstatus"))
+    return normalise_types(o)

@@ -584,3 +584,81 @@ SELECT country, count(DISTINCT imdbid) AS n FROM per GROUP BY country ORDER BY n
 SQL["semi_join_mentions"] = with_text_profile(f"""
 SELECT imdbid, title, country FROM profile
 WHERE imdbid IN (SELECT imdbid FROM tm WHERE {_LOC_TITLES})""")
+
+SQL["primary_row_per_key"] = """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
+       l_returnflag, l_linestatus FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber NULLS LAST, l_partkey NULLS LAST,
+    l_suppkey NULLS LAST, l_quantity NULLS LAST, l_extendedprice NULLS LAST, l_discount NULLS LAST,
+    l_tax NULLS LAST, l_returnflag NULLS LAST, l_linestatus NULLS LAST) AS rn FROM lineitem)
+WHERE rn = 1"""
+
+SQL["delimited_list"] = """
+SELECT l_orderkey, string_agg(p_type, ', ' ORDER BY p_type) AS types
+FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type IS NOT NULL GROUP BY l_orderkey"""
+
+SQL["fallback_lookup"] = """
+WITH c AS (
+  SELECT c_custkey,
+    CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'N' || CAST(c_nationkey AS VARCHAR) END AS iso,
+    CASE WHEN c_custkey % 7 = 0 THEN lower('NATION_' || CAST(c_nationkey AS VARCHAR))
+         ELSE 'NATION_' || CAST(c_nationkey AS VARCHAR) END AS cname FROM customer),
+d AS (SELECT 'N' || CAST(n_nationkey AS VARCHAR) AS iso, n_name AS cname, n_regionkey FROM nation)
+SELECT c.c_custkey, COALESCE(di.cname, dn.cname) AS dim_cname,
+       COALESCE(di.n_regionkey, dn.n_regionkey) AS dim_n_regionkey, di.cname AS dim_cname_by_key
+FROM c LEFT JOIN d di ON di.iso = c.iso
+LEFT JOIN d dn ON dn.cname = c.cname AND di.iso IS NULL"""
+
+SQL["value_distribution"] = """
+SELECT round(l_discount * 100.0) / 2.0 AS rating, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS votes
+FROM lineitem GROUP BY 1"""
+
+_PART_TEXTS = """
+pt AS (
+  SELECT p_partkey,
+    CASE WHEN p_partkey % 13 = 0 THEN 'N/A'
+         WHEN p_partkey % 17 = 0 THEN CAST(p_size AS VARCHAR) || '.' || CAST(p_partkey % 10 AS VARCHAR) || 'd'
+         WHEN p_partkey % 19 = 0 THEN ''
+         WHEN p_partkey % 23 = 0 THEN 'nan'
+         WHEN p_partkey % 29 = 0 THEN ' ' || CAST(p_size AS VARCHAR) || '.' || CAST(p_partkey % 10 AS VARCHAR) || ' '
+         ELSE CAST(p_size AS VARCHAR) || '.' || CAST(p_partkey % 10 AS VARCHAR) END AS rating_txt,
+    CASE WHEN p_partkey % 11 = 0 THEN 'N/A'
+         ELSE CAST(p_size AS VARCHAR) || ',' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') END AS votes_txt,
+    CASE WHEN p_partkey % 7 = 0 THEN '$0' WHEN p_partkey % 9 = 0 THEN ''
+         ELSE '$' || CAST(p_partkey * 12347 AS VARCHAR) END AS box_txt,
+    CASE p_partkey % 4 WHEN 0 THEN 'MALE' WHEN 1 THEN 'female' WHEN 2 THEN '' ELSE 'other' END AS gender_txt,
+    CASE WHEN p_partkey % 5 = 0 THEN 'undefined' WHEN p_partkey % 5 = 1 THEN NULL ELSE lower(p_type) END AS race_txt
+  FROM part)"""
+
+SQL["clean_numbers"] = f"""
+WITH {_PART_TEXTS}
+SELECT p_partkey,
+  {rx(f"CASE WHEN regexp_matches(rating_txt, '{NUM_RE}') THEN TRY_CAST(trim(rating_txt) AS DOUBLE) END")} AS rating,
+  {digits('votes_txt')} AS votes,
+  {rx(f"{digits('box_txt')} / 1000000.0", 2)} AS box,
+  {gender('gender_txt')} AS gender,
+  {race('race_txt')} AS race
+FROM pt"""
+
+SQL["clean_labels"] = f"""
+WITH r AS (
+  SELECT p_partkey,
+    CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) || '-' || lower(p_type) || '/' || p_brand
+         WHEN p_partkey % 3 = 1 THEN ' ' || p_name || '--' || p_type || ' /x'
+         ELSE p_name || '''S ' || p_brand END AS raw
+  FROM part)
+SELECT p_partkey, raw, {title_case_sql('raw')} AS label FROM r"""
+
+_X = "(p_retailprice / 2.0)"
+SQL["round_exact"] = f"""
+SELECT p_partkey, {rx(_X, 1)} AS rx1, floor({_X} * 10.0 + 0.5) / 10.0 AS rh1,
+  CASE WHEN abs({_X}) * 4.0 = floor(abs({_X}) * 4.0) THEN sign({_X}) * floor(abs({_X}) * 10.0 + 0.5) / 10.0
+       ELSE {rx(_X, 1)} END AS tf1,
+  {rx("(p_retailprice / 8.0)", 2)} AS rx2
+FROM part"""
+
+SQL["ingest_normalise"] = """
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey,
+       CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS DOUBLE) AS o_totalprice,
+       CAST(o_custkey AS BIGINT) AS o_custkey, o_orderstatus
+FROM orders"""
