@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from facetframe.plans.orders import order_profile
+from facetframe.session import session_key
 from facetframe.plans.profile import flatten_profile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,8 +25,22 @@ def register(name: str):
     return deco
 
 
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def memo(kind: str, spark: SparkSession, base: str, build) -> DataFrame:
+    """Build a shared lazy plan once per session and folder (no data is cached;
+    every query still reads its whole tables when it runs)."""
+    key = (kind, session_key(spark), base)
+    df = _PLANS.get(key)
+    if df is None:
+        df = build()
+        _PLANS[key] = df
+    return df
+
+
 def profile(spark: SparkSession, base: str) -> DataFrame:
-    return order_profile(spark, base)
+    return memo("profile", spark, base, lambda: order_profile(spark, base))
 
 
 @register("order_profile")
@@ -198,6 +213,16 @@ LOC_SEARCH_TITLES = {"State": "de", "Region": "and"}
 
 
 def text_inputs(spark, base):
+    key = ("text", session_key(spark), base)
+    if key not in _TEXT:
+        _TEXT[key] = _text_inputs(spark, base)
+    return _TEXT[key]
+
+
+_TEXT: dict[tuple, dict] = {}
+
+
+def _text_inputs(spark, base):
     rd = lambda n: read_table(spark, base, n)
     docs, labels = rd("documents"), rd("labels")
     titles = O.conform_titles(rd("orders"))
@@ -209,12 +234,14 @@ def text_inputs(spark, base):
 
 def token_mentions(spark, base):
     t = text_inputs(spark, base)
-    return MN.location_mentions(t["geo"], t["bridge"], t["titles"], t["primary"], t["gazetteer"])
+    return memo("mentions", spark, base, lambda: MN.location_mentions(
+        t["geo"], t["bridge"], t["titles"], t["primary"], t["gazetteer"]))
 
 
 def theme_base(spark, base):
     t = text_inputs(spark, base)
-    return TH.theme_mentions(t["themes"], t["bridge"], t["titles"], t["primary"], idiom=THEME_IDIOM)
+    return memo("themes", spark, base, lambda: TH.theme_mentions(
+        t["themes"], t["bridge"], t["titles"], t["primary"], idiom=THEME_IDIOM))
 
 
 @register("token_mentions")

@@ -46,7 +46,7 @@ def conform_titles(orders: DataFrame) -> DataFrame:
         F.concat(F.col("o_custkey").cast("string"), F.lit(","),
                  F.lpad((F.col("o_orderkey") % F.lit(1000)).cast("string"), 3, "0")).alias("IMDBVOTES"),
         F.when(F.col("o_orderpriority") == "5-LOW", F.lit("N/A"))
-         .otherwise(F.concat(F.lit("$"), F.format_number(F.floor("o_totalprice"), 0))).alias("BOXOFFICE"),
+         .otherwise(F.concat(F.lit("$"), F.floor("o_totalprice").cast("string"))).alias("BOXOFFICE"),
         _mod("o_orderkey", 3).cast("double").alias("OSCAR_WINNING"),
         _mod("o_orderkey", 5).cast("double").alias("OSCAR_NOMINATION"),
         _mod("o_custkey", 4).cast("double").alias("AWARD_WINNING"),

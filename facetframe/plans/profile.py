@@ -72,9 +72,10 @@ def eligible_titles(titles: DataFrame, require_rating: bool = True,
     cond = (F.col("TYPE") == TYPE_MOVIE) & (F.col("RESPONSE") == RESPONSE_TRUE)
     if require_rating:
         cond = cond & F.col("IMDBRATING").isNotNull() & (F.col("IMDBRATING") != NOT_AVAILABLE)
+    out = titles.where(cond)
     if require_parsed_rating:
-        cond = cond & C.rating("IMDBRATING").isNotNull()
-    return titles.where(cond)
+        out = out.withColumn("RATING_NUM", C.rating("IMDBRATING")).where(F.col("RATING_NUM").isNotNull())
+    return out
 
 
 def nationality_map(country: DataFrame) -> DataFrame:
@@ -146,7 +147,7 @@ def clean_profile(wide: DataFrame, country: DataFrame) -> DataFrame:
     w = (wide.join(dn, F.col("FD_NATIONALITY") == F.col("_dn_iso"), "left")
              .join(wn, F.col("FW_NATIONALITY") == F.col("_wn_iso"), "left"))
 
-    rating = C.rating("IMDBRATING")
+    rating = F.col("RATING_NUM")
     country_c = or_else("FC_COUNTRY", C.first_of_list("COUNTRY"), F.lit(UNKNOWN_COUNTRY))
     continent = or_else("FC_CONTINENT", F.lit(OTHER_CONTINENT))
     region = F.coalesce(blank_to_null("FC_REGION"), F.lit(""))

@@ -23,6 +23,7 @@ def get_spark(master: str | None = None, app: str = "facetframe",
         b = b.master(master)
     conf = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -57,3 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for materialised tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def session_key(spark: SparkSession) -> tuple:
+    """Identity of a live session (application id + session object), for memoising plans."""
+    return (spark.sparkContext.applicationId, id(spark))
