@@ -1,0 +1,55 @@
+"""Print the final adaptive plan of an executed query with its timing metrics
+(local profiling aid: which operators carry the time)."""
+
+from __future__ import annotations
+
+
+def walk(node, depth=0, out=None):
+    out = [] if out is None else out
+    name = node.nodeName()
+    ms = node.metrics()
+    it = ms.iterator()
+    vals = {}
+    while it.hasNext():
+        kv = it.next()
+        k, m = kv._1(), kv._2()
+        if any(w in k.lower() for w in ("time", "rows", "spill", "size")):
+            vals[k] = m.value()
+    out.append((depth, name, vals))
+    kids = node.children()
+    for i in range(kids.size()):
+        walk(kids.apply(i), depth + 1, out)
+    inner = getattr(node, "innerChildren", None)
+    return out
+
+
+def final_plan(df):
+    ex = df._jdf.queryExecution().executedPlan()
+    if ex.nodeName().startswith("AdaptiveSparkPlan"):
+        ex = ex.finalPhysicalPlan()
+    return ex
+
+
+def report(df, min_ms=100):
+    rows = []
+    def rec(node, depth):
+        ms = node.metrics(); it = ms.iterator(); vals = {}
+        while it.hasNext():
+            kv = it.next(); k = kv._1()
+            if any(w in k.lower() for w in ("time", "number of output rows", "spill")):
+                vals[k] = kv._2().value()
+        rows.append((depth, node.nodeName(), vals))
+        kids = node.children()
+        for i in range(kids.size()):
+            rec(kids.apply(i), depth + 1)
+        # query stages wrap their plan
+        try:
+            rec(node.plan(), depth + 1)
+        except Exception:  # noqa: BLE001
+            pass
+    rec(final_plan(df), 0)
+    for d, n, v in rows:
+        t = {k: x for k, x in v.items() if "time" in k and x >= min_ms}
+        r = v.get("number of output rows")
+        if t or d < 40:
+            print("  " * d + n, r, t)
