@@ -446,12 +446,18 @@ UNION SELECT 'continents', continent FROM profile WHERE continent IS NOT NULL AN
 UNION SELECT 'regions', region FROM profile WHERE region IS NOT NULL AND region <> ''
 UNION SELECT 'countries', country FROM profile WHERE country IS NOT NULL AND country NOT IN ('', 'Unknown')""")
 
-SQL["page_sorted"] = with_profile("""
-SELECT imdbid, title, rating, year FROM profile ORDER BY rating DESC NULLS LAST, imdbid ASC LIMIT 50 OFFSET 150""")
+def clamped_page_sql(source: str, cols: str, order: str, page_no: int, size: int = 50) -> str:
+    """Rows of page ``page_no`` (clamped to the last page) in ``order``."""
+    pg = f"least({page_no}, CAST(greatest(1, ceil(total / {size})) AS BIGINT) - 1)"
+    return (f", ranked AS (SELECT *, row_number() OVER (ORDER BY {order}) AS rn, count(*) OVER () AS total "
+            f"FROM {source})\nSELECT {cols} FROM ranked WHERE rn > {pg} * {size} AND rn <= {pg} * {size} + {size}")
 
-SQL["page_people"] = with_profile(people_sql("wri") + """
-SELECT name, id, birthYear, count FROM people
-ORDER BY birthYear ASC NULLS LAST, name ASC NULLS LAST, id ASC NULLS LAST LIMIT 50 OFFSET 50""")
+
+SQL["page_sorted"] = with_profile(clamped_page_sql(
+    "profile", "imdbid, title, rating, year", "rating DESC NULLS LAST, imdbid ASC", 3))
+
+SQL["page_people"] = with_profile(people_sql("wri") + "\n" + clamped_page_sql(
+    "people", "name, id, birthYear, count", "birthYear ASC NULLS LAST, name ASC NULLS LAST, id ASC NULLS LAST", 1))
 
 SQL["page_info"] = with_profile("""
 , c AS (SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 50)) AS BIGINT) AS pages FROM profile)
