@@ -99,10 +99,14 @@ def age(year_col, birth_col) -> Column:
     return F.when(truthy_number(y) & truthy_number(b), y - b.try_cast("int"))
 
 
-def all_genres(list_col, raw_col, genre_col) -> Column:
-    """List, else raw list with ',' -> ', ', else genre; whitespace-stripped."""
-    raw_spaced = F.replace(F.coalesce(as_col(raw_col), F.lit("")), F.lit(","), F.lit(", "))
-    g = or_else(list_col, raw_spaced, genre_col)
+def spaced_list(raw_col) -> Column:
+    """Raw comma list with ',' -> ', ' (an existing ', ' gets two spaces); null -> ''."""
+    return F.replace(F.coalesce(as_col(raw_col), F.lit("")), F.lit(","), F.lit(", "))
+
+
+def all_genres(list_col, spaced_raw_col, genre_col) -> Column:
+    """List, else the spaced raw list (``spaced_list``), else genre; whitespace-stripped."""
+    g = or_else(list_col, spaced_raw_col, genre_col)
     return F.when(blank_to_null(g).isNotNull(), strip_ws(g)).otherwise(as_col(genre_col))
 
 
@@ -112,8 +116,18 @@ def all_genres(list_col, raw_col, genre_col) -> Column:
 _SEP = r"[\s\-/]"
 
 
+def _cap_first(x) -> Column:
+    return F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))
+
+
 def title_case(c) -> Column:
-    """Title case with the separator rule above (short labels; distinct values only)."""
+    """Title case with the separator rule above.
+
+    Three exact paths: no separator at all -> upper-case the first character;
+    no '-' or '/' directly after a separator (or at the start) -> upper-case the
+    first character of every piece that follows a separator; otherwise a
+    character scan that tracks whether the previous separator was consumed.
+    """
     s = F.lower(as_col(c))
     chars = F.split(s, "")
     init = F.struct(F.lit("").alias("out"), F.lit(True).alias("pending"))
@@ -124,5 +138,10 @@ def title_case(c) -> Column:
         pending = F.when(cap, F.lit(False)).otherwise(ch.rlike("^" + _SEP + "$"))
         return F.struct(out.alias("out"), pending.alias("pending"))
 
-    res = F.aggregate(chars, init, step)["out"]
-    return F.when(s.isNull(), F.lit(None).cast("string")).when(s == "", F.lit("")).otherwise(res)
+    scan = F.aggregate(chars, init, step)["out"]
+    pieces = F.array_join(F.transform(F.split(s, "(?<=" + _SEP + ")"), _cap_first), "")
+    return (F.when(s.isNull(), F.lit(None).cast("string"))
+             .when(s == "", F.lit(""))
+             .when(~s.rlike(_SEP), _cap_first(s))
+             .when(~s.rlike(r"^[\-/]|[\s\-/][\-/]"), pieces)
+             .otherwise(scan))

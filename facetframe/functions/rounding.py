@@ -26,9 +26,9 @@ def _pattern(n: int) -> str:
 def round_exact(c, n: int = 1) -> Column:
     """Python ``round(x, n)`` on doubles: exact binary value, ties to even."""
     x = as_col(c).cast("double")
-    txt = F.call_function("format_number", x, F.lit(_pattern(n)))
-    return F.when(x.isNull() | F.isnan(x), F.lit(None).cast("double")) \
-            .otherwise(txt.try_cast("double"))
+    # null stays null and NaN stays NaN, as with Python's round; the input is
+    # referenced once so the generated code stays small.
+    return F.call_function("format_number", x, F.lit(_pattern(n))).try_cast("double")
 
 
 def round_half_up(c, n: int = 1) -> Column:

@@ -3,9 +3,10 @@ two-step fallback lookup, and size-checked broadcast of small dimensions.
 
 Scale notes
 -----------
-* ``first_per_key`` is one hash aggregate with ``min_by(struct, struct)``: the
+* ``first_per_key`` is one aggregate with ``min_by(struct, struct)``: the
   per-key state is one row, it combines map-side, and a hot key costs no more
-  than a cold one.
+  than a cold one. (A struct buffer makes it sort-based, which spills instead
+  of failing when a task holds many keys.)
 * ``list_per_key`` keeps duplicates, as the source's string aggregation does.
   It first counts ``(key, value)`` pairs (map-side combine collapses repeats of
   a hot key before the shuffle) and then builds the list per key from the
@@ -83,29 +84,36 @@ def list_per_key(df: DataFrame, key, col, sep: str = ", ", alias: str = "list")
                  .agg(_list_from_counts(F.collect_list(F.struct("v", "n")), sep).alias(alias)))
 
 
+def count_rows(df: DataFrame, key, cols: Sequence[str], count_col: str = "_n") -> DataFrame:
+    """(key, distinct row, count): the map-side-combined first step of a bridge roll-up."""
+    return df.groupBy(*_as_list(key), *cols).agg(F.count(F.lit(1)).alias(count_col))
+
+
 def bridge_rollup(df: DataFrame, key, first_cols: Sequence[str], list_col: str | None,
                   sep: str = ", ", list_alias: str = "list", prefix: str = "",
-                  order=None) -> DataFrame:
-    """``first_per_key`` and ``list_per_key`` of one bridge in a single aggregation.
+                  order=None, counted: str | None = None) -> DataFrame:
+    """``first_per_key`` and ``list_per_key`` of one bridge in a single per-key aggregation.
 
-    The bridge is first reduced to ``(key, distinct row, count)``; the second
-    aggregate picks the first row and builds the list from the same groups.
+    With a list, the bridge is first reduced to ``(key, distinct row, count)``
+    (or the caller passes such rows, naming the count column in ``counted``),
+    so a key's working set is its distinct rows. Without a list the first row
+    is taken straight from the bridge (``min_by`` combines map-side).
     """
     keys = _as_list(key)
-    cols = list(dict.fromkeys(list(first_cols) + ([list_col] if list_col else [])))
-    counted = df.groupBy(*keys, *cols).agg(F.count(F.lit(1)).alias("_n"))
     order_cols = _as_list(order) or list(first_cols)
-    aggs = [F.min_by(F.struct(*[F.col(c).alias(c) for c in first_cols]),
-                     F.struct(*nulls_last_key(*order_cols))).alias("_first")]
-    if list_col:
-        lv = F.col(list_col).cast("string")
-        item = F.when(lv.isNotNull(), F.struct(lv.alias("v"), F.col("_n").alias("n")))
-        aggs.append(F.collect_list(item).alias("_items"))
-    out = counted.groupBy(*keys).agg(*aggs)
+    first = F.min_by(F.struct(*[F.col(c).alias(c) for c in first_cols]),
+                     F.struct(*nulls_last_key(*order_cols))).alias("_first")
     sel = [*keys, *[F.col("_first")[c].alias(prefix + c) for c in first_cols]]
-    if list_col:
-        sel.append(F.when(F.size("_items") > 0, _list_from_counts(F.col("_items"), sep))
-                    .alias(list_alias))
+    if not list_col:
+        return df.groupBy(*keys).agg(first).select(*sel)
+    if counted is None:
+        cols = list(dict.fromkeys(list(first_cols) + [list_col]))
+        df = count_rows(df, keys, cols)
+        counted = "_n"
+    lv = F.col(list_col).cast("string")
+    item = F.when(lv.isNotNull(), F.struct(lv.alias("v"), F.col(counted).alias("n")))
+    out = df.groupBy(*keys).agg(first, F.collect_list(item).alias("_items"))
+    sel.append(F.when(F.size("_items") > 0, _list_from_counts(F.col("_items"), sep)).alias(list_alias))
     return out.select(*sel)
 
 

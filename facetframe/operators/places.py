@@ -64,7 +64,10 @@ def classify_names(names: DataFrame, gazetteer: DataFrame, name_col: str = "loca
     main = broadcast_if_small(main)
     m1 = main.select(F.col("key").alias("_mk"), F.col("loc_type").alias("_main"))
     m2 = main.select(F.col("key").alias("_sk"), F.col("loc_type").alias("_strip"))
-    d = names.select(F.col(name_col).alias("name")).where(F.col("name").isNotNull()).distinct()
+    # No null filter here: the names branch then stays identical to the caller's
+    # rows up to their shuffle, so Spark reuses that exchange instead of
+    # recomputing the rows (a null name classifies as 'Other').
+    d = names.select(F.col(name_col).alias("name")).distinct()
     d = d.select("name", F.lower(strip_ws("name")).alias("key"))
     d = d.withColumn("_stripped", strip_possessive(F.col("key")))
     j = (d.join(alias, d["key"] == alias["_ak"], "left")
@@ -79,4 +82,5 @@ def classify_places(df: DataFrame, gazetteer: DataFrame, name_col: str = "locati
     """Add ``locType`` and ``label`` to every row of ``df`` (classified per distinct name)."""
     c = classify_names(df, gazetteer, name_col).select(
         F.col("name").alias("_cn"), "locType", "label")
-    return df.join(c, df[name_col] == c["_cn"], "left").drop("_cn")
+    # Null-safe equality: no inferred not-null filter is pushed into either branch.
+    return df.join(c, df[name_col].eqNullSafe(c["_cn"]), "left").drop("_cn")

@@ -166,15 +166,18 @@ def order_profile(spark: SparkSession, base: str, order_by_title: bool = False)
 # --- text tables: documents as subtitles ------------------------------------------
 # Location candidates are the letter runs of the raw text (case kept), theme words
 # the letter runs of the lower-cased text; idiom = upper(lang), theme = source.
-LOCATION_TOKEN = "[A-Za-z]+"
-WORD_TOKEN = "[a-z]+"
+
+
+def letter_runs(text, letters: str = "A-Za-z"):
+    """The maximal runs of ``letters`` in ``text`` (split on the complement, empties dropped)."""
+    return F.filter(F.split(text, f"[^{letters}]+"), lambda w: w != F.lit(""))
 
 
 def conform_geo(documents: DataFrame) -> DataFrame:
     """subtitle_geo analogue: (IMDB = doc_id, LOCATION = token, COUNT = 1 per occurrence)."""
     return documents.select(
         F.col("doc_id").alias("IMDB"),
-        F.explode(F.regexp_extract_all("text", F.lit(LOCATION_TOKEN), 0)).alias("LOCATION"),
+        F.explode(letter_runs(F.col("text"), "A-Za-z")).alias("LOCATION"),
         F.lit(1).cast("bigint").alias("COUNT"))
 
 
@@ -184,7 +187,7 @@ def conform_themes(documents: DataFrame) -> DataFrame:
         F.col("doc_id").alias("IMDB"),
         F.upper("lang").alias("IDIOM"),
         F.col("source").alias("THEME"),
-        F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD_TOKEN), 0)).alias("WORD"),
+        F.explode(letter_runs(F.lower("text"), "a-z")).alias("WORD"),
         F.lit(1).cast("bigint").alias("COUNT"))
 
 
@@ -215,4 +218,7 @@ TOKEN_GAZETTEER = [
 
 
 def token_gazetteer(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TOKEN_GAZETTEER, "name string, loc_type string, source string, priority int")
+    """The fixed entries as a JVM-side local table (no Python workers needed)."""
+    rows = [F.struct(F.lit(n).alias("name"), F.lit(t).alias("loc_type"), F.lit(src).alias("source"),
+                     F.lit(p).alias("priority")) for n, t, src, p in TOKEN_GAZETTEER]
+    return spark.range(1).select(F.inline(F.array(*rows)))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from facetframe.functions import clean as C
 from facetframe.functions.rounding import round_exact
 from facetframe.functions.util import blank_to_null, or_else
-from facetframe.operators.enrich import (bridge_rollup, broadcast_if_small,
+from facetframe.operators.enrich import (bridge_rollup, broadcast_if_small, count_rows,
                                          first_per_key, lookup_with_fallback)
 
 # Eligibility of a title and the fallbacks of the cleaned profile.
@@ -85,17 +85,22 @@ def nationality_map(country: DataFrame) -> DataFrame:
 
 
 def country_per_title(t: ProfileTables, m: DataFrame) -> DataFrame:
-    """First country row (raw name, continent, region) and the list of display names."""
+    """First country row (raw name, continent, region) and the list of display names.
+
+    The bridge is counted per (title, ISO, name) before the two lookup joins,
+    so the joins see distinct rows only.
+    """
     cb = t.country_bridge.join(m.select("IMDBID"), "IMDBID", "left_semi")
-    looked = lookup_with_fallback(cb, t.country, ("ISO", "ISO"), ("COUNTRY", "COUNTRY"),
+    counted = count_rows(cb, "IMDBID", ["ISO", "COUNTRY"])
+    looked = lookup_with_fallback(counted, t.country, ("ISO", "ISO"), ("COUNTRY", "COUNTRY"),
                                   ["COUNTRY", "CONTINENT", "REGION"])
     rows = looked.select(
-        "IMDBID", "COUNTRY",
+        "IMDBID", "COUNTRY", "_n",
         F.col("dim_CONTINENT").alias("CONTINENT"),
         F.col("dim_REGION").alias("REGION"),
         F.coalesce("dim_COUNTRY", "COUNTRY").alias("DISPLAY"))
     return bridge_rollup(rows, "IMDBID", ["COUNTRY", "CONTINENT", "REGION"], "DISPLAY",
-                         list_alias="ALL_COUNTRIES", prefix="FC_")
+                         list_alias="ALL_COUNTRIES", prefix="FC_", counted="_n")
 
 
 def genre_per_key(bridge: DataFrame, key: str, m: DataFrame, name: str) -> DataFrame:
@@ -106,10 +111,17 @@ def genre_per_key(bridge: DataFrame, key: str, m: DataFrame, name: str) -> DataF
 
 def people_per_title(bridge: DataFrame, people: DataFrame, id_col: str, cols: list[str],
                      m: DataFrame, prefix: str, with_list: bool) -> DataFrame:
+    """First person per title (by id, then the other columns) with gender and race
+    already cleaned (C4-C6), plus the list of names when asked."""
     b = bridge.join(m.select("IMDBID"), "IMDBID", "left_semi")
     p = b.join(people.select(*cols), id_col, "inner")
-    return bridge_rollup(p, "IMDBID", cols, "NAME" if with_list else None,
-                         list_alias="ALL_DIRS", prefix=prefix)
+    r = bridge_rollup(p, "IMDBID", cols, "NAME" if with_list else None,
+                      list_alias="ALL_DIRS", prefix=prefix)
+    g = F.col(prefix + "GENDER")
+    if prefix + "GENDER_LLM" in r.columns:
+        g = F.coalesce(g, F.col(prefix + "GENDER_LLM"))
+    keep = [c for c in r.columns if c not in (prefix + "GENDER", prefix + "GENDER_LLM", prefix + "RACE")]
+    return r.select(*keep, C.gender(g).alias(prefix + "GENDER_C"), C.race(prefix + "RACE").alias(prefix + "RACE_C"))
 
 
 def votes_per_title(ratings: DataFrame, m: DataFrame) -> DataFrame:
@@ -117,8 +129,30 @@ def votes_per_title(ratings: DataFrame, m: DataFrame) -> DataFrame:
     return r.groupBy("MOVIEID").agg(F.sum("COUNT_RATING").alias("VOTES_ML"))
 
 
+def clean_titles(m: DataFrame) -> DataFrame:
+    """Title-level rules (C1-C3, C9 fallbacks, C11, C12, C15) evaluated on the titles
+    alone, before any join: the joins then carry compact cleaned values instead
+    of raw text, and the final stage stays small."""
+    genre_raw = F.col("GENRE")
+    return m.select(
+        "IMDBID", "MOVIEID", "TITLE",
+        F.col("RATING_NUM").alias("rating"),
+        round_exact(F.col("RATING_NUM") / F.lit(2.0), 1).alias("ratingMl"),
+        C.money_millions("BOXOFFICE").alias("box"),
+        C.digits_int("IMDBVOTES").alias("votesImdb"),
+        C.int_or_zero("OSCAR_WINNING").alias("oscars"),
+        C.other_awards("AWARD_WINNING", "OSCAR_WINNING", "AWARD_NOMINATION", "OSCAR_NOMINATION",
+                       "BAFTA_WINNING", "BAFTA_NOMINATION", "EMMY_WINNING",
+                       "EMMY_NOMINATION").alias("otherAwards"),
+        C.year("YEAR").alias("year"),
+        C.first_of_list("COUNTRY").alias("_country_raw1"),
+        C.first_of_list(genre_raw).alias("_genre_raw1"),
+        C.spaced_list(genre_raw).alias("_genre_spaced"),
+    )
+
+
 def assemble(t: ProfileTables) -> DataFrame:
-    """The raw wide row per eligible title (before cleaning)."""
+    """The wide row per eligible title (title-level values already cleaned)."""
     m = eligible_titles(t.titles, require_parsed_rating=True)
     fc = country_per_title(t, m)
     fi = genre_per_key(t.imdb_genre, "IMDBID", m, "IMDB")
@@ -128,17 +162,19 @@ def assemble(t: ProfileTables) -> DataFrame:
                           "FW_", with_list=False)
     fg = genre_per_key(t.ml_genre, "MOVIEID", m, "ML")
     fv = votes_per_title(t.ratings, m)
-    wide = (m.join(fc, "IMDBID", "left")
-             .join(fi, "IMDBID", "left")
-             .join(fd, "IMDBID", "left")
-             .join(fw, "IMDBID", "left")
-             .join(fg, "MOVIEID", "left")
-             .join(fv, "MOVIEID", "left"))
+    wide = (clean_titles(m)
+            .join(fc, "IMDBID", "left")
+            .join(fi, "IMDBID", "left")
+            .join(fd, "IMDBID", "left")
+            .join(fw, "IMDBID", "left")
+            .join(fg, "MOVIEID", "left")
+            .join(fv, "MOVIEID", "left"))
     return wide
 
 
 def clean_profile(wide: DataFrame, country: DataFrame) -> DataFrame:
-    """C1-C19 and J8 on the assembled rows; output columns ``PROFILE_COLUMNS``."""
+    """Fallback chains across the joined parts (C6-C10, C13, C14, C16, C19) and J8;
+    output columns ``PROFILE_COLUMNS``."""
     nat = broadcast_if_small(nationality_map(country))
     dn = nat.select(F.col("ISO").alias("_dn_iso"), F.col("COUNTRY").alias("_dn_country"),
                     F.col("REGION").alias("_dn_region"))
@@ -147,15 +183,11 @@ def clean_profile(wide: DataFrame, country: DataFrame) -> DataFrame:
     w = (wide.join(dn, F.col("FD_NATIONALITY") == F.col("_dn_iso"), "left")
              .join(wn, F.col("FW_NATIONALITY") == F.col("_wn_iso"), "left"))
 
-    rating = F.col("RATING_NUM")
-    country_c = or_else("FC_COUNTRY", C.first_of_list("COUNTRY"), F.lit(UNKNOWN_COUNTRY))
-    continent = or_else("FC_CONTINENT", F.lit(OTHER_CONTINENT))
+    country_c = or_else("FC_COUNTRY", "_country_raw1", F.lit(UNKNOWN_COUNTRY))
     region = F.coalesce(blank_to_null("FC_REGION"), F.lit(""))
     ml_g = blank_to_null("ML_GENRE")
-    imdb_g = or_else("IMDB_GENRE", C.first_of_list("GENRE"))
+    imdb_g = or_else("IMDB_GENRE", "_genre_raw1")
     genre = F.coalesce(ml_g, imdb_g, F.lit(OTHER_GENRE))
-    year = C.year("YEAR")
-    dir_gender = F.coalesce(F.col("FD_GENDER"), F.col("FD_GENDER_LLM"))
     all_genres = F.coalesce(F.col("ALL_ML_GENRES"), F.col("ALL_IMDB_GENRES"))
 
     flat = w.select(
@@ -165,27 +197,24 @@ def clean_profile(wide: DataFrame, country: DataFrame) -> DataFrame:
         F.coalesce(blank_to_null("FD_NAME"), F.lit("")).alias("director"),
         F.col("FD_DIRECTORID").alias("directorid"),
         or_else("ALL_DIRS", "FD_NAME", F.lit("")).alias("directorsAll"),
-        year.alias("year"),
+        "year",
         country_c.alias("country"),
-        continent.alias("continent"),
+        or_else("FC_CONTINENT", F.lit(OTHER_CONTINENT)).alias("continent"),
         region.alias("region"),
         ml_g.alias("_ml_g"), imdb_g.alias("_imdb_g"), genre.alias("genre"),
-        all_genres.alias("_all_genres"), F.col("GENRE").alias("_genre_raw"),
+        all_genres.alias("_all_genres"), "_genre_spaced",
         F.col("ALL_COUNTRIES").alias("_all_countries"),
-        rating.alias("rating"),
-        C.money_millions("BOXOFFICE").alias("box"),
-        C.digits_int("IMDBVOTES").alias("votesImdb"),
+        "rating", "ratingMl", "box", "votesImdb",
         F.when(C.truthy_number("VOTES_ML"), F.col("VOTES_ML").cast("double").cast("bigint"))
          .otherwise(F.lit(0).cast("bigint")).alias("votesMl"),
-        C.int_or_zero("OSCAR_WINNING").alias("oscars"),
-        C.other_awards("AWARD_WINNING", "OSCAR_WINNING", "AWARD_NOMINATION", "OSCAR_NOMINATION",
-                       "BAFTA_WINNING", "BAFTA_NOMINATION", "EMMY_WINNING",
-                       "EMMY_NOMINATION").alias("otherAwards"),
-        C.gender(dir_gender).alias("_d_gender"), C.race("FD_RACE").alias("_d_race"),
+        "oscars", "otherAwards",
+        F.coalesce(F.col("FD_GENDER_C"), F.lit(C.UNKNOWN_GENDER)).alias("_d_gender"),
+        F.coalesce(F.col("FD_RACE_C"), F.lit(C.UNKNOWN_RACE)).alias("_d_race"),
         F.col("_dn_country"), F.col("_dn_region"), F.col("FD_BIRTHYEAR").alias("_d_by"),
         F.coalesce(blank_to_null("FW_NAME"), F.lit("")).alias("_w_name"),
         F.col("FW_WRITERID").alias("_w_id"),
-        C.gender("FW_GENDER").alias("_w_gender"), C.race("FW_RACE").alias("_w_race"),
+        F.coalesce(F.col("FW_GENDER_C"), F.lit(C.UNKNOWN_GENDER)).alias("_w_gender"),
+        F.coalesce(F.col("FW_RACE_C"), F.lit(C.UNKNOWN_RACE)).alias("_w_race"),
         F.col("_wn_country"), F.col("_wn_region"), F.col("FW_BIRTHYEAR").alias("_w_by"),
     )
     return flat.select(
@@ -193,13 +222,12 @@ def clean_profile(wide: DataFrame, country: DataFrame) -> DataFrame:
         "country",
         or_else("_all_countries", "country").alias("countriesAll"),
         "genre",
-        C.all_genres("_all_genres", "_genre_raw", "genre").alias("genresAll"),
+        C.all_genres("_all_genres", "_genre_spaced", "genre").alias("genresAll"),
         F.coalesce("_ml_g", "genre").alias("mlGenre"),
         F.coalesce("_imdb_g", "genre").alias("imdbGenre"),
         "rating", "box", "continent", "region",
         F.col("rating").alias("ratingImdb"),
-        round_exact(F.col("rating") / F.lit(2.0), 1).alias("ratingMl"),
-        "votesImdb", "votesMl", "oscars", "otherAwards",
+        "ratingMl", "votesImdb", "votesMl", "oscars", "otherAwards",
         F.struct(
             F.col("_d_gender").alias("gender"),
             F.col("_d_race").alias("race"),

@@ -106,6 +106,7 @@ def test_first_of_list_and_all_genres(spark):
     df = spark.createDataFrame([(None, "Action, Drama", "Action"), ("Comedy, Drama", None, "Comedy"),
                                 (None, None, "Other"), (None, " , x", "Other")],
                                "l string, raw string, g string")
-    out = df.select(C.first_of_list("raw").alias("f"), C.all_genres("l", "raw", "g").alias("a")).collect()
+    out = df.select(C.first_of_list("raw").alias("f"),
+                    C.all_genres("l", C.spaced_list("raw"), "g").alias("a")).collect()
     assert [(r.f, r.a) for r in out] == [("Action", "Action,  Drama"), (None, "Comedy, Drama"),
                                          (None, "Other"), (None, ",  x")]
