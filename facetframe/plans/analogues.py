@@ -423,3 +423,29 @@ def q_ingest_normalise(spark, base):
         F.col("o_custkey").cast("int").alias("o_custkey"),
         F.col("o_orderstatus"))
     return normalise_types(o)
+
+
+# --- combined filters and table pages ------------------------------------------------
+THEME_WORD = "the"
+
+
+@register("theme_filter_titles")
+def q_theme_filter_titles(spark, base):
+    t = text_inputs(spark, base)
+    rows = TH.theme_mentions(t["themes"], t["bridge"], t["titles"], t["primary"],
+                             idiom=THEME_IDIOM, word=THEME_WORD)
+    p = profile(spark, base)
+    f = filter_titles(p, FilterSpec(idiom=THEME_IDIOM, word=THEME_WORD), theme_rows=rows)
+    return f.select("imdbid", "title", "genre")
+
+
+@register("location_page")
+def q_location_page(spark, base):
+    p = profile(spark, base)
+    table = MN.mention_table(filter_mentions(token_mentions(spark, base), p, LOC_SEARCH_TABLE), p)
+    return PG.location_page(table, "location", "asc", page_no=2, tiebreak=("imdbid", "mentions"))
+
+
+@register("people_table_by_id")
+def q_people_table_by_id(spark, base):
+    return PE.people_table(profile(spark, base), "dir", key="id")

@@ -170,7 +170,7 @@ def order_profile(spark: SparkSession, base: str, order_by_title: bool = False)
 
 def letter_runs(text, letters: str = "A-Za-z"):
     """The maximal runs of ``letters`` in ``text`` (split on the complement, empties dropped)."""
-    return F.filter(F.split(text, f"[^{letters}]+"), lambda w: w != F.lit(""))
+    return F.array_remove(F.split(text, f"[^{letters}]+"), "")
 
 
 def conform_geo(documents: DataFrame) -> DataFrame:

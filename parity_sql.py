@@ -668,3 +668,36 @@ SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey,
        CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS DOUBLE) AS o_totalprice,
        CAST(o_custkey AS BIGINT) AS o_custkey, o_orderstatus
 FROM orders"""
+
+SQL["theme_filter_titles"] = with_text_profile("""
+, tb2 AS (
+  SELECT mi.IMDBID AS imdbid
+  FROM th JOIN br ON br.IMDBID = th.IMDB JOIN mi ON mi.MOVIEID = br.MOVIEID
+  LEFT JOIN pc ON pc.IMDBID = mi.IMDBID
+  WHERE th.IDIOM = 'EN' AND th.WORD = 'the'
+  GROUP BY th.IDIOM, th.THEME, th.WORD, mi.IMDBID, mi.TITLE, pc.COUNTRY
+  HAVING sum(th.COUNT) >= 3)
+SELECT imdbid, title, genre FROM profile WHERE imdbid IN (SELECT imdbid FROM tb2)""")
+
+SQL["location_page"] = with_text_profile(f"""
+, mt AS (
+  SELECT tm.imdbid, COALESCE(p.title, tm.title) AS title,
+    COALESCE(COALESCE(NULLIF(p.countriesAll, ''), p.country), COALESCE(NULLIF(tm.country, ''), 'Unknown')) AS countries,
+    tm.label AS location, COALESCE(tm.locType, 'Other') AS locType, tm.mentions
+  FROM tm JOIN profile p ON p.imdbid = tm.imdbid
+  WHERE {_LOC_TABLE})
+""" + clamped_page_sql("mt", "imdbid, title, countries, location, locType, mentions",
+                       "location ASC NULLS LAST, imdbid ASC NULLS LAST, mentions ASC NULLS LAST", 2))
+
+SQL["people_table_by_id"] = with_profile(f"""
+, pid AS (
+  SELECT first(director ORDER BY title, imdbid) AS name, directorid AS id,
+    first(dir_gender ORDER BY title, imdbid) AS gender,
+    first(dir_country ORDER BY title, imdbid) AS nationality, first(dir_race ORDER BY title, imdbid) AS race,
+    CAST(first(year - dir_age ORDER BY title, imdbid) FILTER (WHERE dir_age IS NOT NULL AND year IS NOT NULL) AS BIGINT) AS birthYear,
+    count(*) AS count, CAST(sum(votesImdb) AS BIGINT) AS votesImdb, CAST(sum(votesMl) AS BIGINT) AS votesMl,
+    {mean1(f"sum({t10('rating')})", "count(*)")} AS ratingImdb,
+    {mean1(f"sum(COALESCE({t10('ratingMl')}, 0))", "count(*)")} AS ratingMl,
+    CAST(sum(oscars) AS BIGINT) AS oscars, CAST(sum(otherAwards) AS BIGINT) AS otherAwards
+  FROM profile WHERE director IS NOT NULL AND director <> '' GROUP BY directorid)
+SELECT * FROM pid""")
