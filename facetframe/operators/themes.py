@@ -128,15 +128,15 @@ def theme_options(themes: DataFrame, bridge: DataFrame, titles: DataFrame,
 
 
 def theme_option_tree(options: DataFrame) -> DataFrame:
-    """One row per idiom: sorted themes and, per theme, the sorted words.
+    """The nested option shape as rows: one per (idiom, theme) with the idiom's
+    sorted themes and the theme's sorted words.
 
-    Columns: idiom, themes array<string>, words_by_theme map<string, array<string>>.
-    Row size is bounded by the option vocabulary of one idiom, not by data rows.
+    Columns: idiom, themes array<string>, theme, words array<string>. A row
+    holds one theme's vocabulary and one idiom's theme names (both bounded by
+    option vocabulary, not by data rows); no row holds a whole idiom's words.
     """
     per_theme = (options.groupBy("idiom", "theme")
                         .agg(F.array_sort(F.collect_set("word")).alias("words")))
-    return (per_theme.groupBy("idiom")
-                     .agg(F.array_sort(F.collect_list("theme")).alias("themes"),
-                          F.map_from_entries(F.collect_list(F.struct("theme", "words")))
-                           .alias("words_by_theme"))
-                     .orderBy("idiom"))
+    themes = (options.select("idiom", "theme").distinct()
+                     .groupBy("idiom").agg(F.array_sort(F.collect_list("theme")).alias("themes")))
+    return per_theme.join(themes, "idiom").select("idiom", "themes", "theme", "words")

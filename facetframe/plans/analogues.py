@@ -321,10 +321,8 @@ def q_theme_options(spark, base):
 def q_theme_option_tree(spark, base):
     t = text_inputs(spark, base)
     tree = TH.theme_option_tree(TH.theme_options(t["themes"], t["bridge"], t["titles"]))
-    e = tree.select("idiom", F.array_join("themes", " ").alias("themes"),
-                    F.explode(F.map_entries("words_by_theme")).alias("e"))
-    return e.select("idiom", "themes", F.col("e.key").alias("theme"),
-                    F.array_join("e.value", " ").alias("words"))
+    return tree.select("idiom", F.array_join("themes", " ").alias("themes"), "theme",
+                       F.array_join("words", " ").alias("words"))
 
 
 # --- primitives, cleaning rules, rounding, ingest ------------------------------------

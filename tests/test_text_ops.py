@@ -71,8 +71,9 @@ def test_themes(films):
     page = res.page(sort="country").collect()                  # unknown key -> mentions desc
     assert [r.word for r in page] == ["gun", "kiss"]
     res.release()
-    tree = {r.idiom: r for r in TH.theme_option_tree(TH.theme_options(th, bridge, titles)).collect()}
-    assert tree["EN"].themes == ["love", "war"] and tree["EN"].words_by_theme["love"] == ["heart", "kiss"]
+    tree = {(r.idiom, r.theme): r for r in TH.theme_option_tree(TH.theme_options(th, bridge, titles)).collect()}
+    assert tree[("EN", "love")].themes == ["love", "war"] and tree[("EN", "love")].words == ["heart", "kiss"]
+    assert tree[("PT-BR", "love")].words == ["amor"]
 
 
 def test_theme_filter_without_match_yields_no_titles(films, film_profile):
