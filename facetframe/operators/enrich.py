@@ -28,6 +28,11 @@ from facetframe.functions.util import as_col, nulls_last_key
 BROADCAST_MAX_ROWS = 100_000
 
 
+def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+    """True when ``df`` provably has at most ``max_rows`` rows (reads at most max_rows + 1)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Hint a broadcast only for a side whose row count is proven <= ``max_rows``.
 
@@ -35,8 +40,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     the side turns out to be large; in that case no hint is added and the
     planner picks a shuffle join (or AQE converts it at run time).
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def _as_list(x) -> list:

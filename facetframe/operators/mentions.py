@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetframe.functions.util import or_else
-from facetframe.operators.enrich import first_per_key
+from facetframe.operators.enrich import first_per_key, is_small
 from facetframe.operators.places import classify_places
 from facetframe.plans.profile import eligible_titles
 
@@ -45,6 +45,21 @@ def link_titles(rows: DataFrame, bridge: DataFrame, titles: DataFrame,
     return j.drop("_b_sub", "_b_movieid", "_t_movieid")
 
 
+def linked_only(rows: DataFrame, bridge: DataFrame, sub_key: str = "IMDB") -> DataFrame:
+    """Keep only rows whose subtitle id appears in the bridge - when the bridge's id
+    set is proven small enough to broadcast.
+
+    The later inner join drops unlinked rows anyway; filtering first lets the
+    optimizer apply the (broadcast) semi join before tokens are aggregated, or
+    even at the text scan. With a large bridge the filter is skipped, since a
+    shuffled semi join over raw rows would cost more than it saves.
+    """
+    ids = bridge.select(F.col("IMDBID").alias("_lk"))
+    if not is_small(ids):
+        return rows
+    return rows.join(F.broadcast(ids), rows[sub_key] == F.col("_lk"), "left_semi")
+
+
 def location_mentions(geo: DataFrame, bridge: DataFrame, titles: DataFrame, primary: DataFrame,
                       gazetteer: DataFrame, min_mentions: int = 2, limit: int | None = None) -> DataFrame:
     """A4 + F7 (+ S2 when ``limit``): one row per (location, title) with >= ``min_mentions``.
@@ -52,7 +67,7 @@ def location_mentions(geo: DataFrame, bridge: DataFrame, titles: DataFrame, prim
     Columns: location, locType, label, mentions, imdbid, title, country.
     Grouping is case-sensitive ('PARIS' and 'Paris' stay two rows with one label).
     """
-    la = (geo.groupBy("IMDB", "LOCATION").agg(F.sum("COUNT").alias("mentions"))
+    la = (linked_only(geo, bridge).groupBy("IMDB", "LOCATION").agg(F.sum("COUNT").alias("mentions"))
              .where(F.col("mentions") >= min_mentions))
     j = link_titles(la, bridge, titles, primary)
     rows = j.select(F.col("LOCATION").alias("location"), F.col("mentions").cast("bigint").alias("mentions"),

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetframe.operators.mentions import link_titles
+from facetframe.operators.mentions import link_titles, linked_only
 from facetframe.operators.paging import THEME_SORTS, direction, resolve_sort
 
 UNKNOWN = "Unknown"
@@ -40,7 +40,7 @@ def theme_mentions(themes: DataFrame, bridge: DataFrame, titles: DataFrame, prim
     Rows are pre-summed per (subtitle id, idiom, theme, word) before the title
     joins, so the join carries one row per distinct key instead of every raw row.
     """
-    t = _key_filter(themes, idiom, theme, word)
+    t = linked_only(_key_filter(themes, idiom, theme, word), bridge)
     pre = t.groupBy("IMDB", "IDIOM", "THEME", "WORD").agg(F.sum("COUNT").alias("_c"))
     j = link_titles(pre, bridge, titles, primary)
     g = (j.groupBy("IDIOM", "THEME", "WORD", "imdbid", "title", "_pc_country")
@@ -118,7 +118,7 @@ class ThemeResult:
 def theme_options(themes: DataFrame, bridge: DataFrame, titles: DataFrame,
                   min_mentions: int = 3) -> DataFrame:
     """D4 (+F10): distinct (idiom, theme, word) with >= ``min_mentions`` across eligible titles."""
-    t = themes.where(F.col("IDIOM").isNotNull())
+    t = linked_only(themes.where(F.col("IDIOM").isNotNull()), bridge)
     pre = t.groupBy("IMDB", "IDIOM", "THEME", "WORD").agg(F.sum("COUNT").alias("_c"))
     j = link_titles(pre, bridge, titles, None)
     return (j.groupBy(F.col("IDIOM").alias("idiom"), F.col("THEME").alias("theme"), F.col("WORD").alias("word"))
