@@ -88,7 +88,7 @@ def other_awards(aw_w, osc_w, aw_n, osc_n, ba_w, ba_n, em_w, em_n) -> Column:
 
 def year(c) -> Column:
     """Null / 0 / '' -> null, else the truncated integer year."""
-    x = as_col(c).cast("string").try_cast("double")
+    x = as_col(c).try_cast("double")      # text ('' -> null) and numbers alike
     return F.when(truthy_number(x), x.try_cast("int"))
 
 

@@ -29,6 +29,9 @@ def get_spark(master: str | None = None, app: str = "facetframe",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Skip Python call-site capture on every Column function (a stack walk and
+        # extra JVM round trips per call); plans are built much faster without it.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
