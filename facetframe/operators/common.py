@@ -1,5 +1,5 @@
-"""Helpers shared by several operators: totals attached by a one-row broadcast
-join, exact means, and sort-key construction."""
+"""Helpers shared by several operators: global totals as scalar subqueries,
+exact means, and sort-key construction."""
 
 from __future__ import annotations
 
@@ -9,17 +9,13 @@ from pyspark.sql import functions as F
 from facetframe.functions.util import as_col
 
 
-def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Append the columns of a one-row DataFrame (a global aggregate) to every row.
+def scalar_of(one_value: DataFrame) -> Column:
+    """A one-row, one-column aggregate used as a value (a scalar subquery).
 
-    The one-row side has a proven size (a global aggregate without grouping
-    yields exactly one row), so it is broadcast and joined on a constant key:
-    a hash join, no cartesian product and no single-partition window.
+    Spark runs the subquery once and substitutes its result; there is no join,
+    no cartesian product and no single-partition window over the data.
     """
-    k = "_attach_k"
-    return (df.withColumn(k, F.lit(1))
-              .join(F.broadcast(one_row.withColumn(k, F.lit(1))), k, "inner")
-              .drop(k))
+    return one_value.scalar()
 
 
 def tenths(c) -> Column:

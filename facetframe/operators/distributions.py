@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetframe.functions.util import as_col
-from facetframe.operators.common import attach_row, mean_half_up, tenths
+from facetframe.operators.common import mean_half_up, scalar_of, tenths
 
 # Display domains of the breakdowns and the fixed histogram edges.
 RACES = ["WHITE", "ASIAN", "BLACK", "INDIGENOUS", "MIXED-RACE", "UNKNOWN"]
@@ -51,10 +51,9 @@ def kpis(filtered: DataFrame, all_titles: DataFrame) -> DataFrame:
         F.coalesce(F.sum("oscars"), F.lit(0)).cast("bigint").alias("oscars"),
         F.coalesce(F.sum("otherAwards"), F.lit(0)).cast("bigint").alias("other_awards"),
     )
-    a = all_titles.agg(F.count(F.lit(1)).alias("films_all"))
-    j = attach_row(f, a)
-    return j.select(
-        "films", "films_all", "countries", "votes_imdb", "votes_ml",
+    films_all = scalar_of(all_titles.agg(F.count(F.lit(1))))
+    return f.select(
+        "films", films_all.alias("films_all"), "countries", "votes_imdb", "votes_ml",
         F.coalesce(mean_half_up(F.col("_r_imdb"), F.col("films")), F.lit(0.0)).alias("mean_rating_imdb"),
         F.coalesce(mean_half_up(F.col("_r_ml"), F.col("films")), F.lit(0.0)).alias("mean_rating_ml"),
         "oscars", "other_awards")

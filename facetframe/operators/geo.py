@@ -1,30 +1,27 @@
 """Map metrics (J10, M4, M5): country names to map codes, relative intensity,
-share of the maximum. Maxima are one-row global aggregates attached with a
-broadcast constant-key join (see ``attach_row``)."""
+share of the maximum. Maxima are global aggregates used as scalar subqueries."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetframe.operators.common import attach_row
+from facetframe.operators.common import scalar_of
 from facetframe.operators.enrich import broadcast_if_small
 
 
 def intensity(df: DataFrame, value: str, alias: str = "intensity") -> DataFrame:
     """M4: sqrt(value / max) with max over all rows; max defaults to 1 when 0 or empty."""
-    mx = df.agg(F.max(value).alias("_max"))
-    j = attach_row(df, mx)
-    m = F.when(F.col("_max").isNull() | (F.col("_max") == 0), F.lit(1.0)).otherwise(F.col("_max"))
-    return j.withColumn(alias, F.sqrt(F.col(value).cast("double") / m.cast("double"))).drop("_max")
+    mx = scalar_of(df.agg(F.max(value)))
+    m = F.when(mx.isNull() | (mx == 0), F.lit(1.0)).otherwise(mx)
+    return df.withColumn(alias, F.sqrt(F.col(value).cast("double") / m.cast("double")))
 
 
 def share_of_max(df: DataFrame, value: str, alias: str = "share_of_max") -> DataFrame:
     """M5: value / max(1, max value) over all rows."""
-    mx = df.agg(F.max(value).alias("_max"))
-    j = attach_row(df, mx)
-    m = F.greatest(F.lit(1.0), F.coalesce(F.col("_max").cast("double"), F.lit(1.0)))
-    return j.withColumn(alias, F.col(value).cast("double") / m).drop("_max")
+    mx = scalar_of(df.agg(F.max(value)))
+    m = F.greatest(F.lit(1.0), F.coalesce(mx.cast("double"), F.lit(1.0)))
+    return df.withColumn(alias, F.col(value).cast("double") / m)
 
 
 def map_metric(df: DataFrame, codes: DataFrame, country: str = "country",
