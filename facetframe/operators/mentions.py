@@ -61,13 +61,20 @@ def linked_only(rows: DataFrame, bridge: DataFrame, sub_key: str = "IMDB") -> Da
 
 
 def location_mentions(geo: DataFrame, bridge: DataFrame, titles: DataFrame, primary: DataFrame,
-                      gazetteer: DataFrame, min_mentions: int = 2, limit: int | None = None) -> DataFrame:
+                      gazetteer: DataFrame, min_mentions: int = 2, limit: int | None = None,
+                      normalise: bool = False) -> DataFrame:
     """A4 + F7 (+ S2 when ``limit``): one row per (location, title) with >= ``min_mentions``.
 
     Columns: location, locType, label, mentions, imdbid, title, country.
-    Grouping is case-sensitive ('PARIS' and 'Paris' stay two rows with one label).
+    By default grouping is case-sensitive, as in the source ('PARIS' and 'Paris'
+    stay two rows with one label). ``normalise=True`` groups case variants
+    together (the label depends only on the lower-cased name), so the threshold
+    applies to their sum and ``location`` is the lower-cased name.
     """
-    la = (linked_only(geo, bridge).groupBy("IMDB", "LOCATION").agg(F.sum("COUNT").alias("mentions"))
+    g = linked_only(geo, bridge)
+    if normalise:
+        g = g.withColumn("LOCATION", F.lower("LOCATION"))
+    la = (g.groupBy("IMDB", "LOCATION").agg(F.sum("COUNT").alias("mentions"))
              .where(F.col("mentions") >= min_mentions))
     j = link_titles(la, bridge, titles, primary)
     rows = j.select(F.col("LOCATION").alias("location"), F.col("mentions").cast("bigint").alias("mentions"),

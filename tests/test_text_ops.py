@@ -37,6 +37,14 @@ def test_location_mentions(films, gazetteer):
     assert rows[("Holland", "tt02")].locType == "Country"
 
 
+def test_location_mentions_normalised(films, gazetteer):
+    geo, bridge, titles, primary = _inputs(films)
+    rows = {(r.location, r.imdbid): r for r in
+            MN.location_mentions(geo, bridge, titles, primary, gazetteer, normalise=True).collect()}
+    assert rows[("paris", "tt01")].mentions == 4 and rows[("paris", "tt01")].label == "Paris"
+    assert ("PARIS", "tt01") not in rows
+
+
 def test_mention_filters(films, gazetteer, film_profile):
     geo, bridge, titles, primary = _inputs(films)
     m = MN.location_mentions(geo, bridge, titles, primary, gazetteer)
