@@ -109,3 +109,22 @@ def test_plan_shape(spark, films):
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
     for bad in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert bad not in plan
+
+
+def test_streaming_mention_totals(spark, films):
+    from facetframe.streaming.incremental import mention_totals, read_table_stream, start
+    src = tempfile.mkdtemp(prefix="facetframe-stream-geo-")
+    films["subtitle_geo"].write.mode("append").parquet(src)
+    name = "mentions_" + os.path.basename(src).replace("-", "_")
+    q = start(mention_totals(read_table_stream(spark, src, "IMDB string, LOCATION string, COUNT long")),
+              name, spark, checkpoint=tempfile.mkdtemp(prefix="facetframe-stream-ckpt-"))
+    try:
+        q.processAllAvailable()
+        first = {(r.IMDB, r.LOCATION): r.mentions for r in spark.table(name).collect()}
+        assert first[("tt01", "Madrid")] == 1                      # below the threshold so far
+        films["subtitle_geo"].write.mode("append").parquet(src)
+        q.processAllAvailable()
+        second = {(r.IMDB, r.LOCATION): r.mentions for r in spark.table(name).collect()}
+        assert second[("tt01", "Madrid")] == 2 and second[("tt01", "Paris")] == 4
+    finally:
+        q.stop()
