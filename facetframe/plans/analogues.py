@@ -10,10 +10,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
+
+from facetframe.functions import clean as C
+from facetframe.functions.rounding import round_exact, round_half_up, to_fixed
+from facetframe.operators import distributions as D
+from facetframe.operators import facets as FA
+from facetframe.operators import geo as G
+from facetframe.operators import mentions as MN
+from facetframe.operators import paging as PG
+from facetframe.operators import people as PE
+from facetframe.operators import themes as TH
+from facetframe.operators.enrich import first_per_key, list_per_key, lookup_with_fallback
+from facetframe.operators.filters import FilterSpec, filter_mentions, filter_titles
+from facetframe.operators.places import classify_names
+from facetframe.plans import orders as O
 from facetframe.plans.orders import order_profile
-from facetframe.session import session_key
 from facetframe.plans.profile import flatten_profile
+from facetframe.session import session_key
+from facetframe.sources.catalog import read_table
+from facetframe.sources.ingest import normalise_types
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -49,15 +65,7 @@ def q_order_profile(spark, base):
 
 
 # --- filters and headline figures -------------------------------------------------
-from pyspark.sql import functions as F  # noqa: E402
 
-from facetframe.operators import distributions as D  # noqa: E402
-from facetframe.operators import facets as FA  # noqa: E402
-from facetframe.operators import geo as G  # noqa: E402
-from facetframe.operators import paging as PG  # noqa: E402
-from facetframe.operators import people as PE  # noqa: E402
-from facetframe.operators.filters import FilterSpec, filter_titles  # noqa: E402
-from facetframe.sources.catalog import read_table  # noqa: E402
 
 FACET_SPEC = FilterSpec(title=" High ", director="cust 1",
                         facets={"continents": ["ASIA", "EUROPE", "AMERICA"],
@@ -201,11 +209,6 @@ def q_page_info(spark, base):
 
 
 # --- text: mentions, places, themes -------------------------------------------------
-from facetframe.operators import mentions as MN  # noqa: E402
-from facetframe.operators import themes as TH  # noqa: E402
-from facetframe.operators.filters import filter_mentions  # noqa: E402
-from facetframe.operators.places import classify_names  # noqa: E402
-from facetframe.plans import orders as O  # noqa: E402
 
 THEME_IDIOM = "EN"
 LOC_SEARCH_TABLE = {"Country": "the", "City": "o"}
@@ -326,10 +329,6 @@ def q_theme_option_tree(spark, base):
 
 
 # --- primitives, cleaning rules, rounding, ingest ------------------------------------
-from facetframe.functions import clean as C  # noqa: E402
-from facetframe.functions.rounding import round_exact, round_half_up, to_fixed  # noqa: E402
-from facetframe.operators.enrich import first_per_key, list_per_key, lookup_with_fallback  # noqa: E402
-from facetframe.sources.ingest import normalise_types  # noqa: E402
 
 LINE_COLS = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
              "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
