@@ -28,9 +28,20 @@ from facetframe.functions.util import as_col, nulls_last_key
 BROADCAST_MAX_ROWS = 100_000
 
 
+_SMALL: dict[tuple, bool] = {}
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` provably has at most ``max_rows`` rows (reads at most max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` provably has at most ``max_rows`` rows (reads at most max_rows + 1).
+
+    The answer is remembered per session and plan (``semanticHash``), so a side
+    checked once is not counted again by later queries of the same session.
+    """
+    from facetframe.session import session_key
+    key = (session_key(df.sparkSession), df.semanticHash(), max_rows)
+    if key not in _SMALL:
+        _SMALL[key] = df.limit(max_rows + 1).count() <= max_rows
+    return _SMALL[key]
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
