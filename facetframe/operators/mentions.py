@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from facetframe.functions.util import or_else
 from facetframe.operators.enrich import first_per_key, is_small
 from facetframe.operators.places import classify_places
-from facetframe.plans.profile import eligible_titles
+from facetframe.operators.eligibility import eligible_titles
 
 UNKNOWN = "Unknown"
 

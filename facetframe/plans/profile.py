@@ -23,13 +23,11 @@ from pyspark.sql import functions as F
 from facetframe.functions import clean as C
 from facetframe.functions.rounding import round_exact
 from facetframe.functions.util import blank_to_null, or_else
+from facetframe.operators.eligibility import eligible_titles  # noqa: F401 (re-export)
 from facetframe.operators.enrich import (bridge_rollup, broadcast_if_small, count_rows,
                                          first_per_key, lookup_with_fallback)
 
-# Eligibility of a title and the fallbacks of the cleaned profile.
-TYPE_MOVIE = "movie"
-RESPONSE_TRUE = "true"
-NOT_AVAILABLE = "N/A"
+# The fallbacks of the cleaned profile.
 UNKNOWN_COUNTRY = "Unknown"
 OTHER_CONTINENT = "Other"
 OTHER_GENRE = "Other"
@@ -61,23 +59,6 @@ class ProfileTables:
     ratings: DataFrame          # MOVIEID, RATING, COUNT_RATING
 
 
-def eligible_titles(titles: DataFrame, require_rating: bool = True,
-                    require_parsed_rating: bool = False) -> DataFrame:
-    """titles of type movie with a positive response (and a rating text).
-
-    ``require_parsed_rating`` adds F3 (rating text parses as a number); it is
-    applied before any join, which is equivalent because every later join is
-    a left join from the titles or a per-key aggregate restricted to them.
-    """
-    cond = (F.col("TYPE") == TYPE_MOVIE) & (F.col("RESPONSE") == RESPONSE_TRUE)
-    if require_rating:
-        cond = cond & F.col("IMDBRATING").isNotNull() & (F.col("IMDBRATING") != NOT_AVAILABLE)
-    out = titles.where(cond)
-    if require_parsed_rating:
-        out = out.withColumn("RATING_NUM", C.rating("IMDBRATING")).where(F.col("RATING_NUM").isNotNull())
-    return out
-
-
 def nationality_map(country: DataFrame) -> DataFrame:
     """ISO code -> (country, continent, region); one row per code (first by value)."""
     c = country.where(F.col("ISO").isNotNull())
