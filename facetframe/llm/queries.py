@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from facetframe.llm import minhash
+import public_tokenizers
+
+from facetframe.llm import language, minhash, mixing, packing, quality, substring_dedup, token_count
 from facetframe.llm.common import ship_package
 from facetframe.sources.catalog import table_path
 
@@ -16,12 +19,47 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, "documents"))
 
 
+def op1_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op2_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_risk_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(table_path(sf_dir, "labels"))
+    return quality.judge(_documents(spark, sf_dir), labels)
+
+
+def op6_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_documents(spark, sf_dir), window=20)
+
+
+def op7_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = language.in_fold(F.col("doc_id"), 4, 2)
+    model = language.learn(docs.where(~held_out))
+    return (language.predict(docs.select("doc_id", "text"), model)
+            .select("doc_id", held_out.alias("held_out"), "lang_pred", "score"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), shingle=4)
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit": op1_best_fit,
+    "op2_transducer": op2_transducer,
+    "op4_risk_control": op4_risk_control,
+    "op6_difference_cover": op6_difference_cover,
+    "op7_word_backoff": op7_word_backoff,
     "op9_minhash": op9_minhash,
+    "op10_mixing": op10_mixing,
 }
 
 SQL: dict[str, str] = {}
