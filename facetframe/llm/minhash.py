@@ -120,8 +120,10 @@ def _set_batches(shingle: int):
     return run
 
 
-def _star_edges(members: DataFrame, labels: DataFrame | None, seed: int, percent: int) -> DataFrame:
-    """Edges from each bucket's hubs to its members of other components (size-bounded)."""
+def _star_edges(members: DataFrame, labels: DataFrame | None, seed: int, percent: int,
+                tested: DataFrame | None) -> DataFrame:
+    """Edges from each bucket's hubs to its members of other components: size-bounded, each
+    once, and none that was tested before."""
     m = members
     if labels is not None:
         m = (m.join(labels, m.id == labels.node, "left")
@@ -136,8 +138,12 @@ def _star_edges(members: DataFrame, labels: DataFrame | None, seed: int, percent
             .where("lo <> hi").select("bucket", "hubs"))
     e = (m.join(hubs, "bucket").select("id", "n", "c", F.explode("hubs").alias("h"))
          .where("c <> h.c")
-         .where(f"100 * least(n, h.n) >= {percent} * greatest(n, h.n)"))
-    return e.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
+         .where(f"100 * least(n, h.n) >= {percent} * greatest(n, h.n)")
+         .select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")))
+    if tested is None:
+        return e.distinct()
+    return (e.withColumn("old", F.lit(0)).unionAll(tested.withColumn("old", F.lit(1)))
+            .groupBy("a", "b").agg(F.max("old").alias("old")).where("old = 0").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -150,22 +156,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sk = shared_table(src.mapInArrow(_sketch_batches(shingle, bins, rows), _SKETCH), "sketch")
     some = sk.where("id is not null and n_shingles > 0")
     reps = some.groupBy("sig").agg(F.min("id").alias("rep"))
-    copies = (some.select("id", "sig").join(reps, "sig").where("id <> rep")
-              .select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    lead = some.join(reps.select(F.col("rep").alias("id"), "sig"), ["id", "sig"], "left_semi")
-    band = lead.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    tagged = some.join(reps, "sig")
+    copies = tagged.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    band = tagged.where("id = rep").select("id", F.col("n_shingles").alias("n"),
+                                           F.explode("bands").alias("bucket"))
     shared = band.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")) \
         .where("lo <> hi").select("bucket")
-    members = shared_table(band.join(shared, "bucket", "left_semi").select("bucket", "id", "n").distinct(),
-                           "buckets")
+    members = shared_table(band.join(shared, "bucket", "left_semi").select("bucket", "id", "n"), "buckets")
     wanted = members.select("id").distinct()
     sets = shared_table(src.join(wanted, "id", "left_semi").mapInArrow(_set_batches(shingle), _SETS), "sets")
 
     links, labels, tested, seed = None, None, None, 0
     while True:
-        cand = _star_edges(members, labels, seed, percent)
-        if tested is not None:
-            cand = cand.join(tested, ["a", "b"], "left_anti")
+        cand = _star_edges(members, labels, seed, percent, tested)
         both = (cand.join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
                 .join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
                 .withColumn("x", F.size(F.array_intersect("ma", "mb")))
