@@ -150,22 +150,24 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return LanguageModel(langs, words, grams, orders)
 
 
-def _predict(model: LanguageModel, names: list[str]):
+def _predict(model: LanguageModel, names: list[str], prefix: str, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
         for b in batches:
-            got = [scorer.text((t.as_py() or "").encode()) for t in b.column(0)]
-            cols = [b.column(i + 1) for i in range(len(names))]
-            yield pa.record_batch(cols + [pa.array([g[0] for g in got], pa.string()),
+            got = [scorer.text((t.as_py() or "").encode()) for t in b.column(text_at)]
+            yield pa.record_batch(b.columns[:len(names)] + [pa.array([g[0] for g in got], pa.string()),
                                           pa.array([g[1] for g in got], pa.float64())],
-                                  names=names + ["lang_pred", "score"])
+                                  names=names + [f"{prefix}lang_pred", f"{prefix}score"])
     return run
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text",
-            carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``carry`` columns of every row with lang_pred and score; only the text is read."""
+            carry: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """The ``carry`` columns of every row with lang_pred and score (names after ``prefix``, for
+    tables that have such columns); a prediction reads the text alone."""
     names = list(carry)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return (docs.select(F.col(text_col).alias("__text"), *names)
-            .mapInArrow(_predict(model, names), f"{schema}, lang_pred string, score double"))
+    read = names if text_col in names else [*names, text_col]
+    return (docs.select(*read)
+            .mapInArrow(_predict(model, names, prefix, read.index(text_col)),
+                        f"{schema}, `{prefix}lang_pred` string, `{prefix}score` double"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from facetframe.llm import language, minhash, mixing, packing, quality, substring_dedup, token_count
+from facetframe.llm import katz, language, licenses, minhash, mixing, packing, quality, substring_dedup, token_count
 from facetframe.llm.common import ship_package
 from facetframe.sources.catalog import table_path
 
@@ -32,6 +32,11 @@ def op4_risk_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_documents(spark, sf_dir), labels)
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return katz.score_documents(docs, language.in_fold(F.col("doc_id"), 7, 2))
+
+
 def op6_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_documents(spark, sf_dir), window=20)
 
@@ -44,6 +49,10 @@ def op7_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held_out.alias("held_out"), "lang_pred", "score"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), shingle=4)
 
@@ -56,10 +65,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit": op1_best_fit,
     "op2_transducer": op2_transducer,
     "op4_risk_control": op4_risk_control,
+    "op5_katz": op5_katz,
     "op6_difference_cover": op6_difference_cover,
     "op7_word_backoff": op7_word_backoff,
+    "op8_licenses": op8_licenses,
     "op9_minhash": op9_minhash,
     "op10_mixing": op10_mixing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_licenses": licenses.oracle_sql(),
+}

@@ -231,7 +231,7 @@ def _cut(window: int, names: list[str]):
             n_words.append(len(words))
             n_gone.append(len(words) - len(kept))
             sha.append(hashlib.sha256(text).hexdigest())
-            kept_text.append(text)
+            kept_text.append(text if len(kept) < len(words) else d)
         out = left.take(pa.array(texts.order, pa.int64())).select(names)
         for name, col in (("n_words", pa.array(n_words, pa.int64())),
                           ("n_removed", pa.array(n_gone, pa.int64())),
@@ -249,7 +249,8 @@ def _without_text(step):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20,
                    carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """One row per input row: id_col, the ``carry`` columns, n_words, n_removed, kept_sha256,
-    and kept_text (the words left, joined by one space) if ``with_text``."""
+    and, if ``with_text``, kept_text: the words left, joined by one space, or the whole text if
+    all are."""
     spark = docs.sparkSession
     parts = n_parts(spark)
     period, members = cover_for(window)
