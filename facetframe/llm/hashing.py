@@ -78,6 +78,10 @@ def _block_hashes(data: bytes) -> np.ndarray:
     if not len(a):
         return np.zeros(0, np.uint64)
     start, end = _spans(a)
+    return _hash_spans(a, start, end)
+
+
+def _hash_spans(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     if not len(start):
         return np.zeros(0, np.uint64)
     n = len(a)
@@ -89,6 +93,19 @@ def _block_hashes(data: bytes) -> np.ndarray:
     return mix(h + (end - start).astype(np.uint64) * _U(0xA24BAED4963EE407))
 
 
+def span_hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One hash per span of ``data`` (ascending, not overlapping), in blocks like word_hashes;
+    a word's span gets the word's hash."""
+    a = np.frombuffer(data, dtype=np.uint8)
+    out, i = [], 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + _BLOCK, side="right")))
+        lo, hi = int(start[i]), int(end[j - 1])
+        out.append(_hash_spans(a[lo:hi], start[i:j] - lo, end[i:j] - lo))
+        i = j
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def window_hashes(h: np.ndarray, n: int, base: int = 0x8B72E0355D9F4A2B) -> np.ndarray:
     """One hash per run of ``n`` consecutive entries of ``h`` (empty if fewer)."""
     m = len(h) - n + 1

@@ -24,48 +24,21 @@ empty result.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetframe.llm.common import n_parts
+from facetframe.llm.exchange import (SENT, TOLD, Answers, Bucket, numbers, pack_keys, planes, sent, slices,
+                                     told, total)
 from facetframe.llm.hashing import mix, word_hashes
 
 _END, _START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 _TOP = 5  # counts above are not discounted
-_SENT = "bucket int, part int, kind int, keys binary, counts binary"
-_TOLD = "part int, bucket int, kind int, totals binary, owned binary"
-_TYPES, _PAIRS, _CONTEXTS = 0, 1, 2
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """Fixed-width numbers byte plane by byte plane: small values leave runs of zeros."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), 8).T).tobytes()
-
-
-def _numbers(data: bytes, kind=np.int64) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).reshape(-1)
-
-
-def _pack_keys(keys: np.ndarray) -> bytes:
-    return _planes(np.diff(keys, prepend=np.uint64(0)))
-
-
-def _unpack_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(_numbers(data, np.uint64), dtype=np.uint64)
-
-
-def _slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    """Buckets are ranges of the ascending keys."""
-    b = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    lo = np.flatnonzero(np.diff(b, prepend=-1))
-    for a, z in zip(lo, np.append(lo[1:], len(b))):
-        yield int(b[a]), slice(a, z)
+_CORPUS, _TYPES, _PAIRS, _CONTEXTS = -1, 0, 1, 2
 
 
 class _Part:
@@ -93,83 +66,23 @@ class _Part:
         return out
 
 
-def _rows(rows: list[tuple], names: tuple[str, ...], kinds: tuple) -> pa.Table:
-    cols = list(zip(*rows)) if rows else [[]] * len(names)
-    return pa.table({n: pa.array(c, k) for n, c, k in zip(names, cols, kinds)})
-
-
-def _sent(rows: list[tuple]) -> pa.Table:
-    return _rows(rows, ("bucket", "part", "kind", "keys", "counts"),
-                 (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))
-
-
-def _told(rows: list[tuple]) -> pa.Table:
-    return _rows(rows, ("part", "bucket", "kind", "totals", "owned"),
-                 (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))
-
-
 def _send_counts(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         p = _Part(table)
         rows = []
         for kind, keys, x in ((_TYPES, p.types, p.token), (_PAIRS, p.pairs, p.pair)):
             n = p.counts(keys, x)
-            rows += [(b, p.number, kind, _pack_keys(keys[s]), _planes(n[s])) for b, s in _slices(keys, buckets)]
-        return _sent(rows)
+            rows += [(b, p.number, kind, pack_keys(keys[s]), planes(n[s])) for b, s in slices(keys, buckets)]
+        return sent(rows)
     return run
 
 
-class _Bucket:
-    """The entries all parts sent to one bucket, of one kind, summed by key."""
-
-    def __init__(self, table: pa.Table, kind: int, values=np.int64):
-        t = table.filter(pc.equal(table.column("kind"), kind)).sort_by("part")
-        self.parts = t.column("part").to_pylist()
-        keys = [_unpack_keys(k) for k in t.column("keys").to_pylist()]
-        self.sizes = [len(k) for k in keys]
-        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        self.each = np.concatenate([_numbers(c, values) for c in t.column("counts").to_pylist()]
-                                   or [np.zeros(0, values)])
-        self.order = np.argsort(key, kind="stable")  # equal keys in part order
-        key = key[self.order]
-        self.new = np.ones(len(key), dtype=bool)
-        self.new[1:] = key[1:] != key[:-1]
-        self.group = np.cumsum(self.new) - 1
-
-    def totals(self) -> np.ndarray:
-        at = np.flatnonzero(self.new)
-        return np.add.reduceat(self.each[self.order], at) if len(at) else self.each
-
-    def back(self, per_key: np.ndarray) -> np.ndarray:
-        """A value per key, in the order the entries were sent."""
-        out = np.empty(len(self.order), dtype=per_key.dtype)
-        out[self.order] = per_key[self.group]
-        return out
-
-    def split(self, x: np.ndarray) -> list[np.ndarray]:
-        return np.split(x, np.cumsum(self.sizes)[:-1])
-
-
-def _total(table: pa.Table) -> pa.Table:
-    rows, bucket = [], table.column("bucket")[0].as_py()
-    for kind in (_TYPES, _PAIRS):
-        b = _Bucket(table, kind)
-        if not b.parts:
-            continue
-        total = b.back(b.totals())
-        own = np.zeros(len(total), dtype=bool)
-        own[b.order] = b.new
-        rows += [(p, bucket, kind, _planes(t), np.packbits(o).tobytes())
-                 for p, t, o in zip(b.parts, b.split(total), b.split(own))]
-    return _told(rows)
-
-
 _STATS = ("n_types long, n_tokens long, " + ", ".join(f"t{r} long" for r in range(1, _TOP + 2))
           + ", " + ", ".join(f"p{r} long" for r in range(1, _TOP + 2)))
 
 
 def _statistics(table: pa.Table) -> pa.Table:
-    t, p = _Bucket(table, _TYPES).totals(), _Bucket(table, _PAIRS).totals()
+    t, p = Bucket(table, _TYPES).totals(), Bucket(table, _PAIRS).totals()
     out = {"n_types": int((t > 0).sum()), "n_tokens": int(t.sum())}
     for name, x in (("t", t), ("p", p)):
         out |= {f"{name}{r}": int((x == r).sum()) for r in range(1, _TOP + 2)}
@@ -212,25 +125,9 @@ class _Model:
         return self.dp[np.minimum(c, _TOP + 1)] * c
 
 
-class _Answers:
-    """What the buckets sent back to a part, in the order of its sorted keys."""
-
-    def __init__(self, table: pa.Table):
-        self.rows: dict[int, list] = {}
-        self.model = None
-        for b, kind, total, own in sorted(zip(*(table.column(c).to_pylist() for c in (
-                "bucket", "kind", "totals", "owned"))), key=lambda r: (r[1], r[0])):
-            if kind < 0:
-                self.model = _Model(json.loads(total))
-            else:
-                self.rows.setdefault(kind, []).append((total, own))
-
-    def numbers(self, kind: int, values=np.int64) -> np.ndarray:
-        return np.concatenate([_numbers(t, values) for t, _ in self.rows.get(kind, ())] or [np.zeros(0, values)])
-
-    def owned(self, kind: int) -> np.ndarray:
-        return np.concatenate([np.unpackbits(np.frombuffer(o, np.uint8), count=len(t) // 8).astype(bool)
-                               for t, o in self.rows.get(kind, ())] or [np.zeros(0, bool)])
+def _model(answers: Answers) -> _Model:
+    (row, _), = answers.rows[_CORPUS]
+    return _Model(json.loads(row))
 
 
 def _contexts(p: _Part) -> np.ndarray:
@@ -240,20 +137,21 @@ def _contexts(p: _Part) -> np.ndarray:
 def _send_masses(buckets: int):
     """Each context's seen mass: discounted counts, and unigram probability, of owned pairs."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        p, a = _Part(left), _Answers(right)
+        p, a = _Part(left), Answers(right)
+        m = _model(a)
         c_type, c_pair = a.numbers(_TYPES), a.numbers(_PAIRS)
         _, at = np.unique(p.pair, return_index=True)
         mine = a.owned(_PAIRS) & (c_pair > 0)
         at, c = at[mine], c_pair[mine]
         keys = _contexts(p)
         where = np.searchsorted(keys, p.context[at])
-        prob = a.model.unigram(c_type[np.searchsorted(p.types, p.token[at])])
-        sums = [np.bincount(where, weights=w, minlength=len(keys)) for w in (a.model.discounted(c), prob)]
+        prob = m.unigram(c_type[np.searchsorted(p.types, p.token[at])])
+        sums = [np.bincount(where, weights=w, minlength=len(keys)) for w in (m.discounted(c), prob)]
         rows = []
-        for b, s in _slices(keys, buckets):
+        for b, s in slices(keys, buckets):
             both = np.concatenate([x[s] for x in sums])
-            rows.append((b, p.number, _CONTEXTS, _pack_keys(keys[s]), _planes(both)))
-        return _sent(rows)
+            rows.append((b, p.number, _CONTEXTS, pack_keys(keys[s]), planes(both)))
+        return sent(rows)
     return run
 
 
@@ -263,18 +161,18 @@ def _sum_masses(table: pa.Table) -> pa.Table:
     for h in (0, 1):
         cut = []
         for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist()):
-            x = _numbers(c, np.float64)
-            cut.append(_planes(x[:len(x) // 2] if h == 0 else x[len(x) // 2:]))
+            x = numbers(c, np.float64)
+            cut.append(planes(x[:len(x) // 2] if h == 0 else x[len(x) // 2:]))
         half = table.set_column(table.column_names.index("counts"), "counts", pa.array(cut, pa.binary()))
-        b = _Bucket(half, _CONTEXTS, np.float64)
+        b = Bucket(half, _CONTEXTS, np.float64)
         halves.append(b.split(b.back(b.totals())))
-    return _told([(p, bucket, _CONTEXTS, _planes(np.column_stack((x, y)).reshape(-1)), None)
+    return told([(p, bucket, _CONTEXTS, planes(np.column_stack((x, y)).reshape(-1)), None)
                   for p, x, y in zip(b.parts, *halves)])
 
 
 def _score(left: pa.Table, right: pa.Table) -> pa.Table:
-    p, a = _Part(left), _Answers(right)
-    m = a.model
+    p, a = _Part(left), Answers(right)
+    m = _model(a)
     c_type, c_pair = a.numbers(_TYPES), a.numbers(_PAIRS)
     mass = a.numbers(_CONTEXTS, np.float64).reshape(-1, 2)
     keys = _contexts(p)
@@ -308,17 +206,17 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id",
     texts = docs.select(
         F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"),
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(parts)).cast("int").alias("part")).groupBy("part")
-    sent = texts.applyInArrow(_send_counts(parts), _SENT)
-    totals = sent.groupBy("bucket").applyInArrow(_total, _TOLD)
+    counts = texts.applyInArrow(_send_counts(parts), SENT)
+    totals = counts.groupBy("bucket").applyInArrow(total, TOLD)
     names = [x.split()[0] for x in _STATS.split(", ")]
-    stats = sent.groupBy("bucket").applyInArrow(_statistics, _STATS).agg(
+    stats = counts.groupBy("bucket").applyInArrow(_statistics, _STATS).agg(
         *[F.sum(x).alias(x) for x in names])
     # the one row of corpus numbers goes to every part
     corpus = stats.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("bucket"),
-                          F.lit(-1).alias("kind"), F.to_json(F.struct(*names)).cast("binary").alias("totals"), F.lit(None).cast("binary").alias("owned"))
-    told = totals.unionAll(corpus)
-    masses = (texts.cogroup(told.groupBy("part")).applyInArrow(_send_masses(parts), _SENT)
-              .groupBy("bucket").applyInArrow(_sum_masses, _TOLD))
-    return (texts.cogroup(told.unionAll(masses).groupBy("part"))
+                          F.lit(_CORPUS).alias("kind"), F.to_json(F.struct(*names)).cast("binary").alias("totals"), F.lit(None).cast("binary").alias("owned"))
+    answers = totals.unionAll(corpus)
+    masses = (texts.cogroup(answers.groupBy("part")).applyInArrow(_send_masses(parts), SENT)
+              .groupBy("bucket").applyInArrow(_sum_masses, TOLD))
+    return (texts.cogroup(answers.unionAll(masses).groupBy("part"))
             .applyInArrow(_score, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                           "base_score double, score double").withColumnRenamed("id", id_col))

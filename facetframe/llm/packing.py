@@ -19,8 +19,8 @@ the last token they hold.
 
 Edge cases: null or empty text is one piece that holds the end id alone; rows equal in id and
 text are packed each; a null id is kept; extra columns are ignored; an empty table gives an
-empty result. A word is tokenised on its own, which equals tokenising the whole text for
-tokenizers whose pre-tokenizer cuts at ASCII white space and drops it.
+empty result. Units are tokenised on their own, which equals tokenising the whole text for
+tokenizers whose pre-tokenizer drops ASCII white space and cuts between letters and punctuation.
 """
 
 from __future__ import annotations
@@ -36,40 +36,126 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetframe.llm.common import shared_table
+from facetframe.llm.hashing import span_hashes
 
-_CACHE_WORDS = 400_000
-_CACHED_LENGTH = 64
-_CHUNK_BYTES = 1 << 20
+_KNOWN_UNITS = 1_500_000
+_CHUNK_BYTES = 1 << 22
+_SCRATCH = 1 << 18
+_GLUE = "\x01"  # joins units for one library call; its token marks where a unit ends
 
+# Byte classes: white space, ASCII letters, plain punctuation, all others.
+_SPACE, _LETTER, _POINT, _OTHER = range(4)
+_CLASS = np.full(256, _OTHER, dtype=np.uint8)
+_CLASS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = _SPACE
+_CLASS[[c for c in range(128) if chr(c).isalpha()]] = _LETTER
+_CLASS[list(b".,;:!?")] = _POINT
 
-class WordIds:
-    """Token ids of whole texts, word by word, as little-endian unsigned 32-bit bytes."""
+
+def unit_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the units tokenised on their own: runs without ASCII white space, cut
+    again between an ASCII letter and plain punctuation."""
+    starts, ends = [], []
+    for at in range(0, len(data), _SCRATCH):
+        c = _CLASS[np.frombuffer(data, np.uint8, min(_SCRATCH, len(data) - at), at)]
+        prev = np.empty_like(c)
+        prev[1:] = c[:-1]
+        prev[0] = _CLASS[data[at - 1]] if at else _SPACE
+        turn = (c ^ prev) == (_LETTER ^ _POINT)
+        turn &= (c == _LETTER) | (c == _POINT)
+        starts.append(np.flatnonzero((c != _SPACE) & ((prev == _SPACE) | turn)) + at)
+        ends.append(np.flatnonzero((prev != _SPACE) & ((c == _SPACE) | turn)) + at)
+    if len(data) and _CLASS[data[-1]] != _SPACE:
+        ends.append(np.array([len(data)]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate(starts or [none]), np.concatenate(ends or [none])
+
+
+class UnitIds:
+    """Token ids of whole texts from those of their units, which are looked up by 64-bit hash
+    in sorted arrays; the library tokenises every unit when it is first met."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        normal = self.tokenizer.normalizer
+        self.lower = normal is not None and normal.normalize_str("AZ") == "az"
+        self.glue = self._ids(_GLUE)
+        if len(self.glue) != 1:
+            raise ValueError("the glue character must be one token")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
+    def _encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in a row, and how many each has."""
+        ids, sizes = [], []
+        for i in range(0, len(units), 2000):
+            group = [u.decode() for u in units[i:i + 2000]]
+            if any(_GLUE in u for u in group):
+                each = [self._ids(u) for u in group]
+                ids.append(np.array([x for e in each for x in e], dtype="<u4"))
+                sizes.append(np.array([len(e) for e in each], dtype=np.int64))
+                continue
+            got = np.array(self._ids(f" {_GLUE} ".join(group)), dtype="<u4")
+            mark = got == self.glue[0]
+            ids.append(got[~mark])
+            cut = np.concatenate(([-1], np.flatnonzero(mark), [len(got)]))
+            sizes.append(np.diff(cut) - 1)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, keys: np.ndarray, units: list[bytes]) -> None:
+        ids, size = self._encode(units)
+        at = np.cumsum(size) - size + len(self.ids)
+        all_keys = np.concatenate((self.keys, keys))
+        order = np.argsort(all_keys, kind="stable")
+        self.keys = all_keys[order]
+        self.at = np.concatenate((self.at, at))[order]
+        self.size = np.concatenate((self.size, size))[order]
+        self.ids = np.concatenate((self.ids, ids))
 
     def texts(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [t.split() for t in texts]
-        new = set().union(*split) - self.known.keys()
-        if len(self.known) + len(new) > _CACHE_WORDS:
-            self.known = {}
-            new = set().union(*split)
-        new = list(new)
-        known = self.known
-        at = dict(zip(new, self._encode(new))) if new else {}
-        known.update(at)
-        for words in split:
-            yield b"".join(map(known.__getitem__, words))
-        for w in new:  # words too long to meet again are not kept
-            if len(w) > _CACHED_LENGTH:
-                del known[w]
+        """Little-endian unsigned 32-bit ids of each text."""
+        data = b"\n".join(texts)
+        if self.lower:
+            data = data.lower()
+        start, end = unit_spans(data)
+        key = span_hashes(data, start, end)
+        distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
+        if len(self.keys) + len(distinct) > _KNOWN_UNITS:
+            self._forget()
+        where = np.searchsorted(self.keys, distinct)
+        new = np.ones(len(distinct), dtype=bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(where, len(self.keys) - 1)] != distinct
+        if new.any():
+            f = first[new]
+            self._learn(distinct[new], [data[a:z] for a, z in zip(start[f].tolist(), end[f].tolist())])
+            where = np.searchsorted(self.keys, distinct)
+        size, at = self.size[where][back], self.at[where][back]
+        stop = np.cumsum(size)
+        ids = self.ids[np.repeat(at - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
+        edge = np.cumsum([len(t) + 1 for t in texts])  # where each text's separator ends
+        units = np.searchsorted(start, edge)
+        upto = np.concatenate(([0], stop))[units].tolist()
+        for a, z in zip([0, *upto], upto):
+            yield ids[a:z].tobytes()
+
+
+_LOADED: dict[str, UnitIds] = {}
+
+
+def unit_ids(path: str) -> UnitIds:
+    """The tokenizer of this worker process, with what it has learned in earlier tasks."""
+    if path not in _LOADED:
+        _LOADED[path] = UnitIds(path)
+    return _LOADED[path]
 
 
 def _by_bytes(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -88,7 +174,7 @@ def _piece_batches(path: str, end_id: int, capacity: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = unit_ids(path)
         for b in batches:
             ids = b.column(0).cast(pa.int64()).to_pylist()
             texts = [(t.as_py() or "").encode() for t in b.column(1)]
