@@ -31,6 +31,12 @@ def n_parts(spark: SparkSession) -> int:
     return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def n_buckets(parts: int) -> int:
+    """Number of hash buckets the parts' keys meet in: fewer than parts, as keys are smaller
+    than texts and every part sends every bucket a row."""
+    return max(1, parts // 4)
+
+
 def part_of(key: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetframe.llm.common import n_parts
+from facetframe.llm.common import n_buckets, n_parts
 from facetframe.llm.exchange import (SENT, TOLD, Answers, Bucket, numbers, pack_keys, planes, sent, slices,
                                      told, total)
 from facetframe.llm.hashing import mix, word_hashes
@@ -206,7 +206,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id",
     texts = docs.select(
         F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"),
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(parts)).cast("int").alias("part")).groupBy("part")
-    counts = texts.applyInArrow(_send_counts(parts), SENT)
+    counts = texts.applyInArrow(_send_counts(n_buckets(parts)), SENT)
     totals = counts.groupBy("bucket").applyInArrow(total, TOLD)
     names = [x.split()[0] for x in _STATS.split(", ")]
     stats = counts.groupBy("bucket").applyInArrow(_statistics, _STATS).agg(
@@ -215,7 +215,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id",
     corpus = stats.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("bucket"),
                           F.lit(_CORPUS).alias("kind"), F.to_json(F.struct(*names)).cast("binary").alias("totals"), F.lit(None).cast("binary").alias("owned"))
     answers = totals.unionAll(corpus)
-    masses = (texts.cogroup(answers.groupBy("part")).applyInArrow(_send_masses(parts), SENT)
+    masses = (texts.cogroup(answers.groupBy("part")).applyInArrow(_send_masses(n_buckets(parts)), SENT)
               .groupBy("bucket").applyInArrow(_sum_masses, TOLD))
     return (texts.cogroup(answers.unionAll(masses).groupBy("part"))
             .applyInArrow(_score, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "

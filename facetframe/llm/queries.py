@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from facetframe.llm import katz, language, licenses, minhash, mixing, packing, quality, substring_dedup, token_count
+from facetframe.llm import katz, language, licenses, minhash, mixing, packing, quality, search, substring_dedup, token_count
 from facetframe.llm.common import ship_package
 from facetframe.sources.catalog import table_path
 
@@ -27,6 +27,10 @@ def op2_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_documents(spark, sf_dir), F.col("doc_id") % 20 == 0, k=10)
+
+
 def op4_risk_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(table_path(sf_dir, "labels"))
     return quality.judge(_documents(spark, sf_dir), labels)
@@ -64,6 +68,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit": op1_best_fit,
     "op2_transducer": op2_transducer,
+    "op3_block_max": op3_block_max,
     "op4_risk_control": op4_risk_control,
     "op5_katz": op5_katz,
     "op6_difference_cover": op6_difference_cover,

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from facetframe.llm.common import n_parts, part_of
+from facetframe.llm.common import n_buckets, n_parts, part_of
 from facetframe.llm.hashing import window_hashes, word_hashes
 
 # Perfect difference covers: every remainder modulo the period is a difference of two members.
@@ -271,10 +271,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     told = "__part int, keys binary, owner long"
     anchors = texts.cogroup(copies.groupBy("__part")).applyInArrow(
-        _send_anchors(anchor, window, period, cover, parts), _KEYS)
+        _send_anchors(anchor, window, period, cover, n_buckets(parts)), _KEYS)
     shared = anchors.groupBy("__bucket").applyInArrow(_shared_keys, told)
     windows = texts.cogroup(shared.unionAll(copies).groupBy("__part")).applyInArrow(
-        _send_windows(anchor, window, period, cover, parts), _KEYS)
+        _send_windows(anchor, window, period, cover, n_buckets(parts)), _KEYS)
     lost = windows.groupBy("__bucket").applyInArrow(_owned_elsewhere, told)
     schema = StructType([docs.schema[c] for c in names]).add("n_words", LongType()).add(
         "n_removed", LongType()).add("kept_sha256", StringType())
