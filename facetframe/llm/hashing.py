@@ -117,3 +117,30 @@ def window_hashes(h: np.ndarray, n: int, base: int = 0x8B72E0355D9F4A2B) -> np.n
         out *= b
         out += h[k:k + m]
     return mix(out)
+
+
+# Byte classes: white space, ASCII letters, plain punctuation, all others.
+_WHITE, _LETTER, _POINT, _OTHER = range(4)
+_CLASS = np.full(256, _OTHER, dtype=np.uint8)
+_CLASS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = _WHITE
+_CLASS[[c for c in range(128) if chr(c).isalpha()]] = _LETTER
+_CLASS[list(b".,;:!?")] = _POINT
+
+
+def unit_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the text's units: runs without ASCII white space, cut again between an
+    ASCII letter and plain punctuation."""
+    starts, ends = [], []
+    for at in range(0, len(data), _BLOCK):
+        c = _CLASS[np.frombuffer(data, np.uint8, min(_BLOCK, len(data) - at), at)]
+        prev = np.empty_like(c)
+        prev[1:] = c[:-1]
+        prev[0] = _CLASS[data[at - 1]] if at else _WHITE
+        turn = (c ^ prev) == (_LETTER ^ _POINT)
+        turn &= (c == _LETTER) | (c == _POINT)
+        starts.append(np.flatnonzero((c != _WHITE) & ((prev == _WHITE) | turn)) + at)
+        ends.append(np.flatnonzero((prev != _WHITE) & ((c == _WHITE) | turn)) + at)
+    if len(data) and _CLASS[data[-1]] != _WHITE:
+        ends.append(np.array([len(data)]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate(starts or [none]), np.concatenate(ends or [none])

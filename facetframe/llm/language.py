@@ -18,6 +18,7 @@ read whole; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,72 +28,119 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_CACHE_WORDS = 300_000
+from facetframe.llm.hashing import span_hashes, unit_spans
+
+_KNOWN_UNITS = 600_000
+_CHUNK_BYTES = 1 << 22
 _LETTERS = regex.compile(r"\p{L}+")
 UNKNOWN = "und"
 
 
+class Table:
+    """Texts with a row of log frequencies each, one per language."""
+
+    def __init__(self, texts: list[str], rows: np.ndarray):
+        self.texts, self.rows = texts, rows
+        self.at = {t: i for i, t in enumerate(texts)}
+
+    def __reduce__(self):
+        return Table, (self.texts, self.rows)
+
+
 @dataclass
 class LanguageModel:
-    """Log frequencies per language of known words and of n-grams by order."""
+    """Known words, and n-grams by order, with their log frequencies per language."""
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[int, dict[str, np.ndarray]]
+    words: Table
+    grams: dict[int, Table]
     orders: tuple[int, ...]
+    name: str = ""
 
     def word_scores(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
+        known = self.words.at.get(word)
         if known is not None:
-            return known
+            return self.words.rows[known]
         padded = f"^{word}$"
         for n in self.orders:
-            table = self.grams[n]
-            hits = [v for i in range(len(padded) - n + 1) if (v := table.get(padded[i:i + n])) is not None]
+            get = self.grams[n].at.get
+            hits = [i for j in range(len(padded) - n + 1) if (i := get(padded[j:j + n])) is not None]
             if hits:
-                return np.mean(hits, axis=0)
+                return self.grams[n].rows[hits].mean(axis=0)
         return np.zeros(len(self.langs))
 
 
-class _Scorer(dict):
-    """Raw word -> row of a growing matrix: log scores and posteriors, summed over its runs
-    of letters, and their number."""
+class _Scorer:
+    """Sums over texts of what each unit adds: log scores and posteriors per language, and
+    the number of its runs of letters. Units met before are looked up by 64-bit hash."""
 
     def __init__(self, model: LanguageModel):
-        super().__init__()
         self.model = model
-        self.rows = np.zeros((1024, 2 * len(model.langs) + 1))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.rows = np.zeros((0, 2 * len(self.model.langs) + 1))
 
-    def __missing__(self, raw: bytes) -> int:
-        at, k = len(self), len(self.model.langs)
-        if at == len(self.rows):
-            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+    def _row(self, unit: bytes) -> np.ndarray:
+        k = len(self.model.langs)
         row = np.zeros(2 * k + 1)
-        for run in _LETTERS.findall(raw.decode()):
+        for run in _LETTERS.findall(unit.decode()):
             s = self.model.word_scores(run.lower())
             p = np.exp(s - s.max())
             row[:k] += s
             row[k:2 * k] += p / p.sum()
             row[2 * k] += 1
-        self.rows[at] = row
-        self[raw] = at
-        return at
+        return row
 
-    def text(self, data: bytes) -> tuple[str, float]:
+    def texts(self, texts: list[bytes]) -> list[tuple[str, float]]:
+        k = len(self.model.langs)
+        if not k:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        data = b"\n".join(texts).lower()
+        start, end = unit_spans(data)
+        distinct, first, back = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        if len(self.keys) + len(distinct) > _KNOWN_UNITS:
+            self._forget()
+        where = np.searchsorted(self.keys, distinct)
+        new = np.ones(len(distinct), dtype=bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(where, len(self.keys) - 1)] != distinct
+        if new.any():
+            rows = np.array([self._row(data[a:z]) for a, z in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+            keys = np.concatenate((self.keys, distinct[new]))
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.rows = keys[order], np.concatenate((self.rows, rows))[order]
+            where = np.searchsorted(self.keys, distinct)
+        at = where[back]
+        units = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))
+        begin = np.concatenate(([0], units[:-1]))
+        some = np.flatnonzero(units > begin)
+        total = np.zeros((len(texts), 2 * k + 1))
+        if len(some):
+            for c in range(2 * k + 1):
+                total[some, c] = np.add.reduceat(self.rows[:, c][at], begin[some])
+        return [self._verdict(t) for t in total]
+
+    def _verdict(self, total: np.ndarray) -> tuple[str, float]:
         k = len(self.model.langs)
-        total = np.zeros(2 * k + 1)
-        words = data.split()
-        for i in range(0, len(words), 65536):
-            if len(self) > _CACHE_WORDS:
-                self.clear()
-            at = np.fromiter(map(self.__getitem__, words[i:i + 65536]), dtype=np.int64)
-            total += self.rows[at].sum(axis=0)
-        if not k or not total[2 * k]:
+        if not total[2 * k]:
             return UNKNOWN, 0.0
         best = int(total[:k].argmax())
         return self.model.langs[best], float(min(1.0, total[k + best] / total[2 * k]))
 
 
+_SCORERS: dict[str, _Scorer] = {}
+
+
+def _scorer(model: LanguageModel) -> _Scorer:
+    """This worker process's scorer for the model, with the units met in earlier tasks."""
+    if model.name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[model.name] = _Scorer(model)
+    return _SCORERS[model.name]
+
+
 def in_fold(id_col: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id's decimal text leaves ``fold`` modulo ``folds``."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == fold
@@ -110,7 +158,8 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     h = F.xxhash64("id", "lang")
     last = pool.select(h.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h").alias("h")).first()["h"]
     if last is None:
-        return LanguageModel([], {}, {n: {} for n in orders}, orders)
+        none = Table([], np.zeros((0, 0)))
+        return LanguageModel([], none, {n: none for n in orders}, orders)
     counts = (pool.where(h <= last)
               .select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w <> ''")
               .groupBy("lang", "w").agg(F.count("*").alias("c"))).persist()
@@ -125,14 +174,12 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     langs = sorted(totals)
     at = {x: i for i, x in enumerate(langs)}
 
-    def table(rows: list, size: np.ndarray, smooth: float) -> dict[str, np.ndarray]:
-        out = {}
-        for r in rows:
-            v = np.full(len(langs), smooth)
+    def table(rows: list, size: np.ndarray, smooth: float) -> Table:
+        v = np.full((len(rows), len(langs)), smooth)
+        for i, r in enumerate(rows):
             for p in r["by"]:
-                v[at[p["lang"]]] += p["c"]
-            out[r["w"]] = np.log(v / (size + smooth * (len(rows) + 1)))
-        return out
+                v[i, at[p["lang"]]] += p["c"]
+        return Table([r["w"] for r in rows], np.log(v / (size + smooth * (len(rows) + 1))).astype(np.float32))
 
     n_all = np.array([totals[x][0] for x in langs], dtype=float)
     words = table(top(counts, max_words), n_all, 0.5)
@@ -147,14 +194,25 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         grams[n] = table(top(g, max_grams), np.array([float(size.get(x, 0)) for x in langs]), 0.5)
         g.unpersist()
     counts.unpersist()
-    return LanguageModel(langs, words, grams, orders)
+    digest = hashlib.sha256(repr(langs).encode())
+    for t in (words, *grams.values()):
+        digest.update("\n".join(t.texts).encode() + t.rows.tobytes())
+    return LanguageModel(langs, words, grams, orders, digest.hexdigest())
 
 
 def _predict(model: LanguageModel, names: list[str], prefix: str, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(model)
+        scorer = _scorer(model)
         for b in batches:
-            got = [scorer.text((t.as_py() or "").encode()) for t in b.column(text_at)]
+            got, group, size = [], [], 0
+            for t in b.column(text_at):
+                group.append((t.as_py() or "").encode())
+                size += len(group[-1])
+                if size >= _CHUNK_BYTES:
+                    got += scorer.texts(group)
+                    group, size = [], 0
+            if group:
+                got += scorer.texts(group)
             yield pa.record_batch(b.columns[:len(names)] + [pa.array([g[0] for g in got], pa.string()),
                                           pa.array([g[1] for g in got], pa.float64())],
                                   names=names + [f"{prefix}lang_pred", f"{prefix}score"])

@@ -36,40 +36,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetframe.llm.common import shared_table
-from facetframe.llm.hashing import span_hashes
+from facetframe.llm.hashing import span_hashes, unit_spans
 
 _KNOWN_UNITS = 1_500_000
 _CHUNK_BYTES = 1 << 22
-_SCRATCH = 1 << 18
 _GLUE = "\x01"  # joins units for one library call; its token marks where a unit ends
 
-# Byte classes: white space, ASCII letters, plain punctuation, all others.
-_SPACE, _LETTER, _POINT, _OTHER = range(4)
-_CLASS = np.full(256, _OTHER, dtype=np.uint8)
-_CLASS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = _SPACE
-_CLASS[[c for c in range(128) if chr(c).isalpha()]] = _LETTER
-_CLASS[list(b".,;:!?")] = _POINT
-
-
-def unit_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the units tokenised on their own: runs without ASCII white space, cut
-    again between an ASCII letter and plain punctuation."""
-    starts, ends = [], []
-    for at in range(0, len(data), _SCRATCH):
-        c = _CLASS[np.frombuffer(data, np.uint8, min(_SCRATCH, len(data) - at), at)]
-        prev = np.empty_like(c)
-        prev[1:] = c[:-1]
-        prev[0] = _CLASS[data[at - 1]] if at else _SPACE
-        turn = (c ^ prev) == (_LETTER ^ _POINT)
-        turn &= (c == _LETTER) | (c == _POINT)
-        starts.append(np.flatnonzero((c != _SPACE) & ((prev == _SPACE) | turn)) + at)
-        ends.append(np.flatnonzero((prev != _SPACE) & ((c == _SPACE) | turn)) + at)
-    if len(data) and _CLASS[data[-1]] != _SPACE:
-        ends.append(np.array([len(data)]))
-    none = np.zeros(0, np.int64)
-    return np.concatenate(starts or [none]), np.concatenate(ends or [none])
-
-
 class UnitIds:
     """Token ids of whole texts from those of their units, which are looked up by 64-bit hash
     in sorted arrays; the library tokenises every unit when it is first met."""

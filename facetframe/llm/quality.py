@@ -125,8 +125,11 @@ def choose_cutoffs(good: DataFrame, risk: float, delta: float) -> list[tuple[str
 
     Only counts per (stratum, rule, cutoff passed) reach the driver.
     """
-    level = [F.size(F.filter(F.array(*[F.lit(float(c)) for c in CUTOFFS[r]]), lambda c, r=r: F.col(r) > c))
-             for r in RULES]
+    def passes(rule: str):
+        value = F.col(rule)
+        return F.size(F.filter(F.array(*[F.lit(float(c)) for c in CUTOFFS[rule]]), lambda c: value > c))
+
+    level = [passes(r) for r in RULES]
     passed = (good.select("stratum", F.explode(F.array(*[
         F.struct(F.lit(r).alias("rule"), x.alias("passed")) for r, x in zip(RULES, level)])).alias("x"))
         .groupBy("stratum", "x.rule", "x.passed").count().collect())
