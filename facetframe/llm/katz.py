@@ -137,6 +137,8 @@ def _contexts(p: _Part) -> np.ndarray:
 def _send_masses(buckets: int):
     """Each context's seen mass: discounted counts, and unigram probability, of owned pairs."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:  # the corpus numbers go to parts without a document too
+            return sent([])
         p, a = _Part(left), Answers(right)
         m = _model(a)
         c_type, c_pair = a.numbers(_TYPES), a.numbers(_PAIRS)
@@ -170,7 +172,14 @@ def _sum_masses(table: pa.Table) -> pa.Table:
                   for p, x, y in zip(b.parts, *halves)])
 
 
+_SCORES = {"n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(),
+           "base_score": pa.float64(), "score": pa.float64()}
+
+
 def _score(left: pa.Table, right: pa.Table) -> pa.Table:
+    if not left.num_rows:
+        none = {c: left.column(c) for c in ("id", "held_out")}
+        return pa.table(none | {c: pa.array([], k) for c, k in _SCORES.items()})
     p, a = _Part(left), Answers(right)
     m = _model(a)
     c_type, c_pair = a.numbers(_TYPES), a.numbers(_PAIRS)
