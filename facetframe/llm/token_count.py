@@ -213,9 +213,19 @@ class CountTransducer:
         return self._count_part(head) + (n or 0) + self._count_part(tail)
 
 
+_MACHINES: dict[str, CountTransducer] = {}
+
+
+def transducer(path: str) -> CountTransducer:
+    """The model's transducer in this process, with the states built so far."""
+    if path not in _MACHINES:
+        _MACHINES[path] = CountTransducer(path)
+    return _MACHINES[path]
+
+
 def _count_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = CountTransducer(path)
+        machine = transducer(path)
         for b in batches:
             n = [machine.count(t.as_py() or "") for t in b.column(2)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64())],
