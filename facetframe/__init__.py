@@ -13,7 +13,6 @@ operators/  DataFrame operators: first/list per key, lookups, filters,
             place classification, mentions and themes
 plans/      assembled pipelines: the wide profile and its two presets
             (film tables and the driver's order tables)
-streaming/  the same operators driven incrementally from a file stream
 """
 
 __version__ = "0.1.0"

@@ -77,13 +77,14 @@ def int_or_zero(c) -> Column:
     return F.coalesce(as_col(c).cast("double").try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def other_awards(aw_w, osc_w, aw_n, osc_n, ba_w, ba_n, em_w, em_n) -> Column:
+def other_awards(won, oscars_won, named, oscars_named, *others) -> Column:
     """C11: awards beyond the Oscars plus BAFTA and Emmy wins and nominations."""
     z = F.lit(0).cast("bigint")
-    return (F.greatest(z, int_or_zero(aw_w) - int_or_zero(osc_w))
-            + F.greatest(z, int_or_zero(aw_n) - int_or_zero(osc_n))
-            + int_or_zero(ba_w) + int_or_zero(ba_n)
-            + int_or_zero(em_w) + int_or_zero(em_n))
+    total = (F.greatest(z, int_or_zero(won) - int_or_zero(oscars_won))
+             + F.greatest(z, int_or_zero(named) - int_or_zero(oscars_named)))
+    for c in others:
+        total = total + int_or_zero(c)
+    return total
 
 
 def year(c) -> Column:
@@ -117,7 +118,7 @@ _SEP = r"[\s\-/]"
 
 
 def _cap_first(x) -> Column:
-    return F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))
+    return F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))
 
 
 def title_case(c) -> Column:

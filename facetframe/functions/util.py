@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed value: the characters Python's ``str.strip()`` removes.
+WHITE_SPACE = r"[\x09-\x0D\x1C-\x20\x85\p{Z}]"
+
+
 def as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -24,8 +28,8 @@ def or_else(*cols) -> Column:
 
 
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``: remove leading and trailing whitespace."""
-    return F.regexp_replace(as_col(c), r"^\s+|\s+$", "")
+    """Python ``str.strip()``: remove leading and trailing white space, Unicode's included."""
+    return F.regexp_replace(as_col(c), f"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
 
 
 def nulls_last_key(*cols) -> list[Column]:

@@ -3,7 +3,7 @@
 from facetframe.operators.distributions import (age_pyramid, breakdown, by_decade,  # noqa: F401
                                                 distribution, facet_distributions, histogram,
                                                 kpis, rating_distribution)
-from facetframe.operators.enrich import (bridge_rollup, broadcast_if_small, first_per_key,  # noqa: F401
+from facetframe.operators.enrich import (bridge_rollup, first_per_key,  # noqa: F401
                                          list_per_key, lookup_with_fallback)
 from facetframe.operators.facets import all_facet_values, facet_values  # noqa: F401
 from facetframe.operators.filters import (FilterSpec, filter_mentions, filter_titles,  # noqa: F401

@@ -23,22 +23,13 @@ def tenths(c) -> Column:
     return F.round(as_col(c).cast("double") * F.lit(10.0)).cast("bigint")
 
 
-def mean_half_up(sum_units: Column, n: Column, scale: int = 10) -> Column:
-    """Exact mean of integers ``sum_units / n`` rounded half up, then divided by ``scale``.
-
-    With ``sum_units`` in tenths and ``scale=10`` this is the one-decimal mean
-    computed on exact sums, so the result does not depend on summation order
-    (a floating-point sum does). Computed as floor((2s + n) / 2n) with integer
-    arithmetic. Zero rows -> null.
-    """
-    s, k = sum_units.cast("bigint"), n.cast("bigint")
-    num = s * F.lit(2) + k
-    den = k * F.lit(2)
-    q = (num - F.pmod(num, den)).cast("decimal(38,0)") / den.cast("decimal(38,0)")
-    return F.when(k > 0, q.cast("double") / F.lit(float(scale)))
+def mean_of_tenths(sum_tenths: Column, n: Column) -> Column:
+    """The mean of one-decimal values from their exact sum in tenths, as a double before
+    rounding: the sum is exact, so the result doesn't depend on summation order. No rows -> null."""
+    return F.when(n > 0, sum_tenths.cast("double") / F.lit(10.0) / n.cast("double"))
 
 
-def sort_cols(spec: list[tuple[str, str]], nulls: str = "default") -> list[Column]:
+def sort_cols(spec: list, nulls: str = "default") -> list[Column]:
     """[(column, 'asc'|'desc'), ...] -> Column sort keys.
 
     ``nulls``: 'last' (nulls last both ways), 'person' (last when asc, first

@@ -14,16 +14,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetframe.functions.rounding import to_fixed
 from facetframe.functions.util import as_col
-from facetframe.operators.common import mean_half_up, scalar_of, tenths
+from facetframe.operators.common import mean_of_tenths, scalar_of, tenths
 
 # Display domains of the breakdowns and the fixed histogram edges.
 RACES = ["WHITE", "ASIAN", "BLACK", "INDIGENOUS", "MIXED-RACE", "UNKNOWN"]
 GENDERS = ["Male", "Female", "Unknown"]
 ML_EDGES = [0.0, 3.5, 4.0, 4.5, 99.0]
 IMDB_EDGES = [0.0, 7.0, 7.5, 8.0, 99.0]
-AGE_BANDS = [("<=20", 0, 20), ("21-30", 21, 30), ("31-40", 31, 40), ("41-50", 41, 50),
-             ("51-60", 51, 60), (">60", 61, 999)]
+AGE_BANDS = [("> 60", 61, 999), ("51 a 60", 51, 60), ("41 a 50", 41, 50), ("31 a 40", 31, 40),
+             ("21 a 30", 21, 30), ("ate 20", 0, 20)]
 EN_DASH = "–"
 
 
@@ -38,7 +39,7 @@ def rating_distribution(ratings: DataFrame, rating_col: str = "RATING",
 def kpis(filtered: DataFrame, all_titles: DataFrame) -> DataFrame:
     """A10: one row of headline figures for the filtered set.
 
-    Means are of exact one-decimal values, rounded half up at one decimal
+    Means are of one-decimal values over their exact sum, rounded by M3 at one decimal
     (0.0 when the set is empty).
     """
     f = filtered.agg(
@@ -54,8 +55,8 @@ def kpis(filtered: DataFrame, all_titles: DataFrame) -> DataFrame:
     films_all = scalar_of(all_titles.agg(F.count(F.lit(1))))
     return f.select(
         "films", films_all.alias("films_all"), "countries", "votes_imdb", "votes_ml",
-        F.coalesce(mean_half_up(F.col("_r_imdb"), F.col("films")), F.lit(0.0)).alias("mean_rating_imdb"),
-        F.coalesce(mean_half_up(F.col("_r_ml"), F.col("films")), F.lit(0.0)).alias("mean_rating_ml"),
+        F.coalesce(to_fixed(mean_of_tenths(F.col("_r_imdb"), F.col("films"))), F.lit(0.0)).alias("mean_rating_imdb"),
+        F.coalesce(to_fixed(mean_of_tenths(F.col("_r_ml"), F.col("films"))), F.lit(0.0)).alias("mean_rating_ml"),
         "oscars", "other_awards")
 
 

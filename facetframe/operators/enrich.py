@@ -1,5 +1,5 @@
 """Per-key enrichment primitives: first row per key, delimited list per key,
-two-step fallback lookup, and size-checked broadcast of small dimensions.
+and two-step fallback lookup.
 
 Scale notes
 -----------
@@ -10,8 +10,9 @@ Scale notes
 * ``list_per_key`` keeps duplicates, as the source's string aggregation does.
   It first counts ``(key, value)`` pairs (map-side combine collapses repeats of
   a hot key before the shuffle) and then builds the list per key from the
-  distinct values with their counts, so a key's working set is bounded by its
-  number of *distinct* values, not by its rows.
+  distinct values with their counts, so what is gathered per key is its distinct
+  values; the resulting text itself still repeats a value as often as it occurs.
+* Which side of a lookup is broadcast is left to the planner and AQE.
 """
 
 from __future__ import annotations
@@ -23,36 +24,6 @@ from pyspark.sql import functions as F
 
 from facetframe.functions.util import as_col, nulls_last_key
 
-# Dimensions broadcast only when they hold at most this many rows (checked with
-# a bounded ``limit(n + 1).count()``); larger ones are left to the planner/AQE.
-BROADCAST_MAX_ROWS = 100_000
-
-
-_SMALL: dict[tuple, bool] = {}
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` provably has at most ``max_rows`` rows (reads at most max_rows + 1).
-
-    The answer is remembered per session and plan (``semanticHash``), so a side
-    checked once is not counted again by later queries of the same session.
-    """
-    from facetframe.session import session_key
-    key = (session_key(df.sparkSession), df.semanticHash(), max_rows)
-    if key not in _SMALL:
-        _SMALL[key] = df.limit(max_rows + 1).count() <= max_rows
-    return _SMALL[key]
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast only for a side whose row count is proven <= ``max_rows``.
-
-    The check reads at most ``max_rows + 1`` rows, so it stays cheap even when
-    the side turns out to be large; in that case no hint is added and the
-    planner picks a shuffle join (or AQE converts it at run time).
-    """
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
 
 def _as_list(x) -> list:
     if x is None:
@@ -80,8 +51,9 @@ def first_per_key(df: DataFrame, key, cols: Sequence[str], order=None,
 
 def _list_from_counts(values_n: Column, sep: str) -> Column:
     """Sorted array<struct<v, n>> -> 'v1, v1, v2' (each value repeated n times)."""
-    rep = F.transform(F.array_sort(values_n), lambda s: F.array_repeat(s["v"], s["n"].cast("int")))
-    return F.array_join(F.flatten(rep), sep)
+    each = F.transform(F.array_sort(values_n), lambda s: F.concat(
+        F.repeat(F.concat(s["v"], F.lit(sep)), (s["n"] - 1).cast("int")), s["v"]))
+    return F.array_join(each, sep)
 
 
 def list_per_key(df: DataFrame, key, col, sep: str = ", ", alias: str = "list") -> DataFrame:
@@ -134,7 +106,7 @@ def bridge_rollup(df: DataFrame, key, first_cols: Sequence[str], list_col: str |
 
 def lookup_with_fallback(df: DataFrame, dim: DataFrame, primary: tuple[str, str],
                          secondary: tuple[str, str], take: Sequence[str],
-                         prefix: str = "dim_", broadcast: bool = True) -> DataFrame:
+                         prefix: str = "dim_") -> DataFrame:
     """Left-join ``dim`` on ``primary``; rows without a primary match try ``secondary``.
 
     ``primary``/``secondary`` are ``(df column, dim column)`` pairs. For each
@@ -146,8 +118,6 @@ def lookup_with_fallback(df: DataFrame, dim: DataFrame, primary: tuple[str, str]
     (pl, pd_), (sl, sd) = primary, secondary
     dcols = list(dict.fromkeys([pd_, sd, *take]))
     d = dim.select(*dcols)
-    if broadcast:
-        d = broadcast_if_small(d)
     a = d.select(*[F.col(c).alias("_p_" + c) for c in dcols])
     b = d.select(*[F.col(c).alias("_s_" + c) for c in dcols])
     j = df.join(a, df[pl] == a["_p_" + pd_], "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetframe.operators.common import scalar_of
+
 # Facet -> (profile column, values left out of its domain).
 FACET_DOMAINS = {
     "years": ("year", []),
@@ -23,8 +25,10 @@ def facet_values(profile: DataFrame, facet: str, fallback: DataFrame | None = No
     x = F.col(col)
     d = profile.where(x.isNotNull() & ~x.isin(excl) if excl else x.isNotNull())
     vals = d.select(x.alias("value")).distinct()
-    if fallback is not None and vals.isEmpty():
-        vals = fallback.select("value").where(F.col("value").isNotNull()).distinct()
+    if fallback is not None:  # decided by the query itself: one scalar subquery over the domain
+        none = scalar_of(vals.agg(F.count(F.lit(1)))) == 0
+        other = fallback.select("value").where(F.col("value").isNotNull()).distinct().where(none)
+        vals = vals.unionByName(other)
     return vals.orderBy("value")
 
 

@@ -89,19 +89,33 @@ def titles_with_theme(theme_rows: DataFrame, key: str = "imdbid") -> DataFrame:
     return theme_rows.select(key).distinct()
 
 
+def theme_match(spec: FilterSpec) -> Column:
+    """F9 on theme result rows: equality on each given key."""
+    cond = F.lit(True)
+    for value, col in ((spec.idiom, "idiom"), (spec.theme, "theme"), (spec.word, "word")):
+        if _norm(value):
+            cond = cond & (F.col(col) == F.lit(value))
+    return cond
+
+
 def filter_titles(profile: DataFrame, spec: FilterSpec, mentions: DataFrame | None = None,
                   theme_rows: DataFrame | None = None, key: str = "imdbid") -> DataFrame:
     """the profile rows passing every active part of ``spec``.
 
-    Place search with no match yields no titles (as the source does). Theme
-    search with no match also yields no titles; the source showed all titles
-    in that case (pinned change, see README). All-empty searches filter nothing.
+    An active place or theme search needs its rows (``mentions``, ``theme_rows``); both are
+    filtered by the spec here. A search with no match yields no titles; for themes the
+    source showed all titles in that case (pinned change, see README). All-empty searches
+    filter nothing.
     """
     out = profile.where(spec.predicate())
-    if mentions is not None and spec.loc_active():
+    if spec.loc_active():
+        if mentions is None:
+            raise ValueError("a place search is active, but there are no mentions to search")
         out = out.join(titles_with_location(mentions, spec.loc_search, key), key, "left_semi")
-    if theme_rows is not None and spec.theme_active():
-        out = out.join(titles_with_theme(theme_rows, key), key, "left_semi")
+    if spec.theme_active():
+        if theme_rows is None:
+            raise ValueError("a theme search is active, but there are no theme rows to search")
+        out = out.join(titles_with_theme(theme_rows.where(theme_match(spec)), key), key, "left_semi")
     return out
 
 

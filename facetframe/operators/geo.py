@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetframe.operators.common import scalar_of
-from facetframe.operators.enrich import broadcast_if_small
 
 
 def intensity(df: DataFrame, value: str, alias: str = "intensity") -> DataFrame:
@@ -29,5 +28,5 @@ def map_metric(df: DataFrame, codes: DataFrame, country: str = "country",
     """J10 + M4: attach a map code by country name (unmatched names drop out);
     intensity is relative to the maximum over *all* rows, matched or not."""
     with_int = intensity(df, value)
-    c = broadcast_if_small(codes.select(F.col(code_name).alias("_cname"), F.col(code).alias("code")))
+    c = codes.select(F.col(code_name).alias("_cname"), F.col(code).alias("code"))
     return with_int.join(c, with_int[country] == c["_cname"], "inner").drop("_cname")

@@ -3,8 +3,7 @@
 Shape: raw mention rows (subtitle id, location, count) are summed per
 (subtitle id, location) with map-side combine, thresholded, linked to titles
 through the id bridge (inner equi joins; duplicate bridge rows multiply, as in
-the source), given the title's primary country (computed once per title and
-shared with the theme operators), and classified per distinct location name.
+the source), given the title's primary country and classified in place.
 """
 
 from __future__ import annotations
@@ -13,54 +12,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetframe.functions.util import or_else
-from facetframe.operators.enrich import first_per_key, is_small
 from facetframe.operators.places import classify_places
 from facetframe.operators.eligibility import eligible_titles
 
 UNKNOWN = "Unknown"
 
 
-def primary_country(country_bridge: DataFrame, key: str = "IMDBID",
+def linked_titles(bridge: DataFrame, titles: DataFrame, sub_key: str = "IMDB") -> DataFrame:
+    """(subtitle id, imdbid, title) of eligible titles (F2); duplicate bridge rows stay."""
+    t = eligible_titles(titles, require_rating=False).select(
+        F.col("MOVIEID").alias("_t_movieid"), F.col("IMDBID").alias("imdbid"), F.col("TITLE").alias("title"))
+    b = bridge.select(F.col("IMDBID").alias(sub_key), F.col("MOVIEID").alias("_b_movieid"))
+    return b.join(t, F.col("_b_movieid") == F.col("_t_movieid")).select(sub_key, "imdbid", "title")
+
+
+def primary_country(country_bridge: DataFrame, linked: DataFrame, key: str = "IMDBID",
                     country: str = "COUNTRY") -> DataFrame:
-    """One production country per title (first by name), shared by mentions and themes."""
-    return first_per_key(country_bridge, key, [country]).select(
-        F.col(key).alias("_pc_key"), F.col(country).alias("_pc_country"))
+    """One production country per linked title (first by name). The bridge is cut down to
+    the linked titles first; the order column is the value itself, so it is a plain minimum."""
+    b = country_bridge.join(linked.select(F.col("imdbid").alias(key)), key, "left_semi")
+    return b.groupBy(F.col(key).alias("_pc_key")).agg(F.min(country).alias("_pc_country"))
 
 
 def link_titles(rows: DataFrame, bridge: DataFrame, titles: DataFrame,
-                primary: DataFrame | None, sub_key: str = "IMDB") -> DataFrame:
+                countries: DataFrame | None, sub_key: str = "IMDB") -> DataFrame:
     """Subtitle id -> bridge -> eligible title (F2) -> primary country (left).
 
-    Adds ``imdbid``, ``title`` and ``_pc_country`` (null when ``primary`` is None).
+    Adds ``imdbid``, ``title`` and ``_pc_country`` (null when ``countries`` is None).
     """
-    t = eligible_titles(titles, require_rating=False).select(
-        F.col("MOVIEID").alias("_t_movieid"), F.col("IMDBID").alias("imdbid"), F.col("TITLE").alias("title"))
-    b = bridge.select(F.col("IMDBID").alias("_b_sub"), F.col("MOVIEID").alias("_b_movieid"))
-    j = (rows.join(b, rows[sub_key] == b["_b_sub"], "inner")
-             .join(t, F.col("_b_movieid") == F.col("_t_movieid"), "inner"))
-    if primary is None:
-        j = j.withColumn("_pc_country", F.lit(None).cast("string"))
-    else:
-        j = j.join(primary, F.col("imdbid") == F.col("_pc_key"), "left").drop("_pc_key")
-    return j.drop("_b_sub", "_b_movieid", "_t_movieid")
+    linked = linked_titles(bridge, titles, sub_key)
+    j = rows.join(linked, sub_key)
+    if countries is None:
+        return j.withColumn("_pc_country", F.lit(None).cast("string"))
+    primary = primary_country(countries, linked)
+    return j.join(primary, F.col("imdbid") == F.col("_pc_key"), "left").drop("_pc_key")
 
 
 def linked_only(rows: DataFrame, bridge: DataFrame, sub_key: str = "IMDB") -> DataFrame:
-    """Keep only rows whose subtitle id appears in the bridge - when the bridge's id
-    set is proven small enough to broadcast.
-
-    The later inner join drops unlinked rows anyway; filtering first lets the
-    optimizer apply the (broadcast) semi join before tokens are aggregated, or
-    even at the text scan. With a large bridge the filter is skipped, since a
-    shuffled semi join over raw rows would cost more than it saves.
-    """
-    ids = bridge.select(F.col("IMDBID").alias("_lk"))
-    if not is_small(ids):
-        return rows
-    return rows.join(F.broadcast(ids), rows[sub_key] == F.col("_lk"), "left_semi")
+    """Only rows whose subtitle id is in the bridge. The later inner join drops the others
+    anyway; as a semi join here it reaches below the tokenisation and the first sums."""
+    return rows.join(bridge.select(F.col("IMDBID").alias(sub_key)), sub_key, "left_semi")
 
 
-def location_mentions(geo: DataFrame, bridge: DataFrame, titles: DataFrame, primary: DataFrame,
+def location_mentions(geo: DataFrame, bridge: DataFrame, titles: DataFrame, countries: DataFrame,
                       gazetteer: DataFrame, min_mentions: int = 2, limit: int | None = None,
                       normalise: bool = False) -> DataFrame:
     """A4 + F7 (+ S2 when ``limit``): one row per (location, title) with >= ``min_mentions``.
@@ -76,7 +70,7 @@ def location_mentions(geo: DataFrame, bridge: DataFrame, titles: DataFrame, prim
         g = g.withColumn("LOCATION", F.lower("LOCATION"))
     la = (g.groupBy("IMDB", "LOCATION").agg(F.sum("COUNT").alias("mentions"))
              .where(F.col("mentions") >= min_mentions))
-    j = link_titles(la, bridge, titles, primary)
+    j = link_titles(la, bridge, titles, countries)
     rows = j.select(F.col("LOCATION").alias("location"), F.col("mentions").cast("bigint").alias("mentions"),
                     "imdbid", "title", or_else("_pc_country", F.lit(UNKNOWN)).alias("country"))
     if limit is not None:

@@ -37,14 +37,17 @@ def direction(d: str) -> str:
 
 def page(df: DataFrame, sort: str, dir_: str, page_no: int = 0, size: int = PAGE_SIZE,
          tiebreak: Sequence[str] = (), nulls: str = "default",
-         sort_expr: Column | None = None) -> DataFrame:
+         sort_expr: Column | None = None, collation: str | None = None) -> DataFrame:
     """One page: rows ``[page_no*size, page_no*size + size)`` in sort order.
 
     ``tiebreak`` columns (ascending) make the order total, so consecutive
     pages neither repeat nor skip rows. ``sort_expr`` overrides the sort
-    column's value (e.g. null year compared as 0).
+    column's value (e.g. null year compared as 0). ``collation`` names a collation for a
+    text sort column (e.g. ``UNICODE``); the default is code-point order.
     """
     key = sort_expr if sort_expr is not None else F.col(sort)
+    if collation and df.schema[sort].dataType.typeName() == "string":
+        key = F.collate(key, collation)
     keys = sort_cols([(key, direction(dir_))], nulls) + \
         [F.col(c).asc_nulls_last() for c in tiebreak if c != sort]
     return df.orderBy(*keys).offset(max(0, page_no) * size).limit(size)
@@ -65,45 +68,64 @@ def page_info(df: DataFrame, page_no: int, size: int = PAGE_SIZE) -> DataFrame:
 
 
 def clamp_page(df: DataFrame, page_no: int, size: int = PAGE_SIZE) -> int:
-    """Page number clamped to the last page (one count action, a scalar to the driver)."""
-    total = df.count()
-    pages = max(1, -(-total // size))
+    """Page number clamped to the last page. An action: it counts ``df``, so pass the narrowest
+    rows that have the table's count, or persisted ones."""
+    pages = max(1, -(-df.count() // size))
     return min(max(0, page_no), pages - 1)
 
 
 def film_page(profile: DataFrame, sort: str = "title", dir_: str = "asc", page_no: int = 0,
-              size: int = PAGE_SIZE, key: str = "imdbid") -> DataFrame:
-    """Film table page; null numbers compare as 0; page clamped to the last page."""
+              size: int = PAGE_SIZE, key: str = "imdbid", collation: str | None = None) -> DataFrame:
+    """Film table page; a null year compares as 0. ``page_no`` is taken as given; clamp it
+    with ``clamp_page`` where a page past the end must show the last one."""
     s = resolve_sort(sort, FILM_SORTS, "title")
     expr = F.coalesce(F.col(s), F.lit(0)) if s in ("year",) else None
-    return page(profile, s, dir_, clamp_page(profile, page_no, size), size, (key,), "default", expr)
+    return page(profile, s, dir_, page_no, size, (key,), "default", expr, collation)
 
 
 def person_page(people: DataFrame, sort: str = "count", dir_: str = "desc", page_no: int = 0,
-                size: int = PAGE_SIZE) -> DataFrame:
+                size: int = PAGE_SIZE, collation: str | None = None) -> DataFrame:
     """Person table page; nulls last when ascending, first when descending."""
     s = resolve_sort(sort, PERSON_SORTS, "count")
-    return page(people, s, dir_, clamp_page(people, page_no, size), size, ("name", "id"), "person")
+    return page(people, s, dir_, page_no, size, ("name", "id"), "person", None, collation)
 
 
 def location_page(rows: DataFrame, sort: str = "mentions", dir_: str = "desc", page_no: int = 0,
-                  size: int = PAGE_SIZE, tiebreak: Sequence[str] = ("imdbid", "location")) -> DataFrame:
-    """Location table page, same null rule as S5."""
+                  size: int = PAGE_SIZE, collation: str | None = None) -> DataFrame:
+    """Location table page, same null rule as S5; the whole row is the tiebreak, as several
+    rows of a title can share a label."""
     s = resolve_sort(sort, LOCATION_SORTS, "mentions")
-    return page(rows, s, dir_, clamp_page(rows, page_no, size), size, tiebreak, "person")
+    first = [c for c in ("imdbid", "location", "mentions") if c in rows.columns]
+    return page(rows, s, dir_, page_no, size, [*first, *[c for c in rows.columns if c not in first]],
+                "person", None, collation)
+
+
+def _after(key: Column, value, asc: bool, nulls_last: bool) -> Column:
+    """Whether ``key`` sorts strictly after ``value``."""
+    if value is None:
+        return F.lit(False) if nulls_last else key.isNotNull()
+    past = (key > F.lit(value)) if asc else (key < F.lit(value))
+    return F.coalesce(past, F.lit(nulls_last))
 
 
 def page_after(df: DataFrame, sort: str, dir_: str, after: tuple | None, size: int = PAGE_SIZE,
-               tiebreak: str = "imdbid") -> DataFrame:
-    """Keyset paging: the ``size`` rows after the tuple ``(sort value, tiebreak value)``.
+               tiebreak: Sequence[str] | str = ("imdbid",), nulls: str = "person") -> DataFrame:
+    """Keyset paging: the ``size`` rows after the tuple ``(sort value, *tiebreak values)``.
 
-    Only for non-null sort values; cost is one filtered scan plus a top-``size``.
+    Nulls are values of their own: by ``nulls`` last when ascending and first when descending
+    ('person'), always last ('last'), or Spark's default; in tiebreaks they are last. Cost is
+    one filtered scan plus a top-``size``.
     """
+    ties = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
     asc = direction(dir_) == "asc"
-    s, t = F.col(sort), F.col(tiebreak)
-    d = df.where(s.isNotNull())
+    nulls_last = {"person": asc, "last": True}.get(nulls, not asc)
+    keys = [(F.col(sort), asc, nulls_last), *[(F.col(c), True, True) for c in ties]]
+    d = df
     if after is not None:
-        v, k = after
-        cmp = (s > F.lit(v)) if asc else (s < F.lit(v))
-        d = d.where(cmp | ((s == F.lit(v)) & (t > F.lit(k))))
-    return d.orderBy(s.asc() if asc else s.desc(), t.asc()).limit(size)
+        past, same = F.lit(False), F.lit(True)
+        for (k, up, last), v in zip(keys, after, strict=True):
+            past = past | (same & _after(k, v, up, last))
+            same = same & k.eqNullSafe(F.lit(v))
+        d = d.where(past)
+    order = sort_cols([(F.col(sort), direction(dir_))], nulls) + [F.col(c).asc_nulls_last() for c in ties]
+    return d.orderBy(*order).limit(size)

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetframe.operators.common import mean_half_up, tenths
+from facetframe.functions.rounding import round_half_up, to_fixed
+from facetframe.operators.common import mean_of_tenths, tenths
 
 NO_NAME = "—"
 
@@ -20,7 +21,7 @@ def by_country(df: DataFrame, country: str = "country", title: str = "title",
     """Per country - titles, ML votes, best-rated title, mean rating, box office.
 
     Best title: highest rating, ties to the first title in title order (then id).
-    Mean rating: exact one-decimal mean rounded half up. Box office: exact
+    Mean rating: over the exact sum, rounded by M3. Box office: exact
     two-decimal sum.
     """
     best = F.min_by(F.col(title), F.struct(-F.col("rating"), F.col(title), F.col(key)))
@@ -28,7 +29,7 @@ def by_country(df: DataFrame, country: str = "country", title: str = "title",
         F.count(F.lit(1)).alias("films"),
         F.sum("votesMl").cast("bigint").alias("votes_ml"),
         best.alias("top_title"),
-        mean_half_up(F.sum(tenths("rating")), F.count(F.lit(1))).alias("mean_rating"),
+        to_fixed(mean_of_tenths(F.sum(tenths("rating")), F.count(F.lit(1)))).alias("mean_rating"),
         F.sum(F.col("box").cast("decimal(20,2)")).cast("double").alias("box"),
     )
 
@@ -60,8 +61,8 @@ def people_table(df: DataFrame, role: str = "dir", key: str = "name",
     """One row per person (by name, or by id with ``key='id'``).
 
     First-seen attributes come from the person's first title in title order;
-    birth year from the first title with both age and year. Means are exact
-    one-decimal means rounded half up.
+    birth year from the first title with both age and year. Means are over
+    exact sums, rounded by M2.
     """
     if role == "dir":
         name, pid = F.col("director"), F.col("directorid")
@@ -93,6 +94,6 @@ def people_table(df: DataFrame, role: str = "dir", key: str = "name",
         F.col("_f.gender").alias("gender"), F.col("_f.nationality").alias("nationality"),
         F.col("_f.race").alias("race"), F.col("birthYear").cast("bigint").alias("birthYear"),
         "count", "votesImdb", "votesMl",
-        mean_half_up(F.col("_ri"), F.col("count")).alias("ratingImdb"),
-        mean_half_up(F.col("_rm"), F.col("count")).alias("ratingMl"),
+        round_half_up(mean_of_tenths(F.col("_ri"), F.col("count"))).alias("ratingImdb"),
+        round_half_up(mean_of_tenths(F.col("_rm"), F.col("count"))).alias("ratingMl"),
         "oscars", "otherAwards")

@@ -14,9 +14,9 @@ Duplicate names within one source resolve to the highest ``priority``; for
 main entries the default priority is the category rank below (a later
 category overrides an earlier one).
 
-Scale: names are classified once per *distinct* name (vocabulary-sized), with
-the gazetteer broadcast after a bounded size check; rows get their type by an
-equi-join on the name afterwards.
+Scale: rows join the gazetteer directly by alias key, main key and stripped key;
+the planner broadcasts the gazetteer when it measures small, so rows are not
+shuffled by name and a very common name costs nothing extra.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from facetframe.functions.clean import title_case
 from facetframe.functions.util import strip_ws
-from facetframe.operators.enrich import broadcast_if_small
 
 # Place types and the default precedence of main entries.
 LOC_TYPES = ["Country", "City", "State", "Region", "Other"]
@@ -51,36 +50,30 @@ def strip_possessive(key_col) -> F.Column:
     return strip_ws(F.regexp_replace(key_col, "['s]+$", ""))
 
 
+def _classified(df: DataFrame, gazetteer: DataFrame, name_col: str) -> DataFrame:
+    """``df`` with ``_key``, ``locType`` and ``label`` of its name column."""
+    g = normalise_gazetteer(gazetteer)
+    entries = lambda source, key, kind: (
+        g.where(F.col("source") == source).select(F.col("key").alias(key), F.col("loc_type").alias(kind)))
+    d = df.withColumn("_key", F.lower(strip_ws(name_col)))
+    d = d.withColumn("_stripped", strip_possessive(F.col("_key")))
+    j = (d.join(entries("alias", "_alias_key", "_alias"), F.col("_key") == F.col("_alias_key"), "left")
+          .join(entries("main", "_main_key", "_main"), F.col("_key") == F.col("_main_key"), "left")
+          .join(entries("main", "_strip_key", "_strip"), F.col("_stripped") == F.col("_strip_key"), "left"))
+    return j.select(*df.columns, "_key", F.coalesce("_alias", "_main", "_strip", F.lit(OTHER)).alias("locType"),
+                    title_case(F.col(name_col)).alias("label"))
+
+
 def classify_names(names: DataFrame, gazetteer: DataFrame, name_col: str = "location") -> DataFrame:
     """Distinct names -> (name, key, locType, label).
 
     ``label`` is the title-cased display name (case variants share a label but
     stay separate rows, as grouping upstream is case-sensitive).
     """
-    g = normalise_gazetteer(gazetteer)
-    alias = broadcast_if_small(g.where(F.col("source") == "alias")
-                                .select(F.col("key").alias("_ak"), F.col("loc_type").alias("_alias")))
-    main = g.where(F.col("source") == "main").select("key", "loc_type")
-    main = broadcast_if_small(main)
-    m1 = main.select(F.col("key").alias("_mk"), F.col("loc_type").alias("_main"))
-    m2 = main.select(F.col("key").alias("_sk"), F.col("loc_type").alias("_strip"))
-    # No null filter here: the names branch then stays identical to the caller's
-    # rows up to their shuffle, so Spark reuses that exchange instead of
-    # recomputing the rows (a null name classifies as 'Other').
     d = names.select(F.col(name_col).alias("name")).distinct()
-    d = d.select("name", F.lower(strip_ws("name")).alias("key"))
-    d = d.withColumn("_stripped", strip_possessive(F.col("key")))
-    j = (d.join(alias, d["key"] == alias["_ak"], "left")
-          .join(m1, d["key"] == m1["_mk"], "left")
-          .join(m2, d["_stripped"] == m2["_sk"], "left"))
-    return j.select("name", "key",
-                    F.coalesce("_alias", "_main", "_strip", F.lit(OTHER)).alias("locType"),
-                    title_case(F.col("name")).alias("label"))
+    return _classified(d, gazetteer, "name").select("name", F.col("_key").alias("key"), "locType", "label")
 
 
 def classify_places(df: DataFrame, gazetteer: DataFrame, name_col: str = "location") -> DataFrame:
-    """Add ``locType`` and ``label`` to every row of ``df`` (classified per distinct name)."""
-    c = classify_names(df, gazetteer, name_col).select(
-        F.col("name").alias("_cn"), "locType", "label")
-    # Null-safe equality: no inferred not-null filter is pushed into either branch.
-    return df.join(c, df[name_col].eqNullSafe(c["_cn"]), "left").drop("_cn")
+    """Add ``locType`` and ``label`` to every row of ``df``."""
+    return _classified(df, gazetteer, name_col).drop("_key")

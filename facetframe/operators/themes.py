@@ -31,7 +31,7 @@ def _key_filter(themes: DataFrame, idiom: str | None, theme: str | None, word: s
     return out
 
 
-def theme_mentions(themes: DataFrame, bridge: DataFrame, titles: DataFrame, primary: DataFrame,
+def theme_mentions(themes: DataFrame, bridge: DataFrame, titles: DataFrame, countries: DataFrame,
                    idiom: str | None = None, theme: str | None = None, word: str | None = None,
                    min_mentions: int = 3) -> DataFrame:
     """A5: mentions per (idiom, theme, word, title, country) with >= ``min_mentions``.
@@ -42,7 +42,7 @@ def theme_mentions(themes: DataFrame, bridge: DataFrame, titles: DataFrame, prim
     """
     t = linked_only(_key_filter(themes, idiom, theme, word), bridge)
     pre = t.groupBy("IMDB", "IDIOM", "THEME", "WORD").agg(F.sum("COUNT").alias("_c"))
-    j = link_titles(pre, bridge, titles, primary)
+    j = link_titles(pre, bridge, titles, countries)
     g = (j.groupBy("IDIOM", "THEME", "WORD", "imdbid", "title", "_pc_country")
           .agg(F.sum("_c").alias("mentions"))
           .where(F.col("mentions") >= min_mentions))
@@ -131,9 +131,9 @@ def theme_option_tree(options: DataFrame) -> DataFrame:
     """The nested option shape as rows: one per (idiom, theme) with the idiom's
     sorted themes and the theme's sorted words.
 
-    Columns: idiom, themes array<string>, theme, words array<string>. A row
-    holds one theme's vocabulary and one idiom's theme names (both bounded by
-    option vocabulary, not by data rows); no row holds a whole idiom's words.
+    Columns: idiom, themes array<string>, theme, words array<string>. The shape gathers one
+    theme's words in a row; for an open vocabulary the scale form is the flat, sorted
+    ``options`` themselves, and this is a last step over them.
     """
     per_theme = (options.groupBy("idiom", "theme")
                         .agg(F.array_sort(F.collect_set("word")).alias("words")))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facetframe.functions import clean as C
 from facetframe.functions.rounding import round_exact, round_half_up, to_fixed
@@ -27,8 +28,7 @@ from facetframe.operators.places import classify_names
 from facetframe.plans import orders as O
 from facetframe.plans.orders import order_profile
 from facetframe.plans.profile import flatten_profile
-from facetframe.session import session_key
-from facetframe.sources.catalog import read_table
+from facetframe.sources.catalog import read_table, register_tables
 from facetframe.sources.ingest import normalise_types
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,22 +41,8 @@ def register(name: str):
     return deco
 
 
-_PLANS: dict[tuple, DataFrame] = {}
-
-
-def memo(kind: str, spark: SparkSession, base: str, build) -> DataFrame:
-    """Build a shared lazy plan once per session and folder (no data is cached;
-    every query still reads its whole tables when it runs)."""
-    key = (kind, session_key(spark), base)
-    df = _PLANS.get(key)
-    if df is None:
-        df = build()
-        _PLANS[key] = df
-    return df
-
-
 def profile(spark: SparkSession, base: str) -> DataFrame:
-    return memo("profile", spark, base, lambda: order_profile(spark, base))
+    return order_profile(spark, base)
 
 
 @register("order_profile")
@@ -216,35 +202,22 @@ LOC_SEARCH_TITLES = {"State": "de", "Region": "and"}
 
 
 def text_inputs(spark, base):
-    key = ("text", session_key(spark), base)
-    if key not in _TEXT:
-        _TEXT[key] = _text_inputs(spark, base)
-    return _TEXT[key]
-
-
-_TEXT: dict[tuple, dict] = {}
-
-
-def _text_inputs(spark, base):
     rd = lambda n: read_table(spark, base, n)
-    docs, labels = rd("documents"), rd("labels")
-    titles = O.conform_titles(rd("orders"))
-    cb = O.conform_country_bridge(rd("lineitem"), rd("supplier"), rd("nation"))
+    docs = rd("documents")
     return dict(geo=O.conform_geo(docs), themes=O.conform_themes(docs),
-                bridge=O.conform_subtitle_bridge(labels), titles=titles,
-                primary=MN.primary_country(cb), gazetteer=O.token_gazetteer(spark))
+                bridge=O.conform_subtitle_bridge(rd("labels")), titles=O.conform_titles(rd("orders")),
+                countries=O.conform_country_bridge(rd("lineitem"), rd("supplier"), rd("nation")),
+                gazetteer=O.token_gazetteer(spark))
 
 
-def token_mentions(spark, base):
+def token_mentions(spark, base, **options):
     t = text_inputs(spark, base)
-    return memo("mentions", spark, base, lambda: MN.location_mentions(
-        t["geo"], t["bridge"], t["titles"], t["primary"], t["gazetteer"]))
+    return MN.location_mentions(t["geo"], t["bridge"], t["titles"], t["countries"], t["gazetteer"], **options)
 
 
-def theme_base(spark, base):
+def theme_base(spark, base, **keys):
     t = text_inputs(spark, base)
-    return memo("themes", spark, base, lambda: TH.theme_mentions(
-        t["themes"], t["bridge"], t["titles"], t["primary"], idiom=THEME_IDIOM))
+    return TH.theme_mentions(t["themes"], t["bridge"], t["titles"], t["countries"], **keys)
 
 
 @register("token_mentions")
@@ -428,21 +401,83 @@ THEME_WORD = "the"
 
 @register("theme_filter_titles")
 def q_theme_filter_titles(spark, base):
-    t = text_inputs(spark, base)
-    rows = TH.theme_mentions(t["themes"], t["bridge"], t["titles"], t["primary"],
-                             idiom=THEME_IDIOM, word=THEME_WORD)
-    p = profile(spark, base)
-    f = filter_titles(p, FilterSpec(idiom=THEME_IDIOM, word=THEME_WORD), theme_rows=rows)
+    spec = FilterSpec(idiom=THEME_IDIOM, word=THEME_WORD)
+    rows = theme_base(spark, base, idiom=THEME_IDIOM, word=THEME_WORD)
+    f = filter_titles(profile(spark, base), spec, theme_rows=rows)
     return f.select("imdbid", "title", "genre")
 
 
+def _location_table(spark, base):
+    p = profile(spark, base)
+    return MN.mention_table(filter_mentions(token_mentions(spark, base), p, LOC_SEARCH_TABLE), p)
+
+
 @register("location_page")
 def q_location_page(spark, base):
-    p = profile(spark, base)
-    table = MN.mention_table(filter_mentions(token_mentions(spark, base), p, LOC_SEARCH_TABLE), p)
-    return PG.location_page(table, "location", "asc", page_no=2, tiebreak=("imdbid", "mentions"))
+    return PG.location_page(_location_table(spark, base), "location", "asc", page_no=2)
+
+
+@register("location_page_title")
+def q_location_page_title(spark, base):
+    return PG.location_page(_location_table(spark, base), "title", "desc", page_no=1)
 
 
 @register("people_table_by_id")
 def q_people_table_by_id(spark, base):
     return PE.people_table(profile(spark, base), "dir", key="id")
+
+
+# --- options of operators above -------------------------------------------------------
+
+
+@register("profile_ordered")
+def q_profile_ordered(spark, base):
+    """The first thousand titles of the ordered profile."""
+    p = order_profile(spark, base, order_by_title=True)
+    return p.select("title", "imdbid").limit(1000)
+
+
+@register("token_mentions_top")
+def q_token_mentions_top(spark, base):
+    return token_mentions(spark, base, limit=200)
+
+
+@register("facet_values_years")
+def q_facet_values_years(spark, base):
+    return FA.facet_values(profile(spark, base), "years").select(F.col("value").cast("bigint").alias("value"))
+
+
+@register("facet_values_fallback")
+def q_facet_values_fallback(spark, base):
+    """No profile row has a region in the set, so the domain comes from the region table."""
+    empty = profile(spark, base).where(F.col("region") == "nowhere")
+    names = read_table(spark, base, "region").select(F.col("r_name").alias("value"))
+    return FA.facet_values(empty, "regions", fallback=names)
+
+
+@register("registered_views")
+def q_registered_views(spark, base):
+    """IO1: the tables as views, queried by name."""
+    register_tables(spark, base, ["nation", "region"])
+    return spark.sql("SELECT r_name, count(*) AS nations FROM nation JOIN region "
+                     "ON n_regionkey = r_regionkey GROUP BY r_name")
+
+
+@register("ingest_declared")
+def q_ingest_declared(spark, base):
+    """IO4: one declared column converts throughout, the other holds text and stays text."""
+    part = _part_texts(read_table(spark, base, "part")).select(
+        "p_partkey", F.col("p_partkey").cast("string").alias("key_txt"), "rating_txt")
+    return normalise_types(part, {"key_txt": T.LongType(), "rating_txt": T.DoubleType()})
+
+
+def _theme_page_by(sort: str, dir_: str):
+    def q(spark, base):
+        return TH.theme_page(theme_base(spark, base), sort, dir_, page_no=0)
+    return q
+
+
+for _sort in ("title", "idiom", "theme", "word"):
+    for _dir in ("asc", "desc"):
+        QUERIES[f"theme_page_{_sort}_{_dir}"] = _theme_page_by(_sort, _dir)
+QUERIES["theme_page_mentions_asc"] = _theme_page_by("mentions", "asc")

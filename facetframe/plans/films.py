@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from facetframe.plans.profile import ProfileTables, build_profile
-from facetframe.sources.catalog import read_table
+from facetframe.sources.catalog import FILM_TABLES, read_table
 
 
 def film_tables_from(frames: dict[str, DataFrame]) -> ProfileTables:
@@ -18,10 +18,7 @@ def film_tables_from(frames: dict[str, DataFrame]) -> ProfileTables:
 
 
 def film_frames(spark: SparkSession, base: str) -> dict[str, DataFrame]:
-    names = ["country", "ml_imdb", "director", "writer", "movie_imdb", "movie_country",
-             "movie_ml_genre", "movie_imdb_genre", "movie_director", "movie_writer",
-             "movie_rating", "subtitle_geo", "subtitle_theme"]
-    return {n: read_table(spark, base, n) for n in names}
+    return {n: read_table(spark, base, n) for n in FILM_TABLES}
 
 
 def film_profile(frames: dict[str, DataFrame], order_by_title: bool = False) -> DataFrame:

@@ -34,7 +34,7 @@ def conform_titles(orders: DataFrame) -> DataFrame:
     return orders.select(
         F.col("o_orderkey").alias("IMDBID"),
         F.col("o_orderkey").alias("MOVIEID"),
-        F.concat(F.lower(F.substring("o_orderpriority", 3, 100)), F.lit(" order "),
+        F.concat(F.lower(F.substring(F.col("o_orderpriority"), F.lit(3), F.length("o_orderpriority"))), F.lit(" order "),
                  F.col("o_orderkey").cast("string")).alias("TITLE"),
         F.when(F.col("o_orderstatus") == "P", F.lit("series")).otherwise(F.lit("movie")).alias("TYPE"),
         F.when(_mod("o_orderkey", 31) == 0, F.lit("false")).otherwise(F.lit("true")).alias("RESPONSE"),
@@ -168,16 +168,16 @@ def order_profile(spark: SparkSession, base: str, order_by_title: bool = False)
 # the letter runs of the lower-cased text; idiom = upper(lang), theme = source.
 
 
-def letter_runs(text, letters: str = "A-Za-z"):
-    """The maximal runs of ``letters`` in ``text`` (split on the complement, empties dropped)."""
-    return F.array_remove(F.split(text, f"[^{letters}]+"), "")
+def letter_runs(text):
+    """The maximal runs of letters in ``text`` (split on the complement, empties dropped)."""
+    return F.array_remove(F.split(text, r"[^\p{L}]+"), "")
 
 
 def conform_geo(documents: DataFrame) -> DataFrame:
     """subtitle_geo analogue: (IMDB = doc_id, LOCATION = token, COUNT = 1 per occurrence)."""
     return documents.select(
         F.col("doc_id").alias("IMDB"),
-        F.explode(letter_runs(F.col("text"), "A-Za-z")).alias("LOCATION"),
+        F.explode(letter_runs(F.col("text"))).alias("LOCATION"),
         F.lit(1).cast("bigint").alias("COUNT"))
 
 
@@ -187,7 +187,7 @@ def conform_themes(documents: DataFrame) -> DataFrame:
         F.col("doc_id").alias("IMDB"),
         F.upper("lang").alias("IDIOM"),
         F.col("source").alias("THEME"),
-        F.explode(letter_runs(F.lower("text"), "a-z")).alias("WORD"),
+        F.explode(letter_runs(F.lower("text"))).alias("WORD"),
         F.lit(1).cast("bigint").alias("COUNT"))
 
 

@@ -24,7 +24,7 @@ from facetframe.functions import clean as C
 from facetframe.functions.rounding import round_exact
 from facetframe.functions.util import blank_to_null, or_else
 from facetframe.operators.eligibility import eligible_titles  # noqa: F401 (re-export)
-from facetframe.operators.enrich import (bridge_rollup, broadcast_if_small, count_rows,
+from facetframe.operators.enrich import (bridge_rollup, count_rows,
                                          first_per_key, lookup_with_fallback)
 
 # The fallbacks of the cleaned profile.
@@ -81,23 +81,30 @@ def country_per_title(t: ProfileTables, m: DataFrame) -> DataFrame:
         F.col("dim_REGION").alias("REGION"),
         F.coalesce("dim_COUNTRY", "COUNTRY").alias("DISPLAY"))
     return bridge_rollup(rows, "IMDBID", ["COUNTRY", "CONTINENT", "REGION"], "DISPLAY",
-                         list_alias="ALL_COUNTRIES", prefix="FC_", counted="_n")
+                         list_alias="COUNTRY_LIST", prefix="PRIMARY_", counted="_n")
 
 
 def genre_per_key(bridge: DataFrame, key: str, m: DataFrame, name: str) -> DataFrame:
     g = bridge.join(m.select(key), key, "left_semi")
-    return bridge_rollup(g, key, ["GENRE"], "GENRE", list_alias=f"ALL_{name}_GENRES",
+    return bridge_rollup(g, key, ["GENRE"], "GENRE", list_alias=f"{name}_GENRE_LIST",
                          prefix=f"{name}_")
 
 
 def people_per_title(bridge: DataFrame, people: DataFrame, id_col: str, cols: list[str],
                      m: DataFrame, prefix: str, with_list: bool) -> DataFrame:
     """First person per title (by id, then the other columns) with gender and race
-    already cleaned (C4-C6), plus the list of names when asked."""
+    already cleaned (C4-C6), plus the list of names when asked. Without a list only the
+    smallest known id per title is joined to the people, not the whole bridge."""
     b = bridge.join(m.select("IMDBID"), "IMDBID", "left_semi")
-    p = b.join(people.select(*cols), id_col, "inner")
-    r = bridge_rollup(p, "IMDBID", cols, "NAME" if with_list else None,
-                      list_alias="ALL_DIRS", prefix=prefix)
+    if with_list:
+        r = bridge_rollup(b.join(people.select(*cols), id_col), "IMDBID", cols, "NAME",
+                          list_alias="DIRECTOR_LIST", prefix=prefix)
+    else:
+        known = b.join(people.select(id_col), id_col, "left_semi")
+        first = known.groupBy("IMDBID").agg(F.min(id_col).alias(id_col))
+        rest = [c for c in cols if c != id_col]
+        j = first.join(first_per_key(people.select(*cols), id_col, rest), id_col)
+        r = j.select("IMDBID", *[F.col(c).alias(prefix + c) for c in cols])
     g = F.col(prefix + "GENDER")
     if prefix + "GENDER_LLM" in r.columns:
         g = F.coalesce(g, F.col(prefix + "GENDER_LLM"))
@@ -135,68 +142,64 @@ def clean_titles(m: DataFrame) -> DataFrame:
 def assemble(t: ProfileTables) -> DataFrame:
     """The wide row per eligible title (title-level values already cleaned)."""
     m = eligible_titles(t.titles, require_parsed_rating=True)
-    fc = country_per_title(t, m)
-    fi = genre_per_key(t.imdb_genre, "IMDBID", m, "IMDB")
-    fd = people_per_title(t.director_bridge, t.directors, "DIRECTORID", DIRECTOR_COLS, m,
-                          "FD_", with_list=True)
-    fw = people_per_title(t.writer_bridge, t.writers, "WRITERID", WRITER_COLS, m,
-                          "FW_", with_list=False)
-    fg = genre_per_key(t.ml_genre, "MOVIEID", m, "ML")
-    fv = votes_per_title(t.ratings, m)
-    wide = (clean_titles(m)
-            .join(fc, "IMDBID", "left")
-            .join(fi, "IMDBID", "left")
-            .join(fd, "IMDBID", "left")
-            .join(fw, "IMDBID", "left")
-            .join(fg, "MOVIEID", "left")
-            .join(fv, "MOVIEID", "left"))
+    directors = people_per_title(t.director_bridge, t.directors, "DIRECTORID", DIRECTOR_COLS, m,
+                                 "DIRECTOR_", with_list=True)
+    writers = people_per_title(t.writer_bridge, t.writers, "WRITERID", WRITER_COLS, m,
+                               "WRITER_", with_list=False)
+    by_title = [country_per_title(t, m), genre_per_key(t.imdb_genre, "IMDBID", m, "IMDB"), directors, writers]
+    by_movie = [genre_per_key(t.ml_genre, "MOVIEID", m, "ML"), votes_per_title(t.ratings, m)]
+    wide = clean_titles(m)
+    for part in by_title:
+        wide = wide.join(part, "IMDBID", "left")
+    for part in by_movie:
+        wide = wide.join(part, "MOVIEID", "left")
     return wide
 
 
 def clean_profile(wide: DataFrame, country: DataFrame) -> DataFrame:
     """Fallback chains across the joined parts (C6-C10, C13, C14, C16, C19) and J8;
     output columns ``PROFILE_COLUMNS``."""
-    nat = broadcast_if_small(nationality_map(country))
+    nat = nationality_map(country)
     dn = nat.select(F.col("ISO").alias("_dn_iso"), F.col("COUNTRY").alias("_dn_country"),
                     F.col("REGION").alias("_dn_region"))
     wn = nat.select(F.col("ISO").alias("_wn_iso"), F.col("COUNTRY").alias("_wn_country"),
                     F.col("REGION").alias("_wn_region"))
-    w = (wide.join(dn, F.col("FD_NATIONALITY") == F.col("_dn_iso"), "left")
-             .join(wn, F.col("FW_NATIONALITY") == F.col("_wn_iso"), "left"))
+    w = (wide.join(dn, F.col("DIRECTOR_NATIONALITY") == F.col("_dn_iso"), "left")
+             .join(wn, F.col("WRITER_NATIONALITY") == F.col("_wn_iso"), "left"))
 
-    country_c = or_else("FC_COUNTRY", "_country_raw1", F.lit(UNKNOWN_COUNTRY))
-    region = F.coalesce(blank_to_null("FC_REGION"), F.lit(""))
+    country_c = or_else("PRIMARY_COUNTRY", "_country_raw1", F.lit(UNKNOWN_COUNTRY))
+    region = F.coalesce(blank_to_null("PRIMARY_REGION"), F.lit(""))
     ml_g = blank_to_null("ML_GENRE")
     imdb_g = or_else("IMDB_GENRE", "_genre_raw1")
     genre = F.coalesce(ml_g, imdb_g, F.lit(OTHER_GENRE))
-    all_genres = F.coalesce(F.col("ALL_ML_GENRES"), F.col("ALL_IMDB_GENRES"))
+    all_genres = F.coalesce(F.col("ML_GENRE_LIST"), F.col("IMDB_GENRE_LIST"))
 
     flat = w.select(
         F.col("IMDBID").alias("imdbid"),
         F.col("MOVIEID").alias("movieid"),
         F.col("TITLE").alias("title"),
-        F.coalesce(blank_to_null("FD_NAME"), F.lit("")).alias("director"),
-        F.col("FD_DIRECTORID").alias("directorid"),
-        or_else("ALL_DIRS", "FD_NAME", F.lit("")).alias("directorsAll"),
+        F.coalesce(blank_to_null("DIRECTOR_NAME"), F.lit("")).alias("director"),
+        F.col("DIRECTOR_DIRECTORID").alias("directorid"),
+        or_else("DIRECTOR_LIST", "DIRECTOR_NAME", F.lit("")).alias("directorsAll"),
         "year",
         country_c.alias("country"),
-        or_else("FC_CONTINENT", F.lit(OTHER_CONTINENT)).alias("continent"),
+        or_else("PRIMARY_CONTINENT", F.lit(OTHER_CONTINENT)).alias("continent"),
         region.alias("region"),
         ml_g.alias("_ml_g"), imdb_g.alias("_imdb_g"), genre.alias("genre"),
         all_genres.alias("_all_genres"), "_genre_spaced",
-        F.col("ALL_COUNTRIES").alias("_all_countries"),
+        F.col("COUNTRY_LIST").alias("_all_countries"),
         "rating", "ratingMl", "box", "votesImdb",
         F.when(C.truthy_number("VOTES_ML"), F.col("VOTES_ML").cast("double").cast("bigint"))
          .otherwise(F.lit(0).cast("bigint")).alias("votesMl"),
         "oscars", "otherAwards",
-        F.coalesce(F.col("FD_GENDER_C"), F.lit(C.UNKNOWN_GENDER)).alias("_d_gender"),
-        F.coalesce(F.col("FD_RACE_C"), F.lit(C.UNKNOWN_RACE)).alias("_d_race"),
-        F.col("_dn_country"), F.col("_dn_region"), F.col("FD_BIRTHYEAR").alias("_d_by"),
-        F.coalesce(blank_to_null("FW_NAME"), F.lit("")).alias("_w_name"),
-        F.col("FW_WRITERID").alias("_w_id"),
-        F.coalesce(F.col("FW_GENDER_C"), F.lit(C.UNKNOWN_GENDER)).alias("_w_gender"),
-        F.coalesce(F.col("FW_RACE_C"), F.lit(C.UNKNOWN_RACE)).alias("_w_race"),
-        F.col("_wn_country"), F.col("_wn_region"), F.col("FW_BIRTHYEAR").alias("_w_by"),
+        F.coalesce(F.col("DIRECTOR_GENDER_C"), F.lit(C.UNKNOWN_GENDER)).alias("_d_gender"),
+        F.coalesce(F.col("DIRECTOR_RACE_C"), F.lit(C.UNKNOWN_RACE)).alias("_d_race"),
+        F.col("_dn_country"), F.col("_dn_region"), F.col("DIRECTOR_BIRTHYEAR").alias("_d_by"),
+        F.coalesce(blank_to_null("WRITER_NAME"), F.lit("")).alias("_w_name"),
+        F.col("WRITER_WRITERID").alias("_w_id"),
+        F.coalesce(F.col("WRITER_GENDER_C"), F.lit(C.UNKNOWN_GENDER)).alias("_w_gender"),
+        F.coalesce(F.col("WRITER_RACE_C"), F.lit(C.UNKNOWN_RACE)).alias("_w_race"),
+        F.col("_wn_country"), F.col("_wn_region"), F.col("WRITER_BIRTHYEAR").alias("_w_by"),
     )
     return flat.select(
         "imdbid", "movieid", "title", "director", "directorid", "directorsAll", "year",

@@ -40,18 +40,20 @@ def get_spark(master: str | None = None, app: str = "facetframe",
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names a shared (distributed) folder there. Only when the
-    setting is absent, as in local tests, a scratch folder is created.
+    The cluster names a shared (distributed) folder there. Only a ``local`` master may
+    leave it unset, as in tests; then a scratch folder is created.
     """
     d = spark.conf.get(CHECKPOINT_CONF, None)
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="facetframe-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, d)
     spark.sparkContext.setCheckpointDir(d)
@@ -61,8 +63,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for materialised tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
-
-
-def session_key(spark: SparkSession) -> tuple:
-    """Identity of a live session (application id + session object), for memoising plans."""
-    return (spark.sparkContext.applicationId, id(spark))

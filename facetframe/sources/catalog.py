@@ -7,8 +7,6 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetframe.session import session_key
-
 # The catalogue's source tables.
 FILM_TABLES = [
     "country", "ml_imdb", "director", "writer",
@@ -28,22 +26,9 @@ def table_path(base: str, name: str) -> str:
     return os.path.join(base, f"{name}.parquet")
 
 
-_READS: dict[tuple, DataFrame] = {}
-
-
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """The Parquet table ``base/name.parquet`` as a DataFrame.
-
-    The DataFrame (a lazy plan, no data) is memoised per session and path, so
-    the file listing and footer reads happen once per session, not once per
-    query that uses the table.
-    """
-    key = (session_key(spark), table_path(base, name))
-    df = _READS.get(key)
-    if df is None:
-        df = spark.read.parquet(table_path(base, name))
-        _READS[key] = df
-    return df
+    """The Parquet table ``base/name.parquet`` as a DataFrame, its files listed now."""
+    return spark.read.parquet(table_path(base, name))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -20,14 +20,19 @@ FETCH_SIZE = 50_000
 
 def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str | None = None,
               bounds: tuple[int, int] | None = None, num_partitions: int | None = None,
-              fetchsize: int = FETCH_SIZE, properties: dict[str, str] | None = None) -> DataFrame:
-    """IO2: full-table read (``SELECT *``) through JDBC, sliced when a numeric
-    ``partition_column`` and its ``bounds`` are given."""
+              fetchsize: int = FETCH_SIZE, properties: dict[str, str] | None = None,
+              one_task: bool = False) -> DataFrame:
+    """IO2: full-table read (``SELECT *``) through JDBC, in slices of a numeric
+    ``partition_column`` between ``bounds``. A read through a single task must be asked for."""
+    if (partition_column is None) != (bounds is None):
+        raise ValueError("partition_column and bounds go together")
+    if bounds is None and not one_task:
+        raise ValueError("name partition_column and bounds, or ask for one_task")
     r = (spark.read.format("jdbc").option("url", url).option("dbtable", table)
               .option("fetchsize", str(fetchsize)))
     for k, v in (properties or {}).items():
         r = r.option(k, v)
-    if partition_column and bounds:
+    if bounds is not None:
         r = (r.option("partitionColumn", partition_column)
               .option("lowerBound", str(bounds[0])).option("upperBound", str(bounds[1]))
               .option("numPartitions", str(num_partitions or spark.sparkContext.defaultParallelism)))
@@ -43,29 +48,34 @@ def target_type(dt: T.DataType) -> T.DataType | None:
     if isinstance(dt, T.TimestampType):
         return T.TimestampNTZType()
     if isinstance(dt, (T.LongType, T.DoubleType, T.FloatType, T.StringType, T.DateType,
-                       T.TimestampNTZType, T.BinaryType, T.BooleanType)):
+                       T.TimestampNTZType, T.BinaryType)):
         return None
     if isinstance(dt, (T.VarcharType, T.CharType)):
         return T.StringType()
     return T.StringType()
 
 
+def failure_counts(declared: dict[str, T.DataType]) -> list:
+    """One count per declared column: non-null values that don't convert."""
+    return [F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()).alias(c)
+            for c, t in declared.items()]
+
+
 def normalise_types(df: DataFrame, declared: dict[str, T.DataType] | None = None,
-                    on_error: str = "string") -> DataFrame:
+                    on_error: str = "string", failures: dict[str, int] | None = None) -> DataFrame:
     """IO3/IO4: apply the type rule to every column.
 
     ``declared`` names a wanted type for text columns (a source that ships
     numbers as text). A declared column keeps its text type when some non-null
     value does not convert (``on_error='string'``) or raises (``'raise'``).
-    The failure counts come from one aggregate over all declared columns.
+    ``failures`` are the counts of such values (``failure_counts``); when not given
+    they are counted here, which is an action over the declared columns. An export
+    counts them on the write itself instead (``export_tables``).
     """
     declared = declared or {}
-    bad_counts = {}
-    if declared:
-        aggs = [F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()).alias(c)
-                for c, t in declared.items()]
-        row = df.agg(*aggs).first()
-        bad_counts = row.asDict() if row is not None else {}
+    bad_counts = failures
+    if bad_counts is None:
+        bad_counts = df.agg(*failure_counts(declared)).first().asDict() if declared else {}
     out = []
     for f in df.schema.fields:
         c = F.col(f.name)
@@ -110,9 +120,14 @@ STATS_SCHEMA = "table string, rows bigint, bytes bigint, seconds double, error s
 
 def export_tables(spark: SparkSession, read: Callable[[str], DataFrame], out_dir: str,
                   available: Iterable[str], tables: Iterable[str] | None = None,
-                  normalise: bool = True) -> DataFrame:
+                  normalise: bool = True,
+                  declared: dict[str, dict[str, T.DataType]] | None = None) -> DataFrame:
     """IO6/IO7: export the chosen tables (case-insensitive names) to Parquet.
 
+    ``declared`` gives wanted types of text columns per table (IO4). The source is read
+    once: values are converted and failures counted on the write; only a table with a
+    failing column is written a second time, with that column as text.
+
     One failing table does not stop the others; the result has one row per
     table with rows written (counted by an observation on the write itself),
     bytes on storage, seconds and the error text, if any.
@@ -127,13 +142,15 @@ def export_tables(spark: SparkSession, read: Callable[[str], DataFrame], out_dir
     for n in names:
         t0 = time.time()
         try:
-            df = read(n)
-            if normalise:
-                df = normalise_types(df)
+            raw, want = read(n), (declared or {}).get(n, {})
             obs = Observation(f"export_{n}")
-            path = write_table(df.observe(obs, F.count(F.lit(1)).alias("rows")), out_dir, n)
-            rows = int(obs.get["rows"])
+            seen = raw.observe(obs, F.count(F.lit(1)).alias("rows"), *failure_counts(want))
+            path = write_table(normalise_types(seen, want, failures={}) if normalise else seen, out_dir, n)
+            got = obs.get
+            rows = int(got["rows"])
+            if normalise and any(got[c] for c in want):
+                path = write_table(normalise_types(raw, want, failures=got), out_dir, n)
             stats.append((n, rows, _bytes_at(spark, path), time.time() - t0, None))
         except Exception as e:  # noqa: BLE001 - reported per table, like the source
-            stats.append((n, 0, 0, time.time() - t0, f"{type(e).__name__}: {e}"[:500]))
+            stats.append((n, 0, 0, time.time() - t0, f"{type(e).__name__}: {e}"))
     return spark.createDataFrame(stats, STATS_SCHEMA)

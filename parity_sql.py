@@ -15,8 +15,12 @@ def rx(expr: str, n: int = 1) -> str:
 NUM_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
+# Fixed value: the characters Python's str.strip() removes.
+_WS = r"[\x09-\x0D\x1C-\x20\x{85}\p{Z}]"
+
+
 def strip(expr: str) -> str:
-    return f"regexp_replace({expr}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({expr}, '^{_WS}+|{_WS}+$', '', 'g')"
 
 
 def digits(expr: str) -> str:
@@ -42,7 +46,7 @@ def int0(expr: str) -> str:
 CONFORMED = f"""
 t AS (
   SELECT o_orderkey AS IMDBID, o_orderkey AS MOVIEID,
-    lower(substr(o_orderpriority, 3, 100)) || ' order ' || CAST(o_orderkey AS VARCHAR) AS TITLE,
+    lower(substr(o_orderpriority, 3)) || ' order ' || CAST(o_orderkey AS VARCHAR) AS TITLE,
     CASE WHEN o_orderstatus = 'P' THEN 'series' ELSE 'movie' END AS TYPE,
     CASE WHEN o_orderkey % 31 = 0 THEN 'false' ELSE 'true' END AS RESPONSE,
     CAST(year(o_orderdate) AS DOUBLE) AS YEAR,
@@ -115,102 +119,83 @@ rt AS (
 )"""
 
 # --- the profile over the conformed tables --------------------------------------
+# One grouped query per bridge gives a title's first row and its list together; country
+# names and codes are looked up in two maps made once from the country table.
 PROFILE = CONFORMED + f""",
-m AS (
+eligible AS (
   SELECT *, {rx(f"CASE WHEN regexp_matches(IMDBRATING, '{NUM_RE}') THEN TRY_CAST(trim(IMDBRATING) AS DOUBLE) END")} AS RATING_NUM
   FROM t
-  WHERE TYPE = 'movie' AND IMDBRATING IS NOT NULL AND IMDBRATING <> 'N/A' AND RESPONSE = 'true'
+  WHERE RESPONSE = 'true' AND TYPE = 'movie' AND COALESCE(IMDBRATING, 'N/A') <> 'N/A'
     AND regexp_matches(IMDBRATING, '{NUM_RE}')
 ),
-fcx AS (
-  SELECT cb.IMDBID, cb.COUNTRY,
-         COALESCE(ci.CONTINENT, cn.CONTINENT) AS CONTINENT,
-         COALESCE(ci.REGION, cn.REGION) AS REGION,
-         COALESCE(ci.COUNTRY, cn.COUNTRY, cb.COUNTRY) AS DISPLAY
-  FROM cb
-  LEFT JOIN cd ci ON ci.ISO = cb.ISO
-  LEFT JOIN cd cn ON cn.COUNTRY = cb.COUNTRY AND ci.ISO IS NULL
-  WHERE cb.IMDBID IN (SELECT IMDBID FROM m)
-),
-fc AS (
-  SELECT IMDBID, COUNTRY, CONTINENT, REGION FROM (
-    SELECT *, row_number() OVER (PARTITION BY IMDBID
-      ORDER BY COUNTRY NULLS LAST, CONTINENT NULLS LAST, REGION NULLS LAST) AS rn FROM fcx)
-  WHERE rn = 1
+atlas AS (
+  SELECT map(list(ISO), list(place)) AS by_code, map(list(COUNTRY), list(place)) AS by_name
+  FROM (SELECT ISO, COUNTRY, struct_pack(country := COUNTRY, continent := CONTINENT, region := REGION) AS place FROM cd)
 ),
-fc_all AS (SELECT IMDBID, string_agg(DISPLAY, ', ' ORDER BY DISPLAY) AS ALL_COUNTRIES FROM fcx GROUP BY IMDBID),
-fg AS (
-  SELECT MOVIEID, GENRE, ALL_ML FROM (
-    SELECT MOVIEID, GENRE,
-      row_number() OVER (PARTITION BY MOVIEID ORDER BY GENRE NULLS LAST) AS rn,
-      string_agg(GENRE, ', ' ORDER BY GENRE) OVER (PARTITION BY MOVIEID) AS ALL_ML
-    FROM mlg WHERE MOVIEID IN (SELECT MOVIEID FROM m))
-  WHERE rn = 1
+title_places AS (
+  SELECT IMDBID, first(struct_pack(name := COUNTRY, continent := hit.continent, region := hit.region)
+           ORDER BY COUNTRY NULLS LAST, hit.continent NULLS LAST, hit.region NULLS LAST) AS main,
+         string_agg(COALESCE(hit.country, COUNTRY), ', ' ORDER BY COALESCE(hit.country, COUNTRY)) AS names
+  FROM (SELECT cb.IMDBID, cb.COUNTRY,
+               COALESCE((SELECT by_code FROM atlas)[cb.ISO], (SELECT by_name FROM atlas)[cb.COUNTRY]) AS hit
+        FROM cb SEMI JOIN eligible USING (IMDBID))
+  GROUP BY IMDBID
 ),
-fi AS (
-  SELECT IMDBID, GENRE, ALL_IMDB FROM (
-    SELECT IMDBID, GENRE,
-      row_number() OVER (PARTITION BY IMDBID ORDER BY GENRE NULLS LAST) AS rn,
-      string_agg(GENRE, ', ' ORDER BY GENRE) OVER (PARTITION BY IMDBID) AS ALL_IMDB
-    FROM ig WHERE IMDBID IN (SELECT IMDBID FROM m))
-  WHERE rn = 1
-),
-fdx AS (
-  SELECT db.IMDBID, dd.* FROM db JOIN dd ON db.DIRECTORID = dd.DIRECTORID
-  WHERE db.IMDBID IN (SELECT IMDBID FROM m)
+title_genres AS (
+  SELECT 'ml' AS kind, MOVIEID AS id, min(GENRE) AS main, string_agg(GENRE, ', ' ORDER BY GENRE) AS names
+  FROM mlg SEMI JOIN eligible USING (MOVIEID) GROUP BY MOVIEID
+  UNION ALL
+  SELECT 'imdb', IMDBID, min(GENRE), string_agg(GENRE, ', ' ORDER BY GENRE)
+  FROM ig SEMI JOIN eligible USING (IMDBID) GROUP BY IMDBID
 ),
-fd AS (
-  SELECT * EXCLUDE (rn) FROM (
-    SELECT *, row_number() OVER (PARTITION BY IMDBID ORDER BY DIRECTORID NULLS LAST, NAME NULLS LAST,
-      GENDER NULLS LAST, GENDER_LLM NULLS LAST, RACE NULLS LAST, BIRTHYEAR NULLS LAST,
-      NATIONALITY NULLS LAST) AS rn FROM fdx)
-  WHERE rn = 1
+title_directors AS (
+  SELECT db.IMDBID, string_agg(dd.NAME, ', ' ORDER BY dd.NAME) AS names,
+         first(dd ORDER BY dd.DIRECTORID NULLS LAST, dd.NAME NULLS LAST, dd.GENDER NULLS LAST, dd.GENDER_LLM NULLS LAST,
+               dd.RACE NULLS LAST, dd.BIRTHYEAR NULLS LAST, dd.NATIONALITY NULLS LAST) AS main
+  FROM db SEMI JOIN eligible USING (IMDBID) JOIN dd USING (DIRECTORID)
+  GROUP BY db.IMDBID
 ),
-fd_all AS (SELECT IMDBID, string_agg(NAME, ', ' ORDER BY NAME) AS ALL_DIRS FROM fdx GROUP BY IMDBID),
-fwx AS (
-  SELECT wb.IMDBID, ww.* FROM wb JOIN ww ON wb.WRITERID = ww.WRITERID
-  WHERE wb.IMDBID IN (SELECT IMDBID FROM m)
+title_writers AS (
+  SELECT lead.IMDBID, ww AS main
+  FROM (SELECT IMDBID, min(WRITERID) AS WRITERID FROM wb SEMI JOIN eligible USING (IMDBID)
+        SEMI JOIN ww USING (WRITERID) GROUP BY IMDBID) lead
+  JOIN ww USING (WRITERID)
 ),
-fw AS (
-  SELECT * EXCLUDE (rn) FROM (
-    SELECT *, row_number() OVER (PARTITION BY IMDBID ORDER BY WRITERID NULLS LAST, NAME NULLS LAST,
-      GENDER NULLS LAST, RACE NULLS LAST, BIRTHYEAR NULLS LAST, NATIONALITY NULLS LAST) AS rn FROM fwx)
-  WHERE rn = 1
+title_votes AS (
+  SELECT MOVIEID, sum(COUNT_RATING) AS VOTES_ML FROM rt SEMI JOIN eligible USING (MOVIEID) GROUP BY MOVIEID
 ),
-fv AS (SELECT MOVIEID, SUM(COUNT_RATING) AS VOTES_ML FROM rt WHERE MOVIEID IN (SELECT MOVIEID FROM m) GROUP BY MOVIEID),
 w AS (
-  SELECT m.*,
-    fc.COUNTRY AS FC_COUNTRY, fc.CONTINENT AS FC_CONTINENT, fc.REGION AS FC_REGION,
-    fc_all.ALL_COUNTRIES, fg.GENRE AS ML_GENRE, fg.ALL_ML, fi.GENRE AS IMDB_GENRE, fi.ALL_IMDB,
-    fd.DIRECTORID AS D_ID, fd.NAME AS D_NAME, COALESCE(fd.GENDER, fd.GENDER_LLM) AS D_GENDER,
-    fd.RACE AS D_RACE, fd.BIRTHYEAR AS D_BY, fd.NATIONALITY AS D_NAT, fd_all.ALL_DIRS,
-    fw.WRITERID AS W_ID, fw.NAME AS W_NAME, fw.GENDER AS W_GENDER, fw.RACE AS W_RACE,
-    fw.BIRTHYEAR AS W_BY, fw.NATIONALITY AS W_NAT, fv.VOTES_ML,
-    dn.COUNTRY AS DN_COUNTRY, dn.REGION AS DN_REGION, wn.COUNTRY AS WN_COUNTRY, wn.REGION AS WN_REGION
-  FROM m
-  LEFT JOIN fc ON fc.IMDBID = m.IMDBID
-  LEFT JOIN fc_all ON fc_all.IMDBID = m.IMDBID
-  LEFT JOIN fg ON fg.MOVIEID = m.MOVIEID
-  LEFT JOIN fi ON fi.IMDBID = m.IMDBID
-  LEFT JOIN fd ON fd.IMDBID = m.IMDBID
-  LEFT JOIN fd_all ON fd_all.IMDBID = m.IMDBID
-  LEFT JOIN fw ON fw.IMDBID = m.IMDBID
-  LEFT JOIN fv ON fv.MOVIEID = m.MOVIEID
-  LEFT JOIN cd dn ON dn.ISO = fd.NATIONALITY
-  LEFT JOIN cd wn ON wn.ISO = fw.NATIONALITY
+  SELECT e.*,
+    p.main.name AS MAIN_COUNTRY, p.main.continent AS MAIN_CONTINENT, p.main.region AS MAIN_REGION, p.names AS COUNTRY_NAMES,
+    gm.main AS ML_GENRE, gm.names AS ML_GENRES, gi.main AS IMDB_GENRE, gi.names AS IMDB_GENRES,
+    d.main.DIRECTORID AS D_ID, d.main.NAME AS D_NAME, COALESCE(d.main.GENDER, d.main.GENDER_LLM) AS D_GENDER,
+    d.main.RACE AS D_RACE, d.main.BIRTHYEAR AS D_BY, d.names AS DIRECTOR_NAMES,
+    a.main.WRITERID AS W_ID, a.main.NAME AS W_NAME, a.main.GENDER AS W_GENDER, a.main.RACE AS W_RACE,
+    a.main.BIRTHYEAR AS W_BY, v.VOTES_ML,
+    (SELECT by_code FROM atlas)[d.main.NATIONALITY].country AS D_COUNTRY,
+    (SELECT by_code FROM atlas)[d.main.NATIONALITY].region AS D_REGION,
+    (SELECT by_code FROM atlas)[a.main.NATIONALITY].country AS W_COUNTRY,
+    (SELECT by_code FROM atlas)[a.main.NATIONALITY].region AS W_REGION
+  FROM eligible e
+  LEFT JOIN title_places p USING (IMDBID)
+  LEFT JOIN title_genres gm ON gm.kind = 'ml' AND gm.id = e.MOVIEID
+  LEFT JOIN title_genres gi ON gi.kind = 'imdb' AND gi.id = e.IMDBID
+  LEFT JOIN title_directors d USING (IMDBID)
+  LEFT JOIN title_writers a USING (IMDBID)
+  LEFT JOIN title_votes v USING (MOVIEID)
 ),
 c1 AS (
   SELECT w.*,
     CASE WHEN YEAR IS NOT NULL AND YEAR <> 0 THEN CAST(trunc(YEAR) AS INTEGER) END AS Y,
-    COALESCE(NULLIF(FC_COUNTRY, ''), NULLIF({strip("split_part(COALESCE(COUNTRY, ''), ',', 1)")}, ''), 'Unknown') AS CTRY,
-    COALESCE(NULLIF(FC_REGION, ''), '') AS RGN,
+    COALESCE(NULLIF(MAIN_COUNTRY, ''), NULLIF({strip("split_part(COALESCE(COUNTRY, ''), ',', 1)")}, ''), 'Unknown') AS CTRY,
+    COALESCE(NULLIF(MAIN_REGION, ''), '') AS RGN,
     NULLIF(ML_GENRE, '') AS MLG,
     COALESCE(NULLIF(IMDB_GENRE, ''), NULLIF({strip("split_part(COALESCE(GENRE, ''), ',', 1)")}, '')) AS IMG
   FROM w
 ),
 c2 AS (
   SELECT c1.*, COALESCE(MLG, IMG, 'Other') AS GEN,
-    COALESCE(NULLIF(COALESCE(ALL_ML, ALL_IMDB), ''), NULLIF(replace(COALESCE(GENRE, ''), ',', ', '), '')) AS GALL
+    COALESCE(NULLIF(COALESCE(ML_GENRES, IMDB_GENRES), ''), NULLIF(replace(COALESCE(GENRE, ''), ',', ', '), '')) AS GALL
   FROM c1
 ),
 profile AS (
@@ -218,17 +203,17 @@ profile AS (
     IMDBID AS imdbid, MOVIEID AS movieid, TITLE AS title,
     COALESCE(NULLIF(D_NAME, ''), '') AS director,
     D_ID AS directorid,
-    COALESCE(NULLIF(ALL_DIRS, ''), NULLIF(D_NAME, ''), '') AS directorsAll,
+    COALESCE(NULLIF(DIRECTOR_NAMES, ''), NULLIF(D_NAME, ''), '') AS directorsAll,
     Y AS year,
     CTRY AS country,
-    COALESCE(NULLIF(ALL_COUNTRIES, ''), CTRY) AS countriesAll,
+    COALESCE(NULLIF(COUNTRY_NAMES, ''), CTRY) AS countriesAll,
     GEN AS genre,
     CASE WHEN GALL IS NOT NULL THEN {strip("GALL")} ELSE GEN END AS genresAll,
     COALESCE(MLG, GEN) AS mlGenre,
     COALESCE(IMG, GEN) AS imdbGenre,
     RATING_NUM AS rating,
     {rx(f"{digits('BOXOFFICE')} / 1000000.0", 2)} AS box,
-    COALESCE(NULLIF(FC_CONTINENT, ''), 'Other') AS continent,
+    COALESCE(NULLIF(MAIN_CONTINENT, ''), 'Other') AS continent,
     RGN AS region,
     RATING_NUM AS ratingImdb,
     {rx("RATING_NUM / 2.0", 1)} AS ratingMl,
@@ -241,16 +226,16 @@ profile AS (
       + {int0('EMMY_WINNING')} + {int0('EMMY_NOMINATION')} AS otherAwards,
     {gender('D_GENDER')} AS dir_gender,
     {race('D_RACE')} AS dir_race,
-    COALESCE(NULLIF(DN_COUNTRY, ''), CTRY) AS dir_country,
-    COALESCE(NULLIF(DN_REGION, ''), RGN) AS dir_region,
+    COALESCE(NULLIF(D_COUNTRY, ''), CTRY) AS dir_country,
+    COALESCE(NULLIF(D_REGION, ''), RGN) AS dir_region,
     CASE WHEN Y IS NOT NULL AND Y <> 0 AND D_BY IS NOT NULL AND D_BY <> 0
          THEN Y - CAST(trunc(D_BY) AS INTEGER) END AS dir_age,
     COALESCE(NULLIF(W_NAME, ''), '') AS wri_name,
     W_ID AS wri_id,
     {gender('W_GENDER')} AS wri_gender,
     {race('W_RACE')} AS wri_race,
-    COALESCE(NULLIF(WN_COUNTRY, ''), CTRY) AS wri_country,
-    COALESCE(NULLIF(WN_REGION, ''), RGN) AS wri_region,
+    COALESCE(NULLIF(W_COUNTRY, ''), CTRY) AS wri_country,
+    COALESCE(NULLIF(W_REGION, ''), RGN) AS wri_region,
     CASE WHEN Y IS NOT NULL AND Y <> 0 AND W_BY IS NOT NULL AND W_BY <> 0
          THEN Y - CAST(trunc(W_BY) AS INTEGER) END AS wri_age
   FROM c2
@@ -266,9 +251,16 @@ SQL: dict[str, str] = {}
 SQL["order_profile"] = with_profile("SELECT * FROM profile")
 
 
-def mean1(sum_expr: str, n_expr: str) -> str:
-    """Exact one-decimal mean of tenths rounded half up (non-negative sums)."""
-    return f"(CASE WHEN ({n_expr}) > 0 THEN ((2 * ({sum_expr}) + ({n_expr})) // (2 * ({n_expr}))) / 10.0 END)"
+def mean_fixed(sum_tenths: str, n: str) -> str:
+    """The mean over an exact sum of tenths, as JavaScript's toFixed(1) gives it."""
+    x = f"(({sum_tenths})::DOUBLE / 10.0 / ({n})::DOUBLE)"
+    return (f"CASE WHEN ({n}) > 0 THEN CASE WHEN abs({x}) * 4.0 = floor(abs({x}) * 4.0) "
+            f"THEN sign({x}) * floor(abs({x}) * 10.0 + 0.5) / 10.0 ELSE {rx(x)} END END")
+
+
+def mean_half(sum_tenths: str, n: str) -> str:
+    """The mean over an exact sum of tenths, rounded as floor(10 x + 0.5) / 10."""
+    return f"CASE WHEN ({n}) > 0 THEN floor(({sum_tenths})::DOUBLE / 10.0 / ({n})::DOUBLE * 10.0 + 0.5) / 10.0 END"
 
 
 def t10(expr: str) -> str:
@@ -286,8 +278,8 @@ SELECT count(*) AS films, (SELECT count(*) FROM profile) AS films_all,
   count(DISTINCT country) AS countries,
   CAST(COALESCE(sum(votesImdb), 0) AS BIGINT) AS votes_imdb,
   CAST(COALESCE(sum(votesMl), 0) AS BIGINT) AS votes_ml,
-  COALESCE({mean1(f"sum({t10('ratingImdb')})", "count(*)")}, 0.0) AS mean_rating_imdb,
-  COALESCE({mean1(f"sum({t10('ratingMl')})", "count(*)")}, 0.0) AS mean_rating_ml,
+  COALESCE({mean_fixed(f"sum({t10('ratingImdb')})", "count(*)")}, 0.0) AS mean_rating_imdb,
+  COALESCE({mean_fixed(f"sum({t10('ratingMl')})", "count(*)")}, 0.0) AS mean_rating_ml,
   CAST(COALESCE(sum(oscars), 0) AS BIGINT) AS oscars,
   CAST(COALESCE(sum(otherAwards), 0) AS BIGINT) AS other_awards
 FROM profile WHERE year IN (1996, 1997, 1998) AND wri_race IN ('WHITE', 'UNKNOWN')""")
@@ -370,8 +362,8 @@ SQL["breakdown_gender"] = with_profile(breakdown_sql("profile", "wri_gender", ["
 SQL["breakdown_segment"] = breakdown_sql("customer", "c_mktsegment",
                                          ["AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", ""])
 
-BANDS = [("<=20", 0, 20), ("21-30", 21, 30), ("31-40", 31, 40), ("41-50", 41, 50),
-         ("51-60", 51, 60), (">60", 61, 999)]
+BANDS = [("> 60", 61, 999), ("51 a 60", 51, 60), ("41 a 50", 41, 50), ("31 a 40", 31, 40),
+         ("21 a 30", 21, 30), ("ate 20", 0, 20)]
 
 
 def pyramid_sql(role: str) -> str:
@@ -388,7 +380,7 @@ SQL["age_pyramid_wri"] = pyramid_sql("wri")
 SQL["country_rollup_best"] = with_profile(f"""
 SELECT country, count(*) AS films, CAST(sum(votesMl) AS BIGINT) AS votes_ml,
   first(title ORDER BY rating DESC, title ASC, imdbid ASC) AS top_title,
-  {mean1(f"sum({t10('rating')})", "count(*)")} AS mean_rating,
+  {mean_fixed(f"sum({t10('rating')})", "count(*)")} AS mean_rating,
   CAST(sum(CAST(box AS DECIMAL(20, 2))) AS DOUBLE) AS box
 FROM profile GROUP BY country""")
 
@@ -417,8 +409,8 @@ def people_sql(role: str) -> str:
     first({role}_country {o}) AS nationality, first({role}_race {o}) AS race,
     CAST(first(year - {role}_age {o}) FILTER (WHERE {role}_age IS NOT NULL AND year IS NOT NULL) AS BIGINT) AS birthYear,
     count(*) AS count, CAST(sum(votesImdb) AS BIGINT) AS votesImdb, CAST(sum(votesMl) AS BIGINT) AS votesMl,
-    {mean1(f"sum({t10('rating')})", "count(*)")} AS ratingImdb,
-    {mean1(f"sum(COALESCE({t10('ratingMl')}, 0))", "count(*)")} AS ratingMl,
+    {mean_half(f"sum({t10('rating')})", "count(*)")} AS ratingImdb,
+    {mean_half(f"sum(COALESCE({t10('ratingMl')}, 0))", "count(*)")} AS ratingMl,
     CAST(sum(oscars) AS BIGINT) AS oscars, CAST(sum(otherAwards) AS BIGINT) AS otherAwards
   FROM profile WHERE {name} IS NOT NULL AND {name} <> '' GROUP BY {name})"""
 
@@ -446,17 +438,14 @@ UNION SELECT 'continents', continent FROM profile WHERE continent IS NOT NULL AN
 UNION SELECT 'regions', region FROM profile WHERE region IS NOT NULL AND region <> ''
 UNION SELECT 'countries', country FROM profile WHERE country IS NOT NULL AND country NOT IN ('', 'Unknown')""")
 
-def clamped_page_sql(source: str, cols: str, order: str, page_no: int, size: int = 50) -> str:
-    """Rows of page ``page_no`` (clamped to the last page) in ``order``."""
-    pg = f"least({page_no}, CAST(greatest(1, ceil(total / {size})) AS BIGINT) - 1)"
-    return (f", ranked AS (SELECT *, row_number() OVER (ORDER BY {order}) AS rn, count(*) OVER () AS total "
-            f"FROM {source})\nSELECT {cols} FROM ranked WHERE rn > {pg} * {size} AND rn <= {pg} * {size} + {size}")
+def page_sql(source: str, cols: str, order: str, page_no: int, size: int = 50) -> str:
+    return f"\nSELECT {cols} FROM {source} ORDER BY {order} LIMIT {size} OFFSET {page_no * size}"
 
 
-SQL["page_sorted"] = with_profile(clamped_page_sql(
+SQL["page_sorted"] = with_profile(page_sql(
     "profile", "imdbid, title, rating, year", "rating DESC NULLS LAST, imdbid ASC", 3))
 
-SQL["page_people"] = with_profile(people_sql("wri") + "\n" + clamped_page_sql(
+SQL["page_people"] = with_profile(people_sql("wri") + "\n" + page_sql(
     "people", "name, id, birthYear, count", "birthYear ASC NULLS LAST, name ASC NULLS LAST, id ASC NULLS LAST", 1))
 
 SQL["page_info"] = with_profile("""
@@ -469,7 +458,7 @@ SELECT CAST(least(10000, pages - 1) AS BIGINT) AS page,
 
 def title_case_sql(x: str) -> str:
     step = ("lambda acc, ch: {'o': acc.o || CASE WHEN acc.p AND NOT regexp_matches(ch, '^\\s$') "
-            "THEN upper(ch) ELSE ch END, 'p': CASE WHEN acc.p AND NOT regexp_matches(ch, '^\\s$') "
+            "THEN replace(upper(ch), 'ẞ', 'SS') ELSE ch END, 'p': CASE WHEN acc.p AND NOT regexp_matches(ch, '^\\s$') "
             "THEN false ELSE regexp_matches(ch, '^[\\s\\-/]$') END}")
     return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN {x} = '' THEN '' ELSE "
             f"list_reduce(string_split(lower({x}), ''), {step}, {{'o': '', 'p': true}}).o END)")
@@ -490,23 +479,24 @@ GAZ = [
 _gaz_values = ", ".join(f"('{a}', '{b}', '{c}', {d})" for a, b, c, d in GAZ)
 
 TEXT = CONFORMED + f""",
-geo AS (SELECT doc_id AS IMDB, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS LOCATION, 1 AS COUNT FROM documents),
+geo AS (SELECT doc_id AS IMDB, unnest(regexp_extract_all(text, '\\p{{L}}+')) AS LOCATION, 1 AS COUNT FROM documents),
 th AS (SELECT doc_id AS IMDB, upper(lang) AS IDIOM, source AS THEME,
-              unnest(regexp_extract_all(lower(text), '[a-z]+')) AS WORD, 1 AS COUNT FROM documents),
+              unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS WORD, 1 AS COUNT FROM documents),
 br AS (SELECT doc_id AS IMDBID, doc_id AS MOVIEID FROM labels
        UNION ALL SELECT doc_id, doc_id FROM labels WHERE toxic = 1),
-pc AS (SELECT IMDBID, min(COUNTRY) AS COUNTRY FROM cb GROUP BY IMDBID),
-mi AS (SELECT * FROM t WHERE TYPE = 'movie' AND RESPONSE = 'true'),
+linked AS (
+  SELECT br.IMDBID AS IMDB, t.IMDBID AS imdbid, t.TITLE AS title,
+         (SELECT min(cb.COUNTRY) FROM cb WHERE cb.IMDBID = t.IMDBID) AS home
+  FROM br JOIN t ON t.MOVIEID = br.MOVIEID WHERE t.TYPE = 'movie' AND t.RESPONSE = 'true'),
 gaz AS (SELECT * FROM (VALUES {_gaz_values}) g(name, loc_type, source, priority)),
 gz AS (SELECT source, lower({strip('name')}) AS key,
               first(loc_type ORDER BY priority DESC, loc_type DESC) AS loc_type
        FROM gaz GROUP BY source, lower({strip('name')})),
-la AS (SELECT IMDB, LOCATION, sum(COUNT) AS mentions FROM geo GROUP BY IMDB, LOCATION HAVING sum(COUNT) >= 2),
-lrows AS (
-  SELECT la.LOCATION AS location, CAST(la.mentions AS BIGINT) AS mentions, mi.IMDBID AS imdbid,
-         mi.TITLE AS title, COALESCE(NULLIF(pc.COUNTRY, ''), 'Unknown') AS country
-  FROM la JOIN br ON br.IMDBID = la.IMDB JOIN mi ON mi.MOVIEID = br.MOVIEID
-  LEFT JOIN pc ON pc.IMDBID = mi.IMDBID),
+located AS (
+  SELECT g.LOCATION AS location, g.mentions, linked.imdbid, linked.title,
+         COALESCE(NULLIF(linked.home, ''), 'Unknown') AS country
+  FROM (SELECT IMDB, LOCATION, CAST(count(*) AS BIGINT) AS mentions FROM geo GROUP BY ALL) g
+  JOIN linked USING (IMDB) WHERE g.mentions >= 2),
 cls AS (
   SELECT n.name, n.key, COALESCE(a.loc_type, m1.loc_type, m2.loc_type, 'Other') AS locType,
          {title_case_sql('n.name')} AS label
@@ -517,21 +507,16 @@ cls AS (
   LEFT JOIN gz m1 ON m1.source = 'main' AND m1.key = n.key
   LEFT JOIN gz m2 ON m2.source = 'main' AND m2.key = n.sk),
 tm AS (
-  SELECT lrows.location, cls.locType, cls.label, lrows.mentions, lrows.imdbid, lrows.title, lrows.country
-  FROM lrows LEFT JOIN cls ON cls.name = lrows.location),
-tbase AS (
-  SELECT th.IDIOM AS idiom, th.THEME AS theme, th.WORD AS word, CAST(sum(th.COUNT) AS BIGINT) AS mentions,
-         mi.IMDBID AS imdbid, mi.TITLE AS title, COALESCE(pc.COUNTRY, 'Unknown') AS country
-  FROM th JOIN br ON br.IMDBID = th.IMDB JOIN mi ON mi.MOVIEID = br.MOVIEID
-  LEFT JOIN pc ON pc.IMDBID = mi.IMDBID
-  WHERE th.IDIOM = 'EN'
-  GROUP BY th.IDIOM, th.THEME, th.WORD, mi.IMDBID, mi.TITLE, pc.COUNTRY
-  HAVING sum(th.COUNT) >= 3),
-topt AS (
-  SELECT th.IDIOM AS idiom, th.THEME AS theme, th.WORD AS word
-  FROM th JOIN br ON br.IMDBID = th.IMDB JOIN mi ON mi.MOVIEID = br.MOVIEID
-  WHERE th.IDIOM IS NOT NULL
-  GROUP BY th.IDIOM, th.THEME, th.WORD HAVING sum(th.COUNT) >= 3)"""
+  SELECT located.location, cls.locType, cls.label, located.mentions, located.imdbid, located.title, located.country
+  FROM located LEFT JOIN cls ON cls.name = located.location),
+themed AS (
+  SELECT th.IDIOM AS idiom, th.THEME AS theme, th.WORD AS word, linked.imdbid, linked.title, linked.home,
+         CAST(count(*) AS BIGINT) AS mentions
+  FROM th JOIN linked USING (IMDB) GROUP BY ALL),
+tbase AS (SELECT idiom, theme, word, mentions, imdbid, title, COALESCE(home, 'Unknown') AS country
+          FROM themed WHERE mentions >= 3),
+topt AS (SELECT idiom, theme, word FROM themed WHERE idiom IS NOT NULL
+         GROUP BY idiom, theme, word HAVING sum(mentions) >= 3)"""
 
 
 def with_text(select_sql: str) -> str:
@@ -670,24 +655,22 @@ SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey,
 FROM orders"""
 
 SQL["theme_filter_titles"] = with_text_profile("""
-, tb2 AS (
-  SELECT mi.IMDBID AS imdbid
-  FROM th JOIN br ON br.IMDBID = th.IMDB JOIN mi ON mi.MOVIEID = br.MOVIEID
-  LEFT JOIN pc ON pc.IMDBID = mi.IMDBID
-  WHERE th.IDIOM = 'EN' AND th.WORD = 'the'
-  GROUP BY th.IDIOM, th.THEME, th.WORD, mi.IMDBID, mi.TITLE, pc.COUNTRY
-  HAVING sum(th.COUNT) >= 3)
-SELECT imdbid, title, genre FROM profile WHERE imdbid IN (SELECT imdbid FROM tb2)""")
-
-SQL["location_page"] = with_text_profile(f"""
+SELECT imdbid, title, genre FROM profile
+WHERE imdbid IN (SELECT imdbid FROM tbase WHERE idiom = 'EN' AND word = 'the')""")
+
+_LOCATION_TABLE = f"""
 , mt AS (
   SELECT tm.imdbid, COALESCE(p.title, tm.title) AS title,
     COALESCE(COALESCE(NULLIF(p.countriesAll, ''), p.country), COALESCE(NULLIF(tm.country, ''), 'Unknown')) AS countries,
     tm.label AS location, COALESCE(tm.locType, 'Other') AS locType, tm.mentions
   FROM tm JOIN profile p ON p.imdbid = tm.imdbid
   WHERE {_LOC_TABLE})
-""" + clamped_page_sql("mt", "imdbid, title, countries, location, locType, mentions",
-                       "location ASC NULLS LAST, imdbid ASC NULLS LAST, mentions ASC NULLS LAST", 2))
+"""
+_LOCATION_COLS = "imdbid, title, countries, location, locType, mentions"
+SQL["location_page"] = with_text_profile(_LOCATION_TABLE + page_sql(
+    "mt", _LOCATION_COLS, "location ASC NULLS LAST, imdbid, mentions, title, countries, locType", 2))
+SQL["location_page_title"] = with_text_profile(_LOCATION_TABLE + page_sql(
+    "mt", _LOCATION_COLS, "title DESC NULLS FIRST, imdbid, location, mentions, countries, locType", 1))
 
 SQL["people_table_by_id"] = with_profile(f"""
 , pid AS (
@@ -696,8 +679,28 @@ SQL["people_table_by_id"] = with_profile(f"""
     first(dir_country ORDER BY title, imdbid) AS nationality, first(dir_race ORDER BY title, imdbid) AS race,
     CAST(first(year - dir_age ORDER BY title, imdbid) FILTER (WHERE dir_age IS NOT NULL AND year IS NOT NULL) AS BIGINT) AS birthYear,
     count(*) AS count, CAST(sum(votesImdb) AS BIGINT) AS votesImdb, CAST(sum(votesMl) AS BIGINT) AS votesMl,
-    {mean1(f"sum({t10('rating')})", "count(*)")} AS ratingImdb,
-    {mean1(f"sum(COALESCE({t10('ratingMl')}, 0))", "count(*)")} AS ratingMl,
+    {mean_half(f"sum({t10('rating')})", "count(*)")} AS ratingImdb,
+    {mean_half(f"sum(COALESCE({t10('ratingMl')}, 0))", "count(*)")} AS ratingMl,
     CAST(sum(oscars) AS BIGINT) AS oscars, CAST(sum(otherAwards) AS BIGINT) AS otherAwards
   FROM profile WHERE director IS NOT NULL AND director <> '' GROUP BY directorid)
 SELECT * FROM pid""")
+
+
+SQL["profile_ordered"] = with_profile("""
+SELECT title, imdbid FROM profile ORDER BY title NULLS LAST LIMIT 1000""")
+SQL["token_mentions_top"] = with_text("""
+, top AS (SELECT * FROM located ORDER BY mentions DESC, imdbid, location LIMIT 200)
+SELECT top.location, cls.locType, cls.label, top.mentions, top.imdbid, top.title, top.country
+FROM top LEFT JOIN cls ON cls.name = top.location""")
+SQL["facet_values_years"] = with_profile(
+    "SELECT DISTINCT CAST(year AS BIGINT) AS value FROM profile WHERE year IS NOT NULL ORDER BY value")
+SQL["facet_values_fallback"] = "SELECT DISTINCT r_name AS value FROM region WHERE r_name IS NOT NULL ORDER BY value"
+SQL["registered_views"] = ("SELECT r_name, count(*) AS nations FROM nation JOIN region "
+                           "ON n_regionkey = r_regionkey GROUP BY r_name")
+SQL["ingest_declared"] = f"WITH {_PART_TEXTS}\nSELECT p_partkey, p_partkey AS key_txt, rating_txt FROM pt"
+_THEME_KEYS = ("idiom", "theme", "word", "imdbid", "title", "country", "mentions")
+for _sort, _dir in [(s, d) for s in ("title", "idiom", "theme", "word", "mentions") for d in ("asc", "desc")]:
+    _ties = ", ".join(c for c in _THEME_KEYS if c != _sort)
+    SQL[f"theme_page_{_sort}_{_dir}"] = with_text(
+        f"SELECT * FROM tbase ORDER BY {_sort} {_dir.upper()} NULLS LAST, {_ties} LIMIT 50")
+del SQL["theme_page_mentions_desc"]

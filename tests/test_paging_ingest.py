@@ -1,4 +1,4 @@
-"""Paging properties, ingest/export, streaming, and plan shape."""
+"""Paging properties, ingest/export and plan shape."""
 
 import os
 import tempfile
@@ -77,24 +77,6 @@ def test_export_tables(spark, films):
     assert back.count() == 4 and dict(back.dtypes)["COUNT_RATING"] == "bigint"
 
 
-def test_streaming_rating_votes(spark, films):
-    from facetframe.streaming.incremental import rating_votes, read_table_stream, start
-    src = tempfile.mkdtemp(prefix="facetframe-stream-")
-    films["movie_rating"].write.mode("append").parquet(src)
-    schema = "MOVIEID long, RATING double, COUNT_RATING long"
-    name = "rating_votes_" + os.path.basename(src).replace("-", "_")
-    q = start(rating_votes(read_table_stream(spark, src, schema)), name, spark,
-              checkpoint=tempfile.mkdtemp(prefix="facetframe-stream-ckpt-"))
-    try:
-        q.processAllAvailable()
-        films["movie_rating"].write.mode("append").parquet(src)
-        q.processAllAvailable()
-        got = {r.rating: r.votes for r in spark.table(name).collect()}
-        assert got == {3.0: 200, 3.5: 10, 4.0: 20, 4.5: 14}
-    finally:
-        q.stop()
-
-
 def test_plan_shape(spark, films):
     """Filters reach the Parquet scan, small dimensions are broadcast, no Python in the plan."""
     from facetframe.plans.films import film_profile
@@ -111,20 +93,54 @@ def test_plan_shape(spark, films):
         assert bad not in plan
 
 
-def test_streaming_mention_totals(spark, films):
-    from facetframe.streaming.incremental import mention_totals, read_table_stream, start
-    src = tempfile.mkdtemp(prefix="facetframe-stream-geo-")
-    films["subtitle_geo"].write.mode("append").parquet(src)
-    name = "mentions_" + os.path.basename(src).replace("-", "_")
-    q = start(mention_totals(read_table_stream(spark, src, "IMDB string, LOCATION string, COUNT long")),
-              name, spark, checkpoint=tempfile.mkdtemp(prefix="facetframe-stream-ckpt-"))
-    try:
-        q.processAllAvailable()
-        first = {(r.IMDB, r.LOCATION): r.mentions for r in spark.table(name).collect()}
-        assert first[("tt01", "Madrid")] == 1                      # below the threshold so far
-        films["subtitle_geo"].write.mode("append").parquet(src)
-        q.processAllAvailable()
-        second = {(r.IMDB, r.LOCATION): r.mentions for r in spark.table(name).collect()}
-        assert second[("tt01", "Madrid")] == 2 and second[("tt01", "Paris")] == 4
-    finally:
-        q.stop()
+def test_page_after_returns_every_row_once(spark):
+    rows = [(n, y, i) for i, (n, y) in enumerate([("a", 1), ("b", None), ("a", None), ("c", 2), ("b", 1),
+                                                  (None, 2), ("d", None), ("a", 2)])]
+    df = spark.createDataFrame(rows, "name string, year int, id int")
+    for dir_ in ("asc", "desc"):
+        seen, after = [], None
+        while True:
+            page = PG.page_after(df, "year", dir_, after, 3, ("name", "id")).collect()
+            if not page:
+                break
+            seen += [r.id for r in page]
+            after = (page[-1].year, page[-1].name, page[-1].id)
+        assert sorted(seen) == list(range(8))
+        full = PG.page(df, "year", dir_, 0, 100, ("name", "id"), "person").collect()
+        assert seen == [r.id for r in full]
+
+
+def test_collation_is_an_option(spark):
+    df = spark.createDataFrame([("Zola", 1), ("Émile", 2), ("emma", 3), ("Fay", 4)], "title string, imdbid int")
+    order = lambda c: [r.imdbid for r in PG.page(df, "title", "asc", 0, 9, ("imdbid",), collation=c).collect()]
+    assert order(None) == [4, 1, 3, 2]
+    assert order("UNICODE") == [2, 3, 4, 1]
+
+
+def test_read_table_sees_appended_rows(spark):
+    from facetframe.sources.catalog import read_table
+    base = tempfile.mkdtemp(prefix="facetframe-append-")
+    one = spark.range(3)
+    one.write.parquet(f"{base}/t.parquet")
+    assert read_table(spark, base, "t").count() == 3
+    one.write.mode("append").parquet(f"{base}/t.parquet")
+    assert read_table(spark, base, "t").count() == 6
+
+
+def test_jdbc_read_needs_slices(spark):
+    import pytest
+    from facetframe.sources.ingest import read_jdbc
+    with pytest.raises(ValueError):
+        read_jdbc(spark, "jdbc:none", "t")
+    with pytest.raises(ValueError):
+        read_jdbc(spark, "jdbc:none", "t", partition_column="id")
+
+
+def test_export_decides_declared_types_on_the_write(spark):
+    src = spark.createDataFrame([("1", "2.5"), ("2", "x"), (None, "3")], "a string, b string")
+    out = tempfile.mkdtemp(prefix="facetframe-declared-")
+    stats = export_tables(spark, lambda n: src, out, ["t"], declared={"t": {"a": T.LongType(), "b": T.DoubleType()}})
+    assert stats.first().rows == 3
+    back = spark.read.parquet(f"{out}/t.parquet")
+    assert dict(back.dtypes) == {"a": "bigint", "b": "string"}
+    assert sorted((r.b for r in back.collect())) == ["2.5", "3", "x"]

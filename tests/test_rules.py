@@ -110,3 +110,28 @@ def test_first_of_list_and_all_genres(spark):
                     C.all_genres("l", C.spaced_list("raw"), "g").alias("a")).collect()
     assert [(r.f, r.a) for r in out] == [("Action", "Action,  Drama"), (None, "Comedy, Drama"),
                                          (None, "Other"), (None, ",  x")]
+
+
+def test_means_follow_the_rules(spark):
+    """M3 for headline figures and countries, M2 for people, on exact sums."""
+    from facetframe.functions.rounding import round_half_up, to_fixed
+    from facetframe.operators.common import mean_of_tenths
+
+    def fixed(x):  # nearest one-decimal value of the exact binary value, ties away from zero
+        return float(Decimal(x).quantize(Decimal("0.1"), rounding=ROUND_HALF_UP))
+
+    assert fixed(12.7 / 2) == 6.3
+    pairs = []
+
+    @settings(max_examples=300, deadline=None, database=None)
+    @given(st.lists(st.integers(10, 100), min_size=1, max_size=7))
+    def gather(values):
+        pairs.append((sum(values), len(values)))
+    gather()
+    pairs += [(127, 2), (25, 2), (0, 1)]
+    m = mean_of_tenths(F.col("s"), F.col("n"))
+    rows = spark.createDataFrame(pairs, "s long, n long").select("s", "n", to_fixed(m).alias("m3"),
+                                                                 round_half_up(m).alias("m2")).collect()
+    for r in rows:
+        x = r.s / 10.0 / r.n
+        assert r.m3 == fixed(x) and r.m2 == math.floor(x * 10 + 0.5) / 10

@@ -9,8 +9,7 @@ from facetframe.operators.places import classify_names
 
 
 def _inputs(films):
-    primary = MN.primary_country(films["movie_country"])
-    return films["subtitle_geo"], films["ml_imdb"], films["movie_imdb"], primary
+    return films["subtitle_geo"], films["ml_imdb"], films["movie_imdb"], films["movie_country"]
 
 
 def test_classification_precedence(spark, gazetteer):
@@ -98,3 +97,35 @@ def test_rating_distribution(films):
     got = [(r.rating, r.votes) for r in rating_distribution(films["movie_rating"]).collect()]
     assert got == [(3.0, 100), (3.5, 5), (4.0, 10), (4.5, 7)]
     assert F is not None
+
+
+def test_active_searches_need_their_rows(film_profile):
+    import pytest
+    with pytest.raises(ValueError):
+        filter_titles(film_profile, FilterSpec(loc_search={"City": "x"}))
+    with pytest.raises(ValueError):
+        filter_titles(film_profile, FilterSpec(word="x"))
+
+
+def test_theme_spec_is_applied_inside(films, film_profile):
+    geo, bridge, titles, countries = _inputs(films)
+    rows = TH.theme_mentions(films["subtitle_theme"], bridge, titles, countries)
+    themes = {r.theme for r in rows.select("theme").collect()}
+    for theme in themes:
+        want = {r.imdbid for r in rows.where(F.col("theme") == theme).collect()}
+        got = {r.imdbid for r in filter_titles(film_profile, FilterSpec(theme=theme), theme_rows=rows).collect()}
+        assert got == {r.imdbid for r in film_profile.collect()} & want
+
+
+def test_classification_does_not_shuffle_names(spark):
+    from facetframe.plans import analogues
+    from tests.conftest import SF_SMALL
+    plan = analogues.QUERIES["token_mentions"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not [x for x in exchanges if "hashpartitioning(LOCATION" in x or "hashpartitioning(_key" in x
+                              or "hashpartitioning(location" in x]
+
+
+def test_names_are_stripped_of_unicode_space(spark, gazetteer):
+    names = spark.createDataFrame([("\xa0Paris\u2003",)], "location string")
+    assert classify_names(names, gazetteer).first().locType == "City"
