@@ -15,19 +15,18 @@ from facetframe.llm import language, minhash, mixing, packing, substring_dedup
 from facetframe.llm.common import shared_table, ship_package
 from facetframe.sources.catalog import table_path
 
-# A text is rejected if it has no letter, or if on average less than this share of a word's
-# evidence speaks for the predicted language (chance is one in the number of languages).
-MIN_LANGUAGE_SCORE = 0.3
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE_TOKENS = 4096
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told stay; a missing label is filled in."""
+    """Documents whose language can be told stay; a missing label is filled in. Rejected are texts
+    without a letter, and texts whose words speak for the predicted language less than by
+    chance, one in the number of languages."""
     ship_package(spark)
     model = language.learn(docs)
     out = language.predict(docs, model, carry=tuple(docs.columns), prefix="__")
-    known = (F.col("__lang_pred") != language.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)
+    known = (F.col("__lang_pred") != language.UNKNOWN) & (F.col("__score") >= 1 / max(1, len(model.langs)))
     return (out.where(known).withColumn("lang", F.coalesce("lang", "__lang_pred"))
             .select(*docs.columns))
 
