@@ -1,4 +1,4 @@
-"""Plan-shape summary of every registered query (initial adaptive plan, sf folder given).
+"""Plan-shape summary of every catalogue query (initial adaptive plan, sf folder given).
 
 For each query: shuffles (Exchange), broadcasts, join strategies, aggregates,
 Parquet scans with pushed filters, and any Python/cartesian operators.
@@ -14,7 +14,7 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-import __spark_entry__ as E  # noqa: E402
+from facetframe.plans.analogues import QUERIES  # noqa: E402
 from facetframe.session import get_spark  # noqa: E402
 
 NODES = ["Exchange", "BroadcastExchange", "BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin",
@@ -30,7 +30,7 @@ def main() -> None:
           "into broadcast joins at run time once sizes are measured. Counts are operator nodes.\n")
     print("| query | Exchange | Broadcast | BHJ | SMJ | Agg (hash/object/sort) | scans (with pushed filters) | Python/cartesian |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- |")
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         plan = fn(spark, sf)._jdf.queryExecution().executedPlan().toString()
         c = {n: len(re.findall(r"(?<![A-Za-z])" + n + r"(?![A-Za-z])", plan)) for n in NODES}
         scans = re.findall(r"FileScan parquet[^\n]*", plan)
