@@ -28,9 +28,12 @@ from facetframe.operators.places import classify_names
 from facetframe.plans import orders as O
 from facetframe.plans.orders import order_profile
 from facetframe.plans.profile import flatten_profile
-from facetframe.sources.catalog import read_table, register_tables
+from facetframe.sources.catalog import read_table, register_tables, while_unchanged
 from facetframe.sources.ingest import normalise_types
 
+PROFILE_TABLES = ["orders", "lineitem", "part", "supplier", "customer", "nation", "region"]
+TEXT_TABLES = ["documents", "labels", "orders", "lineitem", "supplier", "nation"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -42,7 +45,7 @@ def register(name: str):
 
 
 def profile(spark: SparkSession, base: str) -> DataFrame:
-    return order_profile(spark, base)
+    return while_unchanged(spark, base, PROFILE_TABLES, "profile", lambda: order_profile(spark, base))
 
 
 @register("order_profile")
@@ -211,13 +214,17 @@ def text_inputs(spark, base):
 
 
 def token_mentions(spark, base, **options):
-    t = text_inputs(spark, base)
-    return MN.location_mentions(t["geo"], t["bridge"], t["titles"], t["countries"], t["gazetteer"], **options)
+    def build():
+        t = text_inputs(spark, base)
+        return MN.location_mentions(t["geo"], t["bridge"], t["titles"], t["countries"], t["gazetteer"], **options)
+    return while_unchanged(spark, base, TEXT_TABLES, f"mentions {sorted(options.items())}", build)
 
 
 def theme_base(spark, base, **keys):
-    t = text_inputs(spark, base)
-    return TH.theme_mentions(t["themes"], t["bridge"], t["titles"], t["countries"], **keys)
+    def build():
+        t = text_inputs(spark, base)
+        return TH.theme_mentions(t["themes"], t["bridge"], t["titles"], t["countries"], **keys)
+    return while_unchanged(spark, base, TEXT_TABLES, f"themes {sorted(keys.items())}", build)
 
 
 @register("token_mentions")

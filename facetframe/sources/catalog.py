@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+import weakref
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,9 +27,34 @@ def table_path(base: str, name: str) -> str:
     return os.path.join(base, f"{name}.parquet")
 
 
+# Lazy plans by session, kept while the files they were listed from stay as they are.
+_PLANS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def table_stamp(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """(modification time, bytes, files) of a table: changes with every write to it."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    inside = fs.getContentSummary(hpath)
+    return fs.getFileStatus(hpath).getModificationTime(), inside.getLength(), inside.getFileCount()
+
+
+def while_unchanged(spark: SparkSession, base: str, names: Iterable[str], kind: str,
+                    build: Callable[[], DataFrame]) -> DataFrame:
+    """The lazy plan ``build`` makes over tables of ``base``, built once per session and again
+    after any of the tables was written. No data is kept."""
+    stamp = tuple(table_stamp(spark, table_path(base, n)) for n in names)
+    kept = _PLANS.setdefault(spark, {})
+    if kept.get((kind, base), (None,))[0] != stamp:
+        kept[kind, base] = (stamp, build())
+    return kept[kind, base][1]
+
+
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """The Parquet table ``base/name.parquet`` as a DataFrame, its files listed now."""
-    return spark.read.parquet(table_path(base, name))
+    """The Parquet table ``base/name.parquet`` as a DataFrame."""
+    return while_unchanged(spark, base, [name], f"table {name}",
+                           lambda: spark.read.parquet(table_path(base, name)))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
