@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetframe.llm import language, minhash, mixing, packing, substring_dedup
-from facetframe.llm.common import shared_table, ship_package
+from facetframe.llm.common import shared_table, prepare_workers
 from facetframe.sources.catalog import table_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -23,7 +23,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents whose language can be told stay; a missing label is filled in. Rejected are texts
     without a letter, and texts whose words speak for the predicted language less than by
     chance, one in the number of languages."""
-    ship_package(spark)
+    prepare_workers(spark)
     model = language.learn(docs)
     out = language.predict(docs, model, carry=tuple(docs.columns), prefix="__")
     known = (F.col("__lang_pred") != language.UNKNOWN) & (F.col("__score") >= 1 / max(1, len(model.langs)))
@@ -33,7 +33,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id."""
-    ship_package(spark)
+    prepare_workers(spark)
     gone = (minhash.near_duplicates(docs).where(~F.col("kept"))
             .select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(gone, docs.doc_id == gone["__gone"], "left_anti")
@@ -41,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of words go from the texts; texts left without a word go."""
-    ship_package(spark)
+    prepare_workers(spark)
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     out = substring_dedup.remove_repeats(docs, carry=rest, with_text=True)
     cut = F.col("n_removed") > 0
@@ -57,7 +57,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where every piece of every document lies in which sequence."""
-    ship_package(spark)
+    prepare_workers(spark)
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), capacity=SEQUENCE_TOKENS)
 
 

@@ -6,7 +6,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,12 +86,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 _SHIPPED: set[str] = set()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers.
+# Rows per Arrow batch between Spark and the Python workers, where the session has Spark's own
+# default: texts are long, and a batch is held whole on both sides.
+_BATCH_ROWS, _DEFAULT_BATCH_ROWS = "1000", "10000"
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-    Nothing to do where the workers already find it (installed, on PYTHONPATH, or local
+
+def prepare_workers(spark: SparkSession) -> None:
+    """Small Arrow batches, and this package importable in the Python workers.
+
+    Nothing to ship where the workers already find it (installed, on PYTHONPATH, or local
     workers started in its folder); else Spark distributes a zip of it, once per application.
     """
+    if spark.conf.get(_BATCH_CONF) == _DEFAULT_BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, _BATCH_ROWS)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     sc = spark.sparkContext
@@ -100,3 +110,29 @@ def ship_package(spark: SparkSession) -> None:
     base = os.path.join(tempfile.mkdtemp(prefix="facetframe-"), "facetframe-package")
     sc.addPyFile(shutil.make_archive(base, "zip", root, "facetframe"))
     _SHIPPED.add(sc.applicationId)
+
+
+_KEPT: dict[tuple, object] = {}
+
+
+def keep_in_worker(key: tuple, build: Callable[[], object]) -> object:
+    """An object a worker process keeps between tasks (a tokenizer, a scorer). Only the last
+    one is kept, so the stages of a pipeline do not add up in reused workers."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
+def byte_groups(column: pa.Array, most: int = 1 << 21) -> Iterator[list[bytes]]:
+    """The texts of a column as UTF-8 (null: empty), in groups of about ``most`` bytes."""
+    group, size = [], 0
+    for t in column:
+        group.append((t.as_py() or "").encode())
+        size += len(group[-1])
+        if size >= most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group

@@ -28,10 +28,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facetframe.llm.common import byte_groups, keep_in_worker
 from facetframe.llm.hashing import span_hashes, unit_spans
 
-_KNOWN_UNITS = 600_000
-_CHUNK_BYTES = 1 << 22
+_KNOWN_UNITS = 500_000
 _LETTERS = regex.compile(r"\p{L}+")
 UNKNOWN = "und"
 
@@ -80,7 +80,7 @@ class _Scorer:
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.rows = np.zeros((0, 2 * len(self.model.langs) + 1))
+        self.rows = np.zeros((0, 2 * len(self.model.langs) + 1), dtype=np.float32)
 
     def _row(self, unit: bytes) -> np.ndarray:
         k = len(self.model.langs)
@@ -107,7 +107,8 @@ class _Scorer:
         if len(self.keys):
             new = self.keys[np.minimum(where, len(self.keys) - 1)] != distinct
         if new.any():
-            rows = np.array([self._row(data[a:z]) for a, z in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+            rows = np.array([self._row(data[a:z]) for a, z in zip(start[first[new]].tolist(), end[first[new]].tolist())],
+                            dtype=np.float32)
             keys = np.concatenate((self.keys, distinct[new]))
             order = np.argsort(keys, kind="stable")
             self.keys, self.rows = keys[order], np.concatenate((self.rows, rows))[order]
@@ -119,7 +120,7 @@ class _Scorer:
         total = np.zeros((len(texts), 2 * k + 1))
         if len(some):
             for c in range(2 * k + 1):
-                total[some, c] = np.add.reduceat(self.rows[:, c][at], begin[some])
+                total[some, c] = np.add.reduceat(self.rows[:, c][at], begin[some], dtype=np.float64)
         return [self._verdict(t) for t in total]
 
     def _verdict(self, total: np.ndarray) -> tuple[str, float]:
@@ -130,15 +131,9 @@ class _Scorer:
         return self.model.langs[best], float(min(1.0, total[k + best] / total[2 * k]))
 
 
-_SCORERS: dict[str, _Scorer] = {}
-
-
 def _scorer(model: LanguageModel) -> _Scorer:
     """This worker process's scorer for the model, with the units met in earlier tasks."""
-    if model.name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.name] = _Scorer(model)
-    return _SCORERS[model.name]
+    return keep_in_worker(("language", model.name), lambda: _Scorer(model))
 
 
 def in_fold(id_col: Column, folds: int, fold: int) -> Column:
@@ -204,15 +199,7 @@ def _predict(model: LanguageModel, names: list[str], prefix: str, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(model)
         for b in batches:
-            got, group, size = [], [], 0
-            for t in b.column(text_at):
-                group.append((t.as_py() or "").encode())
-                size += len(group[-1])
-                if size >= _CHUNK_BYTES:
-                    got += scorer.texts(group)
-                    group, size = [], 0
-            if group:
-                got += scorer.texts(group)
+            got = [v for group in byte_groups(b.column(text_at)) for v in scorer.texts(group)]
             yield pa.record_batch(b.columns[:len(names)] + [pa.array([g[0] for g in got], pa.string()),
                                           pa.array([g[1] for g in got], pa.float64())],
                                   names=names + [f"{prefix}lang_pred", f"{prefix}score"])

@@ -26,6 +26,7 @@ tokenizers whose pre-tokenizer drops ASCII white space and cuts between letters
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -35,13 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetframe.llm.common import shared_table
+from facetframe.llm.common import byte_groups, keep_in_worker, shared_table
 from facetframe.llm.hashing import span_hashes, unit_spans
 
-_KNOWN_UNITS = 1_500_000
-_CHUNK_BYTES = 1 << 22
+_KNOWN_UNITS = 1_000_000
 _GLUE = "\x01"  # joins units for one library call; its token marks where a unit ends
 
+def _one_word(unit: str) -> bool:
+    return unit.isalpha() and unit.lower().isalpha() or not unit.strip(".,;:!?")
+
+
 class UnitIds:
     """Token ids of whole texts from those of their units, which are looked up by 64-bit hash
     in sorted arrays; the library tokenises every unit when it is first met."""
@@ -55,6 +59,14 @@ class UnitIds:
         self.glue = self._ids(_GLUE)
         if len(self.glue) != 1:
             raise ValueError("the glue character must be one token")
+        # a unit of letters or of punctuation alone is one word to the model, and ends with
+        # the only token that carries the end-of-word suffix, where the model has one
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -70,20 +82,33 @@ class UnitIds:
         ids, sizes = [], []
         for i in range(0, len(units), 2000):
             group = [u.decode() for u in units[i:i + 2000]]
+            if self.ends is not None and all(map(_one_word, group)):
+                got = np.array(self._ids(" ".join(group)), dtype="<u4")
+                cut = np.concatenate(([-1], np.flatnonzero(self.ends[got])))
+                if len(cut) == len(group) + 1:  # every unit has at least one end: so each has one
+                    ids.append(got)
+                    sizes.append(np.diff(cut))
+                    continue
             if any(_GLUE in u for u in group):
                 each = [self._ids(u) for u in group]
                 ids.append(np.array([x for e in each for x in e], dtype="<u4"))
                 sizes.append(np.array([len(e) for e in each], dtype=np.int64))
-                continue
-            got = np.array(self._ids(f" {_GLUE} ".join(group)), dtype="<u4")
-            mark = got == self.glue[0]
-            ids.append(got[~mark])
-            cut = np.concatenate(([-1], np.flatnonzero(mark), [len(got)]))
-            sizes.append(np.diff(cut) - 1)
+            else:
+                got = np.array(self._ids(f" {_GLUE} ".join(group)), dtype="<u4")
+                mark = got == self.glue[0]
+                ids.append(got[~mark])
+                cut = np.concatenate(([-1], np.flatnonzero(mark), [len(got)]))
+                sizes.append(np.diff(cut) - 1)
         return np.concatenate(ids), np.concatenate(sizes)
 
     def _learn(self, keys: np.ndarray, units: list[bytes]) -> None:
-        ids, size = self._encode(units)
+        plain = np.array([_one_word(u.decode()) for u in units])
+        order = np.argsort(~plain, kind="stable")  # the library's calls hold plain units alone, or others
+        units = [units[i] for i in order]
+        keys = keys[order]
+        n = int(plain.sum())
+        done = [self._encode(u) for u in (units[:n], units[n:]) if u]
+        ids, size = (np.concatenate(x) for x in zip(*done))
         at = np.cumsum(size) - size + len(self.ids)
         all_keys = np.concatenate((self.keys, keys))
         order = np.argsort(all_keys, kind="stable")
@@ -120,26 +145,9 @@ class UnitIds:
             yield ids[a:z].tobytes()
 
 
-_LOADED: dict[str, UnitIds] = {}
-
-
 def unit_ids(path: str) -> UnitIds:
     """The tokenizer of this worker process, with what it has learned in earlier tasks."""
-    if path not in _LOADED:
-        _LOADED[path] = UnitIds(path)
-    return _LOADED[path]
-
-
-def _by_bytes(texts: list[bytes]) -> Iterator[list[bytes]]:
-    group, size = [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t)
-        if size >= _CHUNK_BYTES:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+    return keep_in_worker(("units", path), lambda: UnitIds(path))
 
 
 def _piece_batches(path: str, end_id: int, capacity: int):
@@ -149,9 +157,8 @@ def _piece_batches(path: str, end_id: int, capacity: int):
         words = unit_ids(path)
         for b in batches:
             ids = b.column(0).cast(pa.int64()).to_pylist()
-            texts = [(t.as_py() or "").encode() for t in b.column(1)]
             rows, i = [], 0
-            for group in _by_bytes(texts):
+            for group in byte_groups(b.column(1)):
                 for tokens in words.texts(group):
                     tokens += end
                     for p, at in enumerate(range(0, len(tokens), 4 * capacity)):

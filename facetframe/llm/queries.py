@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from facetframe.llm import katz, language, licenses, minhash, mixing, packing, quality, search, substring_dedup, token_count
-from facetframe.llm.common import ship_package
+from facetframe.llm.common import prepare_workers
 from facetframe.sources.catalog import table_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare_workers(spark)
     return spark.read.parquet(table_path(sf_dir, "documents"))
 
 

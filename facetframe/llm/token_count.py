@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetframe.llm.common import keep_in_worker
+
 _SPACE = "▁"
 _MAX_STATES = 200_000
 _MAX_SEGMENTS = 400_000
@@ -213,14 +215,9 @@ class CountTransducer:
         return self._count_part(head) + (n or 0) + self._count_part(tail)
 
 
-_MACHINES: dict[str, CountTransducer] = {}
-
-
 def transducer(path: str) -> CountTransducer:
     """The model's transducer in this process, with the states built so far."""
-    if path not in _MACHINES:
-        _MACHINES[path] = CountTransducer(path)
-    return _MACHINES[path]
+    return keep_in_worker(("transducer", path), lambda: CountTransducer(path))
 
 
 def _count_batches(path: str):
