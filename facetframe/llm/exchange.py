@@ -58,22 +58,30 @@ def told(rows: list[tuple]) -> pa.Table:
                  (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))
 
 
+def unpacked(column: pa.ChunkedArray, read, kind) -> tuple[np.ndarray, list[int]]:
+    """All blobs of a column behind one another, and how many numbers each held."""
+    sizes = [len(x.as_buffer()) // 8 for x in column]
+    out, at = np.empty(sum(sizes), dtype=kind), 0
+    for x, n in zip(column, sizes):
+        out[at:at + n] = read(x.as_buffer())
+        at += n
+    return out, sizes
+
+
 class Bucket:
     """The entries all parts sent to one bucket, of one kind, summed by key."""
 
     def __init__(self, table: pa.Table, kind: int, values=np.int64):
         t = table.filter(pc.equal(table.column("kind"), kind)).sort_by("part")
         self.parts = t.column("part").to_pylist()
-        keys = [unpack_keys(k) for k in t.column("keys").to_pylist()]
-        self.sizes = [len(k) for k in keys]
-        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        self.each = np.concatenate([numbers(c, values) for c in t.column("counts").to_pylist()]
-                                   or [np.zeros(0, values)])
-        self.order = np.argsort(key, kind="stable")  # equal keys in part order
+        key, self.sizes = unpacked(t.column("keys"), unpack_keys, np.uint64)
+        self.order = np.argsort(key, kind="stable").astype(np.uint32)  # equal keys in part order
         key = key[self.order]
         self.new = np.ones(len(key), dtype=bool)
         self.new[1:] = key[1:] != key[:-1]
-        self.group = np.cumsum(self.new) - 1
+        del key
+        self.group = np.cumsum(self.new, dtype=np.uint32) - np.uint32(1)
+        self.each, _ = unpacked(t.column("counts"), lambda d: numbers(d, values), values)
 
     def totals(self) -> np.ndarray:
         at = np.flatnonzero(self.new)

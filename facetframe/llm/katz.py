@@ -30,15 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetframe.llm.common import n_buckets, n_parts
-from facetframe.llm.exchange import (SENT, TOLD, Answers, Bucket, numbers, pack_keys, planes, sent, slices,
-                                     told, total)
+from facetframe.llm.common import n_parts
+from facetframe.llm.exchange import (SENT, TOLD, Answers, Bucket, numbers, pack_keys, planes, sent, slices, told)
 from facetframe.llm.hashing import mix, word_hashes
 
 _END, _START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 _TOP = 5  # counts above are not discounted
-_CORPUS, _TYPES, _PAIRS, _CONTEXTS = -1, 0, 1, 2
+_TYPES, _PAIRS, _CONTEXTS = 0, 1, 2
 
 
 class _Part:
@@ -46,47 +45,64 @@ class _Part:
 
     def __init__(self, table: pa.Table):
         self.number = table.column("part")[0].as_py()
-        hashes = [np.append(word_hashes((t or "").encode().lower()), _END)
-                  for t in table.column("text").to_pylist()]
+        hashes = [np.append(word_hashes((t.as_py() or "").encode().lower()), _END) for t in table.column("text")]
         self.length = np.array([len(h) for h in hashes], dtype=np.int64)
         self.token = np.concatenate(hashes)
+        del hashes
         self.first = np.concatenate(([0], np.cumsum(self.length)[:-1])).astype(np.int64)
         self.context = np.empty_like(self.token)
         self.context[1:] = self.token[:-1]
         self.context[self.first] = _START
         self.pair = mix(self.context * _PAIR + self.token)
-        train = ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-        self.train = np.repeat(train, self.length)
-        self.types, self.pairs = np.unique(self.token), np.unique(self.pair)
+        held = table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        self.held = np.repeat(held, self.length)
 
-    def counts(self, keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), dtype=np.int64)
-        seen, n = np.unique(x[self.train], return_counts=True)
-        out[np.searchsorted(keys, seen)] = n
-        return out
+    def counts(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct values, ascending, and how often each occurs in training documents."""
+        keys, n = np.unique(x, return_counts=True)
+        held, m = np.unique(x[self.held], return_counts=True)
+        n[np.searchsorted(keys, held)] -= m
+        return keys, n.astype(np.int64)
 
 
 def _send_counts(buckets: int):
     def run(table: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         p = _Part(table)
         rows = []
-        for kind, keys, x in ((_TYPES, p.types, p.token), (_PAIRS, p.pairs, p.pair)):
-            n = p.counts(keys, x)
+        for kind, x in ((_TYPES, p.token), (_PAIRS, p.pair)):
+            keys, n = p.counts(x)
             rows += [(b, p.number, kind, pack_keys(keys[s]), planes(n[s])) for b, s in slices(keys, buckets)]
         return sent(rows)
     return run
 
 
-_STATS = ("n_types long, n_tokens long, " + ", ".join(f"t{r} long" for r in range(1, _TOP + 2))
-          + ", " + ", ".join(f"p{r} long" for r in range(1, _TOP + 2)))
+def _statistics(types: np.ndarray, pairs: np.ndarray) -> dict[str, int]:
+    out = {"n_types": int((types > 0).sum()), "n_tokens": int(types.sum())}
+    for name, x in (("t", types), ("p", pairs)):
+        out |= {f"{name}{r}": int((x == r).sum()) for r in range(1, _TOP + 2)}
+    return out
 
 
-def _statistics(table: pa.Table) -> pa.Table:
-    t, p = Bucket(table, _TYPES).totals(), Bucket(table, _PAIRS).totals()
-    out = {"n_types": int((t > 0).sum()), "n_tokens": int(t.sum())}
-    for name, x in (("t", t), ("p", p)):
-        out |= {f"{name}{r}": int((x == r).sum()) for r in range(1, _TOP + 2)}
-    return pa.table({k: pa.array([v], pa.int64()) for k, v in out.items()})
+def _answer(parts: int):
+    """For one bucket: every part's totals, for pairs with their owner, and, in that place of
+    the types' answer, the bucket's corpus numbers. These go to all parts."""
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        b = Bucket(table, _PAIRS)
+        pairs = b.totals()
+        all_told = b.back(pairs)
+        own = np.zeros(len(all_told), dtype=bool)
+        own[b.order] = b.new
+        rows = [(p, bucket, _PAIRS, planes(t), np.packbits(o).tobytes())
+                for p, t, o in zip(b.parts, b.split(all_told), b.split(own))]
+        b = Bucket(table, _TYPES)
+        types = b.totals()
+        numbers_here = json.dumps(_statistics(types, pairs)).encode()
+        rows += [(p, bucket, _TYPES, planes(t), numbers_here) for p, t in zip(b.parts, b.split(b.back(types)))]
+        rows += [(p, bucket, _TYPES, b"", numbers_here) for p in set(range(parts)) - set(b.parts)]
+        return told(rows)
+    return run
 
 
 def discounts(ones: list[int]) -> np.ndarray:
@@ -126,8 +142,11 @@ class _Model:
 
 
 def _model(answers: Answers) -> _Model:
-    (row, _), = answers.rows[_CORPUS]
-    return _Model(json.loads(row))
+    corpus: dict[str, int] = {}
+    for _, numbers_there in answers.rows[_TYPES]:
+        for k, v in json.loads(numbers_there).items():
+            corpus[k] = corpus.get(k, 0) + v
+    return _Model(corpus)
 
 
 def _contexts(p: _Part) -> np.ndarray:
@@ -142,12 +161,14 @@ def _send_masses(buckets: int):
         p, a = _Part(left), Answers(right)
         m = _model(a)
         c_type, c_pair = a.numbers(_TYPES), a.numbers(_PAIRS)
-        _, at = np.unique(p.pair, return_index=True)
+        types, pairs = np.unique(p.token), np.unique(p.pair)
+        at = np.empty(len(pairs), dtype=np.int64)
+        at[np.searchsorted(pairs, p.pair)] = np.arange(len(p.pair))  # any occurrence of a pair
         mine = a.owned(_PAIRS) & (c_pair > 0)
         at, c = at[mine], c_pair[mine]
         keys = _contexts(p)
         where = np.searchsorted(keys, p.context[at])
-        prob = m.unigram(c_type[np.searchsorted(p.types, p.token[at])])
+        prob = m.unigram(c_type[np.searchsorted(types, p.token[at])])
         sums = [np.bincount(where, weights=w, minlength=len(keys)) for w in (m.discounted(c), prob)]
         rows = []
         for b, s in slices(keys, buckets):
@@ -184,16 +205,17 @@ def _score(left: pa.Table, right: pa.Table) -> pa.Table:
     m = _model(a)
     c_type, c_pair = a.numbers(_TYPES), a.numbers(_PAIRS)
     mass = a.numbers(_CONTEXTS, np.float64).reshape(-1, 2)
+    types, pairs = np.unique(p.token), np.unique(p.pair)
     keys = _contexts(p)
     # a context's own count: that of its type; the start mark stands as often as the end
     own = np.where(keys == _START, _END, keys)
-    n = c_type[np.searchsorted(p.types, own)]
+    n = c_type[np.searchsorted(types, own)]
     seen = mass[:, 0] / np.maximum(n, 1)
     left_over = np.maximum(1 - seen, 1 / (n + 1.0))
     scale = np.where(seen > 0, (1 - left_over) / np.where(seen > 0, seen, 1), 0)
     alpha = np.where(n > 0, left_over / np.maximum(1 - mass[:, 1], m.unseen), 1.0)
-    ct = c_type[np.searchsorted(p.types, p.token)]
-    cp = c_pair[np.searchsorted(p.pairs, p.pair)]
+    ct = c_type[np.searchsorted(types, p.token)]
+    cp = c_pair[np.searchsorted(pairs, p.pair)]
     v = np.searchsorted(keys, p.context)
     uni = m.unigram(ct)
     prob = np.where(cp > 0, scale[v] * m.discounted(cp) / np.maximum(n[v], 1), alpha[v] * uni)
@@ -211,20 +233,14 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id",
     """One row per document, learned from those not ``held_out``: (id_col, held_out, n_tokens,
     n_known, train_tokens, base_score, score); scores are log10 probabilities."""
     parts = n_parts(docs.sparkSession)
+    buckets = max(1, parts // 3)  # pairs are many: smaller buckets than other operators'
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(
         F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"),
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(parts)).cast("int").alias("part")).groupBy("part")
-    counts = texts.applyInArrow(_send_counts(n_buckets(parts)), SENT)
-    totals = counts.groupBy("bucket").applyInArrow(total, TOLD)
-    names = [x.split()[0] for x in _STATS.split(", ")]
-    stats = counts.groupBy("bucket").applyInArrow(_statistics, _STATS).agg(
-        *[F.sum(x).alias(x) for x in names])
-    # the one row of corpus numbers goes to every part
-    corpus = stats.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("bucket"),
-                          F.lit(_CORPUS).alias("kind"), F.to_json(F.struct(*names)).cast("binary").alias("totals"), F.lit(None).cast("binary").alias("owned"))
-    answers = totals.unionAll(corpus)
-    masses = (texts.cogroup(answers.groupBy("part")).applyInArrow(_send_masses(n_buckets(parts)), SENT)
+    counts = texts.applyInArrow(_send_counts(buckets), SENT)
+    answers = counts.groupBy("bucket").applyInArrow(_answer(parts), TOLD)
+    masses = (texts.cogroup(answers.groupBy("part")).applyInArrow(_send_masses(buckets), SENT)
               .groupBy("bucket").applyInArrow(_sum_masses, TOLD))
     return (texts.cogroup(answers.unionAll(masses).groupBy("part"))
             .applyInArrow(_score, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
