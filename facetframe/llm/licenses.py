@@ -3,8 +3,10 @@
 A text is cut into units at line ends and after sentence ends. A unit is normalised to
 lower-case words of letters and digits; its distinct word bigrams (the word itself for a
 single word) are compared to those of every template whose size allows the threshold:
-``Dice >= t`` needs ``min / max >= t / (2 - t)`` of the two sizes. Units that share no bigram with
-any template are dropped before that.
+``Dice >= t`` needs ``min / max >= t / (2 - t)`` of the two sizes, and at least that part of the template's bigrams
+must be in the unit. So some words of every template, its anchors, cover enough of its bigrams
+that a match holds one of them: texts, and then units, without any anchor as a whole word are
+passed over before they are cut and normalised.
 
 All of it is one projection per row in built-in functions: no shuffle, no join, and no group
 that could be skewed; the templates are a literal bounded by the fixed list below.
@@ -49,6 +51,10 @@ TEMPLATES = [
 ]
 
 
+# Fixed value: words too common in running text to be anchors where another will do.
+COMMON = frozenset("a and any are as by for from has in is it may not of or that the this to under with you".split())
+
+
 def units(text: Column) -> Column:
     """The text's lines, cut again after sentence ends that white space follows."""
     return F.split(F.regexp_replace(text, r"([.!?])[ \t]+", "$1\n"), "\n", -1)
@@ -70,6 +76,26 @@ def _template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(" ".join(p) for p in zip(words, words[1:])))
 
 
+def anchors(threshold: float) -> list[str]:
+    """Words one of which is in every unit that reaches the threshold with any template."""
+    out: list[str] = []
+    for _, text in TEMPLATES:
+        left = _template_bigrams(text)
+        needed = threshold / (2 - threshold) * len(left)
+        while len(left) >= needed - 1e-9:  # what is left could still make up a match
+            words = {w for g in left for w in g.split()}
+            covers = {w: sum(w in g.split() for g in left) for w in words}
+            word = max(words, key=lambda w: (w in out, len(w) > 1 and w not in COMMON, covers[w], len(w), w))
+            out += [] if word in out else [word]
+            left = [g for g in left if word not in g.split()]
+    return out
+
+
+def _holds_anchor(text: Column, words: list[str]) -> Column:
+    whole = "|".join(sorted(words, key=len, reverse=True))
+    return F.lower(text).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{whole})(?![\p{{L}}\p{{N}}])")
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          threshold: float = 0.8) -> DataFrame:
     """One row per unit that matches: (id_col, unit, license, template, n_bigrams, dice) with its
@@ -80,7 +106,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                    F.array(*[F.lit(g) for g in grams]).alias("grams"),
                                    F.lit(len(grams)).alias("size")) for i, name, grams in known])
     ratio = threshold / (2 - threshold)
-    u = (docs.select(F.col(id_col), F.posexplode(units(F.col(text_col))).alias("unit", "__unit"))
+    words = anchors(threshold)
+    u = (docs.where(_holds_anchor(F.col(text_col), words))
+         .select(F.col(id_col), F.posexplode(units(F.col(text_col))).alias("unit", "__unit"))
+         .where(_holds_anchor(F.col("__unit"), words))
          .select(id_col, "unit", _words(F.col("__unit")).alias("__words"))
          .select(id_col, "unit", _bigrams(F.col("__words")).alias("__grams"))
          .where(F.arrays_overlap("__grams", every))
