@@ -12,6 +12,11 @@
    pairs. A size bound drops edges that can't reach the similarity.
 4. Every edge is confirmed on the two full sets. Confirmed edges merge components; buckets
    that still span several components get stars around fresh hubs until a round links nothing.
+5. What hubs did not reach is then settled exactly: the sets of all buckets that still span
+   several components are joined on their prefixes. With the shingles ordered rarest first, two
+   sets that reach the similarity share one of the first ``n - ceil(percent n / 100) + 1``.
+   Shingles of a single component come first and need no join, so a set that has enough of
+   them is settled at once. So no two documents that share a bucket stay apart untested.
 
 At the default (256 bins, 6 rows) two sets at exactly 0.8 share no bucket with probability
 3e-6. Hot buckets are only ever aggregated with a map-side minimum and joined (splittable by
@@ -146,6 +151,43 @@ def _star_edges(members: DataFrame, labels: DataFrame | None, seed: int, percent
             .groupBy("a", "b").agg(F.max("old").alias("old")).where("old = 0").select("a", "b"))
 
 
+def _open_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: int,
+                tested: DataFrame | None) -> DataFrame:
+    """All untested pairs of different components that could link, among the documents of buckets
+    that span several components: a size-bounded prefix join on the rarest shingles."""
+    if labels is None:
+        m = members.select("bucket", "id", F.col("id").alias("c"))
+    else:
+        m = (members.join(labels, members.id == labels.node, "left")
+             .select("bucket", "id", F.coalesce("component", "id").alias("c")))
+    spans = m.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    left = m.join(spans.select("bucket"), "bucket", "left_semi").select("id", "c").distinct()
+    # rows that share an id each keep their own set
+    rest = (sets.join(left, "id").groupBy("id", "c", F.xxhash64("members").alias("part"))
+            .agg(F.first("members").alias("members")))
+    grams = shared_table(rest.select("id", "c", "part", F.size("members").alias("n"),
+                                     F.explode("members").alias("gram")), "grams")
+    met = (grams.groupBy("gram").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+           .where("lo <> hi").select("gram", "df"))
+    prefix = (grams.join(met, "gram").groupBy("id", "c", "part", "n")
+              .agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("found"))
+              .withColumn("take", F.expr(f"n - cast(ceil({percent} * n / 100D) as int) + 1 - (n - size(found))"))
+              .where("take > 0")
+              .select("id", "c", "n", F.explode(F.expr("slice(found, 1, take)")).alias("g"))
+              .select("id", "c", "n", "g.gram"))
+    prefix = shared_table(prefix, "prefixes")
+    # a shingle's largest component is on one side only, so it is never paired with itself
+    big = (prefix.groupBy("gram", "c").agg(F.count("*").alias("k")).groupBy("gram")
+           .agg(F.max_by("c", F.struct("k", "c")).alias("big"), F.count("*").alias("parts"))
+           .where("parts > 1").select("gram", "big"))
+    few = prefix.join(big, "gram").where("c <> big").select("gram", "id", "c", "n")
+    many = prefix.select("gram", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("n").alias("n2"))
+    pairs = (few.join(many, "gram").where("c <> c2")
+             .where(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
+             .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
+    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = 5, percent: int = 80, bins: int = 256, rows: int = 6) -> DataFrame:
     """One row per input row: (id_col, n_shingles, component_id, kept).
@@ -166,23 +208,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = members.select("id").distinct()
     sets = shared_table(src.join(wanted, "id", "left_semi").mapInArrow(_set_batches(shingle), _SETS), "sets")
 
-    links, labels, tested, seed = None, None, None, 0
-    while True:
-        cand = _star_edges(members, labels, seed, percent, tested)
+    def confirm(cand: DataFrame) -> DataFrame:
         both = (cand.join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
                 .join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
                 .withColumn("x", F.size(F.array_intersect("ma", "mb")))
                 .select("a", "b", (F.expr(f"100 * x >= {percent} * (size(ma) + size(mb) - x)")).alias("ok")))
-        done = shared_table(both, "edges")
+        return shared_table(both, "edges")
+
+    links, labels, tested, seed = None, None, None, 0
+    while True:
+        done = confirm(_star_edges(members, labels, seed, percent, tested))
+        tested = done.select("a", "b") if tested is None else tested.unionAll(done.select("a", "b"))
         new = done.where("ok").select("a", "b")
         if new.isEmpty():
             break
         links = new if links is None else links.unionAll(new)
-        tested = done.select("a", "b") if tested is None else tested.unionAll(done.select("a", "b"))
         labels = components(links)
         seed += 2
-    every = copies if links is None else copies.unionAll(links)
-    final = components(every)
+    last = confirm(_open_pairs(members, sets, labels, percent, tested)).where("ok").select("a", "b")
+    links = last if links is None else links.unionAll(last)
+    final = components(copies.unionAll(links))
     return (sk.join(final, sk.id == final.node, "left")
             .select(F.col("id").alias(id_col), "n_shingles",
                     F.coalesce("component", "id").alias("component_id"))
