@@ -21,8 +21,8 @@ SEQUENCE_TOKENS = 4096
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told stay; a missing label is filled in. Rejected are texts
-    without a letter, and texts whose words speak for the predicted language less than by
-    chance, one in the number of languages."""
+    without a letter, texts of whose words more than half have no known n-gram, and texts whose
+    words speak for the predicted language less than by chance, one in the number of languages."""
     prepare_workers(spark)
     model = language.learn(docs)
     out = language.predict(docs, model, carry=tuple(docs.columns), prefix="__")

@@ -8,7 +8,9 @@ its parameters, comes to the driver and goes out with the task closure.
 Prediction: a known word scores its per-language log frequency. An unseen word falls back to
 its known n-grams of the longest order that has any (mean log frequency), order by order down
 to single characters. A document gets the language with the largest sum; ``score`` is the mean
-over its words of the word's posterior for that language, 0 to 1.
+over its words of the word's posterior for that language, 0 to 1. A word without any known
+n-gram (a script that was never learned) is no evidence: it adds nothing, and a text in which
+more than half of the words are such gives ``und`` with score 0.
 
 Edge cases: null text or text without a letter gives ``und`` with score 0, and so does every
 text if nothing could be learned; ties go to the first language in code-point order; a null id
@@ -72,7 +74,7 @@ class LanguageModel:
 
 class _Scorer:
     """Sums over texts of what each unit adds: log scores and posteriors per language, and
-    the number of its runs of letters. Units met before are looked up by 64-bit hash."""
+    the numbers of its runs of letters and of those with any known n-gram. Units met before are looked up by 64-bit hash."""
 
     def __init__(self, model: LanguageModel):
         self.model = model
@@ -80,17 +82,19 @@ class _Scorer:
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.rows = np.zeros((0, 2 * len(self.model.langs) + 1), dtype=np.float32)
+        self.rows = np.zeros((0, 2 * len(self.model.langs) + 2), dtype=np.float32)
 
     def _row(self, unit: bytes) -> np.ndarray:
         k = len(self.model.langs)
-        row = np.zeros(2 * k + 1)
+        row = np.zeros(2 * k + 2)
         for run in _LETTERS.findall(unit.decode()):
             s = self.model.word_scores(run.lower())
-            p = np.exp(s - s.max())
-            row[:k] += s
-            row[k:2 * k] += p / p.sum()
             row[2 * k] += 1
+            if s.any():  # else no known n-gram: no evidence for any language
+                p = np.exp(s - s.max())
+                row[:k] += s
+                row[k:2 * k] += p / p.sum()
+                row[2 * k + 1] += 1
         return row
 
     def texts(self, texts: list[bytes]) -> list[tuple[str, float]]:
@@ -117,15 +121,15 @@ class _Scorer:
         units = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))
         begin = np.concatenate(([0], units[:-1]))
         some = np.flatnonzero(units > begin)
-        total = np.zeros((len(texts), 2 * k + 1))
+        total = np.zeros((len(texts), 2 * k + 2))
         if len(some):
-            for c in range(2 * k + 1):
+            for c in range(2 * k + 2):
                 total[some, c] = np.add.reduceat(self.rows[:, c][at], begin[some], dtype=np.float64)
         return [self._verdict(t) for t in total]
 
     def _verdict(self, total: np.ndarray) -> tuple[str, float]:
         k = len(self.model.langs)
-        if not total[2 * k]:
+        if not total[2 * k + 1] or 2 * total[2 * k + 1] < total[2 * k]:
             return UNKNOWN, 0.0
         best = int(total[:k].argmax())
         return self.model.langs[best], float(min(1.0, total[k + best] / total[2 * k]))
@@ -184,6 +188,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         g = (counts.withColumn("p", padded).where(F.length("p") >= n)
              .select("lang", "c", F.explode(F.expr(
                  f"transform(sequence(1, length(p) - {n - 1}), i -> substring(p, i, {n}))")).alias("w"))
+             .where("w not in ('^', '$')")  # in words of any script, so no evidence
              .groupBy("lang", "w").agg(F.sum("c").alias("c"))).persist()
         size = {r["lang"]: r["n"] for r in g.groupBy("lang").agg(F.sum("c").alias("n")).collect()}
         grams[n] = table(top(g, max_grams), np.array([float(size.get(x, 0)) for x in langs]), 0.5)

@@ -1,6 +1,8 @@
 """Whole jobs: cases where an operator once did less than all of its work."""
 
+import corpus_pipeline
 from facetframe.llm import minhash
+from tests.conftest import SF_SMALL
 
 
 def test_op9_links_beside_a_large_component(spark):
@@ -14,3 +16,13 @@ def test_op9_links_beside_a_large_component(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, shingle=1, bins=2, rows=1).collect()}
     assert got == {i: 100 if i in (100, 101) else 1 for i, _ in rows}
+
+
+def test_pipeline_rejects_scripts_never_learned(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    known = docs.where("lang is not null and text rlike '[a-z]{3}'")
+    foreign = spark.createDataFrame(
+        [(-1, "съешь ещё этих мягких французских булок да выпей чаю", None, "a", 52),
+         (-2, "天地玄黃 宇宙洪荒 日月盈昃 辰宿列張", None, "a", 19)], docs.schema)
+    got = {r.doc_id for r in corpus_pipeline.identify_language(spark, known.unionAll(foreign), SF_SMALL).collect()}
+    assert got == {r.doc_id for r in known.collect()}
