@@ -444,6 +444,12 @@ def q_profile_ordered(spark, base):
     return p.select("title", "imdbid").limit(1000)
 
 
+@register("profile_by_title")
+def q_profile_by_title(spark, base):
+    """The whole profile, ordered by title."""
+    return flatten_profile(order_profile(spark, base, order_by_title=True))
+
+
 @register("token_mentions_top")
 def q_token_mentions_top(spark, base):
     return token_mentions(spark, base, limit=200)

@@ -688,6 +688,7 @@ SELECT * FROM pid""")
 
 SQL["profile_ordered"] = with_profile("""
 SELECT title, imdbid FROM profile ORDER BY title NULLS LAST LIMIT 1000""")
+SQL["profile_by_title"] = with_profile("SELECT * FROM profile ORDER BY title NULLS LAST")
 SQL["token_mentions_top"] = with_text("""
 , top AS (SELECT * FROM located ORDER BY mentions DESC, imdbid, location LIMIT 200)
 SELECT top.location, cls.locType, cls.label, top.mentions, top.imdbid, top.title, top.country
