@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from facetframe.llm import katz, language, licenses, minhash, mixing, packing, quality, search, substring_dedup, token_count
+from facetframe.llm import (byte_bpe, collocations, katz, language, licenses, minhash, mixing, packing, quality, search,
+                            spelling, substring_dedup, token_count)
 from facetframe.llm.common import prepare_workers
 from facetframe.sources.catalog import table_path
 
@@ -65,6 +66,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir), min_count=100, most=5, top=2000)
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(_documents(spark, sf_dir), min_length=7, min_count=2, noise=31)
+    return spelling.group_variants(words, ratio=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit": op1_best_fit,
     "op2_transducer": op2_transducer,
@@ -76,8 +90,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_minhash": op9_minhash,
     "op10_mixing": op10_mixing,
+    "op11_collocations": op11_collocations,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_spelling": op13_spelling,
 }
 
 SQL: dict[str, str] = {
     "op8_licenses": licenses.oracle_sql(),
+    "op11_collocations": collocations.oracle_sql(),
+    "op13_spelling": spelling.oracle_sql(),
 }

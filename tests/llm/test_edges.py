@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from facetframe.llm import (katz, language, licenses, minhash, mixing, packing, quality, search,
-                            substring_dedup, token_count)
+from facetframe.llm import (byte_bpe, collocations, katz, language, licenses, minhash, mixing, packing, quality, search,
+                            spelling, substring_dedup, token_count)
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
+BYTES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -29,8 +30,11 @@ OPERATORS = {
     "minhash": lambda s, d: minhash.near_duplicates(d),
     "mixing": lambda s, d: mixing.mix_sources(d),
     "mix_documents": lambda s, d: mixing.mix_documents(d),
+    "collocations": lambda s, d: collocations.collocations(d, min_count=2, shards=2, filter_bits=12),
+    "byte_bpe": lambda s, d: byte_bpe.digests(d, BYTES),
+    "spelling": lambda s, d: spelling.group_variants(spelling.vocabulary(d, noise=31), filter_bits=15),
 }
-PER_ROW = ("token_count", "quality", "katz", "substring", "language", "minhash", "mixing")
+PER_ROW = ("token_count", "quality", "katz", "substring", "language", "minhash", "mixing", "byte_bpe")
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
