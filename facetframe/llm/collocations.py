@@ -9,7 +9,7 @@ first word) on, for one full cycle, and then its count is complete. The scans en
 was stamped within a cycle.
 
 Stamps live in a table of ``2**filter_bits`` one-byte slots, two per phrase, which every scan gets
-as a broadcast: its size is a parameter and does not depend on the corpus. A slot keeps its first
+as a broadcast (compressed, dropped after the scan): its size is a parameter and does not depend on the corpus. A slot keeps its first
 stamp, so all tasks of all scans agree on when a phrase is active, also where phrases share
 slots: such phrases are counted without need, over a full cycle all the same, and every
 count is exact. The counts themselves stay in Spark: a task sends its distinct active phrases
@@ -29,6 +29,7 @@ without frequent phrases, gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -115,15 +116,12 @@ def _hash_corpus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Stamps:
     """From which scan on a phrase counts as frequent."""
 
-    def __init__(self, data: bytes):
-        self.slots = np.frombuffer(data, np.uint8)
-        self.shift = _U(64 - (len(self.slots) - 1).bit_length())
-
-    def places(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return key >> self.shift, mix(key) >> self.shift
+    def __init__(self, packed: bytes):
+        self.slots = np.frombuffer(zlib.decompress(packed), np.uint8)
+        self.bits = (len(self.slots) - 1).bit_length()
 
     def of(self, key: np.ndarray) -> np.ndarray:
-        a, b = self.places(key)
+        a, b = places(key, self.bits)
         return np.maximum(self.slots[a], self.slots[b])
 
 
@@ -207,11 +205,15 @@ def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*b.columns, pa.array(key.view(np.int64))], names=["pre", "last", "len", "cnt", "key"])
 
 
-def _slots(size: int):
+def places(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two slots of a phrase."""
+    return key >> _U(64 - bits), mix(key) >> _U(64 - bits)
+
+
+def _slots(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = Stamps(bytes(size)).places
         for b in batches:
-            for p in places(b.column(0).to_numpy().view(np.uint64)):
+            for p in places(b.column(0).to_numpy().view(np.uint64), bits):
                 yield pa.record_batch([pa.array(p.astype(np.int64), pa.int32())], names=["slot"])
     return run
 
@@ -264,7 +266,7 @@ def frequent_phrases(docs: DataFrame, min_count: int, most: int = 5, text_col: s
     slots = np.full(1 << filter_bits, _NEVER)
     found, state, step, changed = [], None, 0, -1
     while True:
-        sent = spark.sparkContext.broadcast(slots.tobytes())
+        sent = spark.sparkContext.broadcast(zlib.compress(slots, 1))
         counts = (corpus.where(F.col("shard") == step % shards).select("keys")
                   .mapInArrow(_scan(step, shards, most, sent), _COUNTS).withColumn("old", F.lit(0).cast("long")))
         if state is not None:
@@ -275,8 +277,8 @@ def frequent_phrases(docs: DataFrame, min_count: int, most: int = 5, text_col: s
         keys = new.select("pre", "last", "len", "cnt").mapInArrow(
             _with_key, "pre long, last long, len byte, cnt long, key long").select("key")
         # at most one row per slot
-        hit = np.array(keys.mapInArrow(_slots(len(slots)), "slot int").distinct().toArrow().column("slot"))
-        sent.unpersist()
+        hit = np.array(keys.mapInArrow(_slots(filter_bits), "slot int").distinct().toArrow().column("slot"))
+        sent.destroy()  # the scan's counts are written
         if len(hit):
             slots[hit] = np.minimum(slots[hit], step + 1)
             changed = step
@@ -290,7 +292,7 @@ def frequent_phrases(docs: DataFrame, min_count: int, most: int = 5, text_col: s
     every = reduce(DataFrame.unionAll, found).select("pre", "last", "len", "cnt").mapInArrow(
         _with_key, "pre long, last long, len byte, cnt long, key long")
     every = shared_table(every, "found")
-    sent = spark.sparkContext.broadcast(slots.tobytes())
+    sent = spark.sparkContext.broadcast(zlib.compress(slots, 1))
     spelled = (texts.mapInArrow(_spell(sent), "key long, lang string, word string")
                .groupBy("key").agg(F.first("lang").alias("lang"), F.first("word").alias("word")))
     single = shared_table(every.where("len = 1").join(spelled, "key").select(
