@@ -64,7 +64,7 @@ def test_long_pieces_over_several_queries(library, monkeypatch):
     monkeypatch.setattr(byte_bpe, "_LONG", 3)
     words = [w.encode() for w in ("aaaaaaaaaaaaaaa", "abcabcabcabcabcabcabc", "mississippimississippi", "zq" * 40)]
     got = byte_bpe.Encoder(RANKS).merge(words)
-    assert [list(g) for g in got] == [library._core_bpe.encode_single_piece(w) for w in words]
+    assert [list(memoryview(g).cast('i')) for g in got] == [library._core_bpe.encode_single_piece(w) for w in words]
 
 
 def test_unknown_id_is_an_error(spark):
