@@ -57,7 +57,7 @@ def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
                            lambda: spark.read.parquet(table_path(base, name)))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through Hadoop's FileSystem, so remote stores work too."""
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
@@ -73,7 +73,7 @@ def register_tables(spark: SparkSession, base: str, names: Iterable[str]) -> lis
     skipped = []
     for n in names:
         p = table_path(base, n)
-        if _exists(spark, p):
+        if path_exists(spark, p):
             spark.read.parquet(p).createOrReplaceTempView(n)
         else:
             skipped.append(n)

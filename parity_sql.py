@@ -686,9 +686,8 @@ SQL["people_table_by_id"] = with_profile(f"""
 SELECT * FROM pid""")
 
 
-SQL["profile_ordered"] = with_profile("""
-SELECT title, imdbid FROM profile ORDER BY title NULLS LAST LIMIT 1000""")
 SQL["profile_by_title"] = with_profile("SELECT * FROM profile ORDER BY title NULLS LAST")
+SQL["profile_ordered"] = SQL["profile_by_title"]
 SQL["token_mentions_top"] = with_text("""
 , top AS (SELECT * FROM located ORDER BY mentions DESC, imdbid, location LIMIT 200)
 SELECT top.location, cls.locType, cls.label, top.mentions, top.imdbid, top.title, top.country
@@ -696,8 +695,11 @@ FROM top LEFT JOIN cls ON cls.name = top.location""")
 SQL["facet_values_years"] = with_profile(
     "SELECT DISTINCT CAST(year AS BIGINT) AS value FROM profile WHERE year IS NOT NULL ORDER BY value")
 SQL["facet_values_fallback"] = "SELECT DISTINCT r_name AS value FROM region WHERE r_name IS NOT NULL ORDER BY value"
-SQL["registered_views"] = ("SELECT r_name, count(*) AS nations FROM nation JOIN region "
-                           "ON n_regionkey = r_regionkey GROUP BY r_name")
+SQL["registered_views"] = """
+SELECT (SELECT r_name FROM region WHERE r_regionkey = k) AS r_name, count(*) AS orders,
+  count(DISTINCT o_custkey) AS customers, count(DISTINCT c_nationkey) AS nations
+FROM (SELECT o_custkey, c_nationkey, (SELECT n_regionkey FROM nation WHERE n_nationkey = c_nationkey) AS k
+      FROM orders, customer WHERE c_custkey = o_custkey) WHERE k IS NOT NULL GROUP BY k"""
 SQL["ingest_declared"] = f"WITH {_PART_TEXTS}\nSELECT p_partkey, p_partkey AS key_txt, rating_txt FROM pt"
 _THEME_KEYS = ("idiom", "theme", "word", "imdbid", "title", "country", "mentions")
 for _sort, _dir in [(s, d) for s in ("title", "idiom", "theme", "word", "mentions") for d in ("asc", "desc")]:
@@ -705,3 +707,50 @@ for _sort, _dir in [(s, d) for s in ("title", "idiom", "theme", "word", "mention
     SQL[f"theme_page_{_sort}_{_dir}"] = with_text(
         f"SELECT * FROM tbase ORDER BY {_sort} {_dir.upper()} NULLS LAST, {_ties} LIMIT 50")
 del SQL["theme_page_mentions_desc"]
+
+
+# --- stored tables and indexes ---------------------------------------------------------
+SQL["profile_stored"] = SQL["order_profile"]
+SQL["mention_table_stored"] = SQL["mention_table"]
+_ALL_MENTIONS = """, mt AS (
+  SELECT tm.imdbid, p.title, COALESCE(NULLIF(p.countriesAll, ''), p.country) AS countries,
+    tm.label AS location, COALESCE(tm.locType, 'Other') AS locType, tm.mentions
+  FROM tm JOIN profile p ON p.imdbid = tm.imdbid),
+pages AS (SELECT greatest(1, (count(*) + 49) // 50) AS n FROM mt)
+"""
+for _name, _page in (("page_deep", "n * 9 // 10"), ("page_last", "n - 1")):
+    SQL[_name] = with_text_profile(_ALL_MENTIONS + f"""
+SELECT {_LOCATION_COLS} FROM mt ORDER BY location DESC NULLS FIRST, imdbid, mentions, title, countries, locType
+LIMIT 50 OFFSET (SELECT 50 * ({_page}) FROM pages)""")
+_CHOSEN = """FROM profile WHERE continent IN ('ASIA', 'EUROPE', 'AMERICA') AND dir_gender IN ('Male', 'Female')
+  AND year IN (1996, 1997, 1998, 2000)"""
+_FACET_COLUMNS = {
+    "mlGenres": "mlGenre", "imdbGenres": "imdbGenre", "years": "year", "continents": "continent", "regions": "region",
+    "countries": "country", "dirGenders": "dir_gender", "dirRaces": "dir_race", "dirRegions": "dir_region",
+    "dirCountries": "dir_country", "wriGenders": "wri_gender", "wriRaces": "wri_race", "wriRegions": "wri_region",
+    "wriCountries": "wri_country"}
+SQL["facet_counts_bitmap"] = with_profile("\nUNION ALL\n".join(
+    f"SELECT '{f}' AS facet, CAST({c} AS VARCHAR) AS value, count(*) AS n {_CHOSEN} GROUP BY {c}"
+    for f, c in _FACET_COLUMNS.items()))
+SQL["facet_rows_bitmap"] = with_profile(f"SELECT count(*) AS rows {_CHOSEN}")
+SQL["search_titles_indexed"] = SQL["facet_filter"]
+SQL["search_places_indexed"] = SQL["semi_join_mentions"]
+_REQUESTS = [("title", " High "), ("title", "order 12"), ("director", "cust 1"), ("writer", "zz"), ("title", "w "),
+             ("place Other", "the"), ("place City", "o"), ("title", "no such title")]
+
+
+def _request_sql(field: str, needle: str) -> str:
+    q = needle.strip().lower()
+    grams = [q[i:i + 3] for i in range(len(q) - 2)] or [""]
+    every = " AND ".join(f"contains(text, '{g}')" for g in grams)
+    return (f"SELECT '{field}' AS field, '{needle}' AS needle, count(*) AS texts, "
+            f"count(*) FILTER ({every}) AS texts_read, count(*) FILTER (contains(text, '{q}')) AS texts_found "
+            f"FROM texts WHERE field = '{field}'")
+
+
+SQL["search_cost"] = with_text_profile(""", texts AS (
+  SELECT DISTINCT 'title' AS field, lower(title) AS text FROM profile WHERE title IS NOT NULL
+  UNION ALL SELECT DISTINCT 'director', lower(director) FROM profile WHERE director IS NOT NULL
+  UNION ALL SELECT DISTINCT 'writer', lower(wri_name) FROM profile WHERE wri_name IS NOT NULL
+  UNION ALL SELECT DISTINCT 'place ' || locType, lower(location) FROM tm WHERE location IS NOT NULL)
+""" + "\nUNION ALL\n".join(_request_sql(f, n) for f, n in _REQUESTS))
