@@ -1,19 +1,19 @@
 """Language identification, word first, with back-off to ever shorter character n-grams.
 
 Learning: from a bounded, hash-chosen sample of labelled documents, the words (runs of letters,
-lower case) and the character n-grams of those words are counted per language; the most
-frequent ones form the model. All counting is Spark aggregation; only the model, bounded by
-its parameters, comes to the driver and goes out with the task closure.
+lower case) and the character n-grams of those words are counted per language; those seen at
+least twice form the model. All counting is Spark aggregation; only the model, bounded by the
+sample, comes to the driver, as Arrow columns, and goes out with the task closure.
 
 Prediction: a known word scores its per-language log frequency. An unseen word falls back to
 its known n-grams of the longest order that has any (mean log frequency), order by order down
 to single characters. A document gets the language with the largest sum; ``score`` is the mean
 over its words of the word's posterior for that language, 0 to 1. A word without any known
-n-gram (a script that was never learned) is no evidence: it adds nothing, and a text in which
-more than half of the words are such gives ``und`` with score 0.
+n-gram (a script that was never learned) is no evidence and counts as a posterior of 0.
 
 Edge cases: null text or text without a letter gives ``und`` with score 0, and so does every
-text if nothing could be learned; ties go to the first language in code-point order; a null id
+text if nothing could be learned; a text of which no word is evidence gets the language that the
+sample has most words of, with score 0; ties go to the first language in code-point order; a null id
 counts as empty text in the split; empty and repeated rows are predicted each; long texts are
 read whole; extra columns are ignored.
 """
@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,13 +52,15 @@ class Table:
 
 @dataclass
 class LanguageModel:
-    """Known words, and n-grams by order, with their log frequencies per language."""
+    """Known words, and n-grams by order, with their log frequencies per language; ``usual`` is the
+    place of the language with most words."""
 
     langs: list[str]
     words: Table
     grams: dict[int, Table]
     orders: tuple[int, ...]
     name: str = ""
+    usual: int = 0
 
     def word_scores(self, word: str) -> np.ndarray:
         known = self.words.at.get(word)
@@ -97,10 +100,11 @@ class _Scorer:
                 row[2 * k + 1] += 1
         return row
 
-    def texts(self, texts: list[bytes]) -> list[tuple[str, float]]:
+    def texts(self, texts: list[bytes]) -> list[tuple[str, float, float]]:
+        """Language, score, and the share of words that are evidence."""
         k = len(self.model.langs)
         if not k:
-            return [(UNKNOWN, 0.0)] * len(texts)
+            return [(UNKNOWN, 0.0, 0.0)] * len(texts)
         data = b"\n".join(texts).lower()
         start, end = unit_spans(data)
         distinct, first, back = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
@@ -127,12 +131,15 @@ class _Scorer:
                 total[some, c] = np.add.reduceat(self.rows[:, c][at], begin[some], dtype=np.float64)
         return [self._verdict(t) for t in total]
 
-    def _verdict(self, total: np.ndarray) -> tuple[str, float]:
+    def _verdict(self, total: np.ndarray) -> tuple[str, float, float]:
         k = len(self.model.langs)
-        if not total[2 * k + 1] or 2 * total[2 * k + 1] < total[2 * k]:
-            return UNKNOWN, 0.0
+        if not total[2 * k]:
+            return UNKNOWN, 0.0, 0.0
+        if not total[2 * k + 1]:
+            return self.model.langs[self.model.usual], 0.0, 0.0
         best = int(total[:k].argmax())
-        return self.model.langs[best], float(min(1.0, total[k + best] / total[2 * k]))
+        return (self.model.langs[best], float(min(1.0, total[k + best] / total[2 * k])),
+                float(min(1.0, total[2 * k + 1] / total[2 * k])))
 
 
 def _scorer(model: LanguageModel) -> _Scorer:
@@ -146,12 +153,9 @@ def in_fold(id_col: Column, folds: int, fold: int) -> Column:
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          sample_docs: int = 10_000, max_words: int = 50_000, max_grams: int = 50_000,
-          orders: tuple[int, ...] = (4, 3, 2, 1)) -> LanguageModel:
-    """A model from the ``sample_docs`` labelled documents that are first in hash order.
-
-    Holds at most ``max_words`` words and ``max_grams`` n-grams per order.
-    """
+          sample_docs: int = 10_000, min_count: int = 2, orders: tuple[int, ...] = (4, 3, 2, 1)) -> LanguageModel:
+    """A model from the ``sample_docs`` labelled documents that are first in hash order: their words
+    and n-grams that occur ``min_count`` times or more."""
     pool = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                            F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     h = F.xxhash64("id", "lang")
@@ -163,25 +167,26 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
               .select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w <> ''")
               .groupBy("lang", "w").agg(F.count("*").alias("c"))).persist()
 
-    def top(frame: DataFrame, most: int) -> list:
-        pair = F.struct("lang", "c")
-        return (frame.groupBy("w").agg(F.sum("c").alias("all"), F.collect_list(pair).alias("by"))
-                .orderBy(F.desc("all"), "w").limit(most).collect())
-
     totals = {r["lang"]: (r["n"], r["v"]) for r in counts.groupBy("lang").agg(
         F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     langs = sorted(totals)
-    at = {x: i for i, x in enumerate(langs)}
 
-    def table(rows: list, size: np.ndarray, smooth: float) -> Table:
-        v = np.full((len(rows), len(langs)), smooth)
-        for i, r in enumerate(rows):
-            for p in r["by"]:
-                v[i, at[p["lang"]]] += p["c"]
-        return Table([r["w"] for r in rows], np.log(v / (size + smooth * (len(rows) + 1))).astype(np.float32))
+    def table(frame: DataFrame, size: np.ndarray, smooth: float) -> Table:
+        often = frame.groupBy("w").agg(F.sum("c").alias("all")).where(F.col("all") >= min_count).select("w")
+        got = frame.join(often, "w", "left_semi").select("w", "lang", "c").toArrow()
+        text = got.column("w").combine_chunks().dictionary_encode()
+        order = np.argsort(np.array(text.dictionary.to_pylist(), dtype=object), kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        lang = pc.index_in(got.column("lang").combine_chunks(), value_set=pa.array(langs, pa.string()))
+        v = np.full((len(order), len(langs)), smooth)
+        np.add.at(v, (place[text.indices.to_numpy(zero_copy_only=False)], lang.to_numpy(zero_copy_only=False)),
+                  got.column("c").to_numpy())
+        return Table(text.dictionary.take(pa.array(order)).to_pylist(),
+                     np.log(v / (size + smooth * (len(order) + 1))).astype(np.float32))
 
     n_all = np.array([totals[x][0] for x in langs], dtype=float)
-    words = table(top(counts, max_words), n_all, 0.5)
+    words = table(counts, n_all, 0.5)
     grams = {}
     for n in orders:
         padded = F.concat(F.lit("^"), "w", F.lit("$"))
@@ -191,13 +196,13 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
              .where("w not in ('^', '$')")  # in words of any script, so no evidence
              .groupBy("lang", "w").agg(F.sum("c").alias("c"))).persist()
         size = {r["lang"]: r["n"] for r in g.groupBy("lang").agg(F.sum("c").alias("n")).collect()}
-        grams[n] = table(top(g, max_grams), np.array([float(size.get(x, 0)) for x in langs]), 0.5)
+        grams[n] = table(g, np.array([float(size.get(x, 0)) for x in langs]), 0.5)
         g.unpersist()
     counts.unpersist()
     digest = hashlib.sha256(repr(langs).encode())
     for t in (words, *grams.values()):
         digest.update("\n".join(t.texts).encode() + t.rows.tobytes())
-    return LanguageModel(langs, words, grams, orders, digest.hexdigest())
+    return LanguageModel(langs, words, grams, orders, digest.hexdigest(), int(n_all.argmax()) if langs else 0)
 
 
 def _predict(model: LanguageModel, names: list[str], prefix: str, text_at: int):
@@ -206,18 +211,20 @@ def _predict(model: LanguageModel, names: list[str], prefix: str, text_at: int):
         for b in batches:
             got = [v for group in byte_groups(b.column(text_at)) for v in scorer.texts(group)]
             yield pa.record_batch(b.columns[:len(names)] + [pa.array([g[0] for g in got], pa.string()),
-                                          pa.array([g[1] for g in got], pa.float64())],
-                                  names=names + [f"{prefix}lang_pred", f"{prefix}score"])
+                                          pa.array([g[1] for g in got], pa.float64()),
+                                          pa.array([g[2] for g in got], pa.float64())],
+                                  names=names + [f"{prefix}{c}" for c in ("lang_pred", "score", "evidence")])
     return run
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text",
             carry: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
-    """The ``carry`` columns of every row with lang_pred and score (names after ``prefix``, for
-    tables that have such columns); a prediction reads the text alone."""
+    """The ``carry`` columns of every row with lang_pred, score and evidence, the share of words with
+    a known n-gram (names after ``prefix``, for tables that have such columns); a prediction
+    reads the text alone."""
     names = list(carry)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     read = names if text_col in names else [*names, text_col]
     return (docs.select(*read)
             .mapInArrow(_predict(model, names, prefix, read.index(text_col)),
-                        f"{schema}, `{prefix}lang_pred` string, `{prefix}score` double"))
+                        f"{schema}, `{prefix}lang_pred` string, `{prefix}score` double, `{prefix}evidence` double"))

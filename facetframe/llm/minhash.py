@@ -12,11 +12,13 @@
    pairs. A size bound drops edges that can't reach the similarity.
 4. Every edge is confirmed on the two full sets. Confirmed edges merge components; buckets
    that still span several components get stars around fresh hubs until a round links nothing.
-5. What hubs did not reach is then settled exactly: the sets of all buckets that still span
-   several components are joined on their prefixes. With the shingles ordered rarest first, two
-   sets that reach the similarity share one of the first ``n - ceil(percent n / 100) + 1``.
-   Shingles of a single component come first and need no join, so a set that has enough of
-   them is settled at once. So no two documents that share a bucket stay apart untested.
+5. What hubs did not reach is then settled: within each bucket that still spans several
+   components, members of different components are compared by an exact bound. Each set has a
+   parity bitmap (1 024 bits; a bit is the parity of the members that fall on it). Bitmaps differ in
+   at most as many bits as the sets differ in members, and sets of n and m members that reach the
+   similarity differ in at most ``(n + m) (100 - percent) / (100 + percent)``. Only pairs within that
+   bound and the size bound leave the join, to be confirmed on full sets. A bucket's largest
+   component is on one side only. So no two documents that share a bucket stay apart untested.
 
 At the default (256 bins, 6 rows) two sets at exactly 0.8 share no bucket with probability
 3e-6. Hot buckets are only ever aggregated with a map-side minimum and joined (splittable by
@@ -43,7 +45,8 @@ from facetframe.llm.hashing import mix, window_hashes, word_hashes
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _PROBES = 64
-_SKETCH = ("id long, n_shingles long, sig binary, bands array<long>")
+_PARITY_BITS = 1024
+_SKETCH = "id long, n_shingles long, sig binary, bands array<long>, parity array<long>"
 _SETS = "id long, members array<long>"
 
 
@@ -54,6 +57,12 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(window_hashes(h, n)) if n else h
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set of hashes, as 64-bit numbers."""
+    odd = np.bincount((mix(s + np.uint64(1)) & np.uint64(_PARITY_BITS - 1)).astype(np.int64), minlength=_PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 class Sketcher:
     """One-permutation sketches with optimal densification, and their band keys."""
 
@@ -97,19 +106,21 @@ def _sketch_batches(shingle: int, bins: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sk = Sketcher(bins, rows)
         for b in batches:
-            size, sig, bands, off = [], [], [], [0]
+            size, sig, bands, off, bits = [], [], [], [0], []
             for t in b.column(1):
                 s = shingle_set(t.as_py(), shingle)
                 size.append(len(s))
                 sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                bits.append(parity(s))
                 if len(s):
                     bands.append(sk.bands(s))
                 off.append(off[-1] + (sk.n_bands if len(s) else 0))
             flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
             yield pa.record_batch([
                 b.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(sig, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat))],
-                names=["id", "n_shingles", "sig", "bands"])
+                pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat)),
+                pa.array(bits, pa.list_(pa.int64()))],
+                names=["id", "n_shingles", "sig", "bands", "parity"])
     return run
 
 
@@ -151,40 +162,32 @@ def _star_edges(members: DataFrame, labels: DataFrame | None, seed: int, percent
             .groupBy("a", "b").agg(F.max("old").alias("old")).where("old = 0").select("a", "b"))
 
 
-def _open_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: int,
+def _open_pairs(members: DataFrame, bits: DataFrame, labels: DataFrame | None, percent: int,
                 tested: DataFrame | None) -> DataFrame:
-    """All untested pairs of different components that could link, among the documents of buckets
-    that span several components: a size-bounded prefix join on the rarest shingles."""
+    """All untested pairs of different components that share a bucket and could link: within the size
+    bound, and with parity bitmaps no further apart than linked sets can be. ``bits``: (id, parity)."""
     if labels is None:
-        m = members.select("bucket", "id", F.col("id").alias("c"))
+        m = members.select("bucket", "id", "n", F.col("id").alias("c"))
     else:
         m = (members.join(labels, members.id == labels.node, "left")
-             .select("bucket", "id", F.coalesce("component", "id").alias("c")))
-    spans = m.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-    left = m.join(spans.select("bucket"), "bucket", "left_semi").select("id", "c").distinct()
-    # rows that share an id each keep their own set
-    rest = (sets.join(left, "id").groupBy("id", "c", F.xxhash64("members").alias("part"))
-            .agg(F.first("members").alias("members")))
-    grams = shared_table(rest.select("id", "c", "part", F.size("members").alias("n"),
-                                     F.explode("members").alias("gram")), "grams")
-    met = (grams.groupBy("gram").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-           .where("lo <> hi").select("gram", "df"))
-    prefix = (grams.join(met, "gram").groupBy("id", "c", "part", "n")
-              .agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("found"))
-              .withColumn("take", F.expr(f"n - cast(ceil({percent} * n / 100D) as int) + 1 - (n - size(found))"))
-              .where("take > 0")
-              .select("id", "c", "n", F.explode(F.expr("slice(found, 1, take)")).alias("g"))
-              .select("id", "c", "n", "g.gram"))
-    prefix = shared_table(prefix, "prefixes")
-    # a shingle's largest component is on one side only, so it is never paired with itself
-    big = (prefix.groupBy("gram", "c").agg(F.count("*").alias("k")).groupBy("gram")
+             .select("bucket", "id", "n", F.coalesce("component", "id").alias("c")))
+    # a bucket's largest component is on one side only, so it is never compared with itself
+    big = (m.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket")
            .agg(F.max_by("c", F.struct("k", "c")).alias("big"), F.count("*").alias("parts"))
-           .where("parts > 1").select("gram", "big"))
-    few = prefix.join(big, "gram").where("c <> big").select("gram", "id", "c", "n")
-    many = prefix.select("gram", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("n").alias("n2"))
-    pairs = (few.join(many, "gram").where("c <> c2")
-             .where(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
-             .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
+           .where("parts > 1").select("bucket", "big"))
+    words = [F.col("parity")[i].alias(f"p{i}") for i in range(_PARITY_BITS // 64)]
+    # rows that share an id each keep their own bitmap
+    open_ = shared_table(m.join(big, "bucket").join(bits.select("id", *words).distinct(), "id"), "open")
+    few = open_.where("c <> big").drop("big")
+    many = open_.select("bucket", *[F.col(c).alias(f"{c}_2") for c in few.columns if c != "bucket"])
+    apart = " + ".join(f"bit_count(p{i} ^ p{i}_2)" for i in range(len(words)))
+    return _untested(few.join(many, "bucket").where("c <> c_2")
+                     .where(f"100 * least(n, n_2) >= {percent} * greatest(n, n_2)")
+                     .where(f"({apart}) * {100 + percent} <= (n + n_2) * {100 - percent}")
+                     .select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct(), tested)
+
+
+def _untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
     return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
 
 
@@ -225,7 +228,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = new if links is None else links.unionAll(new)
         labels = components(links)
         seed += 2
-    last = confirm(_open_pairs(members, sets, labels, percent, tested)).where("ok").select("a", "b")
+    bits = some.select("id", "parity")
+    last = confirm(_open_pairs(members, bits, labels, percent, tested)).where("ok").select("a", "b")
     links = last if links is None else links.unionAll(last)
     final = components(copies.unionAll(links))
     return (sk.join(final, sk.id == final.node, "left")

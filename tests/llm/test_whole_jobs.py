@@ -1,7 +1,7 @@
 """Whole jobs: cases where an operator once did less than all of its work."""
 
 import corpus_pipeline
-from facetframe.llm import minhash
+from facetframe.llm import language, minhash
 from tests.conftest import SF_SMALL
 
 
@@ -26,3 +26,92 @@ def test_pipeline_rejects_scripts_never_learned(spark):
          (-2, "天地玄黃 宇宙洪荒 日月盈昃 辰宿列張", None, "a", 19)], docs.schema)
     got = {r.doc_id for r in corpus_pipeline.identify_language(spark, known.unionAll(foreign), SF_SMALL).collect()}
     assert got == {r.doc_id for r in known.collect()}
+
+
+def test_op7_names_a_learned_language_for_any_letters(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    model = language.learn(docs)
+    rows = spark.createDataFrame([(1, "съешь ещё этих мягких французских булок"), (2, "天地玄黃 宇宙洪荒"), (3, "12 34 !"),
+                                  (4, None), (5, "the съешь ещё этих мягких")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(rows, model).collect()}
+    assert got[3] == got[4] == ("und", 0.0)
+    assert all(got[i][0] in model.langs and 0 <= got[i][1] <= 1 for i in (1, 2, 5))
+
+
+def test_op7_predictions_equal_brute_force(spark):
+    import re
+    from collections import Counter
+    from math import exp, log
+    docs = [r for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    df = spark.createDataFrame(docs)
+    got = {r.doc_id: r for r in language.predict(df, language.learn(df)).collect()}
+    count = {}
+    for r in docs:
+        for w in re.findall(r"[^\W\d_]+", (r.text or "").lower()):
+            count.setdefault(r.lang, Counter())[w] += 1
+    langs = sorted(count)
+
+    def model(by_lang):
+        total = Counter()
+        for c in by_lang.values():
+            total.update(c)
+        known = [w for w, n in total.items() if n >= 2]
+        size = {x: sum(by_lang[x].values()) for x in langs}
+        return {w: [log((by_lang[x][w] + 0.5) / (size[x] + 0.5 * (len(known) + 1))) for x in langs] for w in known}
+
+    words, grams = model(count), {}
+    for n in (4, 3, 2, 1):
+        by = {x: Counter() for x in langs}
+        for x in langs:
+            for w, c in count[x].items():
+                p = f"^{w}$"
+                for i in range(len(p) - n + 1):
+                    if p[i:i + n] not in ("^", "$"):
+                        by[x][p[i:i + n]] += c
+        grams[n] = model(by)
+
+    def scores(w):
+        if w in words:
+            return words[w]
+        p = f"^{w}$"
+        for n in (4, 3, 2, 1):
+            hits = [grams[n][p[i:i + n]] for i in range(len(p) - n + 1) if p[i:i + n] in grams[n]]
+            if hits:
+                return [sum(h[j] for h in hits) / len(hits) for j in range(len(langs))]
+        return None
+    for r in docs:
+        total, post, n = [0.0] * len(langs), [0.0] * len(langs), 0
+        for w in re.findall(r"[^\W\d_]+", r.text or ""):
+            s, n = scores(w.lower()), n + 1
+            if s:
+                e = [exp(x - max(s)) for x in s]
+                total = [a + b for a, b in zip(total, s)]
+                post = [a + b / sum(e) for a, b in zip(post, e)]
+        if n:
+            best = max(range(len(langs)), key=lambda j: (total[j], -j))
+            assert got[r.doc_id].lang_pred == langs[best] and abs(got[r.doc_id].score - post[best] / n) < 1e-4, r.doc_id
+
+
+def test_op9_links_no_hub_reaches(spark):
+    # pairs of near copies inside one large bucket: every pair must meet, whoever the hubs are
+    import random
+    rnd = random.Random(2)
+    base = [f"c{i}" for i in range(60)]
+    rows = []
+    for k in range(60):
+        own = [f"k{k}x{j}" for j in range(40)]
+        rows += [(10 * k, " ".join(base + own)), (10 * k + 1, " ".join(base + own + ["z"]))]
+    rnd.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, shingle=1, bins=2, rows=1).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows}
+
+
+def test_parity_bitmaps_never_differ_in_more_bits_than_the_sets():
+    import numpy as np
+    rnd = np.random.default_rng(4)
+    for n in (1, 5, 400, 5000):
+        a = np.unique(rnd.integers(0, 1 << 62, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[n // 7:], rnd.integers(0, 1 << 62, n // 9, dtype=np.uint64))))
+        bits = sum(int(x).bit_count() for x in (minhash.parity(a) ^ minhash.parity(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b)) and (bits - len(np.setxor1d(a, b))) % 2 == 0
