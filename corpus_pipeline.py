@@ -26,7 +26,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     prepare_workers(spark)
     model = language.learn(docs)
     out = language.predict(docs, model, carry=tuple(docs.columns), prefix="__")
-    known = (F.col("__lang_pred") != language.UNKNOWN) & (F.col("__score") >= 1 / max(1, len(model.langs)))
+    known = ((F.col("__lang_pred") != language.UNKNOWN) & (F.col("__evidence") >= 0.5)
+             & (F.col("__score") >= 1 / max(1, len(model.langs))))
     return (out.where(known).withColumn("lang", F.coalesce("lang", "__lang_pred"))
             .select(*docs.columns))
 
