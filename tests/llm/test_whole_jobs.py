@@ -1,7 +1,9 @@
 """Whole jobs: cases where an operator once did less than all of its work."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from facetframe.llm import language, minhash
+from facetframe.llm import language, minhash, search
 from tests.conftest import SF_SMALL
 
 
@@ -115,3 +117,14 @@ def test_parity_bitmaps_never_differ_in_more_bits_than_the_sets():
         b = np.unique(np.concatenate((a[n // 7:], rnd.integers(0, 1 << 62, n // 9, dtype=np.uint64))))
         bits = sum(int(x).bit_count() for x in (minhash.parity(a) ^ minhash.parity(b)).view(np.uint64))
         assert bits <= len(np.setxor1d(a, b)) and (bits - len(np.setxor1d(a, b))) % 2 == 0
+
+
+def test_op3_repeated_query_rows_have_all_their_hits(spark):
+    rows = [(20, "alpha beta gamma")] * 2 + [(i, f"alpha beta w{i}") for i in range(1, 20)] + [(40, "alpha beta gamma")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in search.search(docs, F.col("doc_id") % 20 == 0, k=10).collect():
+        got.setdefault((r.query_id, r.rank), []).append((r.doc_id, r.score))
+    assert set(got) == {(q, i) for q in (20, 40) for i in range(1, 11)}
+    assert all(len(got[20, i]) == 2 and len(set(got[20, i])) == 1 and len(got[40, i]) == 1 for i in range(1, 11))
+    assert [got[40, i][0] for i in range(1, 11)] == [got[20, i][0] for i in range(1, 11)]
