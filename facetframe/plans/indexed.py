@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from facetframe.operators import bitmap_index as BI
 from facetframe.operators import mentions as MN
+from facetframe.operators import option_chunks as OC
 from facetframe.operators import substring_index as SI
+from facetframe.operators import themes as TH
+from facetframe.operators import topk as TK
 from facetframe.operators.common import sort_cols
 from facetframe.operators.filters import FACETS, FilterSpec, filter_mentions
 from facetframe.operators.page_index import PageIndex, build_page_index
@@ -137,3 +140,47 @@ def q_search_cost(spark, base):
         one = index.cost(field, needle)
         out = one if out is None else out.unionAll(one)
     return out
+
+
+# --- most frequent keys ---------------------------------------------------------------
+
+
+def top_words(spark: SparkSession, base: str) -> TK.CertifiedTop:
+    return TK.top_keys(A.text_inputs(spark, base)["themes"], "IDIOM", "WORD", 15, weight="COUNT")
+
+
+@register("top_words_certified")
+def q_top_words_certified(spark, base):
+    """A9's roll-up over words: the 15 most frequent of each idiom, few of the others counted."""
+    return top_words(spark, base).result.select(F.col("group").alias("idiom"), "rank", F.col("key").alias("word"), "n")
+
+
+@register("top_directors_certified")
+def q_top_directors_certified(spark, base):
+    """The three most frequent directors of each country."""
+    p = stored_profile(spark, base).where("director <> ''").select("country", "director")
+    top = TK.top_keys(p, "country", "director", 3, buckets=256)
+    return top.result.select(F.col("group").alias("country"), "rank", F.col("key").alias("director"), "n")
+
+
+# --- option tree ----------------------------------------------------------------------
+
+CHUNK_WORDS = 100
+
+
+def options_index(spark: SparkSession, base: str) -> PageIndex:
+    t = A.text_inputs(spark, base)
+    path = stored_path(spark, "theme-options", base, A.TEXT_TABLES, (parts(spark),))
+    return OC.option_index(TH.theme_options(t["themes"], t["bridge"], t["titles"]), path, parts(spark))
+
+
+@register("theme_option_chunks")
+def q_theme_option_chunks(spark, base):
+    """D5 in rows of at most a hundred words."""
+    chunks = OC.theme_chunks(options_index(spark, base), CHUNK_WORDS)
+    return chunks.select("idiom", "theme", "chunk", "first", F.array_join("words", " ").alias("words"))
+
+
+@register("theme_option_sizes")
+def q_theme_option_sizes(spark, base):
+    return OC.theme_sizes(options_index(spark, base), CHUNK_WORDS)

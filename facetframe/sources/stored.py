@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,3 +62,11 @@ def bucketed(spark: SparkSession, path: str, key: str, buckets: int, build: Call
 def row_in_partition():
     """Position of a row in its partition as the plan stands (after a sort: in sort order)."""
     return F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a fresh path of the shared folder and read back, so that what uses it several
+    times computes it once and a lost executor costs no more than a reread."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -754,3 +754,17 @@ SQL["search_cost"] = with_text_profile(""", texts AS (
   UNION ALL SELECT DISTINCT 'writer', lower(wri_name) FROM profile WHERE wri_name IS NOT NULL
   UNION ALL SELECT DISTINCT 'place ' || locType, lower(location) FROM tm WHERE location IS NOT NULL)
 """ + "\nUNION ALL\n".join(_request_sql(f, n) for f, n in _REQUESTS))
+
+SQL["top_words_certified"] = """
+WITH w AS (SELECT upper(lang) AS idiom, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM documents),
+c AS (SELECT idiom, word, count(*) AS n FROM w GROUP BY ALL)
+SELECT idiom, row_number() OVER (PARTITION BY idiom ORDER BY n DESC, word) AS rank, word, n FROM c QUALIFY rank <= 15"""
+SQL["top_directors_certified"] = with_profile("""
+SELECT country, row_number() OVER (PARTITION BY country ORDER BY count(*) DESC, director) AS rank, director, count(*) AS n
+FROM profile WHERE director <> '' GROUP BY country, director QUALIFY rank <= 3""")
+SQL["theme_option_chunks"] = with_text("""
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY idiom, theme ORDER BY word) - 1 AS r FROM topt)
+SELECT idiom, theme, r // 100 AS chunk, min(r) AS first, string_agg(word, ' ' ORDER BY word) AS words
+FROM ranked GROUP BY idiom, theme, r // 100""")
+SQL["theme_option_sizes"] = with_text(
+    "SELECT idiom, theme, count(*) AS words, CAST(ceil(count(*) / 100) AS BIGINT) AS chunks FROM topt GROUP BY idiom, theme")

@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetframe.operators import bitmap_index as BI
+from facetframe.operators import option_chunks as OC
 from facetframe.operators import substring_index as SI
+from facetframe.operators import topk as TK
 from facetframe.operators.filters import FilterSpec, filter_titles
 from facetframe.operators.page_index import build_page_index, open_page_index
 from facetframe.plans import analogues, indexed
@@ -166,3 +168,62 @@ def test_place_search_needs_mentions(spark):
     with pytest.raises(ValueError):
         SI.filter_titles_indexed(indexed.stored_profile(spark, SF_SMALL), FilterSpec(loc_search={"City": "o"}),
                                  indexed.text_index(spark, SF_SMALL))
+
+
+# --- certified top k ----------------------------------------------------------------------
+
+
+def _top(rows, k):
+    count = Counter()
+    for g, x, w in rows:
+        if x is not None:
+            count[g, x] += w
+    out = []
+    for g in {g for g, _ in count}:
+        best = sorted(((-n, x) for (h, x), n in count.items() if h == g))[:k]
+        out += [(g, i + 1, x, -n) for i, (n, x) in enumerate(best)]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("k,buckets,probe", [(1, 8, 1), (5, 64, 6), (5, 64, 1), (30, 1000, None), (500, 16, 4)])
+def test_top_keys_equal_a_full_count(spark, k, buckets, probe):
+    rnd = random.Random(k)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), rnd.choice([None, *(f"k{min(int(rnd.paretovariate(.7)), 400)}" for _ in range(9))]),
+             rnd.choice([0, 1, 3])) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "g string, x string, w long").repartition(5)
+    got = TK.top_keys(df, "g", "x", k, "w", buckets, probe)
+    assert sorted((tuple(r) for r in got.result.collect()), key=repr) == _top(rows, k)
+    for r in got.cost.collect():
+        assert r.buckets_counted <= r.buckets and r.recounted <= r.total
+
+
+def test_few_keys_are_recounted_where_counts_are_skewed(spark):
+    df = spark.range(60_000).select(F.lit("g").alias("g"), F.expr("if(id % 3 = 0, id % 9, 100 + id)").alias("x"))
+    got = TK.top_keys(df, "g", "x", 3, buckets=4096)
+    assert [r.n for r in got.result.orderBy("rank").collect()] == [6667, 6667, 6666]
+    cost = got.cost.first()
+    assert cost.buckets_counted < 20 and cost.recounted < 21_000
+
+
+def test_sketches_merge(spark):
+    df = spark.range(1000).select((F.col("id") % 2).alias("g"), (F.col("id") % 37).cast("string").alias("x"))
+    whole = TK.count_sketch(df, "g", "x", buckets=16)
+    halves = TK.merge_sketches(TK.count_sketch(df.where("x < '2'"), "g", "x", buckets=16), TK.count_sketch(df.where("x >= '2'"), "g", "x", buckets=16))
+    assert sorted(whole.collect()) == sorted(halves.select(*whole.columns).collect())
+    assert TK.top_keys(df, "g", "x", 2, buckets=16, sketch=halves).result.count() == 4
+    assert TK.top_keys(df.where("false"), "g", "x", 2).result.collect() == []
+
+
+# --- option chunks ------------------------------------------------------------------------
+
+
+def test_no_chunk_exceeds_its_size(spark):
+    rows = [("EN", "big", f"w{i:05d}") for i in range(1234)] + [("EN", "small", "x"), ("FR", None, "y"), ("FR", None, "z")]
+    index = OC.option_index(spark.createDataFrame(rows, "idiom string, theme string, word string").repartition(7), _path(spark, "opt"), 4)
+    got = OC.theme_chunks(index, 100).collect()
+    assert max(len(r.words) for r in got) == 100 and sum(len(r.words) for r in got) == len(rows)
+    big = sorted((r for r in got if r.theme == "big"), key=lambda r: r.chunk)
+    assert [w for r in big for w in r.words] == [f"w{i:05d}" for i in range(1234)]
+    assert [r["first"] for r in big] == [100 * r.chunk for r in big] and [r.chunk for r in big] == list(range(13))
+    assert {(r.idiom, r.theme): (r.words, r.chunks) for r in OC.theme_sizes(index, 100).collect()} == {
+        ("EN", "big"): (1234, 13), ("EN", "small"): (1, 1), ("FR", None): (2, 1)}
