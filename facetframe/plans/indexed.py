@@ -6,8 +6,11 @@ for the current source files; later queries only read it.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facetframe.operators import bitmap_index as BI
 from facetframe.operators import mentions as MN
@@ -21,6 +24,9 @@ from facetframe.operators.page_index import PageIndex, build_page_index
 from facetframe.plans import analogues as A
 from facetframe.plans.analogues import register
 from facetframe.plans.profile import flatten_profile
+from facetframe.session import scratch_path
+from facetframe.sources.catalog import read_table, table_path
+from facetframe.sources.publish import export_verified
 from facetframe.sources.stored import bucketed, stored_path
 
 
@@ -184,3 +190,25 @@ def q_theme_option_chunks(spark, base):
 @register("theme_option_sizes")
 def q_theme_option_sizes(spark, base):
     return OC.theme_sizes(options_index(spark, base), CHUNK_WORDS)
+
+
+# --- export ---------------------------------------------------------------------------
+
+EXPORTED = ["region", "nation", "customer", "orders", "part_texts", "no_such_table"]
+
+
+def export_source(spark: SparkSession, base: str):
+    """The tables to export; ``part_texts`` has numbers as text, ``no_such_table`` cannot be read."""
+    def read(name: str) -> DataFrame:
+        if name == "part_texts":
+            part = A._part_texts(read_table(spark, base, "part"))
+            return part.select("p_partkey", F.col("p_partkey").cast("string").alias("key_txt"), "rating_txt")
+        return spark.read.parquet(table_path(base, name))
+    return read
+
+
+@register("export_roundtrip")
+def q_export_roundtrip(spark, base):
+    """IO5-IO7: written, read again, published; one table fails on purpose."""
+    declared = {"part_texts": {"key_txt": T.LongType(), "rating_txt": T.DoubleType()}}
+    return export_verified(spark, export_source(spark, base), scratch_path(spark, f"export-{uuid.uuid4().hex}"), EXPORTED, declared)

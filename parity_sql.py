@@ -768,3 +768,21 @@ SELECT idiom, theme, r // 100 AS chunk, min(r) AS first, string_agg(word, ' ' OR
 FROM ranked GROUP BY idiom, theme, r // 100""")
 SQL["theme_option_sizes"] = with_text(
     "SELECT idiom, theme, count(*) AS words, CAST(ceil(count(*) / 100) AS BIGINT) AS chunks FROM topt GROUP BY idiom, theme")
+
+
+def _stat_sql(source: str, table: str, column: str, kind: str = "") -> str:
+    form = {"": "CAST({0}({1}) AS VARCHAR)", "fraction": "CAST(CAST(round({0}({1}), 4) AS DECIMAL(38,4)) AS VARCHAR)",
+            "time": "strftime({0}({1}), '%Y-%m-%d %H:%M:%S')"}[kind]
+    return (f"SELECT '{table}' AS \"table\", '{column}' AS \"column\", count(*) AS rows, count(*) - count({column}) AS nulls, "
+            f"{form.format('min', column)} AS min, {form.format('max', column)} AS max, CAST(NULL AS VARCHAR) AS error FROM {source}")
+
+
+_EXPORT_COLUMNS = {
+    "region": {"r_regionkey": "", "r_name": ""}, "nation": {"n_nationkey": "", "n_name": "", "n_regionkey": ""},
+    "customer": {"c_custkey": "", "c_name": "", "c_nationkey": "", "c_acctbal": "fraction", "c_mktsegment": ""},
+    "orders": {"o_orderkey": "", "o_custkey": "", "o_orderstatus": "", "o_totalprice": "fraction", "o_orderdate": "time",
+               "o_orderpriority": ""}}
+SQL["export_roundtrip"] = f"WITH {_PART_TEXTS}\n" + "\nUNION ALL\n".join(
+    [_stat_sql(t, t, c, k) for t, cols in _EXPORT_COLUMNS.items() for c, k in cols.items()]
+    + [_stat_sql("(SELECT *, p_partkey AS key_txt FROM pt)", "part_texts", c) for c in ("p_partkey", "key_txt", "rating_txt")]
+    + ["SELECT 'no_such_table', NULL, 0, 0, NULL, NULL, 'AnalysisException'"])

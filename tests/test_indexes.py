@@ -227,3 +227,33 @@ def test_no_chunk_exceeds_its_size(spark):
     assert [r["first"] for r in big] == [100 * r.chunk for r in big] and [r.chunk for r in big] == list(range(13))
     assert {(r.idiom, r.theme): (r.words, r.chunks) for r in OC.theme_sizes(index, 100).collect()} == {
         ("EN", "big"): (1234, 13), ("EN", "small"): (1, 1), ("FR", None): (2, 1)}
+
+
+# --- verified export ----------------------------------------------------------------------
+
+
+def test_export_publishes_only_what_it_verified(spark, monkeypatch):
+    from pyspark.sql import types as T
+
+    from facetframe.sources import publish
+    out = _path(spark, "export")
+    tables = {"a": spark.createDataFrame([(1, "1", "x", None), (2, "2", None, b"z")], "k int, n string, t string, b binary"),
+              "empty": spark.createDataFrame([], "k int, t string")}
+    declared = {"a": {"n": T.LongType(), "t": T.LongType()}}
+
+    def run():
+        got = publish.export_verified(spark, lambda n: tables[n], out, ["a", "empty", "gone"], declared)
+        return sorted((tuple(r) for r in got.collect()), key=repr)
+    want = sorted([("a", "k", 2, 0, "1", "2", None), ("a", "n", 2, 0, "1", "2", None), ("a", "t", 2, 1, "x", "x", None),
+                   ("a", "b", 2, 1, None, None, None), ("empty", "k", 0, 0, None, None, None),
+                   ("empty", "t", 0, 0, None, None, None), ("gone", None, 0, 0, None, None, "KeyError")], key=repr)
+    assert run() == want == run()  # also over an earlier export
+    back = spark.read.parquet(f"{out}/a.parquet")
+    assert dict(back.dtypes) == {"k": "bigint", "n": "bigint", "t": "string", "b": "binary"} and back.count() == 2
+    assert publish.is_published(spark, out, "empty") and not publish.is_published(spark, out, "gone")
+    # files that hold other rows than the source gave are not published; the earlier export stays
+    real = publish.column_stats
+    monkeypatch.setattr(publish, "column_stats", lambda df: [(c, n + 1, *rest) for c, n, *rest in real(df)])
+    tables["a"] = tables["a"].unionAll(tables["a"])
+    assert ("a", None, 0, 0, None, None, "ValueError") in run()
+    assert spark.read.parquet(f"{out}/a.parquet").count() == 2
