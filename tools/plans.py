@@ -14,6 +14,7 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
+from facetframe.plans import indexed  # noqa: E402, F401 (registers its queries)
 from facetframe.plans.analogues import QUERIES  # noqa: E402
 from facetframe.session import get_spark  # noqa: E402
 
