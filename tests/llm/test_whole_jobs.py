@@ -1,9 +1,11 @@
 """Whole jobs: cases where an operator once did less than all of its work."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from facetframe.llm import language, minhash, search
+from facetframe.llm import language, minhash, mixing, search
 from tests.conftest import SF_SMALL
 
 
@@ -128,3 +130,32 @@ def test_op3_repeated_query_rows_have_all_their_hits(spark):
     assert set(got) == {(q, i) for q in (20, 40) for i in range(1, 11)}
     assert all(len(got[20, i]) == 2 and len(set(got[20, i])) == 1 and len(got[40, i]) == 1 for i in range(1, 11))
     assert [got[40, i][0] for i in range(1, 11)] == [got[20, i][0] for i in range(1, 11)]
+
+
+def test_op10_cuts_between_equal_rows(spark):
+    # a third of all rows are one row, in three variants of another column
+    rows = [(7, "one two three four five six seven eight nine ten", "a", i % 3) for i in range(300)]
+    rows += [(1000 + i, "w " * (3 + i % 9), "ab"[i % 2] if i % 5 else None, 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == len(rows)
+    taken, target = Counter(), {}
+    for r in got:
+        assert r.taken in (0, r.size, 2 * r.size)
+    names = {r[0]: r[2] for r in rows}
+    for r in got:
+        taken[names[r.doc_id]] += r.taken
+        target[names[r.doc_id]] = r.target
+    assert all(abs(taken[s] - target[s]) <= 12 for s in target)
+    budget = 1.5 * sum(r.size for r in got)
+    assert budget - 12 < sum(taken.values()) <= budget
+    mixed = [Counter(map(tuple, mixing.mix_documents(docs.repartition(n)).collect())) for n in (2, 7)]
+    assert mixed[0] == mixed[1] and set(mixed[0]) <= set(rows)
+    words = Counter()
+    for (i, text, _, _), n in mixed[0].items():
+        words[i] += n * len(text.split())
+    per_id = Counter()
+    for r in got:
+        per_id[r.doc_id] += r.taken
+    assert +words == +per_id
+    assert all(n <= 2 * rows.count(r) for r, n in mixed[0].items())
