@@ -27,6 +27,7 @@ from facetframe.plans.profile import flatten_profile
 from facetframe.session import scratch_path
 from facetframe.sources.catalog import read_table, table_path
 from facetframe.sources.publish import export_verified
+from facetframe.sources.slices import balanced_slices
 from facetframe.sources.stored import bucketed, stored_path
 
 
@@ -212,3 +213,26 @@ def q_export_roundtrip(spark, base):
     """IO5-IO7: written, read again, published; one table fails on purpose."""
     declared = {"part_texts": {"key_txt": T.LongType(), "rating_txt": T.DoubleType()}}
     return export_verified(spark, export_source(spark, base), scratch_path(spark, f"export-{uuid.uuid4().hex}"), EXPORTED, declared)
+
+
+# --- partitioned reads ----------------------------------------------------------------
+
+READ_SLICES = 16
+
+
+@register("read_slices")
+def q_read_slices(spark, base):
+    """IO2: slices over a key of which a third is one value and some is null; every row lies in one
+    slice and none passes twice the mean asked for."""
+    keyed = read_table(spark, base, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "l_partkey + l_linenumber AS spread",
+        "CASE WHEN l_orderkey % 3 = 0 THEN 7 WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_partkey END AS k")
+    slices = balanced_slices(keyed, "k", "spread", READ_SLICES)
+    hits = sum((F.coalesce(F.expr(s.predicate), F.lit(False)).cast("int") for s in slices), F.lit(0))
+    counted = keyed.agg(F.count(F.lit(1)).alias("rows"), F.count_if(hits == 1).alias("rows_in_one_slice"),
+                        *[F.count_if(F.expr(s.predicate)).alias(f"n{i}") for i, s in enumerate(slices)])
+    n = [F.col(f"n{i}") for i in range(len(slices))]
+    return counted.select(
+        "rows", "rows_in_one_slice", sum(n, F.lit(0)).cast("bigint").alias("rows_read"),
+        sum((c for c, s in zip(n, slices) if s.kind == "null"), F.lit(0)).cast("bigint").alias("null_rows"),
+        (F.greatest(*n) * READ_SLICES <= 2 * F.col("rows")).alias("within_twice_the_mean"))

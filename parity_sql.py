@@ -786,3 +786,7 @@ SQL["export_roundtrip"] = f"WITH {_PART_TEXTS}\n" + "\nUNION ALL\n".join(
     [_stat_sql(t, t, c, k) for t, cols in _EXPORT_COLUMNS.items() for c, k in cols.items()]
     + [_stat_sql("(SELECT *, p_partkey AS key_txt FROM pt)", "part_texts", c) for c in ("p_partkey", "key_txt", "rating_txt")]
     + ["SELECT 'no_such_table', NULL, 0, 0, NULL, NULL, 'AnalysisException'"])
+SQL["read_slices"] = """
+SELECT count(*) AS rows, count(*) AS rows_in_one_slice, CAST(count(*) AS BIGINT) AS rows_read,
+  CAST(count(*) FILTER (l_orderkey % 3 <> 0 AND l_orderkey % 11 = 0) AS BIGINT) AS null_rows, true AS within_twice_the_mean
+FROM lineitem"""
