@@ -51,9 +51,10 @@ def estimates(cells: DataFrame, name: str = "estimate") -> DataFrame:
 def shared(left: DataFrame, right: DataFrame, on: list[str], name: str = "estimate", larger: str = "larger") -> DataFrame:
     """Keys in both a cell of ``left`` and one of ``right``, per pair of cells that agree in ``on`` (null
     agrees with null); ``larger`` is the count of the larger side, which the error is stated against."""
-    l, r = left.withColumnRenamed(SKETCH, "__l"), right.withColumnRenamed(SKETCH, "__r")
-    agree = reduce(and_, [l[c].eqNullSafe(r[c]) for c in on])
-    both = l.join(r, agree).select(*[l[c] for c in l.columns], *[r[c] for c in r.columns if c not in on])
+    keep = [c for c in right.columns if c not in (*on, SKETCH)]
+    r = right.select(*[F.col(c).alias(f"__on_{c}") for c in on], *keep, F.col(SKETCH).alias("__r"))
+    agree = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on])
+    both = left.withColumnRenamed(SKETCH, "__l").join(r, agree).drop(*[f"__on_{c}" for c in on])
     count = F.theta_sketch_estimate
     return (both.withColumn(name, count(F.theta_intersection("__l", "__r")))
             .withColumn(larger, F.greatest(count("__l"), count("__r"))).drop("__l", "__r"))
