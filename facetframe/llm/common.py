@@ -43,10 +43,6 @@ def part_of(key: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
 
 
-# Edge lists of up to this many rows are worked off as one partition, without shuffles.
-_ONE_PARTITION_EDGES = 100_000
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list as (node, component), component the smallest node.
 
@@ -57,24 +53,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     def settle(frame: DataFrame) -> tuple[DataFrame, tuple]:
         kept = shared_table(frame.where("u <> v").distinct(), "cc")
         mark = kept.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-        if mark["n"] <= _ONE_PARTITION_EDGES:
-            kept = kept.coalesce(1)
         return kept, (mark["n"], mark["h"])
 
     e, mark = settle(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
     while True:
         # large star: every larger neighbour of a node moves to the node's smallest neighbour
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        if mark[0] <= _ONE_PARTITION_EDGES:
-            both = both.coalesce(1)
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: a node's smaller neighbours, and itself, move to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionAll(least.select("u", F.col("m").alias("v"))))
-        if mark[0] <= _ONE_PARTITION_EDGES:
-            small = small.coalesce(1)
         last = mark
         e, mark = settle(small)
         if mark == last:
