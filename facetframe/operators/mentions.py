@@ -50,7 +50,7 @@ def link_titles(rows: DataFrame, bridge: DataFrame, titles: DataFrame,
 
 def linked_only(rows: DataFrame, bridge: DataFrame, sub_key: str = "IMDB") -> DataFrame:
     """Only rows whose subtitle id is in the bridge. The later inner join drops the others
-    anyway; as a semi join here it reaches below the tokenisation and the first sums."""
+    anyway; as a semi join here it comes before the first sums (not below a tokenisation)."""
     return rows.join(bridge.select(F.col("IMDBID").alias(sub_key)), sub_key, "left_semi")
 
 
