@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetframe.llm.common import byte_groups, shared_table
-from facetframe.llm.hashing import mix, span_hashes, word_hashes
+from facetframe.llm.hashing import mix, span_hashes
 
 _U = np.uint64
 _NEXT = _U(0xD6E8FEB86659FD93)
@@ -79,8 +79,9 @@ def _words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _word_keys(data: bytes, start: np.ndarray, end: np.ndarray, lang: str) -> np.ndarray:
-    salt = word_hashes(lang.encode().replace(b" ", b"_") or b"_")[:1]
-    key = mix(span_hashes(data, start, end) + (salt if len(salt) else _U(7)) * _U(0xA24BAED4963EE407))
+    name = lang.encode()  # one span, whatever it holds: languages that differ never share a salt
+    salt = span_hashes(name, np.array([0]), np.array([len(name)])) if name else np.full(1, _U(7))
+    key = mix(span_hashes(data, start, end) + salt * _U(0xA24BAED4963EE407))
     key[key == 0] = 1  # zero marks a piece's end
     return key
 
@@ -186,7 +187,8 @@ def _scan(step: int, shards: int, most: int, stamps):
                         # the last place stands for none
                         fresh = longer(pre, last)
                         when = np.full(len(w) + 1, _NEVER)
-                        when[at] = known.of(fresh)
+                        # slots others stamped earlier open no phrase before its own parts are counted
+                        when[at] = np.maximum(known.of(fresh), start)
                         key = np.zeros(len(w) + 1, np.uint64)
                         key[at] = fresh
             for t in tally.values():

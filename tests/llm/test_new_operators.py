@@ -165,6 +165,35 @@ def test_collocations_equal_brute_force(spark, shards, bits):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == _brute_collocations(rows, 20, 5, 15)
 
 
+def test_languages_of_like_names_are_counted_apart(spark):
+    rnd = random.Random(5)
+    langs = ["a b", "a_b", "a  b", "_", " ", "en", "en\n", " en", "EN", "a\tb"]
+    rows = [(i, " ".join(rnd.choices(["the", "cat", "sat\x1c", "Ä"], k=30)), langs[i % len(langs)]) for i in range(200)]
+    got = collocations.collocations(spark.createDataFrame(rows, DOCS).repartition(3), min_count=20, top=15)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == _brute_collocations(rows, 20, 5, 15)
+    both = [(1, "the cat " * 30, ""), (2, "the cat " * 40, "_")]
+    got = collocations.collocations(spark.createDataFrame(both, DOCS), min_count=20, most=2)
+    assert {(r.lang, r.phrase): (r.a, r.n) for r in got.collect()} == {
+        ("", "the cat"): (30, 60), ("", "cat the"): (29, 60), ("_", "the cat"): (40, 80), ("_", "cat the"): (39, 80)}
+
+
+def test_a_shared_slot_opens_no_phrase_before_its_parts(spark):
+    import zlib
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+    x, y, z = collocations.mix(np.arange(1, 4, dtype=np.uint64))
+    slots = np.full(1 << 16, 255, np.uint8)
+    for key, step in ((x, 1), (y, 6), (z, 1), (collocations.longer(x[None], y[None])[0], 2), (collocations.longer(y[None], z[None])[0], 2)):
+        for p in collocations.places(np.array([key]), 16):
+            slots[p] = step
+    row = pa.record_batch([pa.array([np.array([0, x, y, z], np.uint64).view(np.int64)], pa.list_(pa.int64()))], names=["keys"])
+    scan = collocations._scan(6, 4, 3, SimpleNamespace(value=zlib.compress(slots)))
+    got = {b.column("len")[0].as_py(): b.column("start").to_pylist() for b in scan(iter([row]))}
+    assert got == {2: [6, 6], 3: [6]}
+
+
 def test_collocations_equal_sql(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     df = collocations.collocations(docs, min_count=10)
