@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetframe.plans.profile import ProfileTables, build_profile
-from facetframe.sources.catalog import read_table
+from facetframe.sources.catalog import read_table, tasks_for
 
 
 def _mod(c: str, n: int):
@@ -156,6 +156,7 @@ def order_tables(spark: SparkSession, base: str) -> ProfileTables:
                                       F.col("l_suppkey").alias("WRITERID")),
         writers=conform_writers(supplier),
         ratings=conform_ratings(lineitem),
+        partitions=tasks_for(spark, base, ["orders", "lineitem"]),
     )
 
 

@@ -11,6 +11,9 @@ Plan shape (scale):
   m LEFT JOIN the per-key results, grouped by join key so that consecutive
   sort-merge joins share one partitioning; small dimensions are broadcast
   after a bounded size check.
+A stage of that chain holds the sorts of all its bridges at once. Left to the planner, its tasks
+are as few as the cores (AQE coalesces), so a task's memory grows with the input;
+``ProfileTables.partitions`` deals titles and bridges into a number of tasks that grows instead.
 """
 
 from __future__ import annotations
@@ -57,6 +60,11 @@ class ProfileTables:
     writer_bridge: DataFrame    # IMDBID, WRITERID
     writers: DataFrame          # WRITERID, NAME, GENDER, RACE, BIRTHYEAR, NATIONALITY
     ratings: DataFrame          # MOVIEID, RATING, COUNT_RATING
+    partitions: int | None = None  # tasks per title-keyed stage (None: the planner's choice)
+
+    def dealt(self, df: DataFrame, key: str) -> DataFrame:
+        """``df`` by ``key``, in the partitions all sides of the title joins share."""
+        return df if self.partitions is None else df.repartition(self.partitions, key)
 
 
 def nationality_map(country: DataFrame) -> DataFrame:
@@ -71,7 +79,7 @@ def country_per_title(t: ProfileTables, m: DataFrame) -> DataFrame:
     The bridge is counted per (title, ISO, name) before the two lookup joins,
     so the joins see distinct rows only.
     """
-    cb = t.country_bridge.join(m.select("IMDBID"), "IMDBID", "left_semi")
+    cb = t.dealt(t.country_bridge, "IMDBID").join(t.dealt(m.select("IMDBID"), "IMDBID"), "IMDBID", "left_semi")
     counted = count_rows(cb, "IMDBID", ["ISO", "COUNTRY"])
     looked = lookup_with_fallback(counted, t.country, ("ISO", "ISO"), ("COUNTRY", "COUNTRY"),
                                   ["COUNTRY", "CONTINENT", "REGION"])
@@ -84,27 +92,27 @@ def country_per_title(t: ProfileTables, m: DataFrame) -> DataFrame:
                          list_alias="COUNTRY_LIST", prefix="PRIMARY_", counted="_n")
 
 
-def genre_per_key(bridge: DataFrame, key: str, m: DataFrame, name: str) -> DataFrame:
-    g = bridge.join(m.select(key), key, "left_semi")
+def genre_per_key(t: ProfileTables, bridge: DataFrame, key: str, m: DataFrame, name: str) -> DataFrame:
+    g = t.dealt(bridge, key).join(t.dealt(m.select(key), key), key, "left_semi")
     return bridge_rollup(g, key, ["GENRE"], "GENRE", list_alias=f"{name}_GENRE_LIST",
                          prefix=f"{name}_")
 
 
-def people_per_title(bridge: DataFrame, people: DataFrame, id_col: str, cols: list[str],
+def people_per_title(t: ProfileTables, bridge: DataFrame, people: DataFrame, id_col: str, cols: list[str],
                      m: DataFrame, prefix: str, with_list: bool) -> DataFrame:
     """First person per title (by id, then the other columns) with gender and race
     already cleaned (C4-C6), plus the list of names when asked. Without a list only the
     smallest known id per title is joined to the people, not the whole bridge."""
-    b = bridge.join(m.select("IMDBID"), "IMDBID", "left_semi")
+    b = t.dealt(bridge, "IMDBID").join(t.dealt(m.select("IMDBID"), "IMDBID"), "IMDBID", "left_semi")
     if with_list:
-        r = bridge_rollup(b.join(people.select(*cols), id_col), "IMDBID", cols, "NAME",
+        r = bridge_rollup(t.dealt(b.join(people.select(*cols), id_col), "IMDBID"), "IMDBID", cols, "NAME",
                           list_alias="DIRECTOR_LIST", prefix=prefix)
     else:
         known = b.join(people.select(id_col), id_col, "left_semi")
         first = known.groupBy("IMDBID").agg(F.min(id_col).alias(id_col))
         rest = [c for c in cols if c != id_col]
         j = first.join(first_per_key(people.select(*cols), id_col, rest), id_col)
-        r = j.select("IMDBID", *[F.col(c).alias(prefix + c) for c in cols])
+        r = t.dealt(j.select("IMDBID", *[F.col(c).alias(prefix + c) for c in cols]), "IMDBID")
     g = F.col(prefix + "GENDER")
     if prefix + "GENDER_LLM" in r.columns:
         g = F.coalesce(g, F.col(prefix + "GENDER_LLM"))
@@ -112,8 +120,8 @@ def people_per_title(bridge: DataFrame, people: DataFrame, id_col: str, cols: li
     return r.select(*keep, C.gender(g).alias(prefix + "GENDER_C"), C.race(prefix + "RACE").alias(prefix + "RACE_C"))
 
 
-def votes_per_title(ratings: DataFrame, m: DataFrame) -> DataFrame:
-    r = ratings.join(m.select("MOVIEID"), "MOVIEID", "left_semi")
+def votes_per_title(t: ProfileTables, m: DataFrame) -> DataFrame:
+    r = t.dealt(t.ratings, "MOVIEID").join(t.dealt(m.select("MOVIEID"), "MOVIEID"), "MOVIEID", "left_semi")
     return r.groupBy("MOVIEID").agg(F.sum("COUNT_RATING").alias("VOTES_ML"))
 
 
@@ -142,15 +150,16 @@ def clean_titles(m: DataFrame) -> DataFrame:
 def assemble(t: ProfileTables) -> DataFrame:
     """The wide row per eligible title (title-level values already cleaned)."""
     m = eligible_titles(t.titles, require_parsed_rating=True)
-    directors = people_per_title(t.director_bridge, t.directors, "DIRECTORID", DIRECTOR_COLS, m,
+    directors = people_per_title(t, t.director_bridge, t.directors, "DIRECTORID", DIRECTOR_COLS, m,
                                  "DIRECTOR_", with_list=True)
-    writers = people_per_title(t.writer_bridge, t.writers, "WRITERID", WRITER_COLS, m,
+    writers = people_per_title(t, t.writer_bridge, t.writers, "WRITERID", WRITER_COLS, m,
                                "WRITER_", with_list=False)
-    by_title = [country_per_title(t, m), genre_per_key(t.imdb_genre, "IMDBID", m, "IMDB"), directors, writers]
-    by_movie = [genre_per_key(t.ml_genre, "MOVIEID", m, "ML"), votes_per_title(t.ratings, m)]
-    wide = clean_titles(m)
+    by_title = [country_per_title(t, m), genre_per_key(t, t.imdb_genre, "IMDBID", m, "IMDB"), directors, writers]
+    by_movie = [genre_per_key(t, t.ml_genre, "MOVIEID", m, "ML"), votes_per_title(t, m)]
+    wide = t.dealt(clean_titles(m), "IMDBID")
     for part in by_title:
         wide = wide.join(part, "IMDBID", "left")
+    wide = t.dealt(wide, "MOVIEID")
     for part in by_movie:
         wide = wide.join(part, "MOVIEID", "left")
     return wide

@@ -98,3 +98,17 @@ def test_people(film_profile):
     assert (rollup["France"].films, rollup["France"].top_title, rollup["France"].mean_rating) == (2, "Beta", 6.7)
     top = {r.country: r.top_name for r in PE.people_by_country(film_profile, "dir").collect()}
     assert top["Unknown"] == "—" and top["France"] == "Ann Lee"
+
+
+def test_title_stages_are_dealt_into_tasks_that_grow_with_the_input(spark, monkeypatch):
+    from facetframe.plans import orders
+    from facetframe.sources import catalog
+    from tests.conftest import SF_SMALL
+    size = sum(catalog.table_stamp(spark, catalog.table_path(SF_SMALL, n))[1] for n in ("orders", "lineitem"))
+    want = sorted(map(repr, orders.order_profile(spark, SF_SMALL).collect()))
+    for tasks in (11, 23):
+        monkeypatch.setattr(catalog, "TASK_BYTES", -(-size // tasks))
+        p = orders.order_profile(spark, SF_SMALL)
+        plan = p._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(f"], {tasks}") >= 10
+        assert sorted(map(repr, p.collect())) == want
