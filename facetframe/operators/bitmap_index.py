@@ -20,20 +20,27 @@ from pyspark.sql import functions as F
 from facetframe.sources.stored import once
 
 BUCKET_ROWS = 32_768  # bits of one of Spark's bitmaps
+TASK_BUCKETS = 4
 
 
-def build_bitmaps(numbered: DataFrame, facets: Mapping[str, str], path: str, row: str = "__row") -> DataFrame:
+def build_bitmaps(numbered: DataFrame, facets: Mapping[str, str], path: str, row: str = "__row",
+                  rows: int | None = None) -> DataFrame:
     """The index of the ``facets`` (name -> column) of rows numbered from 0, stored at ``path`` as
-    (facet, value, bucket, bits); values are kept as text."""
+    (facet, value, bucket, bits); values are kept as text. With their number ``rows``, they are dealt by
+    bucket into tasks of about ``TASK_BUCKETS`` buckets, whatever the size of a split or the table."""
     spark = numbered.sparkSession
 
     def write(where: str) -> None:
-        pairs = F.array(*[F.struct(F.lit(name).alias("facet"), F.col(col).cast("string").alias("value"))
-                          for name, col in facets.items()])
-        cells = numbered.select(F.col(row).alias("row"), F.explode(pairs).alias("p")).select("row", "p.facet", "p.value")
-        (cells.groupBy("facet", "value", F.bitmap_bucket_number(F.col("row") + 1).alias("bucket"))
+        each = numbered.select(F.col(row).alias("row"), F.bitmap_bucket_number(F.col(row) + 1).alias("bucket"),
+                               *[F.col(col).cast("string").alias(f"value{i}") for i, col in enumerate(facets.values())])
+        pairs = F.array(*[F.struct(F.lit(name).alias("facet"), F.col(f"value{i}").alias("value"))
+                          for i, name in enumerate(facets)])
+        if rows is not None:
+            each = each.repartition(max(1, -(-rows // (TASK_BUCKETS * BUCKET_ROWS))), "bucket")
+        cells = each.select("row", "bucket", F.explode(pairs).alias("p")).select("row", "bucket", "p.facet", "p.value")
+        (cells.groupBy("facet", "value", "bucket")
          .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("row") + 1)).alias("bits"))
-         .write.mode("overwrite").partitionBy("facet").parquet(where))
+         .hint("rebalance", "facet").write.mode("overwrite").partitionBy("facet").parquet(where))
 
     schema = "facet string, value string, bucket long, bits binary"
     return spark.read.schema(schema).parquet(once(spark, path, write))

@@ -102,7 +102,8 @@ BITMAP_CHOICES = {"continents": ["ASIA", "EUROPE", "AMERICA"], "dirGenders": ["M
 
 def facet_bitmaps(spark: SparkSession, base: str) -> DataFrame:
     path = stored_path(spark, "facet-bitmaps", base, A.PROFILE_TABLES, (parts(spark),))
-    return BI.build_bitmaps(profile_pages(spark, base).numbered(), FACETS, path)
+    pages = profile_pages(spark, base)
+    return BI.build_bitmaps(pages.numbered(), FACETS, path, rows=pages.total)
 
 
 @register("facet_counts_bitmap")

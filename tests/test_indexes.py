@@ -128,6 +128,24 @@ def test_facet_counts_equal_a_scan(many, choices):
         assert {r.value: r.n for r in only} == {v: n for (f, v), n in want.items() if f == "b"}
 
 
+def test_bitmaps_of_rows_dealt_by_bucket(many, spark, monkeypatch):
+    df, index = many
+    monkeypatch.setattr(BI, "BUCKET_ROWS", 50)  # for the number of tasks only: Spark's buckets keep their size
+    dealt = BI.build_bitmaps(df, {"a": "a", "b": "b", "c": "c"}, _path(spark, "dealt"), rows=df.count())
+    assert sorted(map(repr, dealt.collect())) == sorted(map(repr, index.collect()))
+    own = df.select("__row", F.col("a").alias("row"), F.col("b").alias("bucket"), F.col("c").alias("value0"))
+    named = BI.build_bitmaps(own, {"a": "row", "b": "bucket", "c": "value0"}, _path(spark, "named"), rows=df.count())
+    assert sorted(map(repr, named.collect())) == sorted(map(repr, index.collect()))
+
+
+def test_texts_are_linked_before_they_are_split_into_words(spark):
+    for df in (analogues.theme_base(spark, SF_SMALL), analogues.token_mentions(spark, SF_SMALL),
+               analogues.q_theme_options(spark, SF_SMALL)):
+        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        split = next(i for i, line in enumerate(lines) if "Generate explode" in line and "Join LeftSemi" not in line)
+        assert any("Join LeftSemi" in line for line in lines[split:split + 3]), "\n".join(lines)
+
+
 def test_bitmaps_of_an_empty_table(spark):
     df = spark.createDataFrame([], "__row long, a string")
     index = BI.build_bitmaps(df, {"a": "a"}, _path(spark, "bits"))
@@ -137,6 +155,24 @@ def test_bitmaps_of_an_empty_table(spark):
 # --- substrings -------------------------------------------------------------------------
 
 
+def test_postings_do_not_depend_on_the_tasks_that_make_them(spark, monkeypatch):
+    df = spark.createDataFrame([(t,) for t in _rows_of_text(300)], "t string")
+    monkeypatch.setattr(SI, "BLOCK_TEXTS", 16)
+    lists = []
+    for size in (1, 1 << 30):
+        monkeypatch.setattr(SI, "TASK_BYTES", size)
+        index = SI.build_substring_index({"t": df}, _path(spark, "sub"), 3)
+        rows = index.postings().collect()
+        lists.append(sorted(map(repr, rows)))
+        assert len({(r.field, r.gram, r.part, r.block) for r in rows}) == len(rows)  # one list each
+    assert lists[0] == lists[1] and lists[0]
+
+
+def _rows_of_text(n):
+    rnd = random.Random(9)
+    return ["".join(rnd.choices("abcd ", k=rnd.randint(0, 12))) for _ in range(n)]
+
+
 def test_searches_equal_a_scan(spark, monkeypatch):
     monkeypatch.setattr(SI, "BLOCK_TEXTS", 7)
     rnd = random.Random(5)
