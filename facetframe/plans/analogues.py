@@ -207,7 +207,9 @@ LOC_SEARCH_TITLES = {"State": "de", "Region": "and"}
 def text_inputs(spark, base):
     rd = lambda n: read_table(spark, base, n)
     docs = rd("documents")
+    linked = O.linked_documents(docs, rd("labels"))
     return dict(geo=O.conform_geo(docs), themes=O.conform_themes(docs),
+                linked_geo=O.conform_geo(linked), linked_themes=O.conform_themes(linked),
                 bridge=O.conform_subtitle_bridge(rd("labels")), titles=O.conform_titles(rd("orders")),
                 countries=O.conform_country_bridge(rd("lineitem"), rd("supplier"), rd("nation")),
                 gazetteer=O.token_gazetteer(spark))
@@ -216,14 +218,15 @@ def text_inputs(spark, base):
 def token_mentions(spark, base, **options):
     def build():
         t = text_inputs(spark, base)
-        return MN.location_mentions(t["geo"], t["bridge"], t["titles"], t["countries"], t["gazetteer"], **options)
+        return MN.location_mentions(t["linked_geo"], t["bridge"], t["titles"], t["countries"], t["gazetteer"],
+                                    linked=True, **options)
     return while_unchanged(spark, base, TEXT_TABLES, f"mentions {sorted(options.items())}", build)
 
 
 def theme_base(spark, base, **keys):
     def build():
         t = text_inputs(spark, base)
-        return TH.theme_mentions(t["themes"], t["bridge"], t["titles"], t["countries"], **keys)
+        return TH.theme_mentions(t["linked_themes"], t["bridge"], t["titles"], t["countries"], linked=True, **keys)
     return while_unchanged(spark, base, TEXT_TABLES, f"themes {sorted(keys.items())}", build)
 
 
@@ -297,13 +300,13 @@ def q_theme_top15(spark, base):
 @register("theme_options")
 def q_theme_options(spark, base):
     t = text_inputs(spark, base)
-    return TH.theme_options(t["themes"], t["bridge"], t["titles"])
+    return TH.theme_options(t["linked_themes"], t["bridge"], t["titles"], linked=True)
 
 
 @register("theme_option_tree")
 def q_theme_option_tree(spark, base):
     t = text_inputs(spark, base)
-    tree = TH.theme_option_tree(TH.theme_options(t["themes"], t["bridge"], t["titles"]))
+    tree = TH.theme_option_tree(TH.theme_options(t["linked_themes"], t["bridge"], t["titles"], linked=True))
     return tree.select("idiom", F.array_join("themes", " ").alias("themes"), "theme",
                        F.array_join("words", " ").alias("words"))
 

@@ -246,7 +246,7 @@ CHUNK_WORDS = 100
 def options_index(spark: SparkSession, base: str) -> PageIndex:
     t = A.text_inputs(spark, base)
     path = stored_path(spark, "theme-options", base, A.TEXT_TABLES, (parts(spark),))
-    return OC.option_index(TH.theme_options(t["themes"], t["bridge"], t["titles"]), path, parts(spark))
+    return OC.option_index(TH.theme_options(t["linked_themes"], t["bridge"], t["titles"], linked=True), path, parts(spark))
 
 
 @register("theme_option_chunks")

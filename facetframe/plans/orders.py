@@ -174,6 +174,12 @@ def letter_runs(text):
     return F.array_remove(F.split(text, r"[^\p{L}]+"), "")
 
 
+def linked_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that the subtitle bridge names: whole texts are dropped here, before they are
+    split into words, and what is left is dealt by document id for the sums that follow."""
+    return documents.join(labels.select("doc_id"), "doc_id", "left_semi")
+
+
 def conform_geo(documents: DataFrame) -> DataFrame:
     """subtitle_geo analogue: (IMDB = doc_id, LOCATION = token, COUNT = 1 per occurrence)."""
     return documents.select(
