@@ -19,10 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetframe.operators.filters import LOC_TYPES, FilterSpec, _norm
+from facetframe.sources.catalog import table_stamp
 from facetframe.sources.stored import is_complete, row_in_partition
 
 BLOCK_TEXTS = 4096
 GRAM = 3
+TASK_BYTES = 1 << 20  # stored texts whose trigrams one task holds
+GRAM_FILES = 8  # files a trigram's lists lie in at most
 
 
 def needle_grams(needle: str) -> list[str]:
@@ -89,9 +92,13 @@ def build_substring_index(fields: Mapping[str, DataFrame], path: str, parts: int
     numbered.write.mode("overwrite").partitionBy("field", "part").parquet(f"{path}/texts")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - (GRAM - 1)),
                                          lambda i: F.substring("text", i, F.lit(GRAM))))
-    cells = index.texts().where(F.length("text") >= GRAM).select("field", "part", "block", "number", F.explode(grams).alias("gram"))
+    # a block's texts meet in one task before they are cut into trigrams: the lists are made there, and
+    # only lists are dealt again (hashed, as a range would make every list twice; a common trigram's over several files)
+    tasks = max(1, parts, -(-table_stamp(spark, f"{path}/texts")[1] // TASK_BYTES))
+    blocks = index.texts().where(F.length("text") >= GRAM).repartition(tasks, "field", "part", "block")
+    cells = blocks.select("field", "part", "block", "number", F.explode(grams).alias("gram"))
     lists = (cells.groupBy("field", "part", "block", "gram").agg(F.sort_array(F.collect_list("number")).alias("numbers"))
-             .repartitionByRange(max(1, parts), "field", "gram", "part", "block").sortWithinPartitions("field", "gram"))
+             .repartition(max(1, parts), "field", "gram", F.col("part") % GRAM_FILES).sortWithinPartitions("field", "gram"))
     lists.select("gram", "part", "block", "numbers", "field").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
     return index
 
