@@ -207,7 +207,7 @@ LOC_SEARCH_TITLES = {"State": "de", "Region": "and"}
 def text_inputs(spark, base):
     rd = lambda n: read_table(spark, base, n)
     docs = rd("documents")
-    linked = O.linked_documents(docs, rd("labels"))
+    linked = O.linked_documents(spark, base)
     return dict(geo=O.conform_geo(docs), themes=O.conform_themes(docs),
                 linked_geo=O.conform_geo(linked), linked_themes=O.conform_themes(linked),
                 bridge=O.conform_subtitle_bridge(rd("labels")), titles=O.conform_titles(rd("orders")),

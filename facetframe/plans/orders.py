@@ -174,10 +174,13 @@ def letter_runs(text):
     return F.array_remove(F.split(text, r"[^\p{L}]+"), "")
 
 
-def linked_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def linked_documents(spark: SparkSession, base: str) -> DataFrame:
     """The documents that the subtitle bridge names: whole texts are dropped here, before they are
-    split into words, and what is left is dealt by document id for the sums that follow."""
-    return documents.join(labels.select("doc_id"), "doc_id", "left_semi")
+    split into words, and what is left is dealt by document id for the sums that follow, into tasks that
+    grow with the table (a scan has as few as the file has row groups, and splits each text there)."""
+    labels = read_table(spark, base, "labels").select("doc_id")
+    linked = read_table(spark, base, "documents").join(labels, "doc_id", "left_semi")
+    return linked.repartition(tasks_for(spark, base, ["documents"]), "doc_id")
 
 
 def conform_geo(documents: DataFrame) -> DataFrame:

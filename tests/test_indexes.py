@@ -143,7 +143,8 @@ def test_texts_are_linked_before_they_are_split_into_words(spark):
                analogues.q_theme_options(spark, SF_SMALL)):
         lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
         split = next(i for i, line in enumerate(lines) if "Generate explode" in line and "Join LeftSemi" not in line)
-        assert any("Join LeftSemi" in line for line in lines[split:split + 3]), "\n".join(lines)
+        assert any("RepartitionByExpression" in line for line in lines[split:split + 3]), "\n".join(lines)
+        assert any("Join LeftSemi" in line for line in lines[split:split + 5]), "\n".join(lines)
 
 
 def test_bitmaps_of_an_empty_table(spark):
