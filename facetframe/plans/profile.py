@@ -126,24 +126,34 @@ def votes_per_title(t: ProfileTables, m: DataFrame) -> DataFrame:
 
 
 def clean_titles(m: DataFrame) -> DataFrame:
-    """Title-level rules (C1-C3, C9 fallbacks, C11, C12, C15) evaluated on the titles
-    alone, before any join: the joins then carry compact cleaned values instead
-    of raw text, and the final stage stays small."""
-    genre_raw = F.col("GENRE")
+    """Title-level rules (C1, C11, C12) evaluated where the titles are read; ``title_texts``
+    adds the others. All are evaluated before any join: the joins then carry compact cleaned
+    values instead of raw text, and the final stage stays small."""
     return m.select(
         "IMDBID", "MOVIEID", "TITLE",
         F.col("RATING_NUM").alias("rating"),
-        round_exact(F.col("RATING_NUM") / F.lit(2.0), 1).alias("ratingMl"),
-        C.money_millions("BOXOFFICE").alias("box"),
-        C.digits_int("IMDBVOTES").alias("votesImdb"),
         C.int_or_zero("OSCAR_WINNING").alias("oscars"),
         C.other_awards("AWARD_WINNING", "OSCAR_WINNING", "AWARD_NOMINATION", "OSCAR_NOMINATION",
                        "BAFTA_WINNING", "BAFTA_NOMINATION", "EMMY_WINNING",
                        "EMMY_NOMINATION").alias("otherAwards"),
         C.year("YEAR").alias("year"),
+        "BOXOFFICE", "IMDBVOTES", "COUNTRY", "GENRE",
+    )
+
+
+def title_texts(titles: DataFrame) -> DataFrame:
+    """The rules of the raw texts (C2, C3, C9 fallbacks, C15) and the halved rating, once the titles are
+    dealt: with the other rules in the stage that reads the titles, Spark's generated method is longer
+    than the JVM compiles (8 000 bytes), so that each title is interpreted."""
+    return titles.select(
+        "IMDBID", "MOVIEID", "TITLE", "rating",
+        round_exact(F.col("rating") / F.lit(2.0), 1).alias("ratingMl"),
+        C.money_millions("BOXOFFICE").alias("box"),
+        C.digits_int("IMDBVOTES").alias("votesImdb"),
+        "oscars", "otherAwards", "year",
         C.first_of_list("COUNTRY").alias("_country_raw1"),
-        C.first_of_list(genre_raw).alias("_genre_raw1"),
-        C.spaced_list(genre_raw).alias("_genre_spaced"),
+        C.first_of_list("GENRE").alias("_genre_raw1"),
+        C.spaced_list("GENRE").alias("_genre_spaced"),
     )
 
 
@@ -156,7 +166,7 @@ def assemble(t: ProfileTables) -> DataFrame:
                                "WRITER_", with_list=False)
     by_title = [country_per_title(t, m), genre_per_key(t, t.imdb_genre, "IMDBID", m, "IMDB"), directors, writers]
     by_movie = [genre_per_key(t, t.ml_genre, "MOVIEID", m, "ML"), votes_per_title(t, m)]
-    wide = t.dealt(clean_titles(m), "IMDBID")
+    wide = title_texts(t.dealt(clean_titles(m), "IMDBID"))
     for part in by_title:
         wide = wide.join(part, "IMDBID", "left")
     wide = t.dealt(wide, "MOVIEID")

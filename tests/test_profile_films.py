@@ -1,5 +1,7 @@
 """The wide profile and its downstream operators on hand-made film tables."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from facetframe.operators import distributions as D
@@ -112,3 +114,24 @@ def test_title_stages_are_dealt_into_tasks_that_grow_with_the_input(spark, monke
         plan = p._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count(f"], {tasks}") >= 10
         assert sorted(map(repr, p.collect())) == want
+
+
+def test_the_title_stages_are_short_enough_to_be_compiled(spark):
+    # the JVM interprets methods of over 8 000 bytes; all title rules in one stage made one of 11 566
+    from facetframe.operators.eligibility import eligible_titles
+    from facetframe.plans.orders import conform_titles
+    from facetframe.plans.profile import clean_titles, title_texts
+    orders = spark.createDataFrame(
+        [(1, 4, "O", 20_000.0, datetime.datetime(1997, 5, 1), "2-HIGH"), (2, 3, "F", 31_000.0, None, "5-LOW")],
+        "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, "
+        "o_orderpriority string")
+    cleaned = clean_titles(eligible_titles(conform_titles(orders), require_parsed_rating=True))
+    dealt = spark.createDataFrame(cleaned.collect(), cleaned.schema)
+    for stage in (cleaned, title_texts(dealt)):
+        code = stage._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())]
+        assert sizes and max(sizes) <= 8000, sizes
+    got = {r.IMDBID: r for r in title_texts(dealt).collect()}
+    assert (got[1].rating, got[1].ratingMl, got[1].box, got[1].votesImdb) == (0.4, 0.2, 0.02, 4001)
+    assert (got[2].box, got[2].votesImdb, got[2]._country_raw1, got[2]._genre_raw1) == (0.0, 3002, None, "5-LOW")
+    assert (got[1]._country_raw1, got[1]._genre_spaced, got[1].year) == ("NATION_4", "2-HIGH, O", 1997)
