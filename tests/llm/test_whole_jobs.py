@@ -1,5 +1,7 @@
 """Whole jobs: cases where an operator once did less than all of its work."""
 
+import math
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -132,6 +134,29 @@ def test_op3_repeated_query_rows_have_all_their_hits(spark):
     assert [got[40, i][0] for i in range(1, 11)] == [got[20, i][0] for i in range(1, 11)]
 
 
+def test_op3_reads_the_longest_lists_as_rows_and_stays_exact():
+    import numpy as np
+    import pyarrow as pa
+    rnd = random.Random(7)
+    texts = [" ".join([w for w in "abcdefgh" if rnd.random() < 0.6] + [f"w{rnd.randint(0, 90)}" for _ in range(12)])
+             for _ in range(400)] + ["a b c w1 w2"] * 20 + ["", None]
+    p = search._Postings(pa.table({"id": pa.array(range(len(texts)), pa.int64()), "text": texts}))
+    df = np.unique(p.term, return_counts=True)[1].astype(np.int64)
+    index = search.Index(p, df, len(texts), int(p.length.sum()), 1.2, 0.75, 128)
+    assert 0 < len(index.wide) and index.wide.size <= len(p.term)
+    assert sorted(index.size[index.row >= 0]) == sorted(index.size)[-len(index.wide):]
+    bags = [Counter((t or "").split()) for t in texts]
+    count = Counter(w for b in bags for w in b)
+    idf = {w: math.log(1 + (len(bags) - f + 0.5) / (f + 0.5)) for w, f in count.items()}
+    mean = sum(sum(b.values()) for b in bags) / len(bags)
+    for q in (0, 3, 77, 401, 420):
+        want = sorted((-math.fsum(idf[w] * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean))
+                                  for w in bags[q] if w in b), i) for i, b in enumerate(bags) if bags[q].keys() & b.keys())
+        got = index.top(search._terms(texts[q])[0], 10)
+        assert [d for d, _ in got] == [i for _, i in want[:10]]
+        assert all(abs(s + w) < 1e-9 for (_, s), (w, _) in zip(got, want))
+
+
 def test_op10_cuts_between_equal_rows(spark):
     # a third of all rows are one row, in three variants of another column
     rows = [(7, "one two three four five six seven eight nine ten", "a", i % 3) for i in range(300)]
