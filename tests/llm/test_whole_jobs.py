@@ -157,6 +157,37 @@ def test_op3_reads_the_longest_lists_as_rows_and_stays_exact():
         assert all(abs(s + w) < 1e-9 for (_, s), (w, _) in zip(got, want))
 
 
+def test_op3_shards_return_what_can_still_be_among_the_best(spark, monkeypatch):
+    rnd = random.Random(11)
+    texts = [" ".join(f"w{int(80 * rnd.random() ** 2)}" for _ in range(15)) for _ in range(800)]
+    made, plain, shards = spark.sparkContext.accumulator(0), search._search, 16
+
+    def counted(*how):
+        run = plain(*how)
+
+        def run_counted(left, right):
+            out = run(left, right)
+            made.add(out.num_rows)
+            return out
+        return run_counted
+
+    monkeypatch.setattr(search, "_search", counted)
+    got = {}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in search.search(docs, F.col("doc_id") % 20 == 0, k=10, shards=shards, queries_per_block=25).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.doc_id, r.score)
+    bags = [Counter(t.split()) for t in texts]
+    count = Counter(w for b in bags for w in b)
+    idf = {w: math.log(1 + (len(bags) - f + 0.5) / (f + 0.5)) for w, f in count.items()}
+    mean = sum(sum(b.values()) for b in bags) / len(bags)
+    for q in range(0, len(texts), 20):
+        want = sorted((-math.fsum(idf[w] * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean))
+                                  for w in bags[q] if w in b), i) for i, b in enumerate(bags))[:10]
+        assert [got[q][r][0] for r in range(1, 11)] == [i for _, i in want]
+        assert all(abs(got[q][r + 1][1] + s) < 1e-9 for r, (s, _) in enumerate(want))
+    assert 10 * len(got) <= made.value < 10 * len(got) * shards * 0.6
+
+
 def test_op10_cuts_between_equal_rows(spark):
     # a third of all rows are one row, in three variants of another column
     rows = [(7, "one two three four five six seven eight nine ten", "a", i % 3) for i in range(300)]
