@@ -188,6 +188,32 @@ def test_op3_shards_return_what_can_still_be_among_the_best(spark, monkeypatch):
     assert 10 * len(got) <= made.value < 10 * len(got) * shards * 0.6
 
 
+def test_op3_disk_does_not_grow_with_blocks_of_queries_and_shards(spark):
+    from pathlib import Path
+
+    from facetframe.session import ensure_checkpoint_dir
+    rnd = random.Random(5)
+    words = [f"{rnd.getrandbits(40):x}" for _ in range(4000)]
+    texts = [" ".join(words[int(4000 * rnd.random() ** 2)] for _ in range(150)) for _ in range(1200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).cache()
+    docs.count()
+
+    def on_disk():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        shared = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+        return (sum(f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle"))
+                + sum(f.stat().st_size for f in shared.rglob("*.parquet")))
+
+    got, took = [], []
+    for shards, block in ((4, 100_000), (12, 2)):
+        before = on_disk()
+        got.append(sorted(search.search(docs, F.col("doc_id") % 20 == 0, shards=shards, queries_per_block=block).collect()))
+        took.append(on_disk() - before)
+    docs.unpersist()
+    assert got[0] == got[1] and len(got[0]) == 600
+    assert took[1] < 1.5 * sum(map(len, texts)), took
+
+
 def test_op10_cuts_between_equal_rows(spark):
     # a third of all rows are one row, in three variants of another column
     rows = [(7, "one two three four five six seven eight nine ten", "a", i % 3) for i in range(300)]
